@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host: the source; path: source and language directory, as in the urls of ``pages``."""
+    from .quality import score_quality, train
+
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang"))
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model, "source", "path", ["doc_id"])
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import substring_dedup
 
@@ -32,6 +41,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, split, train_split
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs.select("doc_id", "text"), train_split(docs))
+    return split(out.drop("text")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
