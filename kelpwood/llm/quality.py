@@ -1,6 +1,6 @@
 """Quality by hierarchical empirical Bayes: a document's own evidence under the prior of its path and host.
 
-1. Evidence: logistic regressions on hashed words and shape counts of the whole text give each document's chance to be good
+1. Evidence: logistic regressions on telling words and shape counts of the whole text give each document's chance to be good
    (labelled quality 1 and not toxic). They are fitted on a bounded sample of labelled documents.
 2. Sites: sums of these chances by host and by host and path (grouped aggregation with partial sums). Beta priors
    are fitted by moments; a host shrinks toward the global mean, a path toward its host, the more the fewer documents it has.
@@ -19,86 +19,114 @@ from pyspark.sql import types as T
 from .common import Words, materialize, slices, text_array, word_hashes
 from .linear import fit_logistic, sigmoid
 
-DIM, SHAPES = 8192, 10
+WORDS, SHAPES, LEAST_DOCS = 1024, 10, 4  # words of each head, shape counts, sample documents that a word must be in
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BROADCAST_ROWS = 100_000  # site rows (some 60 bytes each) that are sent to all executors; more are joined by a shuffle
 
 
-def features(texts: pa.Array) -> np.ndarray:
-    """Shape counts, then hashed lower-case words (1 + log of the count, unit length)."""
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shape counts of each text; the number of the text and the hash of each of its distinct words (lower case, without marks around it)."""
     texts = text_array(texts)
     n = len(texts)
     w = Words(texts, lower=True)
-    out = np.zeros((n, SHAPES + DIM), np.float32)
+    shape = np.zeros((n, SHAPES), np.float32)
     if not len(w.codes):
-        return out
+        return shape, np.zeros(0, np.int64), np.zeros(0, np.uint64)
     doc = w.docs()
-    slot = (word_hashes(w.dictionary) >> np.uint64(64 - 13)).astype(np.int64)[w.codes]
-    bag = np.bincount(doc * DIM + slot, minlength=n * DIM).reshape(n, DIM).astype(np.float32)
-    bag = np.where(bag > 0, 1 + np.log(np.maximum(bag, 1)), 0)
-    out[:, SHAPES:] = bag / np.maximum(np.linalg.norm(bag, axis=1, keepdims=True), 1)
     many = np.maximum(w.lengths, 1)
     off = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[off[0] : off[-1]]
     size = np.maximum(np.diff(off), 1)
-    total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[off - off[0]])
+    by_text = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[off - off[0]])
+    by_word = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[w.offsets])
     upper, digit = (data >= 65) & (data <= 90), (data >= 48) & (data <= 57)
     letter = upper | ((data >= 97) & (data <= 122)) | (data >= 128)
-    pair = doc.astype(np.int64) << 32 | w.codes
+    pair = doc << 32 | w.codes
     again = np.concatenate([[False], pair[1:] == pair[:-1]])
-    by_doc = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[w.offsets])
-    ends = pc.match_substring_regex(w.dictionary, r"[#$%&*]{2,}$|!!$").to_numpy(zero_copy_only=False)[w.codes]
+    distinct = np.unique(pair)
+    doc_of = distinct >> 32
+    marked = pc.match_substring_regex(w.dictionary, r"[#$%&*]{2,}$|!!$").to_numpy(zero_copy_only=False)[w.codes]
     bars = pc.equal(w.dictionary, "|").to_numpy(zero_copy_only=False)[w.codes]
-    first = np.zeros(len(pair), bool)
-    first[np.unique(pair, return_index=True)[1]] = True
-    for i, v in enumerate((total(upper) / size, total(digit) / size, total(~letter & ~digit & (data > 32)) / size, by_doc(again) / many, by_doc(first) / many, by_doc(ends) / many, by_doc(bars) / many, np.log1p(w.lengths) / 10, size / many / 20, total(letter) / size)):
-        out[:, i] = np.minimum(v, 3)
-    return out
+    counts = (by_text(upper) / size, by_text(digit) / size, by_text(~letter & ~digit & (data > 32)) / size, by_word(again) / many, np.bincount(doc_of, minlength=n) / many, by_word(marked) / many, by_word(bars) / many, np.log1p(w.lengths) / 10, size / many / 20, by_text(letter) / size)
+    for i, v in enumerate(counts):
+        shape[:, i] = np.minimum(v, 3)
+    return shape, doc_of, word_hashes(pc.utf8_trim(w.dictionary, characters=MARKS))[distinct & 0xFFFFFFFF]
+
+
+def _telling(docs: np.ndarray, words: np.ndarray, positive: np.ndarray) -> np.ndarray:
+    """The ``WORDS`` words whose presence tells the classes apart best (log-odds times the root of their count)."""
+    vocab, code = np.unique(words, return_inverse=True)
+    pos = np.bincount(code, weights=positive[docs], minlength=len(vocab))
+    df = np.bincount(code, minlength=len(vocab))
+    p, n = max(1, positive.sum()), max(1, (~positive).sum())
+    score = np.abs(np.log((pos + 0.5) / (p + 1)) - np.log((df - pos + 0.5) / (n + 1))) * np.sqrt(df)
+    ok = np.flatnonzero(df >= LEAST_DOCS)
+    return np.sort(vocab[ok[np.argsort(-score[ok], kind="stable")[:WORDS]]])
+
+
+class _Head:
+    """One logistic regression over shape counts and the presence of telling words."""
+
+    def __init__(self, shape, docs, words, positive: np.ndarray):
+        self.words = _telling(docs, words, positive)
+        sign = np.where(positive, 1.0, -1.0)
+        if abs(sign.sum()) == len(sign):
+            self.w = np.append(np.zeros(SHAPES + len(self.words)), 6.0 * sign[0])
+        else:
+            self.w = fit_logistic(self._rows(shape, docs, words), sign, l2=1e-4)
+
+    def _rows(self, shape, docs, words) -> np.ndarray:
+        x = np.zeros((len(shape), SHAPES + len(self.words)), np.float32)
+        x[:, :SHAPES] = 4 * shape
+        if len(self.words) and len(words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            hit = self.words[at] == words
+            x[docs[hit], SHAPES + at[hit]] = 1
+        return x
+
+    def chance(self, shape, docs, words) -> np.ndarray:
+        x = self._rows(shape, docs, words)
+        return sigmoid((x @ self.w[:-1].astype(np.float32)).astype(np.float64) + self.w[-1])
 
 
 class QualityModel:
-    def __init__(self, x: np.ndarray, quality: np.ndarray, toxic: np.ndarray):
-        heads = []
-        for y, good in ((quality, 1), (toxic, 0)):
-            sign = np.where(y == good, 1.0, -1.0)
-            heads.append(fit_logistic(x, sign) if abs(sign.sum()) < len(sign) else np.append(np.zeros(x.shape[1]), 6.0 * sign[0]))
-        self.w = np.array(heads, np.float32).T
+    def __init__(self, shape, docs, words, quality: np.ndarray, toxic: np.ndarray):
+        self.heads = [_Head(shape, docs, words, quality == 1), _Head(shape, docs, words, toxic == 0)]
 
-    def chance(self, x: np.ndarray) -> np.ndarray:
-        """Each row's chance to be good."""
-        p = sigmoid((x @ self.w[:-1] + self.w[-1]).astype(np.float64))
-        return p[:, 0] * p[:, 1]
+    def chance(self, texts: pa.Array) -> np.ndarray:
+        """Each text's chance to be good: of quality and not toxic."""
+        x = features(texts)
+        return self.heads[0].chance(*x) * self.heads[1].chance(*x)
 
 
 def _feature_rows(batches):
     for batch in batches:
         for part in slices(batch, "text"):
-            x = features(part.column("text"))
-            raw = []
-            for r in x:
-                at = np.flatnonzero(r)
-                raw.append(at.astype(np.uint16).tobytes() + r[at].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), part.column("toxic"), pa.array(raw, pa.binary())], ["doc_id", "quality", "toxic", "x"])
+            shape, doc, word = features(part.column("text"))
+            cut = np.searchsorted(doc, np.arange(len(shape) + 1))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("quality"), part.column("toxic"), pa.array([r.tobytes() for r in shape], pa.binary()), pa.array([word[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
+                ["doc_id", "quality", "toxic", "shape", "words"],
+            )
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 6000) -> QualityModel | None:
     """From at most ``most`` labelled documents, the least by a hash of doc_id; None if there are none."""
     label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna().dropDuplicates(["doc_id"])
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    some = label.withColumn("h", h)
+    some = label.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
     count = label.count()
     if count > most:
         some = some.filter(F.col("h") < int((1 << 30) * 1.2 * most / count))
     some = some.orderBy("h", "doc_id").limit(most).drop("h")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    rows = base.join(F.broadcast(some), "doc_id").mapInArrow(_feature_rows, "doc_id long, quality int, toxic int, x binary").collect()
+    rows = base.join(F.broadcast(some), "doc_id").mapInArrow(_feature_rows, "doc_id long, quality int, toxic int, shape binary, words binary").collect()
     if not rows:
         return None
-    rows = sorted({r["doc_id"]: r for r in sorted(rows, key=lambda r: bytes(r["x"]))}.values(), key=lambda r: r["doc_id"])
-    x = np.zeros((len(rows), SHAPES + DIM), np.float32)
-    for i, r in enumerate(rows):
-        n = len(r["x"]) // 6
-        x[i, np.frombuffer(r["x"], np.uint16, n)] = np.frombuffer(r["x"], np.float32, n, 2 * n)
-    return QualityModel(x, np.array([r["quality"] for r in rows]), np.array([r["toxic"] for r in rows]))
+    rows = sorted({r["doc_id"]: r for r in sorted(rows, key=lambda r: bytes(r["words"]))}.values(), key=lambda r: r["doc_id"])
+    shape = np.array([np.frombuffer(r["shape"], np.float32) for r in rows])
+    words = [np.frombuffer(r["words"], np.uint64) for r in rows]
+    doc = np.repeat(np.arange(len(rows)), [len(x) for x in words])
+    return QualityModel(shape, doc, np.concatenate(words), np.array([r["quality"] for r in rows]), np.array([r["toxic"] for r in rows]))
 
 
 def _strength(groups: DataFrame, mean: float, n: str, s: str) -> float:
@@ -112,7 +140,7 @@ def _strength(groups: DataFrame, mean: float, n: str, s: str) -> float:
 
 
 def evidence(docs: DataFrame, model: QualityModel | None, host: str, path: str, carry: list[str]) -> DataFrame:
-    """The columns ``carry``, with __host, __path and __p (chance to be good by the text alone)."""
+    """The columns ``carry``, with __host, __path and __p (chance to be good by its text alone)."""
     base = docs.select(*carry, F.col("text").cast("string").alias("__text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("__host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("__path"))
     kept = [f for f in base.schema.fields if f.name != "__text"]
     names = [f.name for f in kept]
@@ -121,7 +149,7 @@ def evidence(docs: DataFrame, model: QualityModel | None, host: str, path: str,
         for batch in batches:
             for part in slices(batch, "__text"):
                 text = text_array(part.column("__text"))
-                p = model.chance(features(text)) if model is not None else np.full(len(text), 0.5)
+                p = model.chance(text) if model is not None else np.full(len(text), 0.5)
                 p[pc.equal(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)] = 0.0
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(np.clip(p, 1e-6, 1 - 1e-6))], [*names, "__p"])
 
