@@ -7,10 +7,12 @@ the threshold s: the least one with 2 * (1 - s**r)**t <= miss.
 
 1. Texts with the same shingle set become one node (128-bit set fingerprint).
 2. Sub-bands that no other node shares are dropped before pairs of sub-bands are formed; most nodes end here.
-3. Each table key links its members to one centre; links are confirmed on the full sets; components follow.
-4. In every key that still spans several components, each member outside the largest one is confirmed
-   against all members of other components. After that every pair that shares a key has been confirmed or is
-   already connected, so no link between components is left out, and groups of copies cost a star, not all pairs.
+3. In each table key the member whose sub-bands are the most common is the centre. All others are compared with it on full sets, which
+   gives links and each member's edits (shingles that it lacks or adds). Components follow.
+4. Two members of a centre that were not both linked with it can only be linked with each other if they share
+   edits, and at least so many as their sizes say (see ``_edit_candidates``). Edits that two components share are indexed, rarest
+   first, under the prefix filter, and what collides is confirmed on full sets. So every link between components is found without
+   forming the pairs of a group: a large group of copies costs a star.
 """
 
 from __future__ import annotations
@@ -99,6 +101,17 @@ def _set_rows(k: int):
     return run
 
 
+def _compare(p: np.ndarray, q: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Size of the intersection of two sorted sets, what only the first has, what only the second has."""
+    m = np.concatenate([p, q])
+    order = np.argsort(m, kind="stable")
+    m = m[order]
+    same = m[1:] == m[:-1]
+    alone = ~(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+    mine = order < len(p)
+    return int(same.sum()), m[alone & mine], m[alone & ~mine]
+
+
 def _confirm(percent: int):
     """Keep pairs with 100 * intersection >= percent * union."""
 
@@ -108,23 +121,58 @@ def _confirm(percent: int):
             keep = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
                 p, q = np.frombuffer(one[i].as_buffer(), np.uint64), np.frombuffer(two[i].as_buffer(), np.uint64)
-                m = np.concatenate([p, q])
-                m.sort()
-                both = int((m[1:] == m[:-1]).sum())
-                keep[i] = 100 * both >= percent * (len(m) - both)
+                both = _compare(p, q)[0]
+                keep[i] = 100 * both >= percent * (len(p) + len(q) - both)
             yield pa.RecordBatch.from_arrays([pc.filter(batch.column(c), pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
     return run
 
 
-def _edges(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _edit_rows(percent: int):
+    """Members b against their centres a: linked, S (see _edit_candidates), the centre's size and the edits' hashes."""
+
+    def run(batches):
+        for batch in batches:
+            linked, weight, size, edits = [], [], [], []
+            for one, two in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                c, x = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
+                both, lacks, adds = _compare(c, x)
+                linked.append(100 * both >= percent * (len(c) + len(x) - both))
+                weight.append((100 + percent) * len(lacks) + percent * len(x))
+                size.append(len(c))
+                edits.append(signed(np.concatenate([mix(lacks), adds])))
+            lists = pa.array(edits, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(weight, pa.int64()), pa.array(size, pa.int64()), lists], ["c", "x", "linked", "weight", "size", "edits"])
+
+    return run
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-    with_a = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
-    return with_a.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long").distinct()
+    return with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
 
 
-def _ordered(x: str, y: str):
-    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+def _edit_candidates(stars: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one centre, of different components, that may be linked.
+
+    Let c be the centre, D(x) and A(x) what x lacks and adds, P the percentage and S(x) = (100 + P) |D(x)| + P |x|. For members x and y the
+    intersection is |c| - |D(x)| - |D(y)| + e with e the number of edits that both have, so they are linked just if
+    (100 + P) e >= S(x) + S(y) - (100 + P) |c|. S is least for the centre: P |c|. So x is linked with the centre just if S(x) <= 100 |c|, and two
+    members are linked without shared edits only if both are linked with the centre. For any other link one is not, and e is at least
+    ceil((S(x) - 100 |c|) / (100 + P)) for a member that is not linked with the centre and ceil((S(x) - P |c| + 1) / (100 + P)) for one that is.
+    These bounds give the prefixes of the edits, rarest first, of which two linked members must share one.
+    """
+    own = stars.join(comp.withColumnRenamed("node", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
+    wide = own.groupBy("c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(~F.col("linked")).alias("far")).filter("lo <> hi and far").select("c")
+    least = F.when(F.col("linked"), F.col("weight") - percent * F.col("size") + 1).otherwise(F.col("weight") - 100 * F.col("size"))
+    own = own.join(wide, "c").withColumn("need", F.greatest(F.ceil(least / F.lit(100 + percent)), F.lit(1)).cast("int"))
+    each = own.select("c", "x", "linked", "comp", "need", F.explode("edits").alias("e"))
+    shared = each.groupBy("c", "e").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("c", "e", "df")
+    kept = each.join(shared, ["c", "e"]).groupBy("c", "x", "linked", "comp", "need").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
+    kept = kept.filter(F.size("es") >= F.col("need"))
+    pre = materialize(kept.select("c", "x", "linked", "comp", F.explode(F.slice("es", F.lit(1), F.size("es") - F.col("need") + 1)).alias("p")).select("c", "x", "linked", "comp", F.col("p.e").alias("e")), "mh")
+    far = pre.filter("not linked").select("c", "e", F.col("x").alias("y"), F.col("comp").alias("yc"))
+    return far.join(pre, ["c", "e"]).filter((F.col("x") != F.col("y")) & (F.col("comp") != F.col("yc"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, r: int = 2, miss: float = 1e-4, seed: int = 7) -> DataFrame:
@@ -141,38 +189,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, r: int = 2,
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = materialize(base.mapInArrow(_signature_rows(k, t, r, seed), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"), "mh")
     known = sig.filter("n_shingles > 0 and doc_id is not null")
-    groups = known.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    nodes = materialize(groups.select("node", "n", "bands"), "mh")
+    groups = known.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    nodes = materialize(groups.select("node", "bands"), "mh")
 
-    # sub-bands that at least two nodes share
-    sub = nodes.select("node", "n", F.posexplode("bands").alias("i", "v"))
-    common = sub.groupBy("i", "v").agg(F.count("*").alias("c")).filter("c > 1").select("i", "v")
-    per_node = sub.join(common, ["i", "v"]).groupBy("node", "n").agg(F.collect_list(F.struct("i", "v")).alias("s"))
+    # sub-bands that at least two nodes share; how common a node's are
+    sub = nodes.select("node", F.posexplode("bands").alias("i", "v"))
+    common = sub.groupBy("i", "v").agg(F.count("*").alias("c")).filter("c > 1")
+    per_node = sub.join(common, ["i", "v"]).groupBy("node").agg(F.sum("c").alias("often"), F.collect_list(F.struct("i", "v")).alias("s"))
     side = lambda low: F.filter("s", lambda x: (x.i < t) if low else (x.i >= t))
-    keyed = per_node.select("node", "n", F.explode(side(True)).alias("x"), side(False).alias("ys")).select("node", "n", "x", F.explode("ys").alias("y"))
-    keyed = keyed.select(F.xxhash64("x.i", "x.v", "y.i", "y.v").alias("key"), "node", "n")
-    many = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    keys = materialize(keyed.join(many, "key"), "mh")
+    keyed = per_node.select("node", "often", F.explode(side(True)).alias("x"), side(False).alias("ys")).select("node", "often", "x", F.explode("ys").alias("y"))
+    keyed = keyed.select(F.xxhash64("x.i", "x.v", "y.i", "y.v").alias("key"), "node", "often")
+    many = keyed.groupBy("key").agg(F.count("*").alias("c"), F.max(F.struct("often", (-F.col("node")).alias("minus"))).alias("m")).filter("c > 1")
+    star = keyed.join(many.select("key", (-F.col("m.minus")).alias("centre")), "key").filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    star = materialize(star, "mh")
 
-    need = keys.select(F.col("node").alias("doc_id")).distinct()
+    need = star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = materialize(base.join(need, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id", "text"]).mapInArrow(_set_rows(k), "node long, shingles binary"), "mh")
-
-    fits = lambda m, n: F.lit(100) * F.least(m, n) >= F.lit(percent) * F.greatest(m, n)
-    centre = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"))
-    star = keys.join(centre, "key").filter((F.col("node") != F.col("centre")) & fits(F.col("n"), F.col("cn"))).select(*_ordered("node", "centre")).distinct()
-    first = materialize(_edges(star, sets, percent), "mh")
+    compared = _with_sets(star, sets).mapInArrow(_edit_rows(percent), "c long, x long, linked boolean, weight long, size long, edits array<long>")
+    stars = materialize(compared, "mh")
+    first = stars.filter("linked").select(F.col("c").alias("a"), F.col("x").alias("b"))
     comp = connected_components(first)
-
-    # keys over several components: members outside the largest against all of other components
-    member = keys.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sized = member.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    top = sized.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("m")).filter("comps > 1").select("key", F.col("m.comp").alias("top"))
-    left = materialize(member.join(top, "key"), "mh")
-    rest = left.filter("comp <> top").select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-    cross = rest.join(left.select("key", "node", "n", "comp"), "key").filter((F.col("comp") != F.col("xc")) & fits(F.col("n"), F.col("xn")))
-    cross = cross.select(*_ordered("node", "x")).distinct().join(star, ["a", "b"], "left_anti")
-    second = materialize(_edges(cross, sets, percent), "mh")
-
+    rest = _edit_candidates(stars, comp, percent)
+    second = materialize(_with_sets(rest, sets).mapInArrow(_confirm(percent), "a long, b long").distinct(), "mh")
     comp = comp if second.isEmpty() else connected_components(first.unionByName(second))
     by_set = groups.select("fp1", "fp2", "node").join(comp, "node", "left").select("fp1", "fp2", F.coalesce("comp", "node").alias("component"))
     out = sig.join(by_set, ["fp1", "fp2"], "left")

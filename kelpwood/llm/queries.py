@@ -19,6 +19,24 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, "source", "path", ["doc_id"])
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``rows``: capacities of the bounded loads add up to the rows, so counts are at most one apart."""
+    from .sharding import assign_shards
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    out = assign_shards(docs, "doc_id", shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import filter_urls
+
+    rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, spark.createDataFrame(rules, "verdict string, host string, path string")).drop("url")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import substring_dedup
 
@@ -49,9 +67,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(out.drop("text")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+OP6_SQL = """
+with rules(verdict, host, path) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+cut as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) end as rest from pages),
+parts as (
+  select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
+  from cut),
+fit as (
+  select p.page_id, r.host || r.path as rule, r.verdict, row_number() over (partition by p.page_id order by length(r.host || r.path) desc, r.host || r.path) as n
+  from parts p join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path))
+select p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') as verdict
+from parts p left join fit f on f.page_id = p.page_id and f.n = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": OP6_SQL}
