@@ -19,6 +19,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, "source", "path", ["doc_id"])
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), k=20)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: capacities of the bounded loads add up to the rows, so counts are at most one apart."""
     from .sharding import assign_shards
