@@ -160,19 +160,25 @@ def _edit_candidates(stars: DataFrame, comp: DataFrame, percent: int) -> DataFra
     (100 + P) e >= S(x) + S(y) - (100 + P) |c|. S is least for the centre: P |c|. So x is linked with the centre just if S(x) <= 100 |c|, and two
     members are linked without shared edits only if both are linked with the centre. For any other link one is not, and e is at least
     ceil((S(x) - 100 |c|) / (100 + P)) for a member that is not linked with the centre and ceil((S(x) - P |c| + 1) / (100 + P)) for one that is.
-    These bounds give the prefixes of the edits, rarest first, of which two linked members must share one.
+    These bounds give the prefixes of the edits, rarest first, of which two linked members must share one. As e is at most the number of
+    edits that either shares with anyone, S(y) is bounded as well, for a pair and for all members that have an edit.
     """
     own = stars.join(comp.withColumnRenamed("node", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
     wide = own.groupBy("c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(~F.col("linked")).alias("far")).filter("lo <> hi and far").select("c")
     least = F.when(F.col("linked"), F.col("weight") - percent * F.col("size") + 1).otherwise(F.col("weight") - 100 * F.col("size"))
     own = own.join(wide, "c").withColumn("need", F.greatest(F.ceil(least / F.lit(100 + percent)), F.lit(1)).cast("int"))
-    each = own.select("c", "x", "linked", "comp", "need", F.explode("edits").alias("e"))
+    each = own.select("c", "x", "comp", F.explode("edits").alias("e"))
     shared = each.groupBy("c", "e").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("c", "e", "df")
-    kept = each.join(shared, ["c", "e"]).groupBy("c", "x", "linked", "comp", "need").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
-    kept = kept.filter(F.size("es") >= F.col("need"))
-    pre = materialize(kept.select("c", "x", "linked", "comp", F.explode(F.slice("es", F.lit(1), F.size("es") - F.col("need") + 1)).alias("p")).select("c", "x", "linked", "comp", F.col("p.e").alias("e")), "mh")
-    far = pre.filter("not linked").select("c", "e", F.col("x").alias("y"), F.col("comp").alias("yc"))
-    return far.join(pre, ["c", "e"]).filter((F.col("x") != F.col("y")) & (F.col("comp") != F.col("yc"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    kept = each.select("c", "x", "e").join(shared, ["c", "e"]).groupBy("c", "x").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
+    kept = kept.join(own.drop("edits"), ["c", "x"]).filter(F.size("es") >= F.col("need"))
+    # the greatest S of a partner with which the edits that this member shares with anyone could be enough
+    kept = kept.withColumn("most", F.lit(100 + percent) * (F.col("size") + F.size("es")) - F.col("weight"))
+    pre = materialize(kept.select("c", "x", "linked", "comp", "weight", "most", F.explode(F.slice("es", F.lit(1), F.size("es") - F.col("need") + 1)).alias("p")).select("c", "x", "linked", "comp", "weight", "most", F.col("p.e").alias("e")), "mh")
+    reach = pre.groupBy("c", "e").agg(F.max("most").alias("top"), F.min(F.when(~F.col("linked"), F.col("weight"))).alias("low"))
+    pre = materialize(pre.join(reach, ["c", "e"]).filter((~F.col("linked") & (F.col("weight") <= F.col("top"))) | (F.col("most") >= F.col("low"))).drop("top", "low"), "mh")
+    far = pre.filter("not linked").select("c", "e", F.col("x").alias("y"), F.col("comp").alias("yc"), F.col("weight").alias("yw"), F.col("most").alias("ym"))
+    enough = (F.col("weight") <= F.col("ym")) & (F.col("yw") <= F.col("most"))
+    return far.join(pre, ["c", "e"]).filter((F.col("x") != F.col("y")) & (F.col("comp") != F.col("yc")) & enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, r: int = 2, miss: float = 1e-4, seed: int = 7) -> DataFrame:
