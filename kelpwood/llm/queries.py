@@ -35,6 +35,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has pictures, so each vector of ``embeddings`` is drawn as one."""
+    from .media import copies, pictures
+
+    return copies(pictures(table(spark, sf_dir, "embeddings")))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
