@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from .registry import ORACLES, QUERIES
+
+MODULES = ("relational", "commitments", "text", "graph", "vectors", "stream")
+
+
+def _load():
+    for name in MODULES:
+        import_module(f"{__package__}.queries.{name}")
+
 
 def queries():
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    _load()
+    return dict(ORACLES)
