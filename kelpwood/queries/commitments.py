@@ -12,7 +12,11 @@ from ..sources.tables import Tables, with_views
 
 C, CO, FA, EN = with_views("commitments"), with_views("commitments", "outcomes"), with_views("facts"), with_views("entities")
 NOW = "2001-08-01"
-NOW_SQL, NOW_COL = f"timestamp '{NOW}'", F.expr(f"timestamp_ntz'{NOW}'")
+NOW_SQL = f"timestamp '{NOW}'"
+
+
+def now():
+    return F.expr(f"timestamp_ntz'{NOW}'")
 
 
 @query(CO + "select stakes, count(*) as total, sum(case when polarity >= 0 then 1 else 0 end) as kept, sum(case when polarity < 0 then 1 else 0 end) as broken, sum(case when polarity is null then 1 else 0 end) as pending from commitments left join outcomes on id = commitment_id where made_at >= timestamp '1996-01-01' and made_at < timestamp '1999-01-01' group by 1")
@@ -24,25 +28,25 @@ def commitment_ledger(t: Tables):
 
 @query(C + f"select id, horizon from commitments where state = 'open' order by case when horizon > {NOW_SQL} then null else horizon end nulls last, made_at desc, id limit 50")
 def pending_ordering(t: Tables):
-    due = F.when(F.col("horizon") <= NOW_COL, F.col("horizon"))
+    due = F.when(F.col("horizon") <= now(), F.col("horizon"))
     return t.commitments.filter("state = 'open'").orderBy(F.asc_nulls_last(due), F.desc("made_at"), "id").select("id", "horizon").limit(50)
 
 
 @query(C + f"select id, horizon from commitments where state in ('open', 'acted') and horizon <= {NOW_SQL} and id not in (select l_orderkey from lineitem where l_returnflag = 'R')")
 def overdue_without_resolution(t: Tables):
-    c = t.commitments.filter(F.col("state").isin("open", "acted") & (F.col("horizon") <= NOW_COL))
+    c = t.commitments.filter(F.col("state").isin("open", "acted") & (F.col("horizon") <= now()))
     return c.join(t.lineitem.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")), "id", "left_anti").select("id", "horizon")
 
 
 @query(C + f"select id, case when date_diff('second', horizon, {NOW_SQL}) <= 86400 then 'due' when date_diff('second', horizon, {NOW_SQL}) <= 604800 then 'stale' else 'cold' end as lag from commitments where state = 'open' and horizon <= {NOW_SQL}")
 def due_prompts(t: Tables):
-    return t.commitments.filter((F.col("state") == "open") & (F.col("horizon") <= NOW_COL)).select("id", S.lag_class(F.col("horizon"), NOW_COL).alias("lag"))
+    return t.commitments.filter((F.col("state") == "open") & (F.col("horizon") <= now())).select("id", S.lag_class(F.col("horizon"), now()).alias("lag"))
 
 
-@query(CO + "select id, stakes, coalesce(observed_at, made_at) as at, polarity from commitments left join outcomes on id = commitment_id where state = 'completed' order by at desc, id limit 100")
+@query(CO + "select id, stakes, coalesce(observed_at, made_at) as seen, polarity from commitments left join outcomes on id = commitment_id where state = 'completed' order by seen desc, id limit 100")
 def resolved_left_join(t: Tables):
     j = t.commitments.filter("state = 'completed'").join(t.outcomes, F.col("id") == F.col("commitment_id"), "left")
-    return j.select("id", "stakes", F.coalesce("observed_at", "made_at").alias("at"), "polarity").orderBy(F.desc("at"), "id").limit(100)
+    return j.select("id", "stakes", F.coalesce("observed_at", "made_at").alias("seen"), "polarity").orderBy(F.desc("seen"), "id").limit(100)
 
 
 @query(CO + """, done as (select stakes, statement, polarity, case when month(made_at) between 1 and 6 then 'first' else 'second' end as half from commitments join outcomes on id = commitment_id),
@@ -169,7 +173,7 @@ def state_transitions(t: Tables):
 @query(C + f"select stakes, state, count(*) as n, sum(case when horizon <= {NOW_SQL} then 1 else 0 end) as overdue, min(horizon) as next from commitments where state <> 'completed' group by 1, 2")
 def daily_brief(t: Tables):
     c = t.commitments.filter("state <> 'completed'")
-    return c.groupBy("stakes", "state").agg(F.count("*").alias("n"), F.sum(F.when(F.col("horizon") <= NOW_COL, 1).otherwise(0)).alias("overdue"), F.min("horizon").alias("next"))
+    return c.groupBy("stakes", "state").agg(F.count("*").alias("n"), F.sum(F.when(F.col("horizon") <= now(), 1).otherwise(0)).alias("overdue"), F.min("horizon").alias("next"))
 
 
 @query("select event_type, round(avg(case when value > 20 then 1.0 else 0.0 end), 6) as effective, sum(case when value < 1 then 1 else 0 end) as rollbacks, sum(case when value < 1 then 1 else 0 end) >= 3 as suppress from (select *, row_number() over (partition by event_type order by ts desc, event_id desc) as n from events) where n <= 50 group by 1")

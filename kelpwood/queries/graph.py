@@ -1 +1,94 @@
-"""(to come)"""
+"""Queries of graph operators over the triples."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import graph as G
+from ..registry import query
+from ..sources.tables import Tables, with_views
+
+T, ET = with_views("triples"), with_views("entities", "triples")
+_PLACES = "predicate in ('located_in', 'part_of')"
+
+
+@query(T.replace("with ", "with recursive ", 1) + """, e as (select subject_id as a, object_id as b from triples where predicate in ('located_in', 'part_of') union select object_id, subject_id from triples where predicate in ('located_in', 'part_of')),
+w(id, hop) as (select 's1', 0 union select b, hop + 1 from w join e on e.a = w.id where hop < 3) select id, min(hop)::int as hop from w where id <> 's1' group by 1""")
+def khop(t: Tables):
+    return G.k_hop(t.triples.filter(_PLACES), "s1", 3)
+
+
+@query(T.replace("with ", "with recursive ", 1) + """, e as (select subject_id as a, object_id as b, confidence as c from triples where confidence >= 0.1 and (predicate <> 'bought' or subject_id = 'c7')),
+w(path, node, score, hops) as (select ['c7', b], b, c, 1 from e where a = 'c7' union all select list_append(path, b), b, score * c * 0.85, hops + 1 from w join e on e.a = w.node where hops < 4 and w.node <> 'n3' and not list_contains(path, b))
+select array_to_string(path, '>') as path, round(score, 9) as score, hops from w where node = 'n3' order by round(score, 9) desc, array_to_string(path, '>') limit 10""")
+def path_chains(t: Tables):
+    near = t.triples.filter("predicate <> 'bought' or subject_id = 'c7'").withColumn("confidence", F.col("confidence"))
+    return G.chains(near, "c7", "n3").select("path", F.round("score", 9).alias("score"), "hops")
+
+
+def _pagerank_sql(rounds: int = 4) -> str:
+    s = T + """, e as (select distinct subject_id as a, object_id as b from triples where predicate in ('located_in', 'part_of', 'supplied_by')), d as (select a, count(*) as d from e group by 1),
+v as (select a as id from e union select b from e), n as (select count(*) as n from v), r0 as (select id, 1.0 / n as r from v, n)"""
+    for i in range(rounds):
+        s += f", r{i + 1} as (select v.id, 0.15 / max(n) + 0.85 * coalesce(sum(r / d), 0) as r from v cross join n left join e on e.b = v.id left join r{i} p on p.id = e.a left join d on d.a = e.a group by 1)"
+    return s + f" select id, round(r, 9) as r from r{rounds}"
+
+
+@query(_pagerank_sql())
+def pagerank(t: Tables):
+    return G.pagerank(t.triples.filter("predicate <> 'bought'"), rounds=4).select("id", F.round("r", 9).alias("r"))
+
+
+@query(ET + """, d as (select id, count(*) as degree from (select subject_id as id from triples union all select object_id from triples) group by 1)
+select id, round(0.5 * exp(-date_diff('day', created_at, timestamp '2025-01-01') * 0.6931471805599453 / 14) + 0.5 * tanh(coalesce(degree, 0) / 8), 6) as salience from entities left join d using (id)""")
+def salience(t: Tables):
+    ends = t.triples.select(F.explode(F.array("subject_id", "object_id")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    age = F.datediff(F.lit("2025-01-01").cast("date"), F.col("created_at").cast("date"))
+    return t.entities.join(ends, "id", "left").select("id", F.round(S.salience(age, F.coalesce("degree", F.lit(0))), 6).alias("salience"))
+
+
+@query(T + ", f as (select subject_id as id, string_agg(distinct object_id, ',' order by object_id) as x from triples where predicate = 'located_in' and subject_id[1] = 's' group by 1) select a.id, b.id as other from f a join f b on a.x = b.x and a.id < b.id")
+def analogies(t: Tables):
+    """Suppliers whose typed out-edges are the same: equal pattern sets are joined by key."""
+    f = t.triples.filter("predicate = 'located_in' and startswith(subject_id, 's')").groupBy(F.col("subject_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("object_id")), ",").alias("x"))
+    return f.join(f.select(F.col("id").alias("other"), "x"), "x").filter("id < other").select("id", "other")
+
+
+@query(T + "select predicate, object_id, count(distinct subject_id) as members from triples where predicate <> 'bought' group by 1, 2 having count(distinct subject_id) >= 3")
+def heuristic_moc_groups(t: Tables):
+    return t.triples.filter("predicate <> 'bought'").groupBy("predicate", "object_id").agg(F.count_distinct("subject_id").alias("members")).filter("members >= 3")
+
+
+@query(T + "select a.subject_id, b.object_id, count(*) as ways from triples a join triples b on a.object_id = b.subject_id where a.predicate = 'supplied_by' and b.predicate = 'located_in' group by 1, 2")
+def follow_two_hops(t: Tables):
+    a = t.triples.filter("predicate = 'supplied_by'").select("subject_id", F.col("object_id").alias("mid"))
+    b = t.triples.filter("predicate = 'located_in'").select(F.col("subject_id").alias("mid"), "object_id")
+    return a.join(b, "mid").groupBy("subject_id", "object_id").agg(F.count("*").alias("ways"))
+
+
+def _near(t: Tables):
+    return t.triples.filter("predicate in ('located_in', 'part_of')").select(F.col("subject_id").alias("a"), F.col("object_id").alias("b"))
+
+
+@query(T + "select 'r' || r.object_id[2:] as label, count(*) + (select count(*) from nation n where 'r' || n.n_regionkey = r.object_id) + 1 as members from triples x join triples r on r.predicate = 'part_of' and r.subject_id = x.object_id where x.predicate = 'located_in' group by r.object_id")
+def components(t: Tables):
+    """Every component is a region: its label is named by the region in it."""
+    c = G.components(_near(t))
+    return c.groupBy("label").agg(F.max(F.when(F.col("id").startswith("r"), F.col("id"))).alias("region"), F.count("*").alias("members")).select(F.col("region").alias("label"), "members")
+
+
+@query()
+def community(t: Tables):
+    return G.communities(_near(t).withColumn("weight", F.lit(1.0)))
+
+
+@query(T + """, e as (select subject_id as a, object_id as b from triples where predicate in ('located_in', 'part_of')), x as (select *, case when a[1] = 'n' then a else b end as la, case when b[1] = 'r' then b else b end as lb from e),
+m as (select count(*)::double as m, sum(case when la = lb then 1 else 0 end) as inside from x), d as (select l, count(*) as d from (select la as l from x union all select lb from x) group by 1)
+select round(max(inside / m) - sum(pow(d / (2 * m), 2)), 9) as q from d, m""")
+def modularity(t: Tables):
+    """Of the labelling: nations with all that is located in them, regions alone."""
+    e = _near(t).withColumn("weight", F.lit(1.0))
+    inner = e.filter("startswith(a, 'n')").select(F.col("a").alias("id"), F.col("a").alias("label")).unionByName(e.filter("startswith(b, 'r')").select(F.col("b").alias("id"), F.col("b").alias("label")))
+    rest = e.filter("startswith(b, 'n')").select(F.col("a").alias("id"), F.col("b").alias("label"))
+    return G.modularity(e, inner.unionByName(rest).distinct()).select(F.round("q", 9).alias("q"))

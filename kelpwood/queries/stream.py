@@ -1 +1,42 @@
-"""(to come)"""
+"""Queries that run a stream over a table's files once, and planner queries."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..plans.planner import plan
+from ..registry import query
+from ..sources.tables import Tables
+from ..streaming import operators as O
+
+
+def _events(t: Tables):
+    return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _run(stream, mode="append"):
+    return O.run_available(stream, "q" + uuid.uuid4().hex, mode)
+
+
+@query("select user_id, event_type, count(*) as n from (select distinct user_id, event_type from events) group by 1, 2")
+def dedup_stream(t: Tables):
+    """One row per key within a watermark of a year: the same as distinct."""
+    return _run(O.dedup(_events(t), ["user_id", "event_type"], "ts", "365 days").select("user_id", "event_type")).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("select event_type, time_bucket(interval 1 day, ts) as day, count(*) as n from events group by 1, 2")
+def windowed_counts(t: Tables):
+    return _run(O.counts(_events(t), "ts", "1 day", "event_type"), "complete").select("event_type", F.col("window.start").alias("day"), "n")
+
+
+@query()
+def token_bucket(t: Tables):
+    return _run(O.token_bucket(_events(t).select("event_id", "user_id", "ts"), "user_id", "ts", 1 / 600, 3))
+
+
+@query("select * from (values ('what did I promise last week', 'temporal'), ('merge duplicates now please', 'direct_lookup'), ('how is a related to b', 'relation_chain'), ('consolidate memory', 'consolidate')) v(question, action)")
+def plan_questions(t: Tables):
+    asked = ["what did I promise last week", "merge duplicates now please", "how is a related to b", "consolidate memory"]
+    return t.spark.createDataFrame([(q, plan(q).action) for q in asked], "question string, action string")
