@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("relational", "commitments", "text", "graph", "vectors", "stream")
+MODULES = ("relational", "commitments", "text", "graph", "vectors", "ingest", "stream")
 
 
 def _load():
