@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 PARTS = 16
-BLOCK = 4096
+BLOCK = 8192  # rows or queries that a task holds at once
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -93,7 +93,7 @@ def _pack_rows(batches):
         yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([r.tobytes() for r in rows], pa.binary())], ["vec_id", "v"])
 
 
-def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = 32768, list_rows: int = 2048, most_lists: int = 2048, probe_share: float = 0.5, least_probes: int = 12, rerank: int = 128) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = 32768, list_rows: int = 2048, most_lists: int = 2048, probe_share: float = 0.85, least_probes: int = 12, rerank: int = 128) -> DataFrame:
     """The ``k`` rows of ``df`` with the largest inner product with each query: query_id long, rank int, vec_id long, score double.
 
     ``queries``: rows of ``df`` that are the queries, by default those whose id is divisible by 20. A query's own row is no candidate.
@@ -123,6 +123,13 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, key: st
     sizes = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}  # at most most_lists rows
     held = np.array([sizes.get(i, 0) for i in range(lists)])
     probes = min(lists, max(least_probes, round(probe_share * lists)))
+    # lists share a cell up to BLOCK rows; a larger list has a cell of its own, dealt in blocks
+    cell, rows_in = np.zeros(lists, np.int64), 0
+    for i in range(1, lists):
+        rows_in += held[i - 1]
+        cell[i] = cell[i - 1] + (rows_in + held[i] > BLOCK)
+        rows_in = 0 if cell[i] > cell[i - 1] else rows_in
+    in_cell = np.bincount(cell, weights=held).astype(int)
 
     def probe_rows(batches):
         for b in batches:
@@ -135,31 +142,52 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, key: st
             who = np.repeat(np.arange(len(q)), need)
             at = np.concatenate([o[:m] for o, m in zip(order, need, strict=True)])
             full = held[at] > 0
-            yield pa.RecordBatch.from_arrays([pa.array(at[full].astype(np.int32)), b.column("query_id").take(pa.array(who[full])), b.column("v").take(pa.array(who[full]))], ["list", "query_id", "v"])
+            who, at = who[full], at[full]
+            order = np.lexsort((at, cell[at], who))  # one row for each query and cell, with its lists there
+            who, at = who[order], at[order]
+            new = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (cell[at][1:] != cell[at][:-1])])) if len(who) else np.zeros(0, int)
+            lists_at = pa.ListArray.from_arrays(pa.array(np.append(new, len(who)).astype(np.int32)), pa.array(at.astype(np.int32)))
+            mine = pa.array(who[new])
+            yield pa.RecordBatch.from_arrays([pa.array(cell[at[new]].astype(np.int32)), b.column("query_id").take(mine), b.column("v").take(mine), lists_at], ["cell", "query_id", "v", "lists"])
 
     asked = index.filter(F.col("vec_id") % 20 == 0) if queries is None else index.join(queries.select(F.col(f"`{key}`").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
     asked = asked.groupBy(F.col("vec_id").alias("query_id")).agg(F.max("v").alias("v"))
-    probed = materialize(asked.mapInArrow(probe_rows, "list int, query_id long, v binary"), "ann")
-    asks = {r["list"]: r["count"] for r in probed.groupBy("list").count().collect()}
+    probed = materialize(asked.mapInArrow(probe_rows, "cell int, query_id long, v binary, lists array<int>"), "ann")
+    asks = {r["cell"]: r["count"] for r in probed.groupBy("cell").count().collect()}
     spark = df.sparkSession
-    plan = spark.createDataFrame([(i, -(-int(held[i]) // BLOCK), -(-asks[i] // BLOCK)) for i in asks], "list int, blocks int, chunks int")
-    rows = index.join(F.broadcast(plan), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("list", "block", "chunk", "vec_id", "code", "v")
-    ask = probed.join(F.broadcast(plan), "list").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
-    ask = ask.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "block", "chunk", "query_id", "v")
+    plan = spark.createDataFrame([(i, -(-int(in_cell[i]) // BLOCK), -(-asks[i] // BLOCK)) for i in asks], "cell int, blocks int, chunks int")
+    of = spark.createDataFrame([(i, int(c)) for i, c in enumerate(cell)], "list int, cell int")
+    rows = index.join(F.broadcast(of), "list").join(F.broadcast(plan), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cell", "block", "chunk", "list", "vec_id", "code", "v")
+    ask = probed.join(F.broadcast(plan), "cell").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
+    ask = ask.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", "chunk", "query_id", "v", "lists")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        ids = left.column("vec_id").combine_chunks().to_numpy()
+            return none
+        of_row = left.column("list").combine_chunks().to_numpy()
+        all_ids, all_codes, all_vecs = left.column("vec_id").combine_chunks().to_numpy(), _matrix(left.column("code"), np.uint8), _matrix(left.column("v"), np.float64)
+        all_q, all_qv = right.column("query_id").combine_chunks().to_numpy(), _matrix(right.column("v"), np.float64)
+        probing = right.column("lists").combine_chunks()
+        asker, wanted = np.repeat(np.arange(len(all_q)), np.diff(probing.offsets.to_numpy())), probing.flatten().to_numpy()
+        found = [_score_list(quant, at, all_ids[of_row == at], all_codes[of_row == at], all_vecs[of_row == at], all_q[asker[wanted == at]], all_qv[asker[wanted == at]]) for at in np.unique(of_row)]
+        qid, vid, val = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((vid, -val, qid))
+        qid, vid, val = qid[order], vid[order], val[order]
+        start = np.concatenate([[True], qid[1:] != qid[:-1]]) if len(qid) else np.zeros(0, bool)
+        place = np.arange(len(qid)) - np.maximum.accumulate(np.where(start, np.arange(len(qid)), 0)) if len(qid) else np.zeros(0, int)
+        top = place < k
+        return pa.table({"query_id": qid[top], "vec_id": vid[top], "score": val[top]})
+
+    def _score_list(quant, at, ids, code, vec, qid, q):
         order = np.argsort(ids, kind="stable")
-        ids, code, vec = ids[order], _matrix(left.column("code"), np.uint8)[order], _matrix(left.column("v"), np.float64)[order]
-        centre = quant.coarse[left.column("list")[0].as_py()].astype(np.float64)
+        ids, code, vec = ids[order], code[order], vec[order]
+        centre = quant.coarse[at].astype(np.float64)
         distinct, number = np.unique(code, axis=0, return_inverse=True)
         by_code = np.argsort(number.reshape(-1), kind="stable")
         bounds = np.concatenate([[0], np.cumsum(np.bincount(number.reshape(-1), minlength=len(distinct)))])
-        qid, q = right.column("query_id").combine_chunks().to_numpy(), _matrix(right.column("v"), np.float64)
-        out_q, out_v, out_s = [], [], []
+        out_q, out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for s in range(0, len(q), 256):
             part = quant.tables(q[s : s + 256].astype(np.float32))
             approx = np.repeat((q[s : s + 256] @ centre)[:, None], len(distinct), 1)
@@ -167,18 +195,18 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, key: st
                 approx += part[:, p, distinct[:, p]]
             for i in range(len(part)):
                 best = np.argpartition(-approx[i], rerank)[:rerank] if len(distinct) > rerank else np.arange(len(distinct))
-                at = np.concatenate([by_code[bounds[c] : bounds[c + 1]] for c in best])
-                at = at[ids[at] != qid[s + i]]
-                exact = (vec[at] * q[s + i]).sum(axis=1)
-                top = np.lexsort((ids[at], -exact))[: 2 * k]
-                top = top[np.unique(ids[at][top], return_index=True)[1]]  # repeated rows
-                top = top[np.lexsort((ids[at][top], -exact[top]))][:k]
+                rows_at = np.concatenate([by_code[bounds[c] : bounds[c + 1]] for c in best])
+                rows_at = rows_at[ids[rows_at] != qid[s + i]]
+                exact = (vec[rows_at] * q[s + i]).sum(axis=1)
+                top = np.lexsort((ids[rows_at], -exact))
+                first = np.sort(np.unique(ids[rows_at][top], return_index=True)[1])  # repeated rows count once
+                top = top[first][:k]
                 out_q.append(np.full(len(top), qid[s + i]))
-                out_v.append(ids[at][top])
+                out_v.append(ids[rows_at][top])
                 out_s.append(exact[top])
-        return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
+        return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
 
-    keys = ("list", "block", "chunk")
+    keys = ("cell", "block", "chunk")
     found = rows.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

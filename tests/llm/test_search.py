@@ -19,7 +19,7 @@ from kelpwood.llm.urlfilter import filter_urls
 def test_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = collections.defaultdict(list)
-    for r in search(df, list_rows=100).collect():
+    for r in search(df, list_rows=100).collect():  # 20 lists, 17 of them probed
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     e = df.orderBy("vec_id").toPandas()
     ids, x = e.vec_id.to_numpy(), np.stack(e.embedding.to_numpy()).astype(float)
