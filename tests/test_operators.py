@@ -31,9 +31,9 @@ def test_vectors(spark):
 
 
 def test_propagation(spark):
-    b = spark.createDataFrame([("a", "in"), ("b", "out"), ("c", "in"), ("d", "out")], "id string, status string")
-    j = spark.createDataFrame([(1, "b", "support", "a"), (2, "c", "defeat", "b"), (3, "d", "support", "b"), (3, "d", "support", "c")], "jid int, target string, kind string, premise string")
-    assert {r["id"]: r["status"] for r in beliefs.propagate(b, j).collect()} == {"a": "in", "b": "in", "c": "out", "d": "out"}
+    b = spark.createDataFrame([("a", "in"), ("b", "out"), ("c", "in"), ("d", "out"), ("e", "out")], "id string, status string")
+    j = spark.createDataFrame([(1, "b", "support", "a"), (2, "c", "defeat", "b"), (3, "d", "support", "b"), (3, "d", "support", "e")], "jid int, target string, kind string, premise string")
+    assert {r["id"]: r["status"] for r in beliefs.propagate(b, j).collect()} == {"a": "in", "b": "in", "c": "out", "d": "out", "e": "out"}
 
 
 def test_components(spark):
