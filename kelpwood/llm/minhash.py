@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, r: int = 2,
 
     need = star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     near, mark = maybe_in(base, "doc_id", need)
-    sets = materialize(near.filter(mark).drop(mark).join(need, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id", "text"]).mapInArrow(_set_rows(k), "node long, shingles binary"), "mh")
+    sets = materialize(near.filter(mark).drop(mark).join(need, "doc_id").select("doc_id", "text").dropDuplicates(["doc_id", "text"]).mapInArrow(_set_rows(k), "node long, shingles binary"), "mh")
     compared = _with_sets(star, sets).mapInArrow(_edit_rows(percent), "c long, x long, linked boolean, weight long, size long, edits array<long>")
     stars = materialize(compared, "mh")
     first = stars.filter("linked").select(F.col("c").alias("a"), F.col("x").alias("b"))
