@@ -10,6 +10,7 @@ from kelpwood.llm.langid import UNKNOWN, identify, train_split
 from kelpwood.llm.minhash import near_duplicates
 from kelpwood.llm.packing import pack_documents
 from kelpwood.llm.quality import score_quality, train
+from kelpwood.llm.sketch import maybe_in
 from kelpwood.llm.substring import substring_dedup
 
 LEAST_LANGUAGE_SCORE = 0.3
@@ -33,14 +34,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the least id."""
     found = near_duplicates(docs, k=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
-    out = docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = found.filter("not kept").select("doc_id").distinct()
+    near, mark = maybe_in(docs, "doc_id", gone)  # rows that can't be gone aren't shuffled
+    some = near.filter(mark).join(gone.withColumn("__gone", F.lit(True)), "doc_id", "left").filter("__gone is null")
+    out = near.filter(f"not {mark}").select(*docs.columns).unionByName(some.select(*docs.columns))
     again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     return out if again.isEmpty() else out.filter("doc_id is null").unionByName(out.filter("doc_id is not null").dropDuplicates(["doc_id"]))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut; documents of which nothing is left go."""
-    out = substring_dedup(docs, window=REPEATED_WORDS).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    out = substring_dedup(docs, window=REPEATED_WORDS, block_bytes=4 << 20).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

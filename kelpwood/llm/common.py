@@ -7,6 +7,7 @@ memory of a Python worker doesn't follow the length of texts or batches.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,7 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim  # glibc only
+except (AttributeError, OSError):
+    _TRIM = None
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,6 +72,14 @@ def slices(batch: pa.RecordBatch, text_col: str, most: int = SLICE_BYTES) -> Ite
         stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    tidy()
+
+
+def tidy() -> None:
+    """Give freed memory back, as a Python worker outlives its tasks and would keep the peak of each."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 # ----------------------------------------------------------------- words

@@ -20,6 +20,7 @@ from .common import slices, text_array
 from .linear import fit_svm, platt, sigmoid
 
 DIM, GRAMS = 4096, 3
+SLICE = 1 << 20  # text bytes whose n-grams are held at once
 #: Families of common ISO 639-1 codes; a language that isn't named is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "lb", "fy"),
@@ -130,7 +131,7 @@ def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
 
 def _feature_rows(batches):
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             x = features(part.column("text")).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
 
@@ -156,7 +157,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 text = text_array(part.column("text"))
                 letters = pc.match_substring_regex(text, r"\pL").to_numpy(zero_copy_only=False)
                 lang, score = np.full(len(text), UNKNOWN, object), np.zeros(len(text))

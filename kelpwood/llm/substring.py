@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, gram_hashes, internal, signed, text_array, text_bytes
+from .common import Words, gram_hashes, internal, signed, text_array, text_bytes, tidy
 
 SEED_WORDS = 4
 NO_ID = np.iinfo(np.int64).max
@@ -165,6 +165,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, block_bytes: int = 8 << 2
         return pa.table(cols | {"n_words": w.lengths.astype(np.int64), "n_removed": removed.astype(np.int64), "factors": pa.array(lists, spans)})
 
     def parse_block(t: pa.Table, known: pa.Table) -> pa.Table:
-        return parse(t, known) if t.num_rows else pa.table({f.name: [] for f in schema.fields}).slice(0, 0)
+        try:
+            return parse(t, known) if t.num_rows else pa.table({f.name: [] for f in schema.fields}).slice(0, 0)
+        finally:
+            tidy()
 
     return dealt.cogroup(earlier.groupBy("block")).applyInArrow(parse_block, schema)

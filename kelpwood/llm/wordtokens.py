@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 from .common import Words, text_array
 
-CACHE_CHUNKS = 1_500_000
+CACHE_CHUNKS = 400_000
 NONE = np.int32(2**31 - 1)
 #: A letter, then ASCII marks up to white space: always a pre-token of their own.
 _TAIL = r"(\pL)([!-/:-@\[-`{-~]+)([ \t-\r])"
