@@ -116,6 +116,32 @@ def test_image_copies(spark):
     assert media.copies(spark.createDataFrame([], "media_id long, content binary")).count() == 0
 
 
+def _noisy(a, seed, most=3):
+    return np.clip(a * 0.9 + 10 + np.random.default_rng(seed).integers(-most, most + 1, a.shape), 0, 255)
+
+
+def test_image_copies_behind_a_shared_part(spark):
+    """Copies whose lower half also occurs in an unrelated image with a smaller id; all links of a group are counted."""
+    rng = np.random.default_rng(5)
+    x, other = media.draw(rng.normal(size=64)), media.draw(rng.normal(size=64))
+    few = np.concatenate([np.full((44, 80), 90), x[44:64], np.full((16, 80), 90)])
+    rows = [(1, media.write_pgm(few)), (2, media.write_pgm(other))] + [(10 + i, media.write_pgm(_noisy(x, i))) for i in range(8)]
+    got = {r["media_id"]: r for r in media.copies(spark.createDataFrame(rows, "media_id long, content binary")).collect()}
+    assert len({got[10 + i]["component_id"] for i in range(8)}) == 1 and got[2]["component_id"] == 2
+    assert min(got[10 + i]["n_links"] for i in range(8)) >= 7
+
+
+def test_all_near_descriptors():
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 1 << 63, (300, 2)).astype(np.uint64)
+    two, bits = one.copy(), rng.integers(0, 40, len(one))
+    for i, n in enumerate(bits):
+        for k in rng.choice(128, n, replace=False):
+            two[i, k // 64] ^= np.uint64(1) << np.uint64(k % 64)
+    i, j = media._near(one, np.arange(300), two, np.arange(300), 24)
+    assert sorted(i[i == j]) == [k for k in range(300) if bits[k] <= 24] and (i == j).all()
+
+
 def test_pictures(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(30)
     out = media.pictures(df).collect()
