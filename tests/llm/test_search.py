@@ -131,6 +131,19 @@ def test_image_copies_behind_a_shared_part(spark):
     assert min(got[10 + i]["n_links"] for i in range(8)) >= 7
 
 
+def test_image_copies_of_a_large_picture(spark):
+    """A crop of its faint part, and a copy reduced to a third."""
+    rng = np.random.default_rng(8)
+    rough = lambda k: media._box(rng.integers(0, 2, (1, k, k)) * 255.0, 3)[0]
+    big = np.clip((rough(288) - 127) * 4 + 127, 0, 255)
+    big[144:, 144:] = 90 + big[144:, 144:] * 0.2
+    third = big.reshape(96, 3, 96, 3).mean((1, 3))
+    rows = [(1, big), (2, big[160:260, 160:260]), (3, third), (4, np.clip((rough(96) - 127) * 4 + 127, 0, 255))]
+    got = {r["media_id"]: r for r in media.copies(spark.createDataFrame([(i, media.write_pgm(a)) for i, a in rows], "media_id long, content binary")).collect()}
+    assert [got[i]["component_id"] for i in (1, 2, 3, 4)] == [1, 1, 1, 4]
+    assert got[1]["n_corners"] > got[3]["n_corners"] > 0
+
+
 def test_all_near_descriptors():
     rng = np.random.default_rng(3)
     one = rng.integers(0, 1 << 63, (300, 2)).astype(np.uint64)
