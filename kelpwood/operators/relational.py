@@ -122,17 +122,25 @@ def split_context(entities: DataFrame, triples: DataFrame, context: int, entity_
 def fuzzy_match(names: DataFrame, entities: DataFrame, most: int = 2) -> DataFrame:
     """``names``: query. The entity of equal fingerprint, else of the least edit distance up to ``most``.
 
-    Candidates share the first or the last half of the name (two halves can't both hold an edit when one edit is allowed) or have a near length and an equal
-    two-letter start or end, so that names are joined by keys and never all with all.
+    An entity's name is cut into ``most`` + 1 pieces, of which one is whole in any name within ``most`` edits, at most ``most`` places further left or
+    right. Names are joined by length and piece (or by fingerprint) and never all with all, and none within the distance is lost.
     """
     from ..functions.scalars import fingerprint
 
-    def keys(df, name):
-        n = F.length(name)
-        return df.withColumn("key", F.explode(F.array_distinct(F.array(F.concat(F.lit("f"), fingerprint(F.col(name))), F.concat(F.lit("a"), F.substring(name, 1, 4)), F.concat(F.lit("z"), F.substring(F.col(name), n - 3, F.lit(4)))))))
+    k, reach = most + 1, range(-most, most + 1)
 
-    q = keys(names.select(F.lower("query").alias("ql"), "query"), "ql")
-    e = keys(entities.select("id", F.lower("name").alias("nl"), "name"), "nl")
+    def piece(name, n, i, shift=0):
+        at, end = F.floor(i * n / k) + shift, F.floor((i + 1) * n / k) + shift
+        key = F.concat_ws(":", n.cast("string"), F.lit(str(i)), F.substring(name, (at + 1).cast("int"), (end - at).cast("int")))
+        return F.when((n >= 0) & (at >= 0) & (end <= F.length(name)), key)
+
+    def keyed(df, name, pieces):
+        all_keys = F.array(F.concat(F.lit("f"), fingerprint(F.col(name))), *pieces)
+        return df.withColumn("key", F.explode(F.array_distinct(F.array_compact(all_keys))))
+
+    ql, nl = F.col("ql"), F.col("nl")
+    q = keyed(names.select(F.lower("query").alias("ql"), "query"), "ql", [piece(ql, F.length("ql") + more, i, shift) for more in reach for i in range(k) for shift in reach])
+    e = keyed(entities.select("id", F.lower("name").alias("nl"), "name"), "nl", [piece(nl, F.length("nl"), i) for i in range(k)])
     d = F.when(fingerprint(F.col("ql")) == fingerprint(F.col("nl")), 0).otherwise(F.levenshtein("ql", "nl"))
     hit = q.join(e, "key").filter(F.abs(F.length("ql") - F.length("nl")) <= most).withColumn("distance", d).filter(F.col("distance") <= most)
     return hit.groupBy("query").agg(F.min(F.struct("distance", "id")).alias("m")).select("query", F.col("m.id").alias("id"), F.col("m.distance").alias("distance"))

@@ -83,3 +83,31 @@ def test_view_without_includes(spark):
     e = spark.createDataFrame([("a", 1), ("b", None)], "id string, context_id long")
     none = spark.createDataFrame([("exclude", "entity", "a")], "kind string, member_type string, member_id string")
     assert [r["id"] for r in relational.apply_view(e, none).collect()] == ["b"]
+
+
+def test_fuzzy_match(spark):
+    """Every name within the distance is found, short ones and those with edits near both ends too."""
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(4)
+    known = ["supplier#000000005", "china", "iq"] + ["".join(rng.choices("abcdxyz", k=rng.randint(3, 12))) + "q" for _ in range(60)]
+    asked = {"xupplier#000000009", "chima", "nobody at all"}
+    for name in known[3:]:
+        edited = list(name)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(edited))
+            edited[at : at + rng.randint(0, 1)] = rng.choice(["", "k", "kk"])
+        asked.add("".join(edited) + "k")
+    entities = spark.createDataFrame(list(enumerate(known)), "id int, name string")
+    for most in (1, 2):
+        got = {r["query"]: (r["distance"], r["id"]) for r in relational.fuzzy_match(spark.createDataFrame([(a,) for a in asked], "query string"), entities, most).collect()}
+        best = {a: min((distance(a, n), i) for i, n in enumerate(known)) for a in asked}
+        assert got == {a: b for a, b in best.items() if b[0] <= most}
