@@ -28,9 +28,11 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 # ----------------------------------------------------------------- tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where a local session names none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='kelpwood-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
