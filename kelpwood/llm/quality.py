@@ -12,11 +12,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, materialize, slices, text_array, word_hashes
+from .common import Words, internal, materialize, slices, text_array, word_hashes
 from .linear import fit_logistic, sigmoid
 
 WORDS, SHAPES, LEAST_DOCS = 1024, 10, 4  # words of each head, shape counts, sample documents that a word must be in
@@ -53,45 +53,31 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return shape, doc_of, word_hashes(pc.utf8_trim(w.dictionary, characters=MARKS))[distinct & 0xFFFFFFFF]
 
 
-def _telling(docs: np.ndarray, words: np.ndarray, positive: np.ndarray) -> np.ndarray:
-    """The ``WORDS`` words whose presence tells the classes apart best (log-odds times the root of their count)."""
-    vocab, code = np.unique(words, return_inverse=True)
-    pos = np.bincount(code, weights=positive[docs], minlength=len(vocab))
-    df = np.bincount(code, minlength=len(vocab))
-    p, n = max(1, positive.sum()), max(1, (~positive).sum())
-    score = np.abs(np.log((pos + 0.5) / (p + 1)) - np.log((df - pos + 0.5) / (n + 1))) * np.sqrt(df)
-    ok = np.flatnonzero(df >= LEAST_DOCS)
-    return np.sort(vocab[ok[np.argsort(-score[ok], kind="stable")[:WORDS]]])
-
-
 class _Head:
-    """One logistic regression over shape counts and the presence of telling words."""
+    """One logistic regression over shape counts and the presence of telling words (sorted hashes)."""
 
-    def __init__(self, shape, docs, words, positive: np.ndarray):
-        self.words = _telling(docs, words, positive)
+    def __init__(self, words: np.ndarray, shape: np.ndarray, present: np.ndarray, positive: np.ndarray):
+        """``present``: for each sample document and each of ``words`` whether it is there."""
+        self.words = words
         sign = np.where(positive, 1.0, -1.0)
         if abs(sign.sum()) == len(sign):
-            self.w = np.append(np.zeros(SHAPES + len(self.words)), 6.0 * sign[0])
+            self.w = np.append(np.zeros(SHAPES + len(words)), 6.0 * sign[0])
         else:
-            self.w = fit_logistic(self._rows(shape, docs, words), sign, l2=1e-4)
+            self.w = fit_logistic(np.hstack([4 * shape, present.astype(np.float32)]), sign, l2=1e-4)
 
-    def _rows(self, shape, docs, words) -> np.ndarray:
+    def chance(self, shape, docs, words) -> np.ndarray:
         x = np.zeros((len(shape), SHAPES + len(self.words)), np.float32)
         x[:, :SHAPES] = 4 * shape
         if len(self.words) and len(words):
             at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
             hit = self.words[at] == words
             x[docs[hit], SHAPES + at[hit]] = 1
-        return x
-
-    def chance(self, shape, docs, words) -> np.ndarray:
-        x = self._rows(shape, docs, words)
         return sigmoid((x @ self.w[:-1].astype(np.float32)).astype(np.float64) + self.w[-1])
 
 
 class QualityModel:
-    def __init__(self, shape, docs, words, quality: np.ndarray, toxic: np.ndarray):
-        self.heads = [_Head(shape, docs, words, quality == 1), _Head(shape, docs, words, toxic == 0)]
+    def __init__(self, heads: list[_Head]):
+        self.heads = heads
 
     def chance(self, texts: pa.Array) -> np.ndarray:
         """Each text's chance to be good: of quality and not toxic."""
@@ -103,30 +89,71 @@ def _feature_rows(batches):
     for batch in batches:
         for part in slices(batch, "text"):
             shape, doc, word = features(part.column("text"))
-            cut = np.searchsorted(doc, np.arange(len(shape) + 1))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("quality"), part.column("toxic"), pa.array([r.tobytes() for r in shape], pa.binary()), pa.array([word[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                ["doc_id", "quality", "toxic", "shape", "words"],
-            )
+            cut = np.searchsorted(doc, np.arange(len(shape) + 1)).astype(np.int32)
+            shapes = pa.array([r.tobytes() for r in shape], pa.binary())
+            lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(word.view(np.int64)))
+            own = [part.column(c) for c in ("doc_id", "quality", "toxic")]
+            yield pa.RecordBatch.from_arrays([*own, shapes, lists], ["doc_id", "quality", "toxic", "shape", "words"])
+
+
+def _present_rows(vocabulary: np.ndarray):
+    """Which words of a sorted vocabulary each row has, as packed bits."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("words")
+            off = lists.offsets.to_numpy().astype(np.int64)
+            words = lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].view(np.uint64)
+            bits = np.zeros((batch.num_rows, len(vocabulary)), bool)
+            if len(vocabulary) and len(words):
+                at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+                hit = vocabulary[at] == words
+                bits[np.repeat(np.arange(batch.num_rows), np.diff(off))[hit], at[hit]] = True
+            packed = pa.array([r.tobytes() for r in np.packbits(bits, axis=1)], pa.binary())
+            own = [batch.column(c) for c in ("doc_id", "quality", "toxic", "shape")]
+            yield pa.RecordBatch.from_arrays([*own, packed], ["doc_id", "quality", "toxic", "shape", "bits"])
+
+    return run
+
+
+def _telling(sample: DataFrame, positive: Column, docs: int, good: int) -> np.ndarray:
+    """The ``WORDS`` words whose presence tells the classes apart best (log-odds times the root of their count), by grouped counts."""
+    each = sample.select(F.explode("words").alias("w"), positive.cast("int").alias("pos"))
+    c = each.groupBy("w").agg(F.count("*").alias("df"), F.sum("pos").alias("pos")).filter(F.col("df") >= LEAST_DOCS)
+    share = lambda n, of: F.log((n + 0.5) / F.lit(max(1, of) + 1.0))
+    score = F.abs(share(F.col("pos"), good) - share(F.col("df") - F.col("pos"), docs - good)) * F.sqrt("df")
+    top = c.select("w", score.alias("score")).orderBy(F.desc("score"), "w").limit(WORDS).collect()
+    return np.sort(np.array([r["w"] for r in top], np.int64).view(np.uint64))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 6000) -> QualityModel | None:
-    """From at most ``most`` labelled documents, the least by a hash of doc_id; None if there are none."""
-    label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna().dropDuplicates(["doc_id"])
+    """From at most ``most`` labelled documents, the least by a hash of doc_id; None if there are none.
+
+    Words are counted by grouped aggregation; only ``WORDS`` of them for each head, and a bit for each in each sample document, come to the driver.
+    """
+    long = lambda c, kind: F.col(c).cast(kind).alias(c)
+    label = labels.select(long("doc_id", "long"), long("quality", "int"), long("toxic", "int")).dropna().dropDuplicates(["doc_id"])
     some = label.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
     count = label.count()
     if count > most:
         some = some.filter(F.col("h") < int((1 << 30) * 1.2 * most / count))
     some = some.orderBy("h", "doc_id").limit(most).drop("h")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    rows = base.join(F.broadcast(some), "doc_id").mapInArrow(_feature_rows, "doc_id long, quality int, toxic int, shape binary, words binary").collect()
-    if not rows:
+    base = docs.select(long("doc_id", "long"), long("text", "string")).filter("text is not null")
+    read = base.join(F.broadcast(some), "doc_id").mapInArrow(_feature_rows, "doc_id long, quality int, toxic int, shape binary, words array<long>")
+    one = F.min(F.struct("words", "shape", "quality", "toxic")).alias("x")  # of the rows of one id the least counts
+    sample = materialize(read.groupBy("doc_id").agg(one).select("doc_id", "x.*"), "quality")
+    good = [F.col("quality") == 1, F.col("toxic") == 0]
+    n, *pos = sample.agg(F.count("*"), *[F.count_if(g) for g in good]).first()
+    if not n:
         return None
-    rows = sorted({r["doc_id"]: r for r in sorted(rows, key=lambda r: bytes(r["words"]))}.values(), key=lambda r: r["doc_id"])
+    vocab = [_telling(sample, g, n, k) for g, k in zip(good, pos, strict=True)]
+    both = np.unique(np.concatenate(vocab))
+    schema = "doc_id long, quality int, toxic int, shape binary, bits binary"
+    rows = sorted(sample.mapInArrow(_present_rows(both), schema).collect(), key=lambda r: r["doc_id"])
     shape = np.array([np.frombuffer(r["shape"], np.float32) for r in rows])
-    words = [np.frombuffer(r["words"], np.uint64) for r in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(x) for x in words])
-    return QualityModel(shape, doc, np.concatenate(words), np.array([r["quality"] for r in rows]), np.array([r["toxic"] for r in rows]))
+    bits = np.unpackbits(np.array([np.frombuffer(r["bits"], np.uint8) for r in rows]), axis=1)
+    labelled = [np.array([r["quality"] == 1 for r in rows]), np.array([r["toxic"] == 0 for r in rows])]
+    return QualityModel([_Head(v, shape, bits[:, np.searchsorted(both, v)], y) for v, y in zip(vocab, labelled, strict=True)])
 
 
 def _strength(groups: DataFrame, mean: float, n: str, s: str) -> float:
@@ -139,46 +166,55 @@ def _strength(groups: DataFrame, mean: float, n: str, s: str) -> float:
     return float(min(max(noise / between - 1, 2.0), 1000.0))
 
 
-def evidence(docs: DataFrame, model: QualityModel | None, host: str, path: str, carry: list[str]) -> DataFrame:
-    """The columns ``carry``, with __host, __path and __p (chance to be good by its text alone)."""
-    base = docs.select(*carry, F.col("text").cast("string").alias("__text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("__host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("__path"))
-    kept = [f for f in base.schema.fields if f.name != "__text"]
+def evidence(docs: DataFrame, model: QualityModel | None, host: str, path: str, carry: list[str]) -> tuple[DataFrame, list[str]]:
+    """The columns ``carry`` and three more, whose names are returned: host, path and the chance to be good by its text alone."""
+    taken = docs.select(*[F.col(f"`{c}`") for c in carry])
+    own = [internal(taken, x) for x in ("host", "path", "p")]
+    text = internal(taken, "text")
+    site = lambda c, name: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(name)
+    base = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").cast("string").alias(text), site(host, own[0]), site(path, own[1]))
+    kept = [f for f in base.schema.fields if f.name != text]
     names = [f.name for f in kept]
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "__text"):
-                text = text_array(part.column("__text"))
-                p = model.chance(text) if model is not None else np.full(len(text), 0.5)
-                p[pc.equal(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)] = 0.0
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(np.clip(p, 1e-6, 1 - 1e-6))], [*names, "__p"])
+            for part in slices(batch, text):
+                texts = text_array(part.column(text))
+                p = model.chance(texts) if model is not None else np.full(len(texts), 0.5)
+                p[pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)] = 0.0
+                cols = [*[part.column(c) for c in names], pa.array(np.clip(p, 1e-6, 1 - 1e-6))]
+                yield pa.RecordBatch.from_arrays(cols, [*names, own[2]])
 
-    return base.mapInArrow(run, T.StructType([*kept, T.StructField("__p", T.DoubleType())]))
+    return base.mapInArrow(run, T.StructType([*kept, T.StructField(own[2], T.DoubleType())])), own
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, host: str, path: str, carry: list[str], keep_above: float = 0.5) -> DataFrame:
     """``docs`` (text, host and path columns) -> the columns ``carry`` and evidence, host_posterior, path_posterior, quality (all double), keep boolean.
 
     Defined cases: null or empty text: evidence near 0, not kept. Null host or path: the site with an empty name. Without a model all evidence is 0.5.
-    Repeated rows count and are returned each. Empty table: empty result. Columns of ``carry`` named like an output are replaced.
+    Repeated rows count and are returned each; ties at ``keep_above`` are kept. Very long texts are read whole, in slices. Empty table: empty
+    result. Columns of ``carry`` named like an output are replaced; all others may have any name.
     The doc-level rows are written to the shared folder once, so that texts are read and scored once.
     """
     out = ("evidence", "host_posterior", "path_posterior", "quality", "keep")
     carry = [c for c in carry if c.lower() not in out]
-    rows = materialize(evidence(docs, model, host, path, carry), "quality")
-    paths = rows.groupBy("__host", "__path").agg(F.count("*").alias("np"), F.sum("__p").alias("sp"))
-    paths = materialize(paths, "quality")
-    hosts = paths.groupBy("__host").agg(F.sum("np").alias("nh"), F.sum("sp").alias("sh"))
-    total = paths.agg(F.sum("np"), F.sum("sp"), F.count("*")).first()
+    found, (at, under, chance) = evidence(docs, model, host, path, carry)
+    rows = materialize(found, "quality")
+    n_path, s_path, n_host, s_host = (internal(rows, x) for x in ("np", "sp", "nh", "sh"))
+    paths = materialize(rows.groupBy(at, under).agg(F.count("*").alias(n_path), F.sum(chance).alias(s_path)), "quality")
+    hosts = paths.groupBy(at).agg(F.sum(n_path).alias(n_host), F.sum(s_path).alias(s_host))
+    total = paths.agg(F.sum(n_path), F.sum(s_path), F.count("*")).first()
     mean = min(max((total[1] or 0.0) / max(total[0] or 0, 1), 1e-3), 1 - 1e-3)
-    k_host, k_path = _strength(hosts, mean, "nh", "sh"), _strength(paths, mean, "np", "sp")
-    sites = paths.join(hosts, "__host")
+    k_host, k_path = _strength(hosts, mean, n_host, s_host), _strength(paths, mean, n_path, s_path)
+    sites = paths.join(hosts, at)
     sites = F.broadcast(sites) if (total[2] or 0) <= BROADCAST_ROWS else sites
-    j = rows.join(sites, ["__host", "__path"])
-    p, logit = F.col("__p"), lambda c: F.log(c / (1 - c))
-    host_mean = (F.col("sh") - p + F.lit(k_host * mean)) / (F.col("nh") - 1 + F.lit(k_host))
-    path_mean = (F.col("sp") - p + F.lit(k_path) * F.col("host_posterior")) / (F.col("np") - 1 + F.lit(k_path))
-    j = j.withColumn("host_posterior", F.least(F.greatest(host_mean, F.lit(1e-3)), F.lit(1 - 1e-3)))
-    j = j.withColumn("path_posterior", F.least(F.greatest(path_mean, F.lit(1e-3)), F.lit(1 - 1e-3)))
-    j = j.withColumn("quality", 1 / (1 + F.exp(-(logit(p) + logit(F.col("path_posterior")) - F.lit(float(np.log(mean / (1 - mean))))))))
-    return j.select(*carry, p.alias("evidence"), "host_posterior", "path_posterior", "quality", (F.col("quality") >= keep_above).alias("keep"))
+    p = F.col(chance)
+    logit = lambda c: F.log(c / (1 - c))
+    inside = lambda c: F.least(F.greatest(c, F.lit(1e-3)), F.lit(1 - 1e-3))
+    host_mean = inside((F.col(s_host) - p + F.lit(k_host * mean)) / (F.col(n_host) - 1 + F.lit(k_host)))
+    path_mean = inside((F.col(s_path) - p + F.lit(k_path) * F.col("host_posterior")) / (F.col(n_path) - 1 + F.lit(k_path)))
+    moved = logit(p) + logit(F.col("path_posterior")) - F.lit(float(np.log(mean / (1 - mean))))
+    j = rows.join(sites, [at, under]).withColumn("host_posterior", host_mean).withColumn("path_posterior", path_mean)
+    j = j.withColumn("quality", 1 / (1 + F.exp(-moved)))
+    own = [F.col(f"`{c}`") for c in carry]
+    return j.select(*own, p.alias("evidence"), "host_posterior", "path_posterior", "quality", (F.col("quality") >= keep_above).alias("keep"))
