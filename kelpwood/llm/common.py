@@ -63,15 +63,15 @@ def text_array(col) -> pa.Array:
     return pc.fill_null(a, "") if a.null_count else a
 
 
-def slices(batch: pa.RecordBatch, text_col: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive row ranges of at most ``most`` text bytes each (one row at least)."""
+def slices(batch: pa.RecordBatch, text_col: str, most: int = SLICE_BYTES, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Consecutive row ranges of at most ``most`` text bytes and ``rows`` rows each (one row at least)."""
     if batch.num_rows == 0:
         return
     size = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, start, n = np.cumsum(size + 8), 0, batch.num_rows
     while start < n:
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+        stop = min(max(start + 1, int(np.searchsorted(ends, base + most, side="right"))), start + rows)
         yield batch.slice(start, stop - start)
         start = stop
     tidy()
@@ -108,8 +108,8 @@ class Words:
         self.codes = coded.indices.to_numpy(zero_copy_only=False)
         self.dictionary = coded.dictionary
 
-    def hashes(self) -> np.ndarray:
-        return word_hashes(self.dictionary)[self.codes] if len(self.codes) else np.zeros(0, np.uint64)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return word_hashes(self.dictionary, seed)[self.codes] if len(self.codes) else np.zeros(0, np.uint64)
 
     def docs(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), self.lengths)
@@ -126,11 +126,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_TABLE = mix((np.arange(64 * 256, dtype=np.uint64) + np.uint64(1)) * _GOLD)
+_TABLES = [mix((np.arange(64 * 256, dtype=np.uint64) + np.uint64((seed << 32) + 1)) * _GOLD) for seed in range(2)]
 
 
-def word_hashes(dictionary: pa.Array) -> np.ndarray:
-    """Tabulation hash of each string's bytes (by place and byte)."""
+def word_hashes(dictionary: pa.Array, seed: int = 0) -> np.ndarray:
+    """Tabulation hash of each string's bytes (by place and byte); seeds 0 and 1 give independent ones."""
     n = len(dictionary)
     if n == 0:
         return np.zeros(0, np.uint64)
@@ -139,14 +139,13 @@ def word_hashes(dictionary: pa.Array) -> np.ndarray:
     size = np.diff(off)
     data = np.frombuffer(bufs[2], np.uint8)[off[0] : off[-1]] if bufs[2] is not None else np.zeros(0, np.uint8)
     place = np.arange(len(data)) - np.repeat(off[:-1] - off[0], size)
-    value = _TABLE[((place & 63) << 8) | data] * (2 * (place >> 6) + 1).astype(np.uint64)
+    value = _TABLES[seed][((place & 63) << 8) | data] * (2 * (place >> 6) + 1).astype(np.uint64)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
     at = off - off[0]
     return mix(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64) * _GOLD)
 
 
-_MUL = 0xD6E8FEB86659FD93
-_INV = pow(_MUL, -1, 1 << 64)
+_MULS = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -156,12 +155,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
+def gram_hashes(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """Hash of the n words from each place on, over the whole array (len(h) - n + 1 values; texts' bounds are the caller's)."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_MUL, len(h)), dtype=np.uint64)])
-    return mix((s[n:] - s[:-n]) * _powers(_INV, len(h) - n + 1) + np.uint64(n * int(_GOLD) % (1 << 64)))
+    mul = _MULS[seed]
+    s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(mul, len(h)), dtype=np.uint64)])
+    return mix((s[n:] - s[:-n]) * _powers(pow(mul, -1, 1 << 64), len(h) - n + 1) + np.uint64(n * int(_GOLD) % (1 << 64)))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -5,13 +5,15 @@ a thing to be parsed; the index that all blocks share is spread by hash, so no b
 
 1. Every block announces its distinct anchors: the least 4-word hash inside each window of ``window`` words.
    Equal windows have equal anchors, so only windows whose anchor is in another document can be copies.
-2. For those windows a block announces each distinct window hash once, with its least doc_id; it learns which of
-   them start in a document with a smaller doc_id.
-3. Each document is then parsed greedily, left to right, into copy factors (as long as each next window is in an earlier
-   document, the factor goes on by a word) and literals. Windows over a factor's end are looked up like all others, so
-   that what one reference breaks off another may carry on: the words of all factors are exactly those of all windows found.
-
-A passage in a third of all rows is announced once for each block, not once for each row. Three sweeps read one exchange of the texts.
+2. For those windows a block announces each distinct one once, with the place where it first stands (least doc_id, least place), which
+   makes the index: a window's reference is the first place of it in the whole corpus.
+3. Each document is then parsed greedily, left to right: a factor starts at a window with a reference in an earlier document and grows by
+   a word as long as the next window's reference is the next place of the same document. A window over a factor's end is looked up like all
+   others, so that what one reference breaks off another carries on, and the words of all factors are exactly those of all windows found. Words
+   between factors are literals.
+
+Windows are told apart by 96 bits, of two hashes that are independent from the words' bytes on. A passage in a third of all rows is announced once for
+each block, not once for each row; hot windows and anchors are counted by partial sums and joined by a stream. Three sweeps read one exchange of the texts.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,16 +30,18 @@ from .common import Words, gram_hashes, internal, signed, text_array, text_bytes
 
 SEED_WORDS = 4
 NO_ID = np.iinfo(np.int64).max
+FACTOR = "array<struct<start:int,length:int,ref_doc:bigint,ref_start:int>>"
+INDEX = "w long, c int, block long, doc long, place int"
 
 
-def _windows(texts: pa.Array, window: int):
-    """Words, and for each window: anchor, hash, text's number, first word's place."""
+def _windows(texts: pa.Array, window: int, check: bool = True):
+    """Words, and for each window: anchor, hash, second hash (if ``check``), text's number, first word's place in the array."""
     w = Words(texts)
     h, doc = w.hashes(), w.docs()
     n = len(h) - window + 1
     if n <= 0:
         none = np.zeros(0, np.uint64)
-        return w, none, none, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return w, none, none, np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     seed = gram_hashes(h, min(SEED_WORDS, window))
     span = window - min(SEED_WORDS, window) + 1
     low, have = seed, 1
@@ -46,7 +50,11 @@ def _windows(texts: pa.Array, window: int):
     if have < span:
         low = np.minimum(low[: len(low) - (span - have)], low[span - have :])
     at = np.flatnonzero(doc[:n] == doc[window - 1 :])
-    return w, low[at], gram_hashes(h, window)[at], doc[at], at
+    if not check:
+        return w, low[at], None, None, doc[at], at
+    full = gram_hashes(h, window)[at]
+    second = (gram_hashes(w.hashes(1), window, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)[at]
+    return w, low[at], full, second, doc[at], at
 
 
 def _ids(col) -> np.ndarray:
@@ -54,22 +62,16 @@ def _ids(col) -> np.ndarray:
     return a.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
-def _least(key: np.ndarray, value: np.ndarray):
-    """Distinct keys in order, with the least and the greatest value of each, and each row's key number."""
-    if not len(key):
-        return key, value, value, np.zeros(0, np.int64)
-    order = np.argsort(key, kind="stable")
-    k, v = key[order], value[order]
-    new = np.concatenate([[True], k[1:] != k[:-1]])
-    at = np.flatnonzero(new)
-    number = np.empty(len(key), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return k[at], np.minimum.reduceat(v, at), np.maximum.reduceat(v, at), number
-
-
 def _anchors(low: np.ndarray, doc: np.ndarray):
-    first = np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])]) if len(low) else np.zeros(0, bool)
-    return _least(low[first], doc[first])
+    """Distinct anchors in order, and which of them are in several texts."""
+    if not len(low):
+        return low, np.zeros(0, bool)
+    first = np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])])
+    low, doc = low[first], doc[first]
+    order = np.argsort(low, kind="stable")
+    key, doc = low[order], doc[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[at], np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
 
 
 def _found(values: np.ndarray, within: np.ndarray) -> np.ndarray:
@@ -79,90 +81,144 @@ def _found(values: np.ndarray, within: np.ndarray) -> np.ndarray:
     return within[np.minimum(np.searchsorted(within, values), len(within) - 1)] == values
 
 
-def _reply(table: pa.Table, name: str) -> np.ndarray:
-    col = table.column(name).combine_chunks() if table.num_rows else pa.array([], pa.int64())
-    return np.sort(col.to_numpy(zero_copy_only=False).view(np.uint64))
+def _firsts(full: np.ndarray, second: np.ndarray, spot: np.ndarray):
+    """Each distinct window: hash, second hash, least spot; and each row's window number."""
+    if not len(full):
+        return full, second, spot, np.zeros(0, np.int64)
+    order = np.argsort(full, kind="stable")
+    k, c = full[order], second[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    if (c[1:] != c[:-1])[~new[1:]].any():  # equal first hashes of different windows
+        order = np.lexsort((second, full))
+        k, c = full[order], second[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+    at = np.flatnonzero(new)
+    number = np.empty(len(full), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return k[at], c[at], np.minimum.reduceat(spot[order], at), number
+
 
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).combine_chunks().to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, np.int64)
 
-def _block(table: pa.Table, block: str) -> int:
-    return table.column(block)[0].as_py()
 
+def _lookup(full: np.ndarray, second: np.ndarray, known: pa.Table) -> np.ndarray:
+    """For each distinct window its row of ``known`` (w, c, ...), or -1."""
+    out = np.full(len(full), -1)
+    if not known.num_rows or not len(full):
+        return out
+    w, c = _column(known, "w").view(np.uint64), _column(known, "c")
+    order = np.argsort(w, kind="stable")
+    w, c = w[order], c[order]
+    low, high = np.searchsorted(w, full), np.searchsorted(w, full, side="right")
+    for step in range(int((high - low).max())):  # more than one step only where hashes collide
+        at = np.minimum(low + step, len(w) - 1)
+        hit = (low + step < high) & (c[at] == second)
+        out[hit] = order[at[hit]]
+    return out
 
-def factors(covered: np.ndarray) -> list[tuple[int, int]]:
-    """Start and length of each run of covered words."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
-    return [(int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+
+def factors(place: np.ndarray, doc: np.ndarray, ref: np.ndarray, ref_place: np.ndarray, window: int) -> np.ndarray:
+    """Greedy factors of windows with references, in order: rows of text's number, start, length, reference document, its place.
+
+    Factors of a text are apart: one begins where the last ended, if they would overlap.
+    """
+    if not len(place):
+        return np.zeros((0, 5), np.int64)
+    goes_on = (doc[1:] == doc[:-1]) & (place[1:] == place[:-1] + 1) & (ref[1:] == ref[:-1]) & (ref_place[1:] == ref_place[:-1] + 1)
+    first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+    last = np.append(first[1:], len(place)) - 1
+    start, end, d = place[first], place[last] + window, doc[first]
+    before = np.concatenate([[0], np.where(d[1:] == d[:-1], end[:-1], 0)])
+    cut = np.maximum(before - start, 0)
+    return np.stack([d, start + cut, end - start - cut, ref[first], ref_place[first] + cut], axis=1)
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, block_bytes: int = 8 << 20, respace: bool = False) -> DataFrame:
     """Remove each word that a window covers whose words also start in a document with a smaller doc_id.
 
     Returns all columns of ``docs`` with ``text`` as it is left, and n_words long, n_removed long,
-    factors array<struct<start int, length int>> (the words removed). Windows are judged on the input. Texts that lose
-    nothing stay as they are unless ``respace``; the others have the words left, joined by one space.
+    factors array<struct<start, length, ref_doc, ref_start>> (the words removed, and of which earlier document's words they are copies: the
+    first in the corpus). Windows are judged on the input. Texts that lose nothing stay as they are unless ``respace``; the others
+    have the words left, joined by one space.
 
     Defined cases: null text: stays null, no words. Null doc_id: later than all others, and never a reference. Rows with one doc_id
-    are one document: they aren't references for each other. Other columns pass through; those named like an output are replaced.
-    Windows are told apart by 64-bit hashes, which are compared only where their 4-word anchors are also shared.
+    are one document: they aren't references for each other, and a place in it is a place in one of them. Very long texts are a block of their own size.
+    Empty table: empty result. Other columns pass through; those named like an output are replaced.
     """
-    out = {"n_words": "bigint", "n_removed": "bigint", "factors": "array<struct<start:int,length:int>>"}
+    out = {"n_words": "bigint", "n_removed": "bigint", "factors": FACTOR}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in out])
     size = text_bytes(docs)
     blocks = max(1, math.ceil(size / block_bytes), min(64, math.ceil(size / (1 << 18))))
     block = internal(docs, "block")
     base = docs.withColumn(block, F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    if blocks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        base = base.repartition(blocks, block)  # so that tasks don't grow with the corpus
     dealt = base.groupBy(block)
 
+    def number_of(t: pa.Table) -> int:
+        return t.column(block)[0].as_py()
+
     def announce_anchors(t: pa.Table) -> pa.Table:
-        _, low, _, doc, _ = _windows(text_array(t.column("text")), window)
+        _, low, _, _, doc, _ = _windows(text_array(t.column("text")), window, check=False)
         anchor = _anchors(low, doc)[0]
-        return pa.table({"anchor": signed(anchor), "block": np.full(len(anchor), _block(t, block))})
+        return pa.table({"anchor": signed(anchor), "block": np.full(len(anchor), number_of(t))})
 
-    asked = dealt.applyInArrow(announce_anchors, "anchor long, block long")
-    w1 = Window.partitionBy("anchor")
-    shared = asked.withColumn("c", F.count("*").over(w1)).filter("c > 1").select("block", "anchor")
+    asked = dealt.applyInArrow(announce_anchors, "anchor long, block long").repartition("anchor")
+    several = asked.groupBy("anchor").count().filter("count > 1").select("anchor")
+    shared = asked.join(several, "anchor", "left_semi")
 
     def announce_windows(t: pa.Table, known: pa.Table) -> pa.Table:
-        empty = pa.table({"w": np.zeros(0, np.int64), "block": np.zeros(0, np.int64), "least": np.zeros(0, np.int64)})
         if not t.num_rows:
-            return empty
-        _, low, full, doc, _ = _windows(text_array(t.column("text")), window)
-        anchor, least, most, _ = _anchors(low, doc)
-        at = _found(low, anchor[least != most]) | _found(low, _reply(known, "anchor"))
-        key, first, _, _ = _least(full[at], _ids(t.column("doc_id"))[doc[at]])
-        return pa.table({"w": signed(key), "block": np.full(len(key), _block(t, block)), "least": first})
-
-    told = dealt.cogroup(shared.groupBy("block")).applyInArrow(announce_windows, "w long, block long, least long")
-    w2 = Window.partitionBy("w")
-    earlier = told.withColumn("first", F.min("least").over(w2)).filter("first < least").select("block", "w")
+            return pa.table({c: pa.array([], k) for c, k in (("w", pa.int64()), ("c", pa.int32()), ("block", pa.int64()), ("doc", pa.int64()), ("place", pa.int32()))})
+        w, low, full, second, doc, at = _windows(text_array(t.column("text")), window)
+        anchor, twice = _anchors(low, doc)
+        here = _found(low, anchor[twice]) | _found(low, np.sort(_column(known, "anchor").view(np.uint64)))
+        ids, rank = np.unique(_ids(t.column("doc_id")), return_inverse=True)
+        spot = (rank.reshape(-1)[doc[here]] << 32) + at[here] - w.offsets[doc[here]]
+        key, check, spot, _ = _firsts(full[here], second[here], spot)
+        place = (spot & 0xFFFFFFFF).astype(np.int32)
+        return pa.table({"w": signed(key), "c": check, "block": np.full(len(key), number_of(t)), "doc": ids[spot >> 32], "place": place})
+
+    told = dealt.cogroup(shared.groupBy("block")).applyInArrow(announce_windows, INDEX).repartition("w", "c")
+    index = told.groupBy("w", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("first")).filter("n > 1")
+    earlier = told.join(index, ["w", "c"]).filter("first.doc < doc").select("block", "w", "c", F.col("first.doc").alias("ref"), F.col("first.place").alias("ref_place"))
 
     keep = [f for f in base.schema.fields if f.name != block]
     schema = T.StructType([*keep, *T._parse_datatype_string(", ".join(f"`{k}` {v}" for k, v in out.items())).fields])
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
 
     def parse(t: pa.Table, known: pa.Table) -> pa.Table:
-        raw = text_array(t.column("text"))
-        w, _, full, doc, at = _windows(raw, window)
-        own = _ids(t.column("doc_id"))[doc]
-        _, least, _, number = _least(full, own)
-        copied = at[(own > least[number]) | _found(full, _reply(known, "w"))] if len(full) else at
+        w, _, full, second, doc, at = _windows(text_array(t.column("text")), window)
+        ids, rank = np.unique(_ids(t.column("doc_id")), return_inverse=True)
+        own, place = rank.reshape(-1)[doc], at - w.offsets[doc]
+        key, check, spot, number = _firsts(full, second, (own << 32) + place)
+        ref, ref_place = ids[spot >> 32] if len(spot) else spot, spot & 0xFFFFFFFF
+        row = _lookup(key, check, known)
+        other = row >= 0
+        ref[other], ref_place[other] = _column(known, "ref")[row[other]], _column(known, "ref_place")[row[other]]
+        copied = np.flatnonzero(ref[number] < ids[own]) if len(number) else number
+        number = number[copied]
+        made = factors(place[copied], doc[copied], ref[number], ref_place[number], window)
+
+        start = w.offsets[made[:, 0]] + made[:, 1]
         edge = np.zeros(len(w.codes) + 1, np.int64)
-        np.add.at(edge, copied, 1)
-        np.add.at(edge, copied + window, -1)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + made[:, 2], -1)
         covered = np.cumsum(edge)[:-1] > 0
         gone = np.concatenate([[0], np.cumsum(covered)])
         removed = gone[w.offsets[1:]] - gone[w.offsets[:-1]]
-        texts, lists = t.column("text").combine_chunks().to_pylist(), []
+        texts = t.column("text").combine_chunks().to_pylist()
         for i, x in enumerate(texts):
-            a, b = w.offsets[i], w.offsets[i + 1]
-            lists.append([{"start": s, "length": n} for s, n in factors(covered[a:b])] if removed[i] else [])
             if removed[i]:
                 parts = x.encode().split()
-                texts[i] = b" ".join([parts[j] for j in np.flatnonzero(~covered[a:b])]).decode()
+                texts[i] = b" ".join([parts[j] for j in np.flatnonzero(~covered[w.offsets[i] : w.offsets[i + 1]])]).decode()
             elif respace and x is not None:
                 texts[i] = b" ".join(x.encode().split()).decode()
+        bounds = np.searchsorted(made[:, 0], np.arange(w.n + 1)).astype(np.int32)
+        fields = [pa.array(made[:, i].astype(k)) for i, k in ((1, np.int32), (2, np.int32), (3, np.int64), (4, np.int32))]
+        spans = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(fields, ["start", "length", "ref_doc", "ref_start"]))
         cols = {f.name: t.column(f.name) for f in keep} | {"text": pa.array(texts, pa.string())}
-        return pa.table(cols | {"n_words": w.lengths.astype(np.int64), "n_removed": removed.astype(np.int64), "factors": pa.array(lists, spans)})
+        return pa.table(cols | {"n_words": w.lengths.astype(np.int64), "n_removed": removed.astype(np.int64), "factors": spans})
 
     def parse_block(t: pa.Table, known: pa.Table) -> pa.Table:
         try:

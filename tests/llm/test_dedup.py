@@ -3,12 +3,14 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kelpwood.llm.components import connected_components
 from kelpwood.llm.minhash import near_duplicates, sub_bands
-from kelpwood.llm.substring import factors, substring_dedup
+from kelpwood.llm.substring import _firsts, _lookup, factors, substring_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -131,11 +133,37 @@ def test_substrings(spark, block):
 def test_texts_that_stay(spark):
     docs = [(1, "a\n\n b  c"), (2, None), (3, "p q r s"), (4, "x p q r y")]
     got = {r["doc_id"]: (r["text"], r["n_removed"], [tuple(f) for f in r["factors"]]) for r in substring_dedup(spark.createDataFrame(docs, SCHEMA), 3).collect()}
-    assert got == {1: ("a\n\n b  c", 0, []), 2: (None, 0, []), 3: ("p q r s", 0, []), 4: ("x y", 3, [(1, 3)])}
+    assert got == {1: ("a\n\n b  c", 0, []), 2: (None, 0, []), 3: ("p q r s", 0, []), 4: ("x y", 3, [(1, 3, 3, 0)])}
     assert substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_factors():
-    import numpy as np
-
-    assert factors(np.array([1, 1, 0, 1, 0], bool)) == [(0, 2), (3, 1)]
+    """Two references for five windows of one text: the second factor starts where the first ends; another text starts anew."""
+    place, doc = np.array([0, 1, 2, 3, 4, 0]), np.array([0, 0, 0, 0, 0, 1])
+    ref, ref_place = np.array([7, 7, 7, 9, 9, 9]), np.array([5, 6, 7, 20, 21, 22])
+    assert factors(place, doc, ref, ref_place, 3).tolist() == [[0, 0, 5, 7, 5], [0, 5, 2, 9, 22], [1, 0, 3, 9, 22]]
+
+
+def test_factors_are_copies(spark):
+    """Each factor's words are those at its reference, in an earlier document."""
+    rnd = random.Random(9)
+    vocab = [f"w{i}" for i in range(30)]
+    passages = [[rnd.choice(vocab) for _ in range(n)] for n in (20, 33, 50)]
+    docs = [(i, " ".join(sum((rnd.choice(passages)[rnd.randint(0, 6) :] for _ in range(4)), []))) for i in range(40)]
+    text = {i: t.split() for i, t in docs}
+    got = substring_dedup(spark.createDataFrame(docs, SCHEMA), 8, block_bytes=700).collect()
+    assert sum(len(r["factors"]) for r in got) > 40
+    for r in got:
+        assert r["n_removed"] == sum(f["length"] for f in r["factors"])
+        for f in r["factors"]:
+            assert f["ref_doc"] < r["doc_id"]
+            assert text[r["doc_id"]][f["start"] : f["start"] + f["length"]] == text[f["ref_doc"]][f["ref_start"] : f["ref_start"] + f["length"]]
+
+
+def test_equal_first_hashes():
+    """Windows whose 64-bit hashes collide are told apart by the second hash."""
+    full, second = np.array([5, 5, 9, 5], np.uint64), np.array([1, 2, 1, 1], np.int32)
+    key, check, spot, number = _firsts(full, second, np.array([30, 10, 20, 40]))
+    assert list(zip(key.tolist(), check.tolist(), spot.tolist())) == [(5, 1, 30), (5, 2, 10), (9, 1, 20)] and number.tolist() == [0, 1, 2, 0]
+    known = pa.table({"w": np.array([5, 9, 5]), "c": np.array([2, 7, 1], np.int32)})
+    assert _lookup(key, check, known).tolist() == [2, 0, -1]
