@@ -20,7 +20,8 @@ from .common import slices, text_array
 from .linear import fit_svm, platt, sigmoid
 
 DIM, GRAMS = 4096, 3
-SLICE = 1 << 20  # text bytes whose n-grams are held at once
+SLICE, SLICE_ROWS = 1 << 20, 1024  # text bytes and rows whose n-grams are held at once
+MOST_LANGUAGES = 500
 #: Families of common ISO 639-1 codes; a language that isn't named is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "lb", "fy"),
@@ -117,7 +118,9 @@ class LanguageModel:
 
 def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
     """At most ``per_language`` rows of each language, the least by a hash of doc_id."""
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: lang doesn't look like a language code")
     if not counts:
         return labelled.limit(0)
     share = F.lit(0.0)
@@ -131,7 +134,7 @@ def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
 
 def _feature_rows(batches):
     for batch in batches:
-        for part in slices(batch, "text", SLICE):
+        for part in slices(batch, "text", SLICE, SLICE_ROWS):
             x = features(part.column("text")).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
 
@@ -149,7 +152,8 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """All columns of ``docs`` and lang_pred string, score double (0 to 1), from ``text`` alone.
 
     Null text and text without a letter: ``und`` with score 0; so are all rows where nothing could be learned. Columns named like
-    an output are replaced; repeated rows and null ids pass through; an empty table gives an empty result.
+    an output are replaced; repeated rows and null ids pass through; an empty table gives an empty result. Very long texts are read whole. Ties
+    between languages go to the first in order of their codes.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
     names = docs.columns
@@ -157,7 +161,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text", SLICE, SLICE_ROWS):
                 text = text_array(part.column("text"))
                 letters = pc.match_substring_regex(text, r"\pL").to_numpy(zero_copy_only=False)
                 lang, score = np.full(len(text), UNKNOWN, object), np.zeros(len(text))
