@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, slices, text_array
+from .merging import LONG, merge_long
 
 META = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -96,6 +97,7 @@ class PieceModel:
         order = np.argsort(key)
         self.key, self.id = key[order], at[order].astype(np.int32)
         self.score = score[self.id]
+        self.best: dict | None = None
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.key >> np.uint64(44)] = True
         raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else b" \xe2\x81\x87 " if sp.is_unknown(i) else p.replace(META, " ").encode() for i, p in enumerate(self.pieces)]
@@ -203,6 +205,18 @@ class PieceModel:
                 score[i, c] = pairs(rows[i], cut[i, c], cut[i, c + 2])
         return piece, used
 
+    def _alone(self, unit: str) -> tuple[np.ndarray, np.ndarray]:
+        """Merges of one long unit, in the form that _viterbi returns."""
+        if self.best is None:
+            self.best = {self.pieces[i]: (-float(s), int(i)) for i, s in zip(self.id.tolist(), self.score.tolist(), strict=True)}
+        best, longest = self.best, self.longest
+        cut = merge_long(len(unit), lambda i, j, k: best.get(unit[i:k], (None,))[0] if k - i <= longest else None)
+        used, piece = np.zeros((1, len(unit)), bool), np.full((1, len(unit)), -1, np.int32)
+        for i, k in zip(cut[:-1], cut[1:], strict=True):
+            used[0, k - 1] = True
+            piece[0, k - 1] = best.get(unit[i:k], (None, -1))[1]
+        return piece, used
+
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units one after another and how many each has."""
         length = np.array([len(u) for u in units], np.int64)
@@ -210,9 +224,13 @@ class PieceModel:
         sizes, done = np.zeros(len(units), np.int64), []
         for group in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
             size = int(length[group[0]])
-            for at in (group[i : i + 8192] for i in range(0, len(group), 8192)):
+            step = max(1, min(8192, (1 << 21) // max(size, 1)))
+            for at in (group[i : i + step] for i in range(0, len(group), step)):
                 own = [units[i] for i in at]
-                piece, used = (self._merge if self.merges else self._viterbi)(own, size)
+                if self.merges and size >= LONG:
+                    piece, used = (np.concatenate(x) for x in zip(*[self._alone(u) for u in own], strict=True))
+                else:
+                    piece, used = (self._merge if self.merges else self._viterbi)(own, size)
                 odd = np.flatnonzero((used & (piece < 0)).any(axis=1))
                 sizes[at] = used.sum(axis=1)
                 flat = piece[used]

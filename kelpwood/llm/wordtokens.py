@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .common import Words, text_array
+from .merging import LONG, merge_long
 
 CACHE_CHUNKS = 400_000
 NONE = np.int32(2**31 - 1)
@@ -37,6 +38,7 @@ class _Merger:
         order = np.argsort(key)
         self.key, self.rank = key[order], order.astype(np.int32)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self.table: dict | None = None
         self.bits = 1 << 20  # a filter before the search: most pairs aren't merged
         self.maybe = np.zeros(self.bits, bool)
         self.maybe[self._slot(self.key)] = True
@@ -82,6 +84,22 @@ class _Merger:
                 c = at[i] + shift
                 rank[i, c] = self.ranks(sym[i, c], sym[i, c + 1])
 
+    def _alone(self, word: bytes) -> np.ndarray:
+        """Ids of one long word."""
+        if self.table is None:
+            self.table = dict(zip(self.key.tolist(), self.rank.tolist(), strict=True))
+        sym = self.inner[np.frombuffer(word, np.uint8)].tolist()
+        sym[-1] = int(self.final[word[-1]])
+        table, v = self.table, self.v
+
+        def rank(i, j, k):
+            return table.get(sym[i] * v + sym[j])
+
+        def merged(i, j):
+            sym[i] = int(self.made[table[sym[i] * v + sym[j]]])
+
+        return np.array([sym[i] for i in merge_long(len(word), rank, merged)[:-1]], np.int32)
+
     def encode(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words one after another and how many each has."""
         length = np.array([len(x) for x in raw], np.int64)
@@ -89,6 +107,12 @@ class _Merger:
         done, sizes = [], np.zeros(len(raw), np.int64)
         cuts = np.flatnonzero(np.diff(length[order])) + 1
         for group in np.split(order, cuts):
+            if len(group) and length[group[0]] >= LONG:
+                for i in group:
+                    ids = self._alone(raw[i])
+                    sizes[i] = len(ids)
+                    done.append((np.array([i]), ids, sizes[[i]]))
+                continue
             for at in (group[i : i + 8192] for i in range(0, len(group), 8192)):
                 mat, n = self._equal([raw[i] for i in at], int(length[at[0]]))
                 sizes[at] = n

@@ -1,6 +1,7 @@
 """Token ids, packing and pieces against the libraries and exact round trips."""
 
 import random
+import time
 import zlib
 from itertools import product
 
@@ -65,6 +66,19 @@ def test_viterbi_is_the_best_sum(texts):
             assert sum(score[i] for i in got) == pytest.approx(best_sum(m, u))
 
 
+def test_long_words():
+    """Words beyond the matrices' length, as the libraries split them, and one of a hundred thousand letters in a few seconds."""
+    rnd = random.Random(3)
+    long = ["".join(rnd.choice(letters) for _ in range(n)) for letters, n in (("ab", 700), ("etaoinshrdlu", 5000), ("thé日", 2000), ("x", 1024))]
+    w, m, sp = WordTokenizer(WORD), PieceModel(PIECE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    assert cut(*w.encode(pa.array(long))) == [w.tok.encode(t, add_special_tokens=False).ids for t in long]
+    assert cut(*m.encode(pa.array(long))) == sp.encode(long)
+    huge = pa.array(["".join(rnd.choice("etaoinshrdlu") for _ in range(100_000))])
+    start = time.time()
+    assert len(w.encode(huge)[0]) > 20_000 and len(m.encode(huge)[0]) > 20_000
+    assert time.time() - start < 30
+
+
 def test_piece_rows(spark):
     df = spark.createDataFrame([(1, "hello world", 1), (2, None, 2), (None, "", 3), (1, "hello world", 4)], "doc_id long, text string, ids int")
     got = encode_pieces(df, PIECE)
