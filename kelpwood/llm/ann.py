@@ -1,6 +1,7 @@
 """Approximate nearest neighbours: inverted lists, product-quantised residuals, asymmetric distances, exact reranking.
 
-* Fit: coarse centroids and 256 codewords for each part of the residual, by k-means on a bounded sample (``sample`` rows, equal vectors once).
+* Fit: coarse centroids (about the square root of the rows) and 256 codewords for each part of the residual, by k-means on a bounded sample
+  (``sample`` rows, equal vectors once). How many lists are probed is learned there as well: what held-out sample queries need for the target recall.
 * Index: every row goes to its nearest centroid's list with its residual's code, beside the vector itself; written to the shared folder.
 * Search: each query probes the lists with the largest inner products of their centroids. A list's rows and its queries are
   dealt in blocks of bounded size, so a list that holds a third of all rows, or of all queries, is many tasks. In a block, scores are summed
@@ -93,25 +94,47 @@ def _pack_rows(batches):
         yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([r.tobytes() for r in rows], pa.binary())], ["vec_id", "v"])
 
 
-def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = 32768, list_rows: int = 2048, most_lists: int = 2048, probe_share: float = 0.85, least_probes: int = 12, rerank: int = 128) -> DataFrame:
+def probes_needed(quant: Quantizer, x: np.ndarray, k: int, target: float, asked: int = 256) -> int:
+    """The least number of lists in which ``asked`` rows of a sample have ``target`` of their ``k`` nearest among the others, on average."""
+    x = x.astype(np.float32)
+    q = x[:asked]
+    score = q @ x.T
+    score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return 1
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    order = np.argsort(-(q @ quant.coarse.T), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+    need = np.take_along_axis(place, _nearest(x, quant.coarse)[near], axis=1)
+    return int(np.searchsorted(np.cumsum(np.bincount(need.reshape(-1), minlength=len(quant.coarse))), target * need.size)) + 1
+
+
+def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = 32768, most_lists: int = 4096, target: float = 0.96, rerank: int = 128) -> DataFrame:
     """The ``k`` rows of ``df`` with the largest inner product with each query: query_id long, rank int, vec_id long, score double.
 
     ``queries``: rows of ``df`` that are the queries, by default those whose id is divisible by 20. A query's own row is no candidate.
-    Nearest first, ties to the smaller id. ``probe_share`` of the lists, ``least_probes`` at least, and always lists with 20 * k rows are probed;
-    ``rerank`` distinct codes in each block of a list are reranked exactly. Vectors that are null, zero, of another length than most or hold null or non-finite
-    components take no part. Rows with one id count once (their best). Empty table: empty result.
+    Nearest first, ties to the smaller id. So many lists are probed that held-out sample queries find ``target`` of their neighbours there, and always lists
+    with 20 * k rows; ``rerank`` distinct codes in each block of a list are reranked exactly. Vectors that are null, zero, of another length than most or
+    hold null or non-finite components take no part, nor do rows without an id. Rows with one id count once (their best); of several vectors of a query's id the
+    greatest asks. Repeated and equal vectors share a code, and all of them are reranked. Empty table: empty result.
     """
     schema = "query_id long, rank int, vec_id long, score double"
     base = usable(df, key, vector)
     n = base.count()
     if not n:
         return df.sparkSession.createDataFrame([], schema)
+    h = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
     share = min(1.0, 1.3 * sample / n)
-    some = base.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample).mapInArrow(_pack_rows, "vec_id long, v binary").collect()
-    some = sorted((r["vec_id"], bytes(r["v"])) for r in some)[:sample] or [(r["vec_id"], np.array(r["v"]).tobytes()) for r in base.limit(sample).collect()]
-    lists = max(1, min(most_lists, round(n / list_rows)))
-    quant = Quantizer(np.array([np.frombuffer(v, np.float64) for _, v in some]), lists)
+    some = base.filter(h < int(share * (1 << 30))).limit(2 * sample).mapInArrow(_pack_rows, "vec_id long, v binary").select(h.alias("h"), "vec_id", "v").collect()
+    some = sorted((r["h"], r["vec_id"], bytes(r["v"])) for r in some)[:sample]  # even over all ids
+    if not some:
+        some = [(0, r["vec_id"], np.array(r["v"]).tobytes()) for r in base.limit(sample).collect()]
+    x = np.array([np.frombuffer(v, np.float64) for *_, v in some])
+    quant = Quantizer(x, max(1, min(most_lists, len(x) // 8, round(n**0.5))))
     lists = len(quant.coarse)
+    probes = min(lists, probes_needed(quant, x, k, target))
 
     def index_rows(batches):
         for b in _pack_rows(batches):
@@ -122,7 +145,6 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, key: st
     index = materialize(base.mapInArrow(index_rows, "list int, vec_id long, code binary, v binary"), "ann")
     sizes = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}  # at most most_lists rows
     held = np.array([sizes.get(i, 0) for i in range(lists)])
-    probes = min(lists, max(least_probes, round(probe_share * lists)))
     # lists share a cell up to BLOCK rows; a larger list has a cell of its own, dealt in blocks
     cell, rows_in = np.zeros(lists, np.int64), 0
     for i in range(1, lists):
