@@ -13,7 +13,8 @@ a thing to be parsed; the index that all blocks share is spread by hash, so no b
    between factors are literals.
 
 Windows are told apart by 96 bits, of two hashes that are independent from the words' bytes on. A passage in a third of all rows is announced once for
-each block, not once for each row; hot windows and anchors are counted by partial sums and joined by a stream. Three sweeps read one exchange of the texts.
+each block, not once for each row: the rows of one window or anchor are some tens of bytes for each block of ``block_bytes`` of text, which a task streams and
+spills. Three sweeps read one exchange of the texts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,9 +165,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, block_bytes: int = 8 << 2
         anchor = _anchors(low, doc)[0]
         return pa.table({"anchor": signed(anchor), "block": np.full(len(anchor), number_of(t))})
 
-    asked = dealt.applyInArrow(announce_anchors, "anchor long, block long").repartition("anchor")
-    several = asked.groupBy("anchor").count().filter("count > 1").select("anchor")
-    shared = asked.join(several, "anchor", "left_semi")
+    asked = dealt.applyInArrow(announce_anchors, "anchor long, block long")
+    by_anchor = Window.partitionBy("anchor")
+    shared = asked.withColumn("n", F.count("*").over(by_anchor)).filter("n > 1").select("block", "anchor")
 
     def announce_windows(t: pa.Table, known: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -180,9 +181,10 @@ def substring_dedup(docs: DataFrame, window: int = 13, block_bytes: int = 8 << 2
         place = (spot & 0xFFFFFFFF).astype(np.int32)
         return pa.table({"w": signed(key), "c": check, "block": np.full(len(key), number_of(t)), "doc": ids[spot >> 32], "place": place})
 
-    told = dealt.cogroup(shared.groupBy("block")).applyInArrow(announce_windows, INDEX).repartition("w", "c")
-    index = told.groupBy("w", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("first")).filter("n > 1")
-    earlier = told.join(index, ["w", "c"]).filter("first.doc < doc").select("block", "w", "c", F.col("first.doc").alias("ref"), F.col("first.place").alias("ref_place"))
+    told = dealt.cogroup(shared.groupBy("block")).applyInArrow(announce_windows, INDEX)
+    by_window = Window.partitionBy("w", "c")
+    index = told.withColumn("first", F.min(F.struct("doc", "place")).over(by_window)).filter("first.doc < doc")
+    earlier = index.select("block", "w", "c", F.col("first.doc").alias("ref"), F.col("first.place").alias("ref_place"))
 
     keep = [f for f in base.schema.fields if f.name != block]
     schema = T.StructType([*keep, *T._parse_datatype_string(", ".join(f"`{k}` {v}" for k, v in out.items())).fields])
