@@ -28,6 +28,9 @@ from .components import connected_components
 from .sketch import maybe_in
 
 
+SALTS = 64
+
+
 def sub_bands(similarity: float, r: int = 2, miss: float = 1e-4) -> int:
     """How many sub-bands each collection needs."""
     t = 1
@@ -167,7 +170,10 @@ def _edit_candidates(stars: DataFrame, comp: DataFrame, percent: int) -> DataFra
     own = stars.join(comp.withColumnRenamed("node", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
     wide = own.groupBy("c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(~F.col("linked")).alias("far")).filter("lo <> hi and far").select("c")
     least = F.when(F.col("linked"), F.col("weight") - percent * F.col("size") + 1).otherwise(F.col("weight") - 100 * F.col("size"))
-    own = own.join(wide, "c").withColumn("need", F.greatest(F.ceil(least / F.lit(100 + percent)), F.lit(1)).cast("int"))
+    # a large group's rows are dealt by member as well, so that its centre isn't one task
+    salted = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = own.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(salted, ["c", "salt"]).drop("salt")
+    own = own.withColumn("need", F.greatest(F.ceil(least / F.lit(100 + percent)), F.lit(1)).cast("int"))
     each = own.select("c", "x", "comp", F.explode("edits").alias("e"))
     shared = each.groupBy("c", "e").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("c", "e", "df")
     kept = each.select("c", "x", "e").join(shared, ["c", "e"]).groupBy("c", "x").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
