@@ -140,8 +140,16 @@ def humanize(pred) -> Column:
 
 
 def tokens(text) -> Column:
-    """Lower-case runs of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    """Lower-case runs of letters and digits of any script."""
+    return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
+
+
+def lexical_tokens(text) -> Column:
+    """Search terms: runs of letters, digits and ``: . $ - '`` with A-Z in lower case, without a possessive and without ``. - '`` at the ends."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    runs = F.regexp_extract_all(low, F.lit("[\\p{L}\\p{N}:.$'-]+"), F.lit(0))
+    clean = F.transform(runs, lambda t: F.regexp_replace(F.regexp_replace(t, "'s$", ""), "^[.'-]+|[.'-]+$", ""))
+    return F.filter(clean, lambda t: t != "")
 
 
 def hashtags(text) -> Column:

@@ -1,4 +1,7 @@
-"""Graph traversal, ranking, components and salience over edge lists."""
+"""Graph traversal, ranking, components, communities, structural likeness and salience over edge lists.
+
+Every iteration writes its round to the shared folder, so a plan never grows with the number of rounds and a lost executor costs one round.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +13,12 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the folder of spark.checkpoint.dir (a temporary one only where none is set)."""
+    """Cut lineage by a table in the folder of spark.checkpoint.dir (a temporary one only where a local session names none)."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='kelpwood-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/kelpwood/graph-{uuid.uuid4().hex}"
@@ -28,40 +33,70 @@ def undirected(triples: DataFrame) -> DataFrame:
 
 def k_hop(triples: DataFrame, seed: str, hops: int) -> DataFrame:
     """Nodes within ``hops`` of the seed, with their distance; the seed itself is left out."""
-    e = undirected(triples)
-    seen = e.select("a").filter(F.col("a") == seed).distinct().select(F.col("a").alias("id"), F.lit(0).alias("hop"))
-    last = seen
+    e = checkpointed(undirected(triples))
+    seen = last = checkpointed(e.filter(F.col("a") == seed).limit(1).select(F.col("a").alias("id"), F.lit(0).alias("hop")))
     for h in range(1, hops + 1):
-        last = e.join(last.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(h))
+        near = e.join(last.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
+        last = checkpointed(near.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(h)))
         seen = seen.unionByName(last)
     return seen.filter("hop > 0")
 
 
+def _steps(triples: DataFrame, least: float) -> DataFrame:
+    t = triples.filter((F.col("predicate") != "related_to") & (F.col("confidence") >= least))
+    return t.select(F.col("subject_id").alias("a"), F.col("object_id").alias("b"), "confidence")
+
+
+def _longer(path: DataFrame, t: DataFrame, hop: int) -> DataFrame:
+    path = path.join(t, F.col("at") == F.col("a")).filter(~F.array_contains("nodes", F.col("b")))
+    score = F.col("score") * F.col("confidence") * 0.85
+    return path.select(F.concat("nodes", F.array("b")).alias("nodes"), F.col("b").alias("at"), score.alias("score"), F.lit(hop).alias("hops"))
+
+
 def chains(triples: DataFrame, start: str, end: str, hops: int = 4, least: float = 0.1, best: int = 10) -> DataFrame:
-    """The ``best`` simple directed paths by product of confidences and 0.85 for each further hop."""
-    t = triples.filter((F.col("predicate") != "related_to") & (F.col("confidence") >= least)).select(F.col("subject_id").alias("a"), "predicate", F.col("object_id").alias("b"), "confidence")
+    """The ``best`` simple directed paths by product of confidences and 0.85 for each further hop.
+
+    A path that can no longer come among the best that are found (each hop multiplies its score by 0.85 at most) isn't followed.
+    """
+    t = checkpointed(_steps(triples, least))
     path = t.filter(F.col("a") == start).select(F.array("a", "b").alias("nodes"), F.col("b").alias("at"), F.col("confidence").alias("score"), F.lit(1).alias("hops"))
+    path = checkpointed(path)
     found = path.filter(F.col("at") == end)
     for h in range(2, hops + 1):
-        path = path.filter(F.col("at") != end).join(t, F.col("at") == F.col("a")).filter(~F.array_contains("nodes", F.col("b")))
-        path = path.select(F.concat("nodes", F.array("b")).alias("nodes"), F.col("b").alias("at"), (F.col("score") * F.col("confidence") * 0.85).alias("score"), F.lit(h).alias("hops"))
+        top = found.orderBy(F.desc("score")).limit(best).agg(F.when(F.count("*") == best, F.min("score")).otherwise(0.0).alias("floor"))
+        alive = path.filter(F.col("at") != end).join(F.broadcast(top)).filter(F.col("score") * 0.85 >= F.col("floor")).drop("floor")
+        path = checkpointed(_longer(alive, t, h))
         found = found.unionByName(path.filter(F.col("at") == end))
     return found.select(F.array_join("nodes", ">").alias("path"), "score", "hops").orderBy(F.desc("score"), "path").limit(best)
 
 
-def pagerank(triples: DataFrame, rounds: int = 10, damping: float = 0.85, every: int = 5) -> DataFrame:
-    """Fixed rounds; nodes without out-edges give nothing on. Every few rounds lineage is cut."""
+def explore(triples: DataFrame, seeds: list[str], hops: int = 3, least: float = 0.1, best: int = 10) -> DataFrame:
+    """The ``best`` simple directed paths of two edges or more from any seed: path, score, hops.
+
+    As scores only fall along a path, each round keeps what can still reach the tenth best so far.
+    """
+    t = checkpointed(_steps(triples, least))
+    path = checkpointed(t.filter(F.col("a").isin(*seeds)).select(F.array("a", "b").alias("nodes"), F.col("b").alias("at"), F.col("confidence").alias("score"), F.lit(1).alias("hops")))
+    found = None
+    for h in range(2, hops + 1):
+        if found is not None:
+            top = found.orderBy(F.desc("score")).limit(best).agg(F.when(F.count("*") == best, F.min("score")).otherwise(0.0).alias("floor"))
+            path = path.join(F.broadcast(top)).filter(F.col("score") * 0.85 >= F.col("floor")).drop("floor")
+        path = checkpointed(_longer(path, t, h))
+        found = path if found is None else found.unionByName(path)
+    return found.select(F.array_join("nodes", ">").alias("path"), "score", "hops").orderBy(F.desc("score"), "path").limit(best)
+
+
+def pagerank(triples: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+    """Fixed rounds; nodes without out-edges give nothing on."""
     e = triples.select(F.col("subject_id").alias("a"), F.col("object_id").alias("b")).distinct()
-    out = e.groupBy("a").agg(F.count("*").alias("d"))
-    e = checkpointed(e.join(out, "a"))
-    nodes = e.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    n = nodes.count()
-    rank = nodes.withColumn("r", F.lit(1.0 / max(n, 1)))
-    for i in range(rounds):
+    e = checkpointed(e.join(e.groupBy("a").agg(F.count("*").alias("d")), "a"))
+    nodes = checkpointed(e.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    n = max(nodes.count(), 1)
+    rank = nodes.withColumn("r", F.lit(1.0 / n))
+    for _ in range(rounds):
         got = e.join(rank.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.sum(F.col("r") / F.col("d")).alias("in"))
-        rank = nodes.join(got, "id", "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("in", F.lit(0.0))).alias("r"))
-        if (i + 1) % every == 0:
-            rank = checkpointed(rank)
+        rank = checkpointed(nodes.join(got, "id", "left").select("id", (F.lit((1 - damping) / n) + damping * F.coalesce("in", F.lit(0.0))).alias("r")))
     return rank
 
 
@@ -73,7 +108,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         near = e.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
         low = label.join(near, "id").select("id", F.least("label", "m").alias("new"), "label")
         jump = low.join(low.select(F.col("id").alias("new"), F.col("new").alias("further")), "new", "left")
-        nxt = checkpointed(jump.select("id", F.least(F.col("new"), F.coalesce("further", "new")).alias("label"), (F.col("label") != F.least(F.col("new"), F.coalesce("further", "new"))).alias("moved")))
+        least = F.least(F.col("new"), F.coalesce("further", "new"))
+        nxt = checkpointed(jump.select("id", least.alias("label"), (F.col("label") != least).alias("moved")))
         moved = nxt.filter("moved").isEmpty()
         label = nxt.select("id", "label")
         if moved:
@@ -81,21 +117,107 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """Label propagation by weight, ties to the lesser label; nodes without edges are not listed. A distributed stand-in for local moving."""
-    e = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).filter("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-    e = checkpointed(e)
-    label = e.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct()
-    for _ in range(rounds):
-        votes = e.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id"), "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("id").agg(F.max("w").alias("top"))
-        label = checkpointed(votes.join(best, "id").filter("w = top").groupBy("id").agg(F.min("label").alias("label")))
-    return label
+def communities(edges: DataFrame, sweeps: int = 20) -> DataFrame:
+    """One level of local moving: id, label. ``edges``: a, b, weight (clamped to 0.05 .. 1; loops don't count).
+
+    In each sweep half of the nodes (by a hash of node and sweep) may move to the neighbouring community of the greatest gain in modularity, ties
+    to the lesser label. A sweep after which modularity is not higher is undone, so it never falls; two such sweeps in a row, or ``sweeps`` in all, end it.
+    """
+    w = F.least(F.greatest(F.col("weight"), F.lit(0.05)), F.lit(1.0))
+    one = edges.filter("a <> b").select("a", "b", w.alias("weight"))
+    e = checkpointed(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+    strength = e.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("k"))
+    state = checkpointed(strength.select("id", "k", F.col("id").alias("label")))
+    m = float(state.agg(F.sum("k")).first()[0] or 0) / 2
+    if not m:
+        return state.select("id", "label")
+
+    def quality(s: DataFrame) -> float:
+        inside = e.join(s.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(s.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
+        inner = inside.filter("la = lb").agg(F.sum("weight")).first()[0] or 0.0
+        return inner / (2 * m) - float(s.groupBy("label").agg(F.sum("k").alias("k")).agg(F.sum(F.pow(F.col("k") / (2 * m), F.lit(2)))).first()[0])
+
+    best, idle = quality(state), 0
+    for sweep in range(sweeps):
+        total = state.groupBy("label").agg(F.sum("k").alias("total"))
+        to = e.join(state.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id"), "label").agg(F.sum("weight").alias("into"))
+        own = state.select("id", "k", F.col("label").alias("old"))
+        options = to.join(own, "id").join(total, "label").withColumn("rest", F.col("total") - F.when(F.col("label") == F.col("old"), F.col("k")).otherwise(0.0))
+        gain = F.round(F.col("into") / m - F.col("rest") * F.col("k") / (2 * m * m), 12)
+        pick = options.withColumn("gain", gain).groupBy("id").agg(F.max("gain").alias("top"), F.max(F.when(F.col("label") == F.col("old"), F.col("gain"))).alias("stay"))
+        chosen = options.withColumn("gain", gain).join(pick, "id").filter((F.col("gain") == F.col("top")) & (F.col("gain") > F.coalesce("stay", F.lit(0.0))))
+        chosen = chosen.groupBy("id").agg(F.min("label").alias("new")).filter(F.pmod(F.xxhash64("id", F.lit(sweep)), F.lit(2)) == 0)
+        nxt = checkpointed(state.join(chosen, "id", "left").select("id", "k", F.coalesce("new", "label").alias("label")))
+        q = quality(nxt)
+        if q > best + 1e-12:
+            state, best, idle = nxt, q, 0
+        else:
+            idle += 1
+            if idle == 2:
+                break
+    return state.select("id", "label")
 
 
 def modularity(edges: DataFrame, label: DataFrame) -> DataFrame:
     la, lb = label.select(F.col("id").alias("a"), F.col("label").alias("la")), label.select(F.col("id").alias("b"), F.col("label").alias("lb"))
     j = edges.join(la, "a").join(lb, "b")
     inside = j.agg(F.sum(F.when(F.col("la") == F.col("lb"), F.col("weight"))).alias("inside"), F.sum("weight").alias("m"))
-    degree = j.select(F.col("la").alias("l"), "weight").unionByName(j.select(F.col("lb").alias("l"), "weight")).groupBy("l").agg(F.sum("weight").alias("d"))
-    return degree.join(F.broadcast(inside)).agg((F.max(F.coalesce("inside", F.lit(0.0)) / F.col("m")) - F.sum(F.pow(F.col("d") / (2 * F.col("m")), F.lit(2)))).alias("q"))
+    ends = j.select(F.col("la").alias("l"), "weight").unionByName(j.select(F.col("lb").alias("l"), "weight"))
+    degree = ends.groupBy("l").agg(F.sum("weight").alias("d"))
+    share = F.max(F.coalesce("inside", F.lit(0.0)) / F.col("m")) - F.sum(F.pow(F.col("d") / (2 * F.col("m")), F.lit(2)))
+    return degree.join(F.broadcast(inside)).agg(share.alias("q"))
+
+
+# ----------------------------------------------------------------- structural likeness
+def _patterns(triples: DataFrame, types: DataFrame) -> DataFrame:
+    """id, other, pattern: the predicate, its direction and the type of the other end, for both ends of every edge."""
+    t = triples.filter("predicate <> 'related_to'")
+    both = t.select(F.col("subject_id").alias("id"), F.col("object_id").alias("other"), F.concat("predicate", F.lit("->")).alias("p"))
+    both = both.unionByName(t.select(F.col("object_id").alias("id"), F.col("subject_id").alias("other"), F.concat("predicate", F.lit("<-")).alias("p")))
+    j = both.join(types.select(F.col("id").alias("other"), "entity_type"), "other", "left")
+    return j.select("id", "other", F.concat("p", F.coalesce("entity_type", F.lit("unknown"))).alias("pattern"))
+
+
+def fingerprints(triples: DataFrame, entities: DataFrame) -> DataFrame:
+    """id, entity_type, hop1, hop2: sorted sets of patterns one and two edges away.
+
+    The second hop is the union of the neighbours' sets, so it is joined as one small array for each edge; that an edge leads back to where
+    it came from is only known from the counts: a pattern of the neighbour counts if it has an edge other than the one back.
+    """
+    p = checkpointed(_patterns(triples, entities.select("id", "entity_type")))
+    one = p.groupBy("id").agg(F.array_sort(F.collect_set("pattern")).alias("hop1"))
+    counts = p.groupBy("id", "pattern").agg(F.count_distinct("other").alias("n"), F.min("other").alias("only"))
+    near = counts.groupBy("id").agg(F.collect_list(F.struct("pattern", "n", "only")).alias("near"))
+    step = p.select("id", "other").distinct().join(near.withColumnRenamed("id", "other"), "other")
+    kept = F.filter("near", lambda x: (x["n"] > 1) | (x["only"] != F.col("id")))
+    two = step.select("id", F.explode(F.transform(kept, lambda x: x["pattern"])).alias("pattern")).distinct()
+    two = two.groupBy("id").agg(F.array_sort(F.collect_set("pattern")).alias("hop2"))
+    out = entities.select("id", "entity_type").join(one, "id").join(two, "id", "left")
+    return out.withColumn("hop2", F.coalesce("hop2", F.expr("cast(array() as array<string>)")))
+
+
+def likeness(a: str, b: str):
+    """0.6 of the first hop's Jaccard, 0.3 of the second's and 0.1 for equal types, of two struct columns."""
+    from ..functions.scalars import jaccard
+
+    part = lambda name: jaccard(F.col(f"{a}.{name}"), F.col(f"{b}.{name}"))
+    same = F.when(F.col(f"{a}.entity_type") == F.col(f"{b}.entity_type"), 0.1).otherwise(0.0)
+    return F.least(0.6 * part("hop1") + 0.3 * part("hop2") + same, F.lit(1.0))
+
+
+def shapes(fp: DataFrame) -> DataFrame:
+    """Classes of equal fingerprints: shape, entity_type, hop1, hop2, members. Typed patterns are few, so classes are few, whatever the entities."""
+    shape = F.sha2(F.to_json(F.struct("entity_type", "hop1", "hop2")), 256)
+    return fp.groupBy("entity_type", "hop1", "hop2").agg(F.count("*").alias("members"), F.min("id").alias("first")).withColumn("shape", shape)
+
+
+def analogies(triples: DataFrame, entities: DataFrame, of: list[str], k: int = 10, least: float = 0.1) -> DataFrame:
+    """The ``k`` entities most like each of a stated few: query_id, id, score; ties to the lesser id."""
+    from pyspark.sql import Window
+
+    fp = checkpointed(fingerprints(triples, entities))
+    pack = F.struct("entity_type", "hop1", "hop2")
+    asked = fp.filter(F.col("id").isin(*of)).select(F.col("id").alias("query_id"), pack.alias("q"))
+    s = fp.select("id", pack.alias("x")).join(F.broadcast(asked)).filter("id <> query_id").select("query_id", "id", F.round(likeness("q", "x"), 9).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return s.filter(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -76,7 +76,7 @@ def triples_in(docs: DataFrame, key: str, text: str, confidence: float = 0.75) -
 
     def stated(verb, pred):
         found = F.regexp_extract_all(F.col(text), F.lit(f"{name} (?:is )?{verb} (?:the |a |an )?{name}"), F.lit(0))
-        plain = lambda m: F.regexp_replace(m, " is ", " ")
+        plain = lambda m: F.regexp_replace(m, f" is {verb} ", f" {verb} ")
         part = lambda m, i: F.trim(F.split_part(plain(m), F.lit(f" {verb} "), F.lit(i)))
         return F.transform(found, lambda m: F.struct(part(m, 1).alias("subject"), F.lit(pred).alias("predicate"), F.regexp_replace(part(m, 2), "^(the|a|an) ", "").alias("object")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import tokens
+from ..functions.scalars import lexical_tokens, tokens
 
 K1, B = 1.2, 0.75
 
@@ -21,9 +21,9 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame) -> DataFrame:
 
     Only the queries' terms are kept before anything is shuffled; the statistics of all documents are one aggregate.
     """
-    t = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("t")).filter(F.size("t") > 0)
+    t = docs.select(F.col(key).alias("id"), lexical_tokens(F.col(text)).alias("t")).filter(F.size("t") > 0)
     stats = t.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    q = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    q = queries.select("query_id", F.explode(lexical_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     wanted = q.select("term").distinct()
     p = t.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(F.broadcast(wanted), "term").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     df = p.groupBy("term").agg(F.count("*").alias("df"))
@@ -49,12 +49,51 @@ def ctfidf(docs: DataFrame, group: str, text: str, k: int = 3, least: int = 3) -
     return top_k(s.select("grp", "term", "score"), "grp", k, F.desc("score"), "term")
 
 
+#: Words that no phrase may hold.
+STOPWORDS = (
+    "the", "a", "an", "in", "on", "at", "to", "for", "of", "and", "or", "but", "is", "was", "are", "were", "be", "been", "it", "its", "this", "that", "with", "from", "by", "as", "up",
+    "out", "if", "so", "no", "i", "my", "we", "our", "he", "she", "they", "you", "your", "uses", "using", "used", "works", "working", "worked", "built", "builds", "building",
+    "stores", "storing", "stored", "runs", "running", "creates", "creating", "created",
+)
+
+
+def phrase_words(text):
+    """Words between white space in lower case, only their letters, digits and hyphens."""
+    return F.filter(F.transform(F.split(text, "\\s+"), lambda w: F.regexp_replace(F.lower(w), "[^\\p{L}\\p{N}-]", "")), lambda w: w != "")
+
+
+def phrases(words, sizes: tuple[int, ...]):
+    """array<struct<phrase, at>> of neighbouring words, none of which is a stop word, a number or shorter than three letters."""
+    noise = lambda w: (F.length(w) < 3) | w.rlike("^[0-9]+$") | w.isin(*STOPWORDS)
+
+    def grams(n):
+        at = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.expr("cast(array() as array<int>)"))
+        ok = F.filter(at, lambda i: ~F.exists(F.slice(words, i + 1, n), noise))
+        return F.transform(ok, lambda i: F.struct(F.array_join(F.slice(words, i + 1, n), " ").alias("phrase"), i.alias("at")))
+
+    return F.concat(*[grams(n) for n in sizes])
+
+
 def keyphrases(docs: DataFrame, key: str, text: str, k: int = 8) -> DataFrame:
-    """Pairs of neighbouring words by count plus a bonus for early places."""
-    t = docs.select(F.col(key).alias("id"), F.slice(tokens(F.col(text)), 1, 1 << 20).alias("t")).filter(F.size("t") > 1)
-    grams = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(F.concat_ws(" ", F.element_at("t", i.cast("int")), F.element_at("t", (i + 1).cast("int"))).alias("phrase"), i.alias("at")))
-    g = t.select("id", F.explode(grams).alias("g")).groupBy("id", F.col("g.phrase").alias("phrase")).agg(F.count("*").alias("n"), F.min("g.at").alias("first"))
-    return top_k(g.withColumn("score", F.col("n") + 1 / F.col("first")), "id", k, F.desc("score"), "phrase")
+    """Phrases of two and three words by count plus a bonus of up to 1 for an early first place; one that holds a shorter one of at least its score is left out."""
+    t = docs.select(F.col(key).alias("id"), phrase_words(F.col(text)).alias("t")).filter(F.size("t") > 1)
+    each = t.select("id", F.size("t").alias("total"), F.explode(phrases(F.col("t"), (2, 3))).alias("g"))
+    g = each.groupBy("id", "total", F.col("g.phrase").alias("phrase")).agg(F.count("*").alias("n"), F.min("g.at").alias("first"))
+    g = g.select("id", "phrase", (F.col("n") + 1 - F.col("first") / F.col("total")).alias("score"))
+    words = F.split("phrase", " ")
+    inner = g.filter(F.size(words) == 3).select("id", "phrase", "score", F.explode(F.array(F.array_join(F.slice(words, 1, 2), " "), F.array_join(F.slice(words, 2, 2), " "))).alias("short"))
+    held = inner.join(g.select("id", F.col("phrase").alias("short"), F.col("score").alias("least")), ["id", "short"]).filter("least >= score")
+    kept = g.join(held.select("id", "phrase").distinct(), ["id", "phrase"], "left_anti")
+    return top_k(kept, "id", k, F.desc("score"), "phrase")
+
+
+def label_terms(text, least: int = 3):
+    """Words of at least ``least`` letters that are neither stop words nor numbers, then pairs of neighbouring words of which both are."""
+    t = tokens(text)
+    ok = lambda w: (F.length(w) >= least) & ~w.isin(*STOPWORDS) & ~w.rlike("^[0-9]+$")
+    at = F.when(F.size(t) > 1, F.sequence(F.lit(0), F.size(t) - 2)).otherwise(F.expr("cast(array() as array<int>)"))
+    pairs = F.transform(F.filter(at, lambda i: ok(F.get(t, i)) & ok(F.get(t, i + 1))), lambda i: F.concat_ws(" ", F.get(t, i), F.get(t, i + 1)))
+    return F.concat(F.filter(t, ok), pairs)
 
 
 def mentions(docs: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:

@@ -8,22 +8,45 @@ from ..functions import scalars as S
 from ..operators import answers as A
 from ..operators import ingest as I
 from ..operators import learning as L
-from ..registry import query
+from ..registry import query, text_list
 from ..sources.tables import Tables, with_views
 
-_SAID = (
-    ("I'll ship it by 2026-06-01", 0), ("todo: call Bo tomorrow", 1), ("well, I will look this week", 2), ("let me see in 3 days", 3), ("nothing here", 4), ("I promise to pay by friday", 5), ("remind me to run next monday", 6), ("I'm going to in 2 weeks", 7),
-)
+#: Openings and dues that are put around the turns of a conversation, which have none of their own.
+_OPEN = ("I'll ", "todo: ", "well, I will ", "let me ", "no plan: ", "I promise to ", "remind me to ", "I'm going to ")
+_DUE = (" by 2026-06-01", " tomorrow", " this week", " in 3 days", "", " by friday", " next monday", " in 2 weeks")
+_SAID_SQL = f"""select conv_id, turn, {text_list(_OPEN)}[(conv_id + turn) % 8 + 1] || substr(text, 1, 1) || {text_list(_DUE)}[(conv_id + 3 * turn) % 8 + 1] || ' ' || text as text from conversations"""
 
 
-@query("select * from (values (0, 0.9, 'first_person_future_contracted', '2026-06-01'), (1, 0.9, 'todo_colon', '2024-05-16'), (2, 0.7, 'first_person_future_mid', '2024-05-17'), (3, 0.9, 'let_me', '2024-05-18'), (5, 0.9, 'promise', '2024-05-17'), (6, 0.9, 'remind_me', '2024-05-27'), (7, 0.9, 'first_person_going_to', '2024-05-29')) v(id, confidence, pattern, due)")
+def _said(t: Tables):
+    pick = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (n % 8 + 1).cast("int"))
+    c = t.conversations
+    text = F.concat(pick(_OPEN, F.col("conv_id") + F.col("turn")), F.substring("text", 1, 1), pick(_DUE, F.col("conv_id") + 3 * F.col("turn")), F.lit(" "), F.col("text"))
+    return c.select("conv_id", "turn", text.alias("text"))
+
+
+def _commitment_sql() -> str:
+    day = "date '2024-05-15'"  # a Wednesday
+    until = lambda i: f"({day} + cast((({i} - (isodow({day}) - 1) + 7) % 7) as int))"
+    q = lambda x: x.replace("'", "''")
+    pattern = "case " + " ".join(f"when starts_with(low, '{q(p)}') then '{n}'" for p, n in I.PREFIXES) + " " + " ".join(f"when contains(low, '{q(p)}') then '{n}'" for p, n in I.INFIXES) + " end"
+    due = f"case when regexp_matches(low, '(by|on|before) \\d{{4}}-\\d{{2}}-\\d{{2}}') then try_cast(regexp_extract(low, '(?:by|on|before) (\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) as date) "
+    due += f"when regexp_matches(low, 'tonight|today') then {day} when contains(low, 'tomorrow') then {day} + 1 when regexp_matches(low, 'this week|eow|end of week') then {until(4)} "
+    due += f"when regexp_matches(low, 'in \\d+ day') then {day} + cast(regexp_extract(low, 'in (\\d+) day', 1) as int) when regexp_matches(low, 'in \\d+ week') then {day} + 7 * cast(regexp_extract(low, 'in (\\d+) week', 1) as int) "
+    for word in ("by", "next", "this"):
+        for i, name in enumerate(I.WEEKDAYS):
+            due += f"when contains(low, '{word} {name}') then {until(i)}" + (f" + case when {until(i)} - {day} < 7 then 7 else 0 end " if word == "next" else " ")
+    base = "case when ends_with(pattern, '_mid') then 0.6 else 0.8 end"
+    return f"""with s as ({_SAID_SQL}), l as (select conv_id, turn, lower(trim(text)) as low from s), p as (select *, {pattern} as pattern, {due} end as due from l)
+select conv_id, turn, pattern, cast(due as varchar) as due, round(case when due is null then {base} else least({base} + 0.1, 0.95) end, 6) as confidence from p where pattern is not null"""
+
+
+@query(_commitment_sql())
 def detect_commitments(t: Tables):
-    df = t.spark.createDataFrame([(i, s) for s, i in _SAID], "id int, text string")
-    c = df.select("id", I.commitment(F.col("text"), F.lit("2024-05-15").cast("date")).alias("c")).filter("c is not null")
-    return c.select("id", "c.confidence", "c.pattern", F.col("c.due").cast("string").alias("due"))
+    c = _said(t).select("conv_id", "turn", I.commitment(F.col("text"), F.lit("2024-05-15").cast("date")).alias("c")).filter("c is not null")
+    return c.select("conv_id", "turn", "c.confidence", "c.pattern", F.col("c.due").cast("string").alias("due"))
 
 
-_W = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')"
+_W = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
 
 
 def _re(p):
@@ -47,15 +70,23 @@ def decide_memory_op(t: Tables):
     return e.groupBy("op").agg(F.count("*").alias("n"))
 
 
-@query("select * from (values (1, 'Ada Byron', 'works_at', 'Engine House'), (1, 'Spark', 'uses', 'Parquet'), (2, 'Bo', 'manages', 'Ada Byron')) v(id, subject, predicate, object)")
+_FACTS = " ".join(f"when {i} then 'Ada Byron {verb} Engine House'" for i, (verb, _) in enumerate(I.RELATIONS))
+
+
+@query(f"""with s as (select conv_id, turn, case (conv_id + turn) % {len(I.RELATIONS)} {_FACTS} end || '. ' || substr(text, 1, 0) as said from conversations)
+select conv_id * 1000 + turn as id, 'Ada Byron' as subject, {[p for _, p in I.RELATIONS]}[(conv_id + turn) % {len(I.RELATIONS)} + 1] as predicate, 'Engine House' as object from s""")
 def extract_triples(t: Tables):
-    df = t.spark.createDataFrame([(1, "Ada Byron works at Engine House. Then Spark uses Parquet too, it uses nothing."), (2, "yes: Bo manages Ada Byron"), (3, "no names here uses x")], "id int, text string")
-    return I.triples_in(df, "id", "text").select("id", "subject", "predicate", "object").withColumn("subject", F.regexp_replace("subject", "^Then ", ""))
+    """Every turn of every conversation, each behind a sentence that states a relation."""
+    verbs = F.array(*[F.lit(v) for v, _ in I.RELATIONS])
+    verb = F.element_at(verbs, ((F.col("conv_id") + F.col("turn")) % len(I.RELATIONS) + 1).cast("int"))
+    said = F.concat(F.lit("Ada Byron "), verb, F.lit(" Engine House. "), "text")
+    docs = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), said.alias("text"))
+    return I.triples_in(docs, "id", "text").select("id", "subject", "predicate", "object")
 
 
-@query("select conv_id, turn, list_distinct(regexp_extract_all(text, '([A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)*)', 1)) .list_sort() as names from conversations where turn = 0")
+@query("select conv_id, turn, list_distinct(regexp_extract_all(text, '([A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)*)', 1)) .list_sort() as names from conversations")
 def extract_entities(t: Tables):
-    return t.conversations.filter("turn = 0").select("conv_id", "turn", F.array_sort(I.capitalised(F.col("text"))).alias("names"))
+    return t.conversations.select("conv_id", "turn", F.array_sort(I.capitalised(F.col("text"))).alias("names"))
 
 
 @query(with_views("entities") + "select 'note-2024-01-05' as subject_id, 'related_to' as predicate, id as object_id from entities where created_at::date = date '2024-01-05' and id <> 'c4'")

@@ -162,17 +162,23 @@ def contradiction_rate(t: Tables):
     return bad.join(F.broadcast(t.facts.agg(F.count_distinct("entity_id").alias("groups")))).withColumn("rate", F.round(F.col("conflicted") / F.col("groups"), 6))
 
 
-@query(E + "select key, max_by(id, struct_pack(c := confidence, id := id)) as id, round(least(1.0, max(confidence) + 0.3 * (sum(confidence) - max(confidence))), 6) as confidence, count(*) as merged from (select *, lower(name) as key from entities where entity_type = 'concept') group by key")
+@query(E + "select key, max_by(id, struct_pack(c := confidence, id := id)) as id, round(least(1.0, max(confidence) + 0.3 * (sum(confidence) - max(confidence))), 6) as confidence, count(*) as merged from (select *, trim(regexp_replace(regexp_replace(lower(name), '[_-]', ' ', 'g'), ' +', ' ', 'g')) as key from entities) group by key")
 def merge_duplicates(t: Tables):
-    return R.merge_duplicates(t.entities.filter("entity_type = 'concept'"), S.normalize_name(F.col("name"))).withColumn("confidence", F.round("confidence", 6))
+    return R.merge_duplicates(t.entities, S.normalize_name(F.col("name"))).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("""with e as (select 's' || s_suppkey as id, lower(s_name) as n from supplier), q(query) as (values ('Supplier#000000003'), ('supplier#00000004'), ('suplier#000000005'), ('nobody')),
-h as (select query, id, case when lower(query) = n then 0 else levenshtein(lower(query), n) end as distance from q, e where abs(length(query) - length(n)) <= 2)
-select query, arg_min(id, struct_pack(d := distance, id := id)) as id, min(distance)::int as distance from h where distance <= 1 group by query""")
+_FUZZY = ("Supplier#000000003", "supplier#00000004", "xupplier#000000009", "suplier#000000005", "chima", "small rimg", "nobody")
+_PRINT = "regexp_replace(trim(regexp_replace({}, '[^a-z0-9]+', ' ', 'g')), ' s$', '')"
+_PRINT = f"(select case when length(y) < 3 then '' else y end from (select case when regexp_matches(x, '[^s]s$') then x[:-2] else x end as y from (select {_PRINT} as x)))"
+
+
+@query(E + f""", q(query) as (values {', '.join(f"('{x}')" for x in _FUZZY)}),
+d as (select query, id, lower(query) as ql, lower(name) as n from q, entities where abs(length(query) - length(name)) <= 2),
+h as (select query, id, case when {_PRINT.format('ql')} = {_PRINT.format('n')} then 0 else levenshtein(ql, n) end as distance from d)
+select query, arg_min(id, struct_pack(d := distance, id := id)) as id, min(distance)::int as distance from h where distance <= 2 group by query""")
 def fuzzy_match(t: Tables):
-    names = t.spark.createDataFrame([("Supplier#000000003",), ("supplier#00000004",), ("suplier#000000005",), ("nobody",)], "query string")
-    return R.fuzzy_match(names, t.entities.filter("entity_type = 'organization'"), most=1)
+    """A stated set of names against all entities, up to two edits."""
+    return R.fuzzy_match(t.spark.createDataFrame([(x,) for x in _FUZZY], "query string"), t.entities, most=2)
 
 
 # ----------------------------------------------------------------- aggregations
@@ -247,10 +253,10 @@ def session_upsert(t: Tables):
     return e.groupBy("host").agg(F.count("*").alias("calls"), F.min("ts").alias("started_at"), F.max("ts").alias("last_activity"), F.max_by("event_type", F.struct("ts", "event_id")).alias("label"))
 
 
-@query("select least(a, b) as a, greatest(a, b) as b, count(*) as strikes, count(*) >= 3 as blocked from (select c_nationkey as a, s_nationkey as b from orders join customer on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey where l_linenumber = 1 and o_orderkey % 97 = 0) where a <> b group by 1, 2")
+@query("select least(a, b) as a, greatest(a, b) as b, count(*) as strikes, count(*) >= 3 as blocked from (select c_nationkey as a, s_nationkey as b from orders join customer on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey ) where a <> b group by 1, 2")
 def context_strikes(t: Tables):
     """Unordered pairs with three strikes are blocked."""
-    j = t.orders.filter("o_orderkey % 97 = 0").join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(t.lineitem.filter("l_linenumber = 1"), F.col("l_orderkey") == F.col("o_orderkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    j = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
     p = j.filter("c_nationkey <> s_nationkey").select(F.least("c_nationkey", "s_nationkey").alias("a"), F.greatest("c_nationkey", "s_nationkey").alias("b"))
     return p.groupBy("a", "b").agg(F.count("*").alias("strikes"), (F.count("*") >= 3).alias("blocked"))
 
@@ -300,7 +306,7 @@ def context_merge(t: Tables):
     return R.merge_contexts(t.entities, [1, 2], 9).select("id", "context_id")
 
 
-@query(ET + ", moved as (select id from entities where context_id = 1 and entity_type = 'person') select subject_id, object_id, case when subject_id in (select id from moved) then 7 end as context_id from triples where predicate = 'located_in'")
+@query(ET + ", moved as (select id from entities where context_id = 1 and entity_type = 'person') select subject_id, object_id, predicate, case when subject_id in (select id from moved) then 7 end as context_id from triples")
 def context_split(t: Tables):
-    _, moved = R.split_context(t.entities, t.triples.filter("predicate = 'located_in'"), 1, "person", 7)
-    return moved.select("subject_id", "object_id", "context_id")
+    _, moved = R.split_context(t.entities, t.triples, 1, "person", 7)
+    return moved.select("subject_id", "predicate", "object_id", "context_id")

@@ -9,11 +9,13 @@ from ..operators import text as X
 from ..registry import query
 from ..sources.tables import Tables
 
-_TOK = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda t: t <> '')"
+_TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+_LEX = "list_filter(list_transform(regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\p{{L}}\\p{{N}}:.$''-]+'), lambda t: regexp_replace(regexp_replace(t, '''s$', ''), '^[.''-]+|[.''-]+$', '', 'g')), lambda t: t <> '')"
+_STOP = list(X.STOPWORDS)
 
 
-@query(f"""with q(query_id, query) as (values (1, 'the tion of'), (2, 'die und der und')), t as (select doc_id as id, {_TOK.format('text')} as t from documents), d as (select * from t where len(t) > 0),
-st as (select count(*) as n, avg(len(t)) as avgdl from d), qq as (select query_id, term, count(*) as times from (select query_id, unnest({_TOK.format('query')}) as term from q) group by 1, 2),
+@query(f"""with q(query_id, query) as (values (1, 'the tion of'), (2, 'die und der und')), t as (select doc_id as id, {_LEX.format('text')} as t from documents), d as (select * from t where len(t) > 0),
+st as (select count(*) as n, avg(len(t)) as avgdl from d), qq as (select query_id, term, count(*) as times from (select query_id, unnest({_LEX.format('query')}) as term from q) group by 1, 2),
 p as (select id, len, term, count(*) as tf from (select id, len(t) as len, unnest(t) as term from d) where term in (select term from qq) group by 1, 2, 3), df as (select term, count(*) as df from p group by 1),
 s as (select query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avgdl)) * times), 6) as score from p join df using (term) join qq using (term), st group by 1, 2)
 select query_id, id, score, n as rank from (select *, row_number() over (partition by query_id order by score desc, id) as n from s) where n <= 10""")
@@ -31,9 +33,11 @@ def ctfidf_labels(t: Tables):
     return X.ctfidf(t.documents, "lang", "text").withColumn("score", F.round("score", 9))
 
 
-@query(f"""with t as (select item_id as id, {_TOK.format('text')} as t from benchmark), g as (select id, t[i] || ' ' || t[i + 1] as phrase, i from (select id, t, unnest(range(1, len(t))) as i from t)),
-c as (select id, phrase, count(*) + 1 / min(i) as score from g group by 1, 2)
-select id, phrase, round(score, 6) as score, n as rank from (select *, row_number() over (partition by id order by score desc, phrase) as n from c) where n <= 8""")
+@query(f"""with w as (select item_id as id, list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda w: regexp_replace(lower(w), '[^\\p{{L}}\\p{{N}}-]', '', 'g')), lambda w: w <> '') as t from benchmark),
+g as (select id, len(t) as total, array_to_string(t[i:i+n-1], ' ') as phrase, t[i:i+n-1] as ws, i - 1 as pos from (select id, t, n, unnest(range(1, len(t) - n + 2)) as i from w, (values (2), (3)) v(n))),
+c as (select id, total, phrase, count(*) + 1 - min(pos) / total as score from g where len(list_filter(ws, lambda x: length(x) < 3 or regexp_full_match(x, '[0-9]+') or list_contains({_STOP}, x))) = 0 group by 1, 2, 3),
+d as (select c.id, c.phrase from c join c s on s.id = c.id and s.score >= c.score and len(string_split(c.phrase, ' ')) = 3 and s.phrase in (array_to_string(string_split(c.phrase, ' ')[1:2], ' '), array_to_string(string_split(c.phrase, ' ')[2:3], ' ')))
+select id, phrase, round(score, 6) as score, n as rank from (select *, row_number() over (partition by id order by score desc, phrase) as n from c where (id, phrase) not in (select id, phrase from d)) where n <= 8""")
 def keyphrases(t: Tables):
     k = X.keyphrases(t.benchmark, "item_id", "text")
     return k.select("id", "phrase", F.round("score", 6).alias("score"), "rank")

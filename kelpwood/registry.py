@@ -22,3 +22,8 @@ def query(sql: str | None = None):
         return f
 
     return add
+
+
+def text_list(values) -> str:
+    """A list of texts as SQL."""
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
