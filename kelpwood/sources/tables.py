@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import Memory
+
 HIGH, MEDIUM = ("1-URGENT", "2-HIGH"), ("3-MEDIUM",)
 COMMITMENT_DAYS = 30
 
@@ -19,7 +21,7 @@ def confidence(k):
     return (k * 37 % 100) / 100.0
 
 
-class Tables:
+class Tables(Memory):
     """Lazily read tables of one folder and the views on them."""
 
     def __init__(self, spark: SparkSession, folder: str):
