@@ -12,7 +12,7 @@ a thing to be parsed; the index that all blocks share is spread by hash, so no b
    others, so that what one reference breaks off another carries on, and the words of all factors are exactly those of all windows found. Words
    between factors are literals.
 
-Windows are told apart by 96 bits, of two hashes that are independent from the words' bytes on. A passage in a third of all rows is announced once for
+Windows are told apart by 80 bits, of two hashes that are independent from the words' bytes on, where their anchors' 64 bits are shared as well. A passage in a third of all rows is announced once for
 each block, not once for each row: the rows of one window or anchor are some tens of bytes for each block of ``block_bytes`` of text, which a task streams and
 spills. Three sweeps read one exchange of the texts.
 """
@@ -30,9 +30,11 @@ from pyspark.sql import types as T
 from .common import Words, gram_hashes, internal, signed, text_array, text_bytes, tidy
 
 SEED_WORDS = 4
+CHECK_BITS = 16  # of the second hash
 NO_ID = np.iinfo(np.int64).max
 FACTOR = "array<struct<start:int,length:int,ref_doc:bigint,ref_start:int>>"
-INDEX = "w long, c int, block long, doc long, place int"
+#: What is exchanged of a window: its hash, and in one number the second hash and the place, as rows of few columns pack better.
+INDEX = "w long, spot long, block long, doc long"
 
 
 def _windows(texts: pa.Array, window: int, check: bool = True):
@@ -42,7 +44,7 @@ def _windows(texts: pa.Array, window: int, check: bool = True):
     n = len(h) - window + 1
     if n <= 0:
         none = np.zeros(0, np.uint64)
-        return w, none, none, np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return w, none, none, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     seed = gram_hashes(h, min(SEED_WORDS, window))
     span = window - min(SEED_WORDS, window) + 1
     low, have = seed, 1
@@ -54,7 +56,7 @@ def _windows(texts: pa.Array, window: int, check: bool = True):
     if not check:
         return w, low[at], None, None, doc[at], at
     full = gram_hashes(h, window)[at]
-    second = (gram_hashes(w.hashes(1), window, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)[at]
+    second = (gram_hashes(w.hashes(1), window, 1) >> np.uint64(64 - CHECK_BITS)).astype(np.int64)[at]
     return w, low[at], full, second, doc[at], at
 
 
@@ -104,11 +106,11 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
 
 
 def _lookup(full: np.ndarray, second: np.ndarray, known: pa.Table) -> np.ndarray:
-    """For each distinct window its row of ``known`` (w, c, ...), or -1."""
+    """For each distinct window its row of ``known`` (w, spot with the second hash in its upper bits), or -1."""
     out = np.full(len(full), -1)
     if not known.num_rows or not len(full):
         return out
-    w, c = _column(known, "w").view(np.uint64), _column(known, "c")
+    w, c = _column(known, "w").view(np.uint64), _column(known, "spot").view(np.uint64) >> np.uint64(64 - CHECK_BITS)
     order = np.argsort(w, kind="stable")
     w, c = w[order], c[order]
     low, high = np.searchsorted(w, full), np.searchsorted(w, full, side="right")
@@ -171,20 +173,20 @@ def substring_dedup(docs: DataFrame, window: int = 13, block_bytes: int = 8 << 2
 
     def announce_windows(t: pa.Table, known: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return pa.table({c: pa.array([], k) for c, k in (("w", pa.int64()), ("c", pa.int32()), ("block", pa.int64()), ("doc", pa.int64()), ("place", pa.int32()))})
+            return pa.table({c: np.zeros(0, np.int64) for c in ("w", "spot", "block", "doc")})
         w, low, full, second, doc, at = _windows(text_array(t.column("text")), window)
         anchor, twice = _anchors(low, doc)
         here = _found(low, anchor[twice]) | _found(low, np.sort(_column(known, "anchor").view(np.uint64)))
         ids, rank = np.unique(_ids(t.column("doc_id")), return_inverse=True)
         spot = (rank.reshape(-1)[doc[here]] << 32) + at[here] - w.offsets[doc[here]]
         key, check, spot, _ = _firsts(full[here], second[here], spot)
-        place = (spot & 0xFFFFFFFF).astype(np.int32)
-        return pa.table({"w": signed(key), "c": check, "block": np.full(len(key), number_of(t)), "doc": ids[spot >> 32], "place": place})
+        packed = check << (64 - CHECK_BITS) | spot & 0xFFFFFFFF
+        return pa.table({"w": signed(key), "spot": packed, "block": np.full(len(key), number_of(t)), "doc": ids[spot >> 32]})
 
-    told = dealt.cogroup(shared.groupBy("block")).applyInArrow(announce_windows, INDEX)
-    by_window = Window.partitionBy("w", "c")
-    index = told.withColumn("first", F.min(F.struct("doc", "place")).over(by_window)).filter("first.doc < doc")
-    earlier = index.select("block", "w", "c", F.col("first.doc").alias("ref"), F.col("first.place").alias("ref_place"))
+    told = dealt.cogroup(shared.groupBy("block")).applyInArrow(announce_windows, INDEX).repartition("w")
+    by_window = Window.partitionBy("w", F.shiftrightunsigned("spot", 64 - CHECK_BITS))
+    index = told.withColumn("first", F.min(F.struct("doc", "spot")).over(by_window)).filter("first.doc < doc")
+    earlier = index.select("block", "w", F.col("first.spot").alias("spot"), F.col("first.doc").alias("ref"))
 
     keep = [f for f in base.schema.fields if f.name != block]
     schema = T.StructType([*keep, *T._parse_datatype_string(", ".join(f"`{k}` {v}" for k, v in out.items())).fields])
@@ -197,7 +199,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, block_bytes: int = 8 << 2
         ref, ref_place = ids[spot >> 32] if len(spot) else spot, spot & 0xFFFFFFFF
         row = _lookup(key, check, known)
         other = row >= 0
-        ref[other], ref_place[other] = _column(known, "ref")[row[other]], _column(known, "ref_place")[row[other]]
+        ref[other], ref_place[other] = _column(known, "ref")[row[other]], _column(known, "spot")[row[other]] & 0xFFFFFFFF
         copied = np.flatnonzero(ref[number] < ids[own]) if len(number) else number
         number = number[copied]
         made = factors(place[copied], doc[copied], ref[number], ref_place[number], window)

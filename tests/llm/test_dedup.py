@@ -162,8 +162,8 @@ def test_factors_are_copies(spark):
 
 def test_equal_first_hashes():
     """Windows whose 64-bit hashes collide are told apart by the second hash."""
-    full, second = np.array([5, 5, 9, 5], np.uint64), np.array([1, 2, 1, 1], np.int32)
+    full, second = np.array([5, 5, 9, 5], np.uint64), np.array([1, 2, 1, 1])
     key, check, spot, number = _firsts(full, second, np.array([30, 10, 20, 40]))
     assert list(zip(key.tolist(), check.tolist(), spot.tolist())) == [(5, 1, 30), (5, 2, 10), (9, 1, 20)] and number.tolist() == [0, 1, 2, 0]
-    known = pa.table({"w": np.array([5, 9, 5]), "c": np.array([2, 7, 1], np.int32)})
+    known = pa.table({"w": np.array([5, 9, 5]), "spot": np.array([2, 7, 1]) << 48 | 3})
     assert _lookup(key, check, known).tolist() == [2, 0, -1]
