@@ -113,3 +113,70 @@ def relation_suggestions(near: DataFrame, edges: DataFrame, least: float = 0.75,
     pairs = top.groupBy(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")).agg(F.max("score").alias("score"))
     linked = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.join(linked, ["a", "b"], "left_anti")
+
+
+# ----------------------------------------------------------------- names
+#: Shapes of keys and tokens.
+SECRET = "^(sk-|ghp_|gho_|AKIA|xox[bp]-|eyJ)[A-Za-z0-9_.-]{8,}$"
+TAGS = {"person": "people", "organization": "orgs", "place": "places"}
+
+
+def type_tag(entity_type: Column) -> Column:
+    return first_match([(entity_type == k, F.lit(v)) for k, v in TAGS.items()], F.concat(entity_type, F.lit("s")))
+
+
+def has_high_entropy(word: Column) -> Column:
+    """More than eight bytes, of which over seven tenths are different characters."""
+    distinct = F.size(F.array_distinct(F.split(word, "")))
+    return (F.octet_length(word) > 8) & (distinct / F.octet_length(word) > 0.7)
+
+
+def looks_like_secret(word: Column) -> Column:
+    return word.rlike(SECRET) | has_high_entropy(word)
+
+
+def multi_word_type(name: Column, organizations: tuple[str, ...], technology: tuple[str, ...]) -> Column:
+    """An organisation by its last word, technology by any word, else a concept."""
+    words = F.split(F.lower(name), " ")
+    tech = F.arrays_overlap(words, F.array(*[F.lit(w) for w in technology]))
+    return F.when(F.element_at(words, -1).isin(*organizations), "organization").when(tech, "technology").otherwise("concept")
+
+
+def contained_names(names: DataFrame, least: int = 4) -> DataFrame:
+    """a < b, of which one holds the other whole, the shorter of ``least`` letters at least: substrings are joined by value, never all with all."""
+    n = F.length("name")
+    at = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.least(F.lit(least), n - i + 1), n - i + 1), lambda k: F.substring(F.col("name"), i, k))))
+    inner = names.filter(n >= least).select(F.col("name").alias("long"), F.explode(F.array_distinct(at)).alias("short")).filter((F.col("short") != F.col("long")) & (F.length("short") >= least))
+    j = inner.join(names.select(F.col("name").alias("short")), "short")
+    return j.select(F.least("long", "short").alias("a"), F.greatest("long", "short").alias("b")).distinct()
+
+
+def quality_name(name: Column, unwanted: tuple[str, ...] = ()) -> Column:
+    return (F.length(name) >= 3) & ~name.rlike("^[0-9#]+$") & ~F.lower(name).isin(*unwanted)
+
+
+def triple_prompt(text: Column) -> Column:
+    return F.concat(F.lit("Extract triples from: "), text)
+
+
+def parse_triples(df: DataFrame, key: str, reply: str) -> DataFrame:
+    """key, subject, predicate, object from replies of one JSON object a line; other lines and incomplete objects are left out."""
+    line = df.select(F.col(key).alias("id"), F.explode(F.split(F.col(reply), "\n")).alias("line"))
+    t = line.select("id", F.from_json("line", "subject string, predicate string, object string").alias("t"))
+    return t.filter("t.subject is not null and t.predicate is not null and t.object is not null").select("id", "t.*")
+
+
+def greedy_spans(hits: DataFrame, cutoff: float = 0.3) -> DataFrame:
+    """``hits``: doc, start, length, label, score of a span model. Above the cutoff, best first, ties to the longer and then the earlier, none overlapping.
+
+    A fold over a document's hits in that order.
+    """
+    row = F.struct((-F.col("score")).alias("s"), (-F.col("length")).alias("l"), "start", "length", "label", "score")
+    ordered = hits.filter(F.col("score") >= cutoff).groupBy("doc").agg(F.array_sort(F.collect_list(row)).alias("h"))
+    empty = F.filter(F.col("h"), lambda x: F.lit(False))
+
+    def take(done: Column, x: Column) -> Column:
+        clash = F.exists(done, lambda y: (x["start"] < y["start"] + y["length"]) & (y["start"] < x["start"] + x["length"]))
+        return F.when(clash, done).otherwise(F.concat(done, F.array(x)))
+
+    return ordered.select("doc", F.explode(F.aggregate("h", empty, take)).alias("k")).select("doc", "k.start", "k.length", "k.label", "k.score")

@@ -54,7 +54,7 @@ def current(log: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
 def change(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     """The table after updates: of each key that it has, columns of ``changes`` that aren't null replace its own."""
     fields = [c for c in changes.columns if c not in key]
-    new = changes.select(*key, *[F.col(c).alias(f"__{c}") for c in fields])
+    new = changes.groupBy(*key).agg(*[F.max(c).alias(f"__{c}") for c in fields])  # of several changes of one key the greatest values
     pick = lambda c: F.coalesce(f"__{c}", c).alias(c) if c in fields else F.col(c)
     return table.join(new, key, "left").select(*[pick(c) for c in table.columns])
 
@@ -76,7 +76,7 @@ def versioned(table: DataFrame, rows: DataFrame, key: list[str], version: str =
 
 def decide(table: DataFrame, decisions: DataFrame, key: str, status: str = "status", only: str = "pending") -> DataFrame:
     """``decisions``: key and ``decided``. Rows that are still ``only`` take the decision; all others stay."""
-    j = table.join(decisions.select(key, "decided"), key, "left")
+    j = table.join(decisions.groupBy(key).agg(F.max("decided").alias("decided")), key, "left")
     new = F.when((F.col(status) == only) & F.col("decided").isNotNull(), F.col("decided")).otherwise(F.col(status))
     return j.withColumn(status, new).select(*table.columns)
 

@@ -143,13 +143,13 @@ def heuristic_moc_groups(t: Tables):
 _HUBS = ET + ", g as (select object_id, count(distinct subject_id) as n from triples where predicate = 'located_in' group by 1 having count(distinct subject_id) >= 3), h as (select g.object_id, e.name || ' (MOC)' as hub, n from g join entities e on e.id = g.object_id)"
 
 
-@query(_HUBS + " select h.hub as subject_id, 'indexes' as predicate, t.subject_id as object_id, 0.85 as confidence from h join triples t on t.object_id = h.object_id and t.predicate = 'located_in'")
+@query(_HUBS + " select h.hub as subject_id, 'indexes' as predicate, t.subject_id as object_id, 0.85::double as confidence from h join triples t on t.object_id = h.object_id and t.predicate = 'located_in'")
 def upsert_moc(t: Tables):
     """A hub for each group, named like the entity it is about (so the name clashes and gets a mark), with an edge to each member."""
     return A.hubs(t.triples.filter("predicate = 'located_in'").select(F.col("object_id").alias("grp"), F.col("subject_id").alias("member")), t.entities)
 
 
-@query("with c as (select label, count(*) as n from embeddings group by 1 having count(*) >= 3) select 'Cluster ' || label as subject_id, 'indexes' as predicate, vec_id::varchar as object_id, 0.85 as confidence from embeddings join c using (label)")
+@query("with c as (select label, count(*) as n from embeddings group by 1 having count(*) >= 3) select 'Cluster ' || label as subject_id, 'indexes' as predicate, vec_id::varchar as object_id, 0.85::double as confidence from embeddings join c using (label)")
 def generate_moc_for_cluster(t: Tables):
     members = t.embeddings.select(F.concat(F.lit("Cluster "), F.col("label").cast("string")).alias("grp"), F.col("vec_id").cast("string").alias("member"))
     return A.hubs(members, None)

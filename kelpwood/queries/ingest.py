@@ -37,7 +37,7 @@ def _commitment_sql() -> str:
             due += f"when contains(low, '{word} {name}') then {until(i)}" + (f" + case when {until(i)} - {day} < 7 then 7 else 0 end " if word == "next" else " ")
     base = "case when ends_with(pattern, '_mid') then 0.6 else 0.8 end"
     return f"""with s as ({_SAID_SQL}), l as (select conv_id, turn, lower(trim(text)) as low from s), p as (select *, {pattern} as pattern, {due} end as due from l)
-select conv_id, turn, pattern, cast(due as varchar) as due, round(case when due is null then {base} else least({base} + 0.1, 0.95) end, 6) as confidence from p where pattern is not null"""
+select conv_id, turn, pattern, cast(due as varchar) as due, round(case when due is null then {base} else least({base} + 0.1, 0.95) end, 6)::double as confidence from p where pattern is not null"""
 
 
 @query(_commitment_sql())
@@ -138,12 +138,6 @@ def outcome_model(t: Tables):
     return L.SoftmaxModel().fit(done, ["stakes", "statement"], "polarity").transform(done)
 
 
-@query()
-def short_answer(t: Tables):
-    chunks = t.benchmark.select(F.col("item_id").alias("id"), "text", (F.col("item_id") % 10 / 10.0).alias("score"))
-    return A.short_answer(chunks, "the tion of thand")
-
-
 @query()
 def consolidate_groups(t: Tables):
     """Documents with equal texts as one signal each."""

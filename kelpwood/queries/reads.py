@@ -430,7 +430,7 @@ def unpin(t: Tables):
 
 
 # ----------------------------------------------------------------- comparisons
-@query("select round(avg(case when value > 20 then 1.0 else 0.0 end), 6) as ours, 0.4 as theirs, avg(case when value > 20 then 1.0 else 0.0 end) < 0.5 * 0.4 as below_half from events")
+@query("select round(avg(case when value > 20 then 1.0 else 0.0 end), 6) as ours, 0.4::double as theirs, avg(case when value > 20 then 1.0 else 0.0 end) < 0.5 * 0.4 as below_half from events")
 def below_half(t: Tables):
     rate = F.avg(F.when(F.col("value") > 20, 1.0).otherwise(0.0))
     return t.events.agg(F.round(rate, 6).alias("ours"), F.lit(0.4).alias("theirs"), (rate < 0.5 * 0.4).alias("below_half"))

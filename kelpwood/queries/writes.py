@@ -99,7 +99,7 @@ def snapshot_context(t: Tables):
     return lines.filter("json is not null").groupBy("context_id").agg(F.count("*").alias("entities"), F.min("id").alias("first"))
 
 
-@query(ET + "select count(*) as pages, sum(links) as links from (select e.id, count(t.object_id) as links from entities e left join triples t on t.subject_id = e.id where e.context_id = 2 group by 1)")
+@query(ET + "select count(*) as pages, sum(links)::double as links from (select e.id, count(t.object_id) as links from entities e left join triples t on t.subject_id = e.id where e.context_id = 2 group by 1)")
 def export_markdown(t: Tables):
     """Pages of one namespace, masked, with a link line for each edge."""
     pages = W.markdown(K.point(t.entities, "context_id", 2), t.triples, mask=True)
@@ -363,7 +363,7 @@ def signals_for_hook(t: Tables):
 _KINDS = "case event_type when 'purchase' then 'helpful' when 'click' then 'cited' when 'error' then 'miss' when 'signup' then 'bridge' else 'verb_invoked' end"
 
 
-@query(f"select kind, target, count(*) as n, round(sum(w), 4) as weight from (select {_KINDS} as kind, case event_type when 'purchase' then 'positive' when 'click' then 'positive' when 'view' then 'behaviour' else 'negative' end as target, case event_type when 'purchase' then 0.3 when 'click' then 0.3 when 'error' then -0.5 when 'signup' then -1.0 else 0 end as w from events) group by 1, 2")
+@query(f"select kind, target, count(*) as n, round(sum(w), 4)::double as weight from (select {_KINDS} as kind, case event_type when 'purchase' then 'positive' when 'click' then 'positive' when 'view' then 'behaviour' else 'negative' end as target, case event_type when 'purchase' then 0.3 when 'click' then 0.3 when 'error' then -0.5 when 'signup' then -1.0 else 0 end as w from events) group by 1, 2")
 def memory_feedback(t: Tables):
     """Kinds of feedback to weights and to the table that takes them."""
     from ..operators.policy import feedback_target, feedback_weight
