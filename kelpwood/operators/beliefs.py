@@ -37,3 +37,29 @@ def resolve(beliefs: DataFrame, retracted: DataFrame) -> DataFrame:
     """Beliefs named by ``retracted`` (id) are out."""
     gone = retracted.select("id", F.lit(True).alias("gone")).distinct()
     return beliefs.join(gone, "id", "left").withColumn("status", F.when(F.col("gone"), "out").otherwise(F.col("status"))).drop("gone")
+
+
+def asserted(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """``log``: statement, id, status, seq; ``rows``: statement. Beliefs that an assertion adds: a statement that is in already, or stated twice, adds none; one whose last belief is out is held anew."""
+    last = log.groupBy("statement").agg(F.max_by("status", F.struct("seq", "id")).alias("status"))
+    return rows.select("statement").distinct().join(last, "statement", "left").filter(F.col("status").isNull() | (F.col("status") == "out")).select("statement", F.lit("in").alias("status"))
+
+
+def justified(justifications: DataFrame, beliefs: DataFrame) -> DataFrame:
+    """Justifications of which the target and all premises exist; others are refused whole."""
+    ids = beliefs.select("id")
+    j = justifications.join(ids.select(F.col("id").alias("target")), "target", "left_semi")
+    missing = j.join(ids.select(F.col("id").alias("premise")), "premise", "left_anti").select("jid").distinct()
+    return j.join(missing, "jid", "left_anti").select(*justifications.columns)
+
+
+def dependents(justifications: DataFrame, premise: int) -> DataFrame:
+    return justifications.filter(F.col("premise") == premise).select("target").distinct()
+
+
+def resolve_pairs(pairs: DataFrame, choices: DataFrame) -> DataFrame:
+    """``pairs``: a, b; ``choices``: a, b in either order and ``keep`` ('a', 'b', 'both', 'none', of the choice's own order). The ids that are retracted, each once."""
+    canon = choices.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("x"), F.col("b").alias("y"), "keep")
+    j = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(canon, ["a", "b"])
+    gone = F.when(F.col("keep") == "a", F.array("y")).when(F.col("keep") == "b", F.array("x")).when(F.col("keep") == "none", F.array("x", "y")).otherwise(F.array().cast("array<long>"))
+    return j.select(F.explode(gone).alias("id")).distinct()

@@ -16,7 +16,7 @@ VIEWS: dict[str, str] = {
     "trajectories": """select event_id as id, user_id % 6 as arm, case when value > 100 then 1e0 else value / 100 end as reward, event_type as query_class,
   case when value > 50 then 'success' when value < 5 then 'failure' else 'unknown' end as outcome, case when event_id % 3 = 0 then value end as actual, 1704067200 + event_id * 60 as seen_at from {events}""",
     "procedures": """select l_partkey as id, l_orderkey * 10 + l_linenumber as seq, l_linenumber as version, concat('make ', p_name) as name, lower(p_type) as steps,
-  case l_returnflag when 'R' then 'deprecated' when 'A' then 'active' else 'draft' end as status, cast(l_quantity as bigint) as total, cast(l_quantity * (1 - l_discount * 8) as bigint) as succeeded
+  case l_returnflag when 'R' then 'deprecated' when 'A' then 'active' else 'draft' end as status, cast(l_quantity as bigint) as total, cast(floor(l_quantity * (1 - l_discount * 8)) as bigint) as succeeded
   from {lineitem} join {part} on p_partkey = l_partkey""",
     "threads": """select c_custkey as id, c_name as title, 1704067200 + c_custkey * 60 as started_at, case when c_custkey % 3 = 0 then 1704067800 + c_custkey * 60 end as ended_at,
   case when c_custkey % 2 = 0 then c_nationkey end as view_id from {customer}""",

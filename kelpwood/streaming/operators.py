@@ -50,3 +50,39 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+def expiring(stream: DataFrame, key: str, at: str, ttl: str) -> DataFrame:
+    """Sessions of each key that end ``ttl`` after their last row: what is held until then is the state, and what comes later starts anew."""
+    return stream.withWatermark(at, "0 seconds").groupBy(F.session_window(at, ttl), key).agg(F.count("*").alias("n"), F.max(at).alias("last"))
+
+
+def admitted(stream: DataFrame, key: str, at: str, rest_seconds: float) -> DataFrame:
+    """Rows of a key at least ``rest_seconds`` after the last that was admitted; within a micro-batch in order of time."""
+    schema, names = stream.schema.simpleString()[7:-1], stream.columns
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(at, kind="stable")
+        last, keep = state.get[0] if state.exists else None, []
+        for t in rows[at]:
+            now = t.timestamp()
+            keep.append(last is None or now - last >= rest_seconds)
+            last = now if keep[-1] else last
+        state.update((float(last),))
+        yield rows[keep][names]
+
+    return stream.groupBy(key).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def two_speed(backlog: DataFrame, tier: str, fast, slow, folder: str, fast_every: str = "30 seconds", slow_every: str = "300 seconds", once: bool = False):
+    """Two streams over one backlog: ``fast`` for each micro-batch of tier 2, ``slow`` for those of tier 3; ``folder`` keeps their progress."""
+    out = []
+    for level, action, every in ((2, fast, fast_every), (3, slow, slow_every)):
+        w = backlog.filter(F.col(tier) == level).writeStream.foreachBatch(action).option("checkpointLocation", f"{folder}/tier-{level}")
+        out.append((w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start())
+    return out
+
+
+def bounded(spark: SparkSession, schema, folder: str, files: int) -> DataFrame:
+    """A source that takes ``files`` files at most for each micro-batch: what waits stays in the folder, and nothing is dropped."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
