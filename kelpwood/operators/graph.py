@@ -121,7 +121,8 @@ def communities(edges: DataFrame, sweeps: int = 20) -> DataFrame:
     """One level of local moving: id, label. ``edges``: a, b, weight (clamped to 0.05 .. 1; loops don't count).
 
     In each sweep half of the nodes (by a hash of node and sweep) may move to the neighbouring community of the greatest gain in modularity, ties
-    to the lesser label. A sweep after which modularity is not higher is undone, so it never falls; two such sweeps in a row, or ``sweeps`` in all, end it.
+    to the lesser label. A sweep after which modularity is not higher is undone, so it never falls, and in the next only the node that gains most moves. It ends where
+    no move of a single node raises modularity, or after ``sweeps``.
     """
     w = F.least(F.greatest(F.col("weight"), F.lit(0.05)), F.lit(1.0))
     one = edges.filter("a <> b").select("a", "b", w.alias("weight"))
@@ -146,7 +147,11 @@ def communities(edges: DataFrame, sweeps: int = 20) -> DataFrame:
         gain = F.round(F.col("into") / m - F.col("rest") * F.col("k") / (2 * m * m), 12)
         pick = options.withColumn("gain", gain).groupBy("id").agg(F.max("gain").alias("top"), F.max(F.when(F.col("label") == F.col("old"), F.col("gain"))).alias("stay"))
         chosen = options.withColumn("gain", gain).join(pick, "id").filter((F.col("gain") == F.col("top")) & (F.col("gain") > F.coalesce("stay", F.lit(0.0))))
-        chosen = chosen.groupBy("id").agg(F.min("label").alias("new")).filter(F.pmod(F.xxhash64("id", F.lit(sweep)), F.lit(2)) == 0)
+        chosen = chosen.groupBy("id").agg(F.min("label").alias("new"), F.max(F.col("top") - F.coalesce("stay", F.lit(0.0))).alias("more"))
+        if idle:
+            chosen = chosen.orderBy(F.desc("more"), "id").limit(1)
+        else:
+            chosen = chosen.filter(F.pmod(F.xxhash64("id", F.lit(sweep)), F.lit(2)) == 0)
         nxt = checkpointed(state.join(chosen, "id", "left").select("id", "k", F.coalesce("new", "label").alias("label")))
         q = quality(nxt)
         if q > best + 1e-12:

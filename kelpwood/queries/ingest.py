@@ -138,9 +138,10 @@ def outcome_model(t: Tables):
     return L.SoftmaxModel().fit(done, ["stakes", "statement"], "polarity").transform(done)
 
 
-@query()
+@query("select min(doc_id) as label, count(*) as members, md5(text) as digest from documents group by text having count(*) > 1")
 def consolidate_groups(t: Tables):
     """Documents with equal texts as one signal each."""
     same = t.documents.groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).filter("c > 1")
     links = t.documents.select(F.md5("text").alias("h"), F.col("doc_id").alias("b")).join(same, "h").filter("a <> b").select("a", "b")
-    return I.consolidate_groups(t.documents.select(F.col("doc_id").alias("id"), "text"), links)
+    groups = I.consolidate_groups(t.documents.select(F.col("doc_id").alias("id"), "text"), links)
+    return groups.select("label", "members", F.md5("text").alias("digest"))

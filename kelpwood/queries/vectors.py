@@ -77,9 +77,15 @@ def softmax(t: Tables):
     return t.embeddings.select(F.col("vec_id").alias("id"), F.round(S.softmax(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")))[0], 6).alias("first"))
 
 
-@query()
+_BITS = "list_transform((select v from planes), lambda p: case when list_sum(list_transform(list_zip(p, embedding), lambda z: z[1] * z[2]::double)) >= 0 then 1 else 0 end)"
+
+
+@query(f"""with planes as (select {[[float(x) for x in p] for p in V.planes(64)]}::double[][] as v), b as (select vec_id as id, embedding, {_BITS} as b from embeddings), q as (select id as query_id, embedding as q, b as qb from b where id < 5),
+d as (select query_id, id, list_sum(list_transform(list_zip(qb, b), lambda z: abs(z[1] - z[2]))) as d from q, b), c as (select * from (select *, row_number() over (partition by query_id order by d, id) as n from d) where n <= 256 and id <> query_id),
+s as (select query_id, id, {_COS.format('embedding', 'q')} as score from c join b using (id) join q using (query_id))
+select query_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from s) where rank <= 10""")
 def simhash_two_stage(t: Tables):
-    return V.two_stage(t.embeddings, _few(t), "vec_id", "embedding", 64, 10)
+    return V.two_stage(t.embeddings, _few(t), "vec_id", "embedding", 64, 10).withColumn("score", F.round("score", 6))
 
 
 @query()
