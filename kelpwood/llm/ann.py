@@ -116,7 +116,7 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, key: st
 
     ``queries``: rows of ``df`` that are the queries, by default those whose id is divisible by 20. A query's own row is no candidate.
     Nearest first, ties to the smaller id. So many lists are probed that held-out sample queries find ``target`` of their neighbours there, and always lists
-    with 20 * k rows; ``rerank`` distinct codes in each block of a list are reranked exactly. Vectors that are null, zero, of another length than most or
+    with 20 * k rows; ``rerank`` distinct codes in each block are reranked exactly. Vectors that are null, zero, of another length than most or
     hold null or non-finite components take no part, nor do rows without an id. Rows with one id count once (their best); of several vectors of a query's id the
     greatest asks. Repeated and equal vectors share a code, and all of them are reranked. Empty table: empty result.
     """
@@ -189,44 +189,41 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, key: st
         if not left.num_rows or not right.num_rows:
             return none
         of_row = left.column("list").combine_chunks().to_numpy()
-        all_ids, all_codes, all_vecs = left.column("vec_id").combine_chunks().to_numpy(), _matrix(left.column("code"), np.uint8), _matrix(left.column("v"), np.float64)
-        all_q, all_qv = right.column("query_id").combine_chunks().to_numpy(), _matrix(right.column("v"), np.float64)
-        probing = right.column("lists").combine_chunks()
-        asker, wanted = np.repeat(np.arange(len(all_q)), np.diff(probing.offsets.to_numpy())), probing.flatten().to_numpy()
-        found = [_score_list(quant, at, all_ids[of_row == at], all_codes[of_row == at], all_vecs[of_row == at], all_q[asker[wanted == at]], all_qv[asker[wanted == at]]) for at in np.unique(of_row)]
-        qid, vid, val = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((vid, -val, qid))
-        qid, vid, val = qid[order], vid[order], val[order]
-        start = np.concatenate([[True], qid[1:] != qid[:-1]]) if len(qid) else np.zeros(0, bool)
-        place = np.arange(len(qid)) - np.maximum.accumulate(np.where(start, np.arange(len(qid)), 0)) if len(qid) else np.zeros(0, int)
-        top = place < k
-        return pa.table({"query_id": qid[top], "vec_id": vid[top], "score": val[top]})
-
-    def _score_list(quant, at, ids, code, vec, qid, q):
+        ids, codes, vecs = left.column("vec_id").combine_chunks().to_numpy(), _matrix(left.column("code"), np.uint8), _matrix(left.column("v"), np.float64)
+        qid, q = right.column("query_id").combine_chunks().to_numpy(), _matrix(right.column("v"), np.float64)
         order = np.argsort(ids, kind="stable")
-        ids, code, vec = ids[order], code[order], vec[order]
-        centre = quant.coarse[at].astype(np.float64)
-        distinct, number = np.unique(code, axis=0, return_inverse=True)
-        by_code = np.argsort(number.reshape(-1), kind="stable")
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(number.reshape(-1), minlength=len(distinct)))])
-        out_q, out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        of_row, ids, codes, vecs = of_row[order], ids[order], codes[order], vecs[order]
+        # rows of one list and code share an approximate score, so repeated vectors are all reranked
+        distinct, number = np.unique(np.column_stack([of_row.astype("<u4").view(np.uint8).reshape(-1, 4), codes]), axis=0, return_inverse=True)
+        number = number.reshape(-1)
+        by_code = np.argsort(number, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(distinct)))])
+        at = np.ascontiguousarray(distinct[:, :4]).view("<u4").reshape(-1).astype(np.int64)
+        here, place = np.unique(at, return_inverse=True)
+        probing = right.column("lists").combine_chunks()
+        asker, wanted = np.repeat(np.arange(len(qid)), np.diff(probing.offsets.to_numpy())), probing.flatten().to_numpy()
+        probed = np.zeros((len(qid), lists), bool)
+        probed[asker, wanted] = True
+        out_q, out_v, out_s = [none["query_id"].to_numpy()], [none["vec_id"].to_numpy()], [none["score"].to_numpy()]
         for s in range(0, len(q), 256):
             part = quant.tables(q[s : s + 256].astype(np.float32))
-            approx = np.repeat((q[s : s + 256] @ centre)[:, None], len(distinct), 1)
+            approx = (q[s : s + 256] @ quant.coarse[here].T.astype(np.float64))[:, place]
             for p in range(quant.parts):
-                approx += part[:, p, distinct[:, p]]
+                approx += part[:, p, distinct[:, 4 + p]]
+            approx[~probed[s : s + 256][:, here][:, place]] = -np.inf
+            best = np.argpartition(-approx, rerank, axis=1)[:, :rerank] if len(distinct) > rerank else np.tile(np.arange(len(distinct)), (len(part), 1))
             for i in range(len(part)):
-                best = np.argpartition(-approx[i], rerank)[:rerank] if len(distinct) > rerank else np.arange(len(distinct))
-                rows_at = np.concatenate([by_code[bounds[c] : bounds[c + 1]] for c in best])
+                mine = best[i][approx[i, best[i]] > -np.inf]
+                rows_at = np.concatenate([by_code[bounds[c] : bounds[c + 1]] for c in mine]) if len(mine) else by_code[:0]
                 rows_at = rows_at[ids[rows_at] != qid[s + i]]
-                exact = (vec[rows_at] * q[s + i]).sum(axis=1)
+                exact = (vecs[rows_at] * q[s + i]).sum(axis=1)
                 top = np.lexsort((ids[rows_at], -exact))
                 first = np.sort(np.unique(ids[rows_at][top], return_index=True)[1])  # repeated rows count once
                 top = top[first][:k]
                 out_q.append(np.full(len(top), qid[s + i]))
                 out_v.append(ids[rows_at][top])
                 out_s.append(exact[top])
-        return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
+        return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
     keys = ("cell", "block", "chunk")
     found = rows.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
