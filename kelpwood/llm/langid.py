@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_array
+from .common import slices, text_array, tidy
 from .linear import fit_svm, platt, sigmoid
 
 DIM, GRAMS = 4096, 3
@@ -81,14 +81,13 @@ class LanguageModel:
         for f in self.families if len(self.families) > 1 else []:
             cols.append(self._fit(x, np.where(fam == f, 1.0, -1.0)))
         for a, b in self.pairs:
-            at = (y == a) | (y == b)
-            cols.append(self._fit(x[at], np.where(y[at] == a, 1.0, -1.0)))
+            cols.append(self._fit(x, np.where(y == a, 1.0, np.where(y == b, -1.0, 0.0))))
         self.w = np.array(cols, np.float32).reshape(len(cols), DIM + 1).T
 
     @staticmethod
     def _fit(x, y):
-        w = fit_svm(x, y)
-        slope, offset = platt(x @ w[:-1] + w[-1], y)
+        w, at = fit_svm(x, y), y != 0
+        slope, offset = platt((x @ w[:-1].astype(x.dtype) + w[-1])[at], y[at])
         return np.concatenate([w[:-1] * slope, [w[-1] * slope + offset]])
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +144,14 @@ def train(labelled: DataFrame, per_language: int = 1000) -> LanguageModel | None
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], r["doc_id"]))
-    return LanguageModel(np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32), [r["lang"] for r in rows])
+    langs, x = [r["lang"] for r in rows], np.empty((len(rows), DIM), np.float32)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r["x"], np.float16)
+    del rows
+    model = LanguageModel(x, langs)
+    del x
+    tidy()
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

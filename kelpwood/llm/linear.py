@@ -17,42 +17,49 @@ def _descend(grad, dim: int, smooth: float, rounds: int) -> np.ndarray:
 
 
 def _balance(y: np.ndarray) -> np.ndarray:
-    """Weights under which both classes count alike."""
+    """Weights under which both classes count alike; rows with y = 0 don't count."""
     pos = max(1, int((y > 0).sum()))
-    neg = max(1, int((y <= 0).sum()))
-    return np.where(y > 0, 0.5 / pos, 0.5 / neg)
+    neg = max(1, int((y < 0).sum()))
+    return np.where(y > 0, 0.5 / pos, np.where(y < 0, 0.5 / neg, 0.0))
+
+
+def _margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return x @ w[:-1].astype(x.dtype) + w[-1]
+
+
+def _pull(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """c times x with a column of ones behind it, without making that matrix."""
+    return np.append(c.astype(x.dtype) @ x, c.sum())
 
 
 def _norm(x: np.ndarray, weight: np.ndarray) -> float:
-    v, weight = np.ones(x.shape[1], x.dtype), weight.astype(x.dtype)
+    v, s = np.ones(x.shape[1] + 1), 1.0
     for _ in range(8):
-        v = (weight * (x @ v)) @ x
+        v = _pull(x, weight * _margin(x, v))
         s = float(np.linalg.norm(v)) or 1.0
         v /= s
     return 1.2 * s
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 150) -> np.ndarray:
-    """Weights (the last one: intercept) of a linear SVM with squared hinge loss; y: +1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    """Weights (the last one: intercept) of a linear SVM with squared hinge loss; y: +1, -1, or 0 for rows that don't count."""
     weight = _balance(y)
 
     def grad(w):
-        slack = np.maximum(0, 1 - y * (x @ w.astype(x.dtype)))
-        return (-2 * weight * y * slack).astype(x.dtype) @ x + l2 * w
+        slack = np.maximum(0, 1 - y * _margin(x, w))
+        return _pull(x, -2 * weight * y * slack) + l2 * w
 
-    return _descend(grad, x.shape[1], 2 * _norm(x, weight) + l2, rounds)
+    return _descend(grad, x.shape[1] + 1, 2 * _norm(x, weight) + l2, rounds)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-5, rounds: int = 200, balanced: bool = False) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-5, rounds: int = 200) -> np.ndarray:
     """Weights (the last one: intercept) of a logistic regression; y: +1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    weight = _balance(y) if balanced else np.full(len(y), 1 / max(1, len(y)))
+    weight = np.full(len(y), 1 / max(1, len(y)))
 
     def grad(w):
-        return (-weight * y / (1 + np.exp(np.clip(y * (x @ w.astype(x.dtype)), -30, 30)))).astype(x.dtype) @ x + l2 * w
+        return _pull(x, -weight * y / (1 + np.exp(np.clip(y * _margin(x, w), -30, 30)))) + l2 * w
 
-    return _descend(grad, x.shape[1], 0.25 * _norm(x, weight) + l2, rounds)
+    return _descend(grad, x.shape[1] + 1, 0.25 * _norm(x, weight) + l2, rounds)
 
 
 def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:

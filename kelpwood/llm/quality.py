@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, internal, materialize, slices, text_array, word_hashes
+from .common import Words, internal, materialize, slices, text_array, tidy, word_hashes
 from .linear import fit_logistic, sigmoid
 
 WORDS, SHAPES, LEAST_DOCS = 1024, 10, 4  # words of each head, shape counts, sample documents that a word must be in
@@ -63,7 +63,9 @@ class _Head:
         if abs(sign.sum()) == len(sign):
             self.w = np.append(np.zeros(SHAPES + len(words)), 6.0 * sign[0])
         else:
-            self.w = fit_logistic(np.hstack([4 * shape, present.astype(np.float32)]), sign, l2=1e-4)
+            x = np.empty((len(shape), SHAPES + len(words)), np.float32)
+            x[:, :SHAPES], x[:, SHAPES:] = 4 * shape, present
+            self.w = fit_logistic(x, sign, l2=1e-4)
 
     def chance(self, shape, docs, words) -> np.ndarray:
         x = np.zeros((len(shape), SHAPES + len(self.words)), np.float32)
@@ -153,7 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 6000) -> QualityModel
     shape = np.array([np.frombuffer(r["shape"], np.float32) for r in rows])
     bits = np.unpackbits(np.array([np.frombuffer(r["bits"], np.uint8) for r in rows]), axis=1)
     labelled = [np.array([r["quality"] == 1 for r in rows]), np.array([r["toxic"] == 0 for r in rows])]
-    return QualityModel([_Head(v, shape, bits[:, np.searchsorted(both, v)], y) for v, y in zip(vocab, labelled, strict=True)])
+    model = QualityModel([_Head(v, shape, bits[:, np.searchsorted(both, v)], y) for v, y in zip(vocab, labelled, strict=True)])
+    del rows, bits, shape
+    tidy()
+    return model
 
 
 def _strength(groups: DataFrame, mean: float, n: str, s: str) -> float:
