@@ -6,8 +6,10 @@ every substring's hash is probed in the sorted hashes of the pieces, the best sc
 backpointer. Ties go to the earlier start (the longer piece). Characters that no piece covers become their bytes' pieces.
 
 This gives the library's ids for models of the unigram kind. A file that was trained by pair merges holds merge ranks as scores, of which the
-highest sum is not the tokenizer's segmentation (``and`` would be ``a``, ``nd``). For such files the same matrices are advanced by merges: the best-scored pair of
-each row is a vectorised maximum, its substring's hash probed as above; so ids equal the library's for both kinds.
+highest sum is not the tokenizer's segmentation (``and`` would be ``a``, ``nd``). There the same sweep maximises validity in place of a sum: the segmentation of a
+prefix is a prefix of the segmentation, and it is one whose neighbours are valid pairs, that is, merging the characters of both gives just these two pieces.
+So at each place exactly one of the pieces that end there may follow the last piece of the prefix before it; its start is the backpointer. Pairs are judged by
+merging once, and kept in a table of fixed size. Units with characters that no piece has, and very long ones, are merged outright.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import mix, slices, text_array
 from .merging import LONG, merge_long
 
 META = "▁"
+PAIRS = 1 << 21  # slots of the table of judged pairs
+CACHE_UNITS = 200_000  # encoded units that a worker keeps
 UNKNOWN_PENALTY = 10.0
 NORMAL, USER, BYTE = 1, 4, 6  # fixed values: piece types
 _UNIT = regex.compile(f"{META}*[^{META}]+|{META}+")
@@ -98,11 +102,18 @@ class PieceModel:
         self.key, self.id = key[order], at[order].astype(np.int32)
         self.score = score[self.id]
         self.best: dict | None = None
+        self.pair, self.judged = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+        self.whole = np.zeros(n, bool)
+        self._forget()
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.key >> np.uint64(44)] = True
         raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else b" \xe2\x81\x87 " if sp.is_unknown(i) else p.replace(META, " ").encode() for i, p in enumerate(self.pieces)]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        if self.merges:  # pieces that merging makes of their own characters
+            for size in np.unique(length):
+                some = at[length == size]
+                self.whole[some] = self._merge([self.pieces[i] for i in some], int(size))[1].sum(axis=1) == 1
 
     @staticmethod
     def _points(units: list[str], size: int) -> np.ndarray:
@@ -159,6 +170,75 @@ class PieceModel:
             pos[on] = back[rows[on], pos[on]]
         return piece[:, 1:], used[:, 1:]
 
+    def _valid(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which pairs of pieces stay apart when their characters are merged."""
+        key = left.astype(np.int64) * len(self.pieces) + right
+        slot = (mix(key.view(np.uint64)) & np.uint64(PAIRS - 1)).astype(np.int64)
+        new = np.flatnonzero(self.pair[slot] != key)
+        out = self.judged[slot]
+        if len(new):
+            fresh, back = np.unique(key[new], return_inverse=True)
+            a, b = fresh // len(self.pieces), fresh % len(self.pieces)
+            first = np.array([len(self.pieces[i]) for i in a])
+            total = first + np.array([len(self.pieces[i]) for i in b])
+            ok = np.zeros(len(fresh), bool)
+            for size in np.unique(total):
+                at = np.flatnonzero(total == size)
+                used = self._merge([self.pieces[a[i]] + self.pieces[b[i]] for i in at], int(size))[1]
+                ok[at] = (used.sum(axis=1) == 2) & used[np.arange(len(at)), first[at] - 1]
+            at = (mix(fresh.view(np.uint64)) & np.uint64(PAIRS - 1)).astype(np.int64)
+            self.pair[at], self.judged[at] = fresh, ok  # of two in one slot the last stays, with its verdict
+            out[new] = ok[back.reshape(-1)]
+        return out
+
+    def _viterbi_pairs(self, units: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The segmentation by valid neighbours, in the form that _viterbi returns; all characters of the units are pieces."""
+        points = self._points(units, size)
+        n = len(units)
+        sums = np.zeros((n, size + 1), np.uint64)
+        for i in range(size):
+            sums[:, i + 1] = sums[:, i] * _MUL + points[:, i] + np.uint64(1)
+        reach = min(size, self.longest)
+        found = [self._probe(sums, k)[0] for k in range(1, reach + 1)]
+        last, back = np.full((n, size + 1), -1, np.int32), np.zeros((n, size + 1), np.int32)
+        rows = np.arange(n)
+        for e in range(1, size + 1):
+            lo = max(0, e - reach)
+            ends = np.stack([found[e - s - 1][:, s] for s in range(lo, e)], axis=1)
+            who, at = np.nonzero(ends >= 0)
+            piece, before = ends[who, at], last[who, lo + at]
+            start = lo + at == 0
+            ok = np.where(start, self.whole[piece], False)
+            inner = np.flatnonzero(~start)
+            ok[inner] = self._valid(before[inner], piece[inner])
+            score = np.zeros(ends.shape, np.int8)
+            score[who, at] = ok
+            pick = score.argmax(axis=1)
+            last[:, e], back[:, e] = ends[rows, pick], lo + pick
+        used, pos = np.zeros((n, size + 1), bool), np.full(n, size)
+        while (pos > 0).any():
+            on = pos > 0
+            used[rows[on], pos[on]] = True
+            pos[on] = back[rows[on], pos[on]]
+        return last[:, 1:], used[:, 1:]
+
+    def _by_pairs(self, units: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """_viterbi_pairs, and merges for units with characters that no piece has."""
+        points = self._points(units, size)
+        known = (self._probe_alone(points) >= 0).all(axis=1)
+        if known.all():
+            return self._viterbi_pairs(units, size)
+        piece, used = np.full((len(units), size), -1, np.int32), np.zeros((len(units), size), bool)
+        for at, way in ((np.flatnonzero(known), self._viterbi_pairs), (np.flatnonzero(~known), self._merge)):
+            if len(at):
+                piece[at], used[at] = way([units[i] for i in at], size)
+        return piece, used
+
+    def _probe_alone(self, points: np.ndarray) -> np.ndarray:
+        """The piece of each character, or -1."""
+        flat = points.reshape(-1, 1)
+        return self._probe(np.concatenate([np.zeros((len(flat), 1), np.uint64), flat + np.uint64(1)], axis=1), 1)[0].reshape(points.shape)
+
     def _merge(self, units: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
         """Pair merges of units of equal length, in the form that _viterbi returns: the best-scored pair first, ties from the left."""
         points = self._points(units, size)
@@ -230,20 +310,27 @@ class PieceModel:
                 if self.merges and size >= LONG:
                     piece, used = (np.concatenate(x) for x in zip(*[self._alone(u) for u in own], strict=True))
                 else:
-                    piece, used = (self._merge if self.merges else self._viterbi)(own, size)
+                    piece, used = (self._by_pairs if self.merges else self._viterbi)(own, size)
                 odd = np.flatnonzero((used & (piece < 0)).any(axis=1))
                 sizes[at] = used.sum(axis=1)
                 flat = piece[used]
                 if len(odd):
-                    parts, cut = [], np.concatenate([[0], np.cumsum(sizes[at])])
-                    for r in range(len(at)):
-                        ids = flat[cut[r] : cut[r + 1]]
-                        if (ids < 0).any():
-                            ends = np.flatnonzero(used[r])
-                            ids = np.concatenate([self.byte[list(own[r][e].encode("utf-8", "surrogatepass"))] if i < 0 else [i] for i, e in zip(ids, ends, strict=True)]).astype(np.int32)
-                            sizes[at[r]] = len(ids)
-                        parts.append(ids)
-                    flat = np.concatenate(parts)
+                    old, new = sizes[at], sizes[at].copy()
+                    cut, parts = np.cumsum(old) - old, {}
+                    for r in odd:  # characters without a piece become their bytes'
+                        ids, ends = flat[cut[r] : cut[r] + old[r]], np.flatnonzero(used[r])
+                        whole = [self.byte[list(own[r][e].encode("utf-8", "surrogatepass"))] if i < 0 else [i] for i, e in zip(ids, ends, strict=True)]
+                        parts[r] = np.concatenate(whole).astype(np.int32)
+                        new[r] = len(parts[r])
+                    start, plain = np.cumsum(new) - new, np.ones(len(at), bool)
+                    plain[odd] = False
+                    keep = np.repeat(plain, old)
+                    to = np.repeat(start - cut, old) + np.arange(len(flat))
+                    out = np.empty(int(new.sum()), np.int32)
+                    out[to[keep]] = flat[keep]
+                    for r, ids in parts.items():
+                        out[start[r] : start[r] + new[r]] = ids
+                    flat, sizes[at] = out, new
                 done.append((at, flat))
         start = np.cumsum(sizes) - sizes
         out = np.zeros(int(sizes.sum()), np.int32)
@@ -272,13 +359,32 @@ class PieceModel:
         place = np.empty(len(codes), np.int64)
         place[np.repeat(usual, counts)] = codes[: len(marked)]
         place[~np.repeat(usual, counts)] = codes[len(marked) :]
-        ids, sizes = self.encode_units(all_units.dictionary.to_pylist())
-        first = np.cumsum(sizes) - sizes
-        size = sizes[place] if len(place) else np.zeros(0, np.int64)
-        done = np.concatenate([[0], np.cumsum(size)])
         if not len(place):
-            return np.zeros(0, np.int32), done[bounds]
-        return ids[np.repeat(first[place] - done[:-1], size) + np.arange(done[-1])], done[bounds]
+            return np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
+        place = self._lookup(all_units.dictionary)[place]
+        size = self.sizes[place]
+        done = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[np.repeat(self.starts[place] - done[:-1], size) + np.arange(done[-1])], done[bounds]
+
+    def _forget(self) -> None:
+        self.units = pa.array([], pa.string())
+        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _lookup(self, units: pa.Array) -> np.ndarray:
+        """Places of distinct units among those that were encoded; new ones are encoded and kept, up to a bound."""
+        if len(self.units) > CACHE_UNITS or len(self.flat) > 16 * CACHE_UNITS:
+            self._forget()
+        at = pc.index_in(units, value_set=self.units)
+        if not at.null_count:
+            return at.to_numpy(zero_copy_only=False).astype(np.int64)
+        new = units.filter(pc.is_null(at))
+        ids, sizes = self.encode_units(new.to_pylist())
+        at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = len(self.units) + np.arange(len(new))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+        self.units = pa.concat_arrays([self.units, new])
+        return at
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """Texts of ids; the space that encoding puts first is left out."""
