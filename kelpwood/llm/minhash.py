@@ -28,7 +28,7 @@ from .components import connected_components
 from .sketch import maybe_in
 
 
-SALTS = 64
+SALTS = 16
 
 
 def sub_bands(similarity: float, r: int = 2, miss: float = 1e-4) -> int:
