@@ -24,7 +24,7 @@ from .common import slices
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 8 * 4096
 FLUSH_TOKENS = 1 << 20
-TOKEN_SLICE = 4 << 20  # text bytes that are tokenised at once
+TOKEN_SLICE = 2 << 20  # text bytes that are tokenised at once
 
 Piece = tuple[int, int, int]  # document, start, length
 
