@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("relational", "commitments", "text", "graph", "vectors", "ingest", "stream", "reads", "writes", "intent", "ontology", "retrieval", "policy", "answers")
+MODULES = ("relational", "commitments", "text", "graph", "vectors", "ingest", "stream", "reads", "writes", "intent", "ontology", "retrieval", "policy", "answers", "surface")
 
 
 def _load():

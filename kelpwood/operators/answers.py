@@ -140,3 +140,8 @@ def money_in(text: Column) -> Column:
 
 def span(kind: Column, text: Column) -> Column:
     return F.coalesce(F.when(kind == "date", date_in(text)).when(kind == "money", money_in(text)), text)
+
+
+def allowed(rows: DataFrame, grants: DataFrame, by: str, most_level: int) -> DataFrame:
+    """Rows whose ``by`` is granted and whose level isn't above the reader's."""
+    return rows.filter(F.col("level") <= most_level).join(grants.select(by), by, "left_semi")

@@ -180,3 +180,26 @@ def greedy_spans(hits: DataFrame, cutoff: float = 0.3) -> DataFrame:
         return F.when(clash, done).otherwise(F.concat(done, F.array(x)))
 
     return ordered.select("doc", F.explode(F.aggregate("h", empty, take)).alias("k")).select("doc", "k.start", "k.length", "k.label", "k.score")
+
+
+# ----------------------------------------------------------------- whole paths
+#: Captures a minute and at once, by source.
+LIMITS = {"clipboard": (60, 30), "shell": (120, 60), "notes": (30, 15), "screenshot": (12, 6), "browser": (60, 30), "audio": (30, 15), "calendar": (6, 3), "other": (30, 15)}
+
+
+def fast_path(docs: DataFrame, nearest: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, text, gate, tier: equal texts once (the least id), the gate, and the tier of what passes. ``nearest``: likeness to what is stored, of ``key``."""
+    once = docs.groupBy(F.col(text).alias("text")).agg(F.min(key).alias(key))
+    g = once.select(F.col(key).alias("id"), "text", nearest.alias("sim")).withColumn("gate", gate(F.col("text"), F.col("sim")))
+    return g.withColumn("tier", F.when(F.col("gate") == "ok", signal_tier(F.col("text"), F.col("sim")))).drop("sim")
+
+
+def slow_path(docs: DataFrame, key: str, text: str) -> dict[str, DataFrame]:
+    """``refused`` (personal data), ``entities`` (id, name), ``triples``, and those ``accepted``, ``pending`` or to ``drop`` by their confidence."""
+    t = F.col(text)
+    pii = F.coalesce(S.has_email(t) | S.has_ssn(t) | S.has_credit_card(t), F.lit(False))
+    clean = docs.filter(~pii)
+    names = clean.select(F.col(key).alias("id"), F.explode(capitalised(t)).alias("name"))
+    triples = triples_in(clean, key, text)
+    routed = route(triples)
+    return {"refused": docs.filter(pii), "entities": names, "triples": triples, "accepted": routed["accept"], "pending": routed["pending"], "drop": routed["drop"]}

@@ -50,3 +50,35 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 def recent(df: DataFrame, n: int, *order) -> DataFrame:
     """The newest n rows: a top-k, not a sort of everything."""
     return df.orderBy(*order).limit(n)
+
+
+def read_cases(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """``longmem``: id, category, context_turns, question, gold_answer, gold_spans; ``beam``: id, claims, query and the answer after the last claim. One JSON array."""
+    schemas = {
+        "longmem": "id string, category string, context_turns array<string>, question string, gold_answer string, gold_spans array<string>",
+        "beam": "id string, initial_claim string, contradicting_claim string, query string, expected_answer string, contradiction_should_surface boolean",
+        "memory": "id string, store string, query string, answers array<string>",
+    }
+    return spark.read.schema(schemas[kind]).option("multiLine", "true").json(path)
+
+
+def mini_fixtures(spark: SparkSession) -> DataFrame:
+    """Facts, what contradicts them, and what is true afterwards."""
+    rows = [
+        ("mini-1", "Alice works at Acme Corp.", "Alice works at Beta Corp.", "Where does Alice work?", "Beta Corp"),
+        ("mini-2", "The sprint ends on Friday.", "The sprint was extended to next Monday.", "When does the sprint end?", "next Monday"),
+        ("mini-3", "Bob is the project lead.", "Carol is the new project lead.", "Who is the project lead?", "Carol"),
+    ]
+    return spark.createDataFrame(rows, "id string, fact string, contradiction string, question string, expected string")
+
+
+def import_plan(notes: DataFrame) -> DataFrame:
+    """What an import of notes would take, without taking it: extension, files, characters."""
+    end = F.lower(F.substring_index("path", ".", -1))
+    return notes.groupBy(end.alias("extension")).agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("characters"))
+
+
+def read_clipboard(spark: SparkSession, folder: str, streaming: bool = False) -> DataFrame:
+    """Texts that a clipboard watcher drops as files, each file one row: path, text."""
+    reader = (spark.readStream if streaming else spark.read).format("text").option("wholetext", "true")
+    return reader.load(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

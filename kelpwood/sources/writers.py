@@ -56,3 +56,13 @@ def portable(nodes: DataFrame, edges: DataFrame, least_support: int = 2) -> Data
     n = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("id", F.substring("label", 1, 80).alias("label"))).alias("json"))
     e = inside.select(F.lit("edge").alias("kind"), F.to_json(F.struct("from_id", "to_id", "support")).alias("json"))
     return n.unionByName(e).withColumn("tokens", F.floor(F.length("json") / 4))
+
+
+def compact(spark, path: str, to: str, files: int) -> None:
+    """A table's small files as ``files`` larger ones, written beside it; the caller swaps the folders."""
+    spark.read.parquet(path).repartition(files).write.parquet(to)
+
+
+def purge_folder(df: DataFrame, kept, to: str) -> None:
+    """What a retention rule keeps, written as a new table."""
+    df.filter(F.coalesce(kept, F.lit(True))).write.parquet(to)
