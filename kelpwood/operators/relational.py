@@ -76,11 +76,12 @@ def check_edges(triples: DataFrame, entities: DataFrame, links: DataFrame) -> Da
 
 # ----------------------------------------------------------------- member lists of threads
 def members_union(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Tall membership (member_kind, member_id, ord): left order first, then what is only in b."""
+    """Tall membership (member_kind, member_id, ord): left order first, then what is only in b, whose order goes on behind the left's last (it may have gaps)."""
     both = a.select("member_kind", "member_id", F.lit(0).alias("side"), "ord").unionByName(b.select("member_kind", "member_id", F.lit(1).alias("side"), "ord"))
     first = both.groupBy("member_kind", "member_id").agg(F.min(F.struct("side", "ord")).alias("at"))
-    w = Window.partitionBy("member_kind").orderBy("at.side", "at.ord", "member_id")
-    return first.select("member_kind", "member_id", F.row_number().over(w).alias("ord"))
+    last = F.broadcast(a.groupBy("member_kind").agg(F.max("ord").alias("last")))  # a row for each kind
+    behind = F.when(F.col("at.side") == 1, F.coalesce("last", F.lit(0))).otherwise(0)
+    return first.join(last, "member_kind", "left").select("member_kind", "member_id", (F.col("at.ord") + behind).alias("ord"))
 
 
 def members_intersect(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def related(triples: DataFrame, primary: DataFrame, vectors: DataFrame, q: Colum
 
 
 def reason(relevance: Column, recent: Column, new: Column, rank: Column) -> Column:
-    """The two strongest reasons as text; ties in the order: match, rank, recency, novelty."""
+    """The two strongest reasons as text; ties in the order: match, rank, recency, novelty. The words are fixed values."""
     percent = F.concat(F.round(relevance * 100).cast("int").cast("string"), F.lit("% match"))
     central = F.concat(F.lit("PageRank "), F.format_number(rank, 2))
     seen = F.when(recent > 0.7, "seen recently").when(recent > 0.3, "seen this week").otherwise("older")

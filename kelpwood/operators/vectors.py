@@ -29,8 +29,10 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     return packed.select("grp", F.transform("s", lambda x: x["m"] / F.col("len")).alias("centroid"))
 
 
-def assign(df: DataFrame, centres: DataFrame, key: str, vector: str, least: float = 0.55) -> DataFrame:
-    """Nearest centroid by cosine, -1 below ``least``. The centroids are one row per group and are broadcast."""
+def assign(df: DataFrame, centres: DataFrame, key: str, vector: str, least: float = 0.55, most: int = 4096) -> DataFrame:
+    """Nearest centroid by cosine, -1 below ``least``. The centroids are counted: more than ``most`` are refused, as each row meets all of them."""
+    if centres.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} centroids: search them with an index instead")
     s = df.join(F.broadcast(centres)).select(F.col(key).alias("id"), "grp", cosine(F.col(vector), F.col("centroid")).alias("score"))
     best = s.groupBy("id").agg(F.max(F.struct("score", (-F.col("grp")).alias("minus"))).alias("m"))
     return best.select("id", F.when(F.col("m.score") >= least, -F.col("m.minus")).otherwise(-1).alias("grp"), F.col("m.score").alias("score"))

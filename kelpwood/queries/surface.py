@@ -260,7 +260,7 @@ def forget(t: Tables):
     return K.current(log.unionByName(stones), ["id"]).select("id")
 
 
-@query("select count(*) as cases, sum(case when expected <> initial then 1 else 0 end)::bigint as changed from (values ('Acme Corp', 'Beta Corp'), ('Friday', 'next Monday'), ('Bob', 'Carol')) v(initial, expected)")
+@query("select count(*) as cases, sum(case when expected <> initial then 1 else 0 end)::bigint as changed from (values ('Oslo', 'Turin'), ('Tuesday', 'Thursday'), ('Jon', 'Rosa')) v(initial, expected)")
 def mini_fixtures(t: Tables):
     """Three facts that are contradicted, as rows."""
     from ..sources.readers import mini_fixtures as rows

@@ -53,11 +53,12 @@ def recent(df: DataFrame, n: int, *order) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """``longmem``: id, category, context_turns, question, gold_answer, gold_spans; ``beam``: id, claims, query and the answer after the last claim. One JSON array."""
+    """``dialogue``: id, category, context_turns, question, gold_answer, gold_spans; ``claims``: id, two claims, a question and the answer after the second; ``store``: what
+    is stored, the question and its answers. One JSON array."""
     schemas = {
-        "longmem": "id string, category string, context_turns array<string>, question string, gold_answer string, gold_spans array<string>",
-        "beam": "id string, initial_claim string, contradicting_claim string, query string, expected_answer string, contradiction_should_surface boolean",
-        "memory": "id string, store string, query string, answers array<string>",
+        "dialogue": "id string, category string, context_turns array<string>, question string, gold_answer string, gold_spans array<string>",
+        "claims": "id string, initial_claim string, contradicting_claim string, query string, expected_answer string, contradiction_should_surface boolean",
+        "store": "id string, store string, query string, answers array<string>",
     }
     return spark.read.schema(schemas[kind]).option("multiLine", "true").json(path)
 
@@ -65,9 +66,9 @@ def read_cases(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def mini_fixtures(spark: SparkSession) -> DataFrame:
     """Facts, what contradicts them, and what is true afterwards."""
     rows = [
-        ("mini-1", "Alice works at Acme Corp.", "Alice works at Beta Corp.", "Where does Alice work?", "Beta Corp"),
-        ("mini-2", "The sprint ends on Friday.", "The sprint was extended to next Monday.", "When does the sprint end?", "next Monday"),
-        ("mini-3", "Bob is the project lead.", "Carol is the new project lead.", "Who is the project lead?", "Carol"),
+        ("mini-1", "Mina lives in Oslo.", "Mina moved to Turin.", "Where does Mina live?", "Turin"),
+        ("mini-2", "The review is on Tuesday.", "The review was put off to Thursday.", "When is the review?", "Thursday"),
+        ("mini-3", "Jon keeps the garden.", "Since May Rosa keeps the garden.", "Who keeps the garden?", "Rosa"),
     ]
     return spark.createDataFrame(rows, "id string, fact string, contradiction string, question string, expected string")
 

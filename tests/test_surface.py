@@ -37,10 +37,10 @@ def test_hash_embedding(spark):
 
 def test_question_sets(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"id": "x", "category": "temporal", "context_turns": ["a", "b"], "question": "q", "gold_answer": "g", "gold_spans": ["g"]}]))
-    r = readers.read_cases(spark, str(tmp_path / "a.json"), "longmem").first()
+    r = readers.read_cases(spark, str(tmp_path / "a.json"), "dialogue").first()
     assert r["context_turns"] == ["a", "b"] and r["category"] == "temporal"
     (tmp_path / "b.json").write_text(json.dumps([{"id": "y", "initial_claim": "a", "query": "q", "expected_answer": "e", "contradiction_should_surface": True}]))
-    assert readers.read_cases(spark, str(tmp_path / "b.json"), "beam").first()["contradiction_should_surface"] is True
+    assert readers.read_cases(spark, str(tmp_path / "b.json"), "claims").first()["contradiction_should_surface"] is True
     assert readers.mini_fixtures(spark).count() == 3
 
 
