@@ -195,7 +195,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, r: int = 2,
     whole sequence when there are fewer words. Documents whose sets have ``100 * both >= percent * either`` are linked.
 
     Defined cases: null or empty text: no shingles, linked with nothing, own component, kept. Repeated rows are each
-    returned; rows that share a doc_id are one document. Null doc_id: component null, kept. Empty table: empty result.
+    returned; rows that share a doc_id are one document. Null doc_id: component null, kept. Very long texts are read whole. Of equally common centres the
+    least id counts. Empty table: empty result.
     Only doc_id and text are read, so other columns may have any name.
     """
     t = sub_bands(percent / 100, r, miss)

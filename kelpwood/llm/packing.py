@@ -142,7 +142,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers:
     Sequence numbers are unique, not dense: the task's number is in the upper bits.
 
     Defined cases: null and empty text: the end token alone. Null doc_id: null in the pieces. Repeated rows are packed
-    each. Only doc_id and text are read. Empty table: empty result.
+    each, and rows of equal length keep the order of their task. Very long texts are read whole and fill windows of their own. Only doc_id and text
+    are read, so other columns may have any name. Empty table: empty result.
     """
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(tiers):
         raise ValueError("tiers must be ascending powers of two")
