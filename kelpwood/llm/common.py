@@ -84,6 +84,24 @@ def tidy() -> None:
         _TRIM(0)
 
 
+def trimmed(f):
+    """``f`` of one group, or of two that belong together, after which freed memory is given back."""
+
+    def one(t):
+        try:
+            return f(t)
+        finally:
+            tidy()
+
+    def two(t, other):
+        try:
+            return f(t, other)
+        finally:
+            tidy()
+
+    return one if f.__code__.co_argcount == 1 else two
+
+
 # ----------------------------------------------------------------- words
 class Words:
     """The words of some texts: ``codes`` into ``dictionary``; ``offsets`` has the bounds of each text."""
@@ -115,9 +133,7 @@ class Words:
         return np.repeat(np.arange(self.n), self.lengths)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A finalising permutation of 64-bit values."""
-    x = x.astype(np.uint64, copy=True)
+def _mix_here(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
@@ -126,6 +142,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A finalising permutation of 64-bit values."""
+    return _mix_here(x.astype(np.uint64, copy=True))
+
+
 _TABLES = [mix((np.arange(64 * 256, dtype=np.uint64) + np.uint64((seed << 32) + 1)) * _GOLD) for seed in range(2)]
 
 
@@ -160,8 +181,15 @@ def gram_hashes(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     if len(h) < n:
         return np.zeros(0, np.uint64)
     mul = _MULS[seed]
-    s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(mul, len(h)), dtype=np.uint64)])
-    return mix((s[n:] - s[:-n]) * _powers(pow(mul, -1, 1 << 64), len(h) - n + 1) + np.uint64(n * int(_GOLD) % (1 << 64)))
+    part = _powers(mul, len(h))
+    part *= h
+    s = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(part, out=s[1:])
+    del part
+    s = s[n:] - s[:-n]
+    s *= _powers(pow(mul, -1, 1 << 64), len(s))
+    s += np.uint64(n * int(_GOLD) % (1 << 64))
+    return _mix_here(s)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, gram_hashes, internal, signed, text_array, text_bytes, tidy
+from .common import Words, gram_hashes, internal, signed, text_array, text_bytes, trimmed
 
 SEED_WORDS = 4
 CHECK_BITS = 16  # of the second hash
@@ -55,9 +55,10 @@ def _windows(texts: pa.Array, window: int, check: bool = True):
     at = np.flatnonzero(doc[:n] == doc[window - 1 :])
     if not check:
         return w, low[at], None, None, doc[at], at
-    full = gram_hashes(h, window)[at]
+    low, full = low[at], gram_hashes(h, window)[at]
+    del h, seed
     second = (gram_hashes(w.hashes(1), window, 1) >> np.uint64(64 - CHECK_BITS)).astype(np.int64)[at]
-    return w, low[at], full, second, doc[at], at
+    return w, low, full, second, doc[at], at
 
 
 def _ids(col) -> np.ndarray:
@@ -162,6 +163,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, block_bytes: int = 8 << 2
     def number_of(t: pa.Table) -> int:
         return t.column(block)[0].as_py()
 
+    @trimmed
     def announce_anchors(t: pa.Table) -> pa.Table:
         _, low, _, _, doc, _ = _windows(text_array(t.column("text")), window, check=False)
         anchor = _anchors(low, doc)[0]
@@ -171,6 +173,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, block_bytes: int = 8 << 2
     by_anchor = Window.partitionBy("anchor")
     shared = asked.withColumn("n", F.count("*").over(by_anchor)).filter("n > 1").select("block", "anchor")
 
+    @trimmed
     def announce_windows(t: pa.Table, known: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.table({c: np.zeros(0, np.int64) for c in ("w", "spot", "block", "doc")})
@@ -224,10 +227,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, block_bytes: int = 8 << 2
         cols = {f.name: t.column(f.name) for f in keep} | {"text": pa.array(texts, pa.string())}
         return pa.table(cols | {"n_words": w.lengths.astype(np.int64), "n_removed": removed.astype(np.int64), "factors": spans})
 
+    @trimmed
     def parse_block(t: pa.Table, known: pa.Table) -> pa.Table:
-        try:
-            return parse(t, known) if t.num_rows else pa.table({f.name: [] for f in schema.fields}).slice(0, 0)
-        finally:
-            tidy()
+        return parse(t, known) if t.num_rows else pa.table({f.name: [] for f in schema.fields}).slice(0, 0)
 
     return dealt.cogroup(earlier.groupBy("block")).applyInArrow(parse_block, schema)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import Words, text_array
+from .common import Words, text_array, tidy
 from .merging import LONG, merge_long
 
 CACHE_CHUNKS = 400_000
@@ -140,6 +140,8 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.merger = _Merger(model) if model.get("end_of_word_suffix") else None
+        del model
+        tidy()
         self._reset()
 
     def _reset(self):

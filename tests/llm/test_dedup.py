@@ -22,7 +22,7 @@ def words(t):
 def groups(docs, k, percent):
     sets = {}
     for i, t in docs:
-        w = words((t or "").lower()) if (t or "").isascii() else words(t)
+        w = [x.lower() for x in words(t)]  # bytes: A-Z only
         sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
     up = {i: i for i in sets}
 
