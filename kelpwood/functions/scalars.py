@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 # ----------------------------------------------------------------- vectors
 
 
+def let(value, use) -> Column:
+    """``use(value)`` with ``value`` computed once, also where ``use`` names it for each element of an array."""
+    return F.transform(F.array(value), use)[0]
+
+
+def unit(a) -> Column:
+    """``a`` at unit length; without length as it is."""
+    sized = let(a, lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+    return let(sized, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(x)))
+
+
 def dot(a, b) -> Column:
     """Inner product of two arrays, in double precision."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -26,15 +37,14 @@ def cosine(a, b) -> Column:
 
 def slice_and_normalize(a, dim: int) -> Column:
     """The first ``dim`` components at unit length."""
-    s = F.slice(a, 1, dim)
-    n = norm(s)
-    return F.transform(s, lambda x: F.when(n > 0, x / n).otherwise(x))
+    return unit(F.slice(a, 1, dim))
 
 
 def softmax(a) -> Column:
-    e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+    top = let(a, lambda v: F.struct(v.alias("v"), F.array_max(v).alias("m")))
+    e = let(top, lambda s: F.transform(s["v"], lambda x: F.exp(x - s["m"])))
+    both = let(e, lambda v: F.struct(v.alias("v"), F.aggregate(v, F.lit(0.0), lambda s, x: s + x).alias("total")))
+    return let(both, lambda s: F.transform(s["v"], lambda x: x / s["total"]))
 
 
 def jaccard(a, b) -> Column:

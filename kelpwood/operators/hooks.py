@@ -50,7 +50,7 @@ def embed(docs: DataFrame, key: str, text: str, embedder: Callable[[list[str]],
 
 def hash_embedding(text, dim: int = 384):
     """A unit vector that only equal texts share, as an expression: the text's 64-bit hash is mixed anew for each place."""
-    h = F.xxhash64(text)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.pmod(F.xxhash64(h, i), F.lit(1 << 52)).cast("double") / float(1 << 51) - 1)
-    n = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: x / n)
+    from ..functions.scalars import let, unit
+
+    place = lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.pmod(F.xxhash64(h, i), F.lit(1 << 52)).cast("double") / float(1 << 51) - 1)
+    return unit(let(F.xxhash64(text), place))

@@ -91,8 +91,7 @@ def rerank(df: DataFrame, q: Column, d: Column, initial: Column, share: float) -
 def blend(q: Column, context: Column, share: float = 0.2) -> Column:
     """A question's vector moved toward the mean of the last ones, at unit length."""
     mixed = F.zip_with(q, context, lambda x, y: (1 - share) * x.cast("double") + share * y.cast("double"))
-    n = S.norm(mixed)
-    return F.transform(mixed, lambda x: x / n)
+    return S.unit(mixed)
 
 
 def mean_pool(tokens: Column, mask: Column) -> Column:
