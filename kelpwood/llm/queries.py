@@ -103,9 +103,39 @@ from parts p left join fit f on f.page_id = p.page_id and f.n = 1
 """
 
 
+OP7_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select doc_id, i, md5(array_to_string(ws[i:i+12], ' ')) as h from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w where len(ws) >= 13)),
+first as (select h, min(doc_id) as d from win group by h),
+gone as (select distinct doc_id, i + k as p from win join first using (h), (select unnest(range(0, 13)) as k) where d < doc_id),
+word as (select doc_id, unnest(ws) as x, generate_subscripts(ws, 1) as p from w),
+kept as (select doc_id, string_agg(x, ' ' order by p) as t from word anti join gone using (doc_id, p) group by 1),
+n as (select doc_id, count(*) as n from gone group by 1)
+select w.doc_id, len(ws) as n_words, coalesce(n.n, 0) as n_removed, sha256(coalesce(kept.t, '')) as kept_sha256
+from w left join n using (doc_id) left join kept using (doc_id)
+"""
+
+_ROUNDS = 12
+OP8_SQL = (
+    r"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, md5(g) as h from (
+  select doc_id, array_to_string(ws[i:i+2], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) >= 3)
+  union all select doc_id, array_to_string(ws, ' ') from w where len(ws) between 1 and 2)),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e as materialized (select a, b from l union all select b, a from l), r0 as (select doc_id, doc_id as c from documents)"""
+    + "".join(f", r{i + 1} as materialized (select r.doc_id, least(r.c, coalesce(min(o.c), r.c)) as c from r{i} r left join e on e.a = r.doc_id left join r{i} o on o.doc_id = e.b group by r.doc_id, r.c)" for i in range(_ROUNDS))
+    + f"""
+select r.doc_id, coalesce(n.n, 0) as n_shingles, r.c as component_id, r.c = r.doc_id as kept from r{_ROUNDS} r left join n using (doc_id)
+"""
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL}
+    return {"op6_url_filter": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL}
