@@ -193,7 +193,7 @@ def mine(t: Tables):
     return N.mine(docs, "id", "text").select("id", "phrase", "kind", "start", F.round("confidence", 6).alias("confidence"))
 
 
-@query("""with recursive s as (select user_id, event_id % 40 as a, event_id % 40 + 1 + event_id % 7 as b, 1 + event_id % 7 as len, event_id as id from events where user_id < 20),
+@query("""with recursive s as (select user_id, event_id % 40 as a, event_id % 40 + 1 + event_id % 7 as b, 1 + event_id % 7 as len, event_id as id from events),
 g as (select *, row_number() over (partition by user_id order by len desc, a, id) as n from s),
 w(user_id, n, taken, kept) as (select user_id, 1, [struct_pack(a := a, b := b)], [id] from g where n = 1
   union all select g.user_id, g.n, case when len(list_filter(taken, lambda x: g.a < x.b and x.a < g.b)) = 0 then list_append(taken, struct_pack(a := g.a, b := g.b)) else taken end,
@@ -201,7 +201,7 @@ w(user_id, n, taken, kept) as (select user_id, 1, [struct_pack(a := a, b := b)],
 select user_id as doc, unnest(kept) as id from w where (user_id, n) in (select user_id, max(n) from w group by 1)""")
 def dedup_overlapping(t: Tables):
     """Of overlapping spans the longest stays, ties to the first."""
-    spans = t.events.filter("user_id < 20").select(F.col("user_id").alias("doc"), F.col("event_id").alias("id"), (F.col("event_id") % 40).alias("start"), (F.col("event_id") % 7 + 1).alias("length"))
+    spans = t.events.select(F.col("user_id").alias("doc"), F.col("event_id").alias("id"), (F.col("event_id") % 40).alias("start"), (F.col("event_id") % 7 + 1).alias("length"))
     return N.without_overlaps(spans).select("doc", "id")
 
 

@@ -183,7 +183,7 @@ def governance_check(t: Tables):
     return t.documents.select("doc_id", F.when(pii, "pii").when(F.col("doc_id") % 100 / 100 < 0.4, "low_confidence").otherwise("ok").alias("verdict"))
 
 
-@query(f"select doc_id, w as word, regexp_matches(w, '{I.SECRET}') or (strlen(w) > 8 and len(list_distinct(string_split(w, ''))) / strlen(w) > 0.7) as secret from (select doc_id, unnest(list_distinct(regexp_split_to_array(text, '\\s+'))) as w from documents where doc_id % 3 = 0 or doc_id % 3 <> 0) where strlen(w) >= 16")
+@query(f"select doc_id, w as word, regexp_matches(w, '{I.SECRET}') or (strlen(w) > 8 and len(list_distinct(string_split(w, ''))) / strlen(w) > 0.7) as secret from (select doc_id, unnest(list_distinct(regexp_split_to_array(text, '\\s+'))) as w from documents) where strlen(w) >= 16")
 def looks_like_secret(t: Tables):
     """Long words of all documents: known shapes of keys, or many different characters."""
     w = t.documents.select("doc_id", F.explode(F.array_distinct(F.split("text", "\\s+"))).alias("word")).filter(F.octet_length("word") >= 16)
