@@ -88,6 +88,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(out.drop("text")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_dedup
+
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 OP6_SQL = """
 with rules(verdict, host, path) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 cut as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) end as rest from pages),
@@ -132,10 +139,18 @@ select r.doc_id, coalesce(n.n, 0) as n_shingles, r.c as component_id, r.c = r.do
 """
 )
 
+OP12_SQL = """
+with l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as p from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents)),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+often as (select key from k where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
+select doc_id, count(*) as n_lines, count(o.key) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by p) filter (where o.key is null), '')) as kept_sha256
+from k left join often o using (key) group by doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL}
+    return {"op6_url_filter": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op12_line_dedup": OP12_SQL}

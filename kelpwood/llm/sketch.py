@@ -16,9 +16,9 @@ def maybe_in(df: DataFrame, key: str, ids: DataFrame, bits: int = BITS) -> tuple
     It is also true for a share of other rows, which grows with the ids: about ids / 2**bits. The words that hold a bit are broadcast; there are 2**(bits - 6) at most.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    word, mark = internal(df, "word"), internal(df, "maybe")
-    words = ids.select(place(F.col(key)).alias("p")).groupBy(F.shiftright("p", 6).alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+    word, mark, bit = (internal(df, x) for x in ("word", "maybe", "bits"))
+    words = ids.select(place(F.col(key)).alias("p")).groupBy(F.shiftright("p", 6).alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias(bit))
     placed = df.withColumn(mark, place(F.col(key))).withColumn(word, F.shiftright(mark, 6))
     joined = placed.join(F.broadcast(words), word, "left")
-    hit = F.col("bits").isNotNull() & (F.expr(f"shiftright(bits, cast(`{mark}` & 63 as int)) & 1") == 1)
+    hit = F.col(bit).isNotNull() & (F.expr(f"shiftright(`{bit}`, cast(`{mark}` & 63 as int)) & 1") == 1)
     return joined.withColumn(mark, hit).select(*[F.col(f"`{c}`") for c in df.columns], mark), mark
