@@ -88,6 +88,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(out.drop("text")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitens x = floor(64 * c) + 1000000. Entries of 2**46 or more, of which x isn't exact as a double, count as non-finite; a deviation above a long's range is null."""
+    from .whitening import fit, usable, whiten
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("c"))
+    rows = rows.filter(usable(F.col("c")) & F.forall("c", lambda e: F.abs(e) < 2.0**46))
+    x = rows.select("vec_id", F.transform("c", lambda e: F.floor(e * 64) + 1000000).alias("x"))
+    model = fit(x, "x", components=16)
+    out = whiten(x, model, "x")
+    n, sums = (model.n, model.total()) if model else (0, [])
+    far = F.zip_with("x", F.lit(sums).cast("array<long>"), lambda e, s: F.try_subtract(F.try_multiply(F.lit(n).cast("long"), e), s))
+    deviation = F.aggregate(far, F.lit(0).cast("long"), lambda a, e: F.try_add(a, F.try_multiply(e, e)))
+    each = out.select("vec_id", deviation.alias("deviation"), F.posexplode("whitened").alias("i", "whitened"), "explained", "identity_error")
+    return each.select("vec_id", (F.col("i") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", F.get("explained", "i").alias("explained"), "identity_error")
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import line_dedup
 
