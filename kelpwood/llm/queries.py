@@ -111,6 +111,12 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked import build_index, search
+
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=50)
+
+
 OP6_SQL = """
 with rules(verdict, host, path) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 cut as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) end as rest from pages),
@@ -163,10 +169,23 @@ select doc_id, count(*) as n_lines, count(o.key) as n_dropped, sha256(coalesce(s
 from k left join often o using (key) group by doc_id
 """
 
+OP13_SQL = r"""
+with t as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+p as (select doc_id, term, count(*) as tf from t group by 1, 2),
+d as (select doc_id, count(*) as n from t group by 1),
+s as (select count(*) as n_docs, sum(n)::bigint as total from d),
+m as (select doc_id, 50 + (50 * n * n_docs) // total as m from d, s),
+w as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from p, s group by term, n_docs),
+i as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+r as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score from i join w using (term) join p using (term) join m using (doc_id) group by 1, 2)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from r where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 50
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op12_line_dedup": OP12_SQL}
+    return {"op6_url_filter": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op12_line_dedup": OP12_SQL, "op13_ranked_search": OP13_SQL}
