@@ -257,7 +257,7 @@ def whiten(df: DataFrame, model: Whitening | None, vec_col: str = "embedding") -
         flat = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
         step, out = max(16, CELLS // d), np.empty((len(flat), len(axes)))
         for i in range(0, len(flat), step):
-            out[i : i + step] = centred(flat[i : i + step], mean)[0] @ axes.T
+            out[i : i + step] = np.einsum("nd,kd->nk", centred(flat[i : i + step], mean)[0], axes)  # not by blocks of rows: equal vectors, equal results
         gone = None if some.all() else np.tile(~some, len(flat))
         return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, len(axes), dtype=np.int32)), pa.array(out.reshape(-1), mask=gone))
 
