@@ -101,3 +101,35 @@ def test_stages(spark):
     pieces = docs.collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in after.collect()}
     assert sum(r["length"] for r in pieces) == sum({r["doc_id"]: r["doc_tokens"] for r in pieces}.values())
+
+
+ODD = ("bits", "__gone", "__site_path", "n_removed", "score", "keep", "row", "doc", "path", "lang_pred", "word", "a.b")
+
+
+def test_stages_keep_odd_columns_and_rows(spark):
+    """Columns of any name come through each stage unchanged; nulls, empty and repeated rows have the results that the docstrings state."""
+    plain = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    like = [(10**9, None, None, None, None), (10**9 + 1, "", "en", None, 0), (None, "the same words without an id", None, "x", 1), (None, "the same words without an id", None, "x", 1)]
+    twice = plain.orderBy("doc_id").limit(3)
+    docs = plain.unionByName(twice).unionByName(twice.withColumn("text", F.concat(F.lit("zz "), "text"))).unionByName(spark.createDataFrame(like, plain.schema))
+    odd = materialize(docs.select("*", *[F.xxhash64("doc_id", F.lit(c)).alias(c) for c in ODD]), "odd")
+    least = {r.doc_id: r.text for r in odd.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    for name, stage in p.STAGES[:-1]:
+        out = materialize(stage(spark, odd, FOLDER), name)
+        assert out.columns == odd.columns and out.dtypes == odd.dtypes
+        assert out.filter(" or ".join(f"not `{c}` <=> xxhash64(doc_id, '{c}')" for c in ODD)).isEmpty()
+        empty = stage(spark, odd.limit(0), FOLDER)
+        assert empty.columns == odd.columns and empty.isEmpty()
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        if name in ("language_id", "quality"):
+            assert not {10**9, 10**9 + 1} & set(ids)
+        else:
+            assert {10**9, 10**9 + 1} <= set(ids)
+        if name == "minhash_near_dedup":
+            known = [i for i in ids if i is not None]
+            assert len(known) == len(set(known)) and ids.count(None) == 2
+            texts = {r.doc_id: r.text for r in out.collect()}
+            assert all(texts[r.doc_id] == least[r.doc_id] for r in twice.collect() if r.doc_id in texts)
+    pieces = p.packing(spark, odd, FOLDER)
+    assert pieces.filter("doc_id = 1000000000").count() == 1
+    assert p.packing(spark, odd.limit(0), FOLDER).isEmpty()
