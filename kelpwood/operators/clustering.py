@@ -1,72 +1,11 @@
-"""Clusters of vectors: single-link groups of a bounded backlog, density clusters by cells, centroids, labels of what is left."""
+"""Clusters once they are found: centroids, nearest centroids, what is left, labels. They are found by ``neighbours`` (single link) and ``hierarchy`` (density)."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
-from .graph import checkpointed, components
-
-CELL_ROWS = 4096  # rows of a cell that a task compares with each other
-
-
-def similar_pairs(backlog: DataFrame, key: str, vector: str, least: float) -> DataFrame:
-    """a < b of a bounded backlog (callers pass a top-k): it is broadcast to itself."""
-    a = backlog.select(F.col(key).alias("a"), F.col(vector).alias("va"))
-    b = F.broadcast(backlog.select(F.col(key).alias("b"), F.col(vector).alias("vb")))
-    return a.join(b).filter("a < b").withColumn("score", cosine(F.col("va"), F.col("vb"))).filter(F.col("score") >= least).select("a", "b", "score")
-
-
-def single_link(backlog: DataFrame, key: str, vector: str, least: float, rows: int = 512) -> DataFrame:
-    """id, label: groups of the backlog's ``rows`` first rows by likeness; each that is like no other is its own group."""
-    few = checkpointed(backlog.orderBy(key).limit(rows).select(key, vector))
-    label = components(similar_pairs(few, key, vector, least).select("a", "b"))
-    return few.select(F.col(key).alias("id")).join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-
-
-def _dense(ids: np.ndarray, x: np.ndarray, radius: float, least: int) -> pd.DataFrame:
-    """Links of one cell: core points (``least`` points within ``radius``, themselves included) with each other, others with their nearest core point."""
-    rows = []
-    square = (x * x).sum(1)
-    core = np.zeros(len(x), bool)
-    for i in range(0, len(x), 512):
-        d = np.maximum(square[i : i + 512, None] + square - 2 * x[i : i + 512] @ x.T, 0)
-        core[i : i + 512] = (d <= radius * radius).sum(1) >= least
-    for i in range(0, len(x), 512):
-        d = np.maximum(square[i : i + 512, None] + square - 2 * x[i : i + 512] @ x.T, 0)
-        d[:, ~core] = np.inf
-        near = d <= radius * radius
-        for k in np.flatnonzero(near.any(1)):
-            to = np.flatnonzero(near[k]) if core[i + k] else [int(d[k].argmin())]
-            rows += [(ids[i + k], ids[j], bool(core[i + k])) for j in to]
-    return pd.DataFrame(rows, columns=["a", "b", "core"])
-
-
-def density_clusters(df: DataFrame, key: str, vector: str, cell: str, radius: float, least: int = 3, least_members: int = 5) -> DataFrame:
-    """id, label: density clusters within the cells of a partition (say, by nearest coarse centroid), -1 for noise.
-
-    A stand-in for hierarchical density clustering at one level: core points of a cell that are within ``radius`` are one cluster, others join that of their
-    nearest core point, clusters under ``least_members`` are noise; the label is the least id. A cell of more than ``CELL_ROWS`` rows is dealt by hash into parts of that size, which share
-    a label where they have a mean within ``radius``; so no task compares more than a part.
-    """
-    sizes = df.groupBy(F.col(cell).alias("__c")).agg(F.count("*").alias("__n"))
-    parts = df.select(F.col(key).alias("id"), F.col(cell).alias("__c"), F.col(vector).alias("v")).join(sizes, "__c")
-    parts = parts.withColumn("__p", F.pmod(F.xxhash64("id"), F.ceil(F.col("__n") / CELL_ROWS)))
-
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(v, float) for v in pdf["v"]])
-        return _dense(pdf["id"].to_numpy(), x, radius, least)
-
-    e = checkpointed(parts.groupBy("__c", "__p").applyInPandas(links, "a long, b long, core boolean"))
-    label = components(e.filter("a <> b").select("a", "b"))
-    every = e.select(F.col("a").alias("id")).distinct().join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-    size = every.groupBy("label").agg(F.count("*").alias("members"))
-    kept = every.join(size, "label").filter(F.col("members") >= least_members).select("id", "label")
-    return df.select(F.col(key).alias("id")).join(kept, "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
-
 
 def persisted(df: DataFrame, label: DataFrame, key: str, vector: str) -> DataFrame:
     """label, members, centroid (unit mean) of all clusters but noise, by sums over places with partial aggregation."""

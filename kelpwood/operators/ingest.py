@@ -106,13 +106,21 @@ def daily_note(entities: DataFrame, edges: DataFrame, day: str) -> DataFrame:
     return new.join(edges.select("subject_id", "predicate", "object_id"), ["subject_id", "predicate", "object_id"], "left_anti")
 
 
-def relation_suggestions(near: DataFrame, edges: DataFrame, least: float = 0.75, k: int = 6) -> DataFrame:
-    """``near``: query_id, id, score. Similar pairs that aren't linked, as unordered pairs, at most k for a node."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    top = near.filter(F.col("score") >= least).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
-    pairs = top.groupBy(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")).agg(F.max("score").alias("score"))
+def relation_suggestions(entities: DataFrame, edges: DataFrame, least: float = 0.75, k: int = 5) -> DataFrame:
+    """``entities``: key (long), id, name, vector; ``edges``: a, b. a < b (ids), score: entities among each other's ``k`` nearest by cosine, of ``least`` at least, that no edge links.
+
+    Once for each pair of names (without regard to case): the most alike, then the least ids. Entities of equal names aren't suggested to each other.
+    """
+    from .neighbours import k_nearest
+
+    near = k_nearest(entities.select("key", "vector"), "key", "vector", k)
+    alike = near.select("id", F.explode(F.arrays_zip("nbr", "d")).alias("z")).select(F.col("id").alias("key"), F.col("z.nbr").alias("other"), (1 - F.col("z.d") * F.col("z.d") / 2).alias("score"))
+    low = entities.select("key", "id", F.lower("name").alias("name"))
+    one = alike.filter(F.col("score") >= least).join(low, "key").join(low.select(F.col("key").alias("other"), F.col("id").alias("id2"), F.col("name").alias("name2")), "other")
+    pairs = one.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.least("name", "name2").alias("n1"), F.greatest("name", "name2").alias("n2"), "score").filter("n1 <> n2")
     linked = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.join(linked, ["a", "b"], "left_anti")
+    best = F.min(F.struct((-F.round("score", 12)).alias("s"), "a", "b")).alias("m")
+    return pairs.join(linked, ["a", "b"], "left_anti").groupBy("n1", "n2").agg(best).select("m.a", "m.b", (-F.col("m.s")).alias("score"))
 
 
 # ----------------------------------------------------------------- names

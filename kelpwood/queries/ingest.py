@@ -145,3 +145,20 @@ def consolidate_groups(t: Tables):
     links = t.documents.select(F.md5("text").alias("h"), F.col("doc_id").alias("b")).join(same, "h").filter("a <> b").select("a", "b")
     groups = I.consolidate_groups(t.documents.select(F.col("doc_id").alias("id"), "text"), links)
     return groups.select("label", "members", F.md5("text").alias("digest"))
+
+
+@query("""with e as (select vec_id as key, case when vec_id % 2 = 0 then 'c' else 'p' end || vec_id as id, case when vec_id % 2 = 0 then c_name else p_name end as name, list_transform(embedding, lambda x: x::double) as v
+  from embeddings left join customer on c_custkey = vec_id left join part on p_partkey = vec_id),
+u as (select key, id, lower(name) as name, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as v from e where name is not null),
+s as (select a.id as id, a.name as name, b.id as id2, b.name as name2, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) as score, b.key from u a join u b on a.key <> b.key),
+t as (select * from s qualify row_number() over (partition by id order by score desc, key) <= 5),
+l as (select distinct 'c' || o_custkey as a, 'p' || l_partkey as b from orders join lineitem on o_orderkey = l_orderkey),
+p as (select least(id, id2) as a, greatest(id, id2) as b, least(name, name2) as n1, greatest(name, name2) as n2, round(score, 12) as score from t where score >= 0.3 and name <> name2)
+select a, b, round(score, 6) as score from p anti join l using (a, b) qualify row_number() over (partition by n1, n2 order by score desc, a, b) = 1""")
+def relation_suggestions(t: Tables):
+    """Customers (even ids) and parts (odd ones) with the embeddings of their numbers; what a customer bought is linked."""
+    even = F.col("vec_id") % 2 == 0
+    e = t.embeddings.select("vec_id", "embedding").join(t.customer.select(F.col("c_custkey").alias("vec_id"), "c_name"), "vec_id", "left").join(t.part.select(F.col("p_partkey").alias("vec_id"), "p_name"), "vec_id", "left")
+    e = e.select(F.col("vec_id").alias("key"), F.concat(F.when(even, "c").otherwise("p"), "vec_id").alias("id"), F.when(even, F.col("c_name")).otherwise(F.col("p_name")).alias("name"), F.col("embedding").alias("vector")).filter("name is not null")
+    edges = t.triples.filter("predicate = 'bought'").select(F.col("subject_id").alias("a"), F.col("object_id").alias("b"))
+    return I.relation_suggestions(e, edges, least=0.3).select("a", "b", F.round("score", 6).alias("score"))

@@ -11,6 +11,8 @@ from ..operators import clustering as C
 from ..operators import learning as L
 from ..operators import policy as P
 from ..operators import store as K
+from ..operators.hierarchy import hierarchical_clusters
+from ..operators.neighbours import like_groups
 from ..registry import query
 from ..sources.memory import memory_views as V
 from ..sources.tables import Tables, with_views
@@ -236,31 +238,31 @@ def explain_top_k(t: Tables):
 
 
 # ----------------------------------------------------------------- clusters
-@query(V("signals") + f""", few as (select id, embedding from signals where cluster_id is null order by id limit 60), p as (select a.id as a, b.id as b from few a join few b on a.id < b.id where {_COS.format('a.embedding', 'b.embedding')} >= 0.25),
+@query(V("signals") + f""", few as (select id, embedding from signals where cluster_id is null), p as (select a.id as a, b.id as b from few a join few b on a.id < b.id where {_COS.format('a.embedding', 'b.embedding')} >= 0.25),
 e as (select a, b from p union all select b, a from p), l0 as (select id, id as label from few)"""
     + "".join(f", l{i + 1} as (select l.id, least(l.label, coalesce(min(m.label), l.label)) as label from l{i} l left join e on e.a = l.id left join l{i} m on m.id = e.b group by l.id, l.label)" for i in range(12))
     + " select label, count(*) as members from l12 group by 1")
 def cluster_by_similarity(t: Tables):
-    """Single-link groups of the oldest sixty of the backlog."""
+    """Single-link groups of the whole backlog."""
     backlog = t.view("signals").filter("cluster_id is null").select("id", "embedding")
-    return C.single_link(backlog, "id", "embedding", 0.25, rows=60).groupBy("label").agg(F.count("*").alias("members"))
+    return like_groups(backlog, "id", "embedding", 0.25).groupBy("label").agg(F.count("*").alias("members"))
 
 
-@query(V("signals") + f""", few as (select id, embedding, raw_text as text from signals where cluster_id is null and tier = 2 order by id limit 60), p as (select a.id as a, b.id as b from few a join few b on a.id < b.id where {_COS.format('a.embedding', 'b.embedding')} >= 0.25),
+@query(V("signals") + f""", few as (select id, embedding, raw_text as text from signals where cluster_id is null and tier = 2), p as (select a.id as a, b.id as b from few a join few b on a.id < b.id where {_COS.format('a.embedding', 'b.embedding')} >= 0.25),
 e as (select a, b from p union all select b, a from p), l0 as (select id, id as label from few)"""
     + "".join(f", l{i + 1} as (select l.id, least(l.label, coalesce(min(m.label), l.label)) as label from l{i} l left join e on e.a = l.id left join l{i} m on m.id = e.b group by l.id, l.label)" for i in range(12))
     + " select label, count(*) as members, arg_max(id, struct_pack(n := len(regexp_split_to_array(trim(text), '\\s+')), m := -id)) as id from l12 join few using (id) group by 1")
 def consolidate_priority(t: Tables):
     """The second tier's backlog as groups, singles too, each by its longest text."""
     backlog = t.view("signals").filter("cluster_id is null and tier = 2").select("id", "embedding", F.col("raw_text").alias("text"))
-    label = C.single_link(backlog, "id", "embedding", 0.25, rows=60)
+    label = like_groups(backlog, "id", "embedding", 0.25)
     return C.longest_text(backlog.select("id", "text"), label)
 
 
 @query()
 def recluster(t: Tables):
-    """Density clusters within the cells of the tables' labels (held against brute force in the tests)."""
-    return C.density_clusters(t.embeddings, "vec_id", "embedding", "label", radius=1.0)
+    """Hierarchical density clusters of all embeddings, of five members at least and by three samples (held against brute force in the tests)."""
+    return hierarchical_clusters(t.embeddings, "vec_id", "embedding", least_members=5, samples=3)
 
 
 _CEN = "(select label, list(m / len order by pos) as centroid, max(members) as members from (select label, i as pos, avg(embedding[i]::double) as m, count(*) as members from (select label, embedding, unnest(range(1, 65)) as i from embeddings) group by 1, 2) join (select label, sqrt(sum(m * m)) as len from (select label, i, avg(embedding[i]::double) as m from (select label, embedding, unnest(range(1, 65)) as i from embeddings) group by 1, 2) group by 1) using (label) group by 1)"

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kelpwood.operators import answers, beliefs, clustering, graph, ingest, intent, learning, policy, store
+from kelpwood.operators import answers, beliefs, graph, ingest, intent, learning, policy, store
 from kelpwood.operators import text as X
 from kelpwood.operators import vectors
 from kelpwood.plans import planner
@@ -84,28 +84,7 @@ def test_hops_chains_and_rank(spark):
     assert {r["id"]: pytest.approx(r["r"]) for r in graph.pagerank(df, 3).collect()} == rank
 
 
-# ----------------------------------------------------------------- clusters
-@pytest.mark.parametrize("part_rows", [4096, 30])
-def test_density_clusters(spark, part_rows, monkeypatch):
-    rng = np.random.default_rng(4)
-    x = np.concatenate([rng.normal(0, 0.1, (30, 3)), rng.normal(4, 0.1, (25, 3)), rng.uniform(-20, 20, (12, 3))])
-    monkeypatch.setattr(clustering, "CELL_ROWS", part_rows)
-    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "id long, v array<double>, cell int")
-    label = {r["id"]: r["label"] for r in clustering.density_clusters(df, "id", "v", "cell", 0.6).collect()}
-    assert len(label) == len(x)
-    if part_rows > len(x):
-        assert {label[i] for i in range(30)} == {0} and {label[i] for i in range(30, 55)} == {30}
-    else:  # parts of a cell
-        assert all(label[i] != label[j] or label[i] == -1 for i in range(30) for j in range(30, 55))
-    assert sum(label[i] == -1 for i in range(55, 67)) >= 10
-
-
-def test_single_link(spark):
-    v = {1: [1.0, 0.0], 2: [1.0, 0.1], 3: [1.0, 0.3], 4: [0.0, 1.0], 5: [-1.0, 0.0]}
-    df = spark.createDataFrame(list(v.items()), "id long, v array<double>")
-    assert {r["id"]: r["label"] for r in clustering.single_link(df, "id", "v", 0.97).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
-
-
+# ----------------------------------------------------------------- diversity
 def test_mmr(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(12, 4))
