@@ -25,6 +25,7 @@ from .neighbours import by_row, dealt, distances, nearest, packed, pairs, unpack
 NEIGHBOURS = 16
 SOLVED = 200_000  # edges that a task takes at once
 LEAST_WEIGHT = 1e-12  # the distance that copies count as
+FEW = 10_000  # links that the driver joins by itself
 EDGE = "a long, b long, w double, ca long, cb long"
 
 
@@ -73,6 +74,26 @@ def _searched(points: DataFrame, best: DataFrame, apart: np.ndarray, radius: np.
     return checkpointed(_shortest(found).select("e.*").distinct())
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """id, label (least reachable id) of the ends of links a, b; the last rounds, which have few links, don't need jobs for that."""
+    rows = links.select("a", "b").limit(FEW + 1).collect()
+    if len(rows) > FEW:
+        return components(links)
+    up: dict = {}
+
+    def root(v):
+        while up.setdefault(v, v) != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    for a, b in rows:
+        low, high = sorted((root(a), root(b)))
+        up[high] = low
+    kind = links.schema["a"].dataType.simpleString()
+    return links.sparkSession.createDataFrame([(v, root(v)) for v in list(up)], f"id {kind}, label {kind}")
+
+
 def _shortest(edges: DataFrame) -> DataFrame:
     """c, e: each component's shortest edge, ties by its ends."""
     one = F.struct("w", "a", "b", "ca", "cb").alias("e")
@@ -93,7 +114,7 @@ def spanning_tree(points: DataFrame, apart: np.ndarray, radius: np.ndarray, edge
             best = checkpointed(_shortest(edges))
         chosen = checkpointed(best.select("e.*").distinct())
         tree = chosen.select("a", "b", "w") if tree is None else checkpointed(tree.unionByName(chosen.select("a", "b", "w")))
-        label = components(chosen.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        label = _labels(chosen.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         if label.select("label").distinct().limit(2).count() < 2:
             return tree
         to = lambda c: label.select(F.col("id").alias(c), F.col("label").alias("new"))
@@ -163,7 +184,7 @@ def condensed_tree(tree: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
         # equal weights stay together; where the middle is the greatest weight, what is below it goes
         split = checkpointed(met.filter("not whole").withColumn("lower", F.when(F.col("mid") < F.col("hi"), F.col("w") <= F.col("mid")).otherwise(F.col("w") < F.col("hi"))).select(*rest.columns, "lower"))
         below, above = split.filter("lower"), split.filter("not lower")
-        label = components(below.select("a", "b")).select("id", F.concat(F.lit(f"{level}:"), "label").alias("label"))
+        label = _labels(below.select("a", "b")).select("id", F.concat(F.lit(f"{level}:"), "label").alias("label"))
         sizes = below.select(F.col("a").alias("id"), F.col("na").alias("n")).unionByName(below.select(F.col("b").alias("id"), F.col("nb").alias("n"))).distinct()
         label = checkpointed(label.join(sizes, "id"))
         total = checkpointed(label.groupBy("label").agg(F.sum("n").alias("total")))
@@ -198,7 +219,7 @@ def _chosen(clusters: DataFrame, alone: bool) -> DataFrame:
     s = F.when(F.col("parent").isNotNull() | F.lit(alone), F.col("s")).otherwise(F.lit(-1.0))
     kids = clusters.filter("parent is not null")
     heavy = kids.groupBy("parent").agg(F.max(F.struct("n", "c")).alias("m")).select("parent", F.col("m.c").alias("c"))
-    path = components(heavy.select(F.col("c").alias("a"), F.col("parent").alias("b")))
+    path = _labels(heavy.select(F.col("c").alias("a"), F.col("parent").alias("b")))
     rows = clusters.select("c", "parent", F.coalesce("n", F.lit(1 << 62)).alias("n"), s.alias("s")).join(path.withColumnRenamed("id", "c"), "c", "left")
     rows = checkpointed(rows.select("c", "parent", "n", "s", F.coalesce("label", "c").alias("path")))
     # a path hangs from the parent of its top

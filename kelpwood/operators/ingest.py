@@ -150,15 +150,6 @@ def multi_word_type(name: Column, organizations: tuple[str, ...], technology: tu
     return F.when(F.element_at(words, -1).isin(*organizations), "organization").when(tech, "technology").otherwise("concept")
 
 
-def contained_names(names: DataFrame, least: int = 4) -> DataFrame:
-    """a < b, of which one holds the other whole, the shorter of ``least`` letters at least: substrings are joined by value, never all with all."""
-    n = F.length("name")
-    at = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.least(F.lit(least), n - i + 1), n - i + 1), lambda k: F.substring(F.col("name"), i, k))))
-    inner = names.filter(n >= least).select(F.col("name").alias("long"), F.explode(F.array_distinct(at)).alias("short")).filter((F.col("short") != F.col("long")) & (F.length("short") >= least))
-    j = inner.join(names.select(F.col("name").alias("short")), "short")
-    return j.select(F.least("long", "short").alias("a"), F.greatest("long", "short").alias("b")).distinct()
-
-
 def quality_name(name: Column, unwanted: tuple[str, ...] = ()) -> Column:
     return (F.length(name) >= 3) & ~name.rlike("^[0-9#]+$") & ~F.lower(name).isin(*unwanted)
 

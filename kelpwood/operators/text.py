@@ -96,18 +96,6 @@ def label_terms(text, least: int = 3):
     return F.concat(F.filter(t, ok), pairs)
 
 
-def mentions(docs: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
-    """``names``: id, name (lower case). Names of one or two words found as whole words; a longer name wins over a shorter one that it covers."""
-    t = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t")).filter(F.size("t") > 0)
-    one = t.select("doc", F.posexplode("t").alias("at", "name"), F.lit(1).alias("words"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda i: F.struct(i.alias("at"), F.concat_ws(" ", F.get("t", i), F.get("t", i + 1)).alias("name")))
-    two = t.filter(F.size("t") > 1).select("doc", F.explode(pairs).alias("p")).select("doc", F.col("p.at").alias("at"), F.col("p.name").alias("name"), F.lit(2).alias("words"))
-    hit = one.unionByName(two).join(names.select("id", "name"), "name")
-    w = Window.partitionBy("doc").orderBy("at", F.desc("words"), "id").rowsBetween(Window.unboundedPreceding, -1)
-    wide = hit.withColumn("reach", F.max(F.when(F.col("words") == 2, F.col("at") + 1)).over(w))
-    return wide.filter((F.col("words") == 2) | F.col("reach").isNull() | (F.col("at") > F.col("reach"))).select("doc", "at", "id", "words")
-
-
 def answer_tokens(c):
     """Lower case, marks to spaces, without articles."""
     clean = F.regexp_replace(F.lower(c), "[^a-z0-9 ]", " ")

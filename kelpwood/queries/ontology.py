@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import dictionary as D
 from ..operators import ingest as I
 from ..operators import ontology as O
 from ..operators import store as K
@@ -197,10 +198,17 @@ def classify_multi_word(t: Tables):
     return t.part.groupBy(kind.alias("entity_type")).agg(F.count("*").alias("n"))
 
 
-@query("select a.p_name as a, b.p_name as b from (select distinct p_name from part) a join (select distinct p_name from part) b on a.p_name < b.p_name and length(least(a.p_name, b.p_name)) >= 4 where contains(b.p_name, a.p_name) or contains(a.p_name, b.p_name)")
+_NAMES = "(select distinct lower(trim(n)) as n from (select p_name as n from part union all select distinct substr(p_name, 2, 6) from part union all select n_name from nation union all select c_name from customer where c_custkey <= 300 union all select substr(c_name, 12) from customer where c_custkey % 10 = 0))"
+
+
+@query(f"select a.n as a, b.n as b from {_NAMES} a join {_NAMES} b on a.n < b.n and length(least(a.n, b.n)) > 0 where length(a.n) >= 4 and length(b.n) >= 4 and (contains(b.n, a.n) or contains(a.n, b.n))")
 def names_look_like_same(t: Tables):
-    """Distinct names of which one holds the other: a shorter name is looked up among the substrings of the longer ones."""
-    return I.contained_names(t.part.select(F.col("p_name").alias("name")).distinct())
+    """Distinct names, and parts of names, of which one holds the other."""
+    few = [t.part.select("p_name"), t.part.select(F.substring("p_name", 2, 6)), t.nation.select("n_name"), t.customer.filter("c_custkey <= 300").select("c_name"), t.customer.filter("c_custkey % 10 = 0").select(F.substring("c_name", 12, 30))]
+    names = few[0]
+    for other in few[1:]:
+        names = names.union(other)
+    return D.containing_names(names.toDF("name"))
 
 
 @query(E + "select entity_type, count(*) as n from entities where length(name) >= 3 and not regexp_matches(name, '^[0-9#]+$') and lower(name) not in ('small ring') group by 1")
@@ -209,12 +217,39 @@ def proactive_quality(t: Tables):
     return t.entities.filter(I.quality_name(F.col("name"), ("small ring",))).groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
-@query(ET + ", w as (select doc_id, unnest(list_distinct(regexp_split_to_array(lower(text || ' small ring red widget'), '\\s+'))) as w from documents), n as (select lower(name) as name, min(id) as id from entities group by 1) select doc_id, n.id from w join n on n.name = w.w")
+_STRIPPED = "list_filter(list_transform(regexp_split_to_array({}, '\\s+'), lambda w: trim(w, ',.!?;:\"''()')), lambda w: w <> '')"
+_CLAUSES = "(select item_id * 1000 + i as id, trim(c[i]) as name from (select item_id, c, unnest(range(1, len(c) + 1)) as i from (select item_id, regexp_split_to_array(text, '[,.]') as c from benchmark)) where trim(c[i]) <> '')"
+_LEAD = "(select id, array_to_string(list_slice(t, 1, k), ' ') as name from (select id, regexp_split_to_array(name, '\\s+') as t from " + _CLAUSES + "), (values (1), (2), (3), (1000)) v(k))"
+
+
+def _phrases(t: Tables):
+    """Phrases of one word to many: the clauses of ``benchmark``, and the first one, two and three words of each."""
+    c = t.benchmark.select("item_id", F.posexplode(F.split("text", "[,.]")).alias("i", "c"))
+    c = c.filter("trim(c) <> ''").select((F.col("item_id") * 1000 + F.col("i") + 1).alias("id"), F.split(F.trim("c"), "\\s+").alias("t"))
+    return c.select("id", F.explode(F.array(*[F.array_join(F.slice("t", 1, k), " ") for k in (1, 2, 3, 1000)])).alias("name"))
+
+
+@query(f"""with n as (select name, len(string_split(name, ' ')) as k, min(id) as id from (select id, array_to_string({_STRIPPED.format('lower(name)')}, ' ') as name from {_LEAD}) where name <> '' group by 1, 2),
+t as (select doc_id, {_STRIPPED.format('lower(text)')} as t from documents), p as (select doc_id, t, unnest(range(1, len(t) + 1)) as pos from t),
+first as (select distinct string_split(name, ' ')[1] as w from n), ks as (select distinct k from n),
+c as (select doc_id as doc, pos, k, array_to_string(list_slice(t, pos, pos + k - 1), ' ') as s from p join first on w = t[pos], ks where pos + k - 1 <= len(t)),
+m as (select doc, pos - 1 as pos, n.k as words, n.id from c join n on n.name = c.s and n.k = c.k qualify row_number() over (partition by doc, pos order by n.k desc) = 1),
+r as (select *, max(pos + words) over (partition by doc order by pos rows between unbounded preceding and 1 preceding) as reach from m)
+select words, id, count(*) as n, min(doc) as first_doc, sum(pos)::bigint as places from r where reach is null or pos + words > reach group by 1, 2""")
+def dictionary_matches(t: Tables):
+    """Phrases of any length in every text of ``documents``: how often each is found as the longest match, and where."""
+    m = D.matches(t.documents, "doc_id", "text", _phrases(t))
+    return m.groupBy("words", "id").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc"), F.sum("at").alias("places"))
+
+
+@query(f"""with n as (select lower(name) as name, min(id) as id from (select item_id as id, unnest({_STRIPPED.format('text')}) as name from benchmark) group by 1),
+w as (select doc_id, ws[i] as raw, i from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from (select doc_id, {_STRIPPED.format("coalesce(text, '')")} as ws from documents))),
+f as (select doc_id, lower(raw) as name, min(i) as pos from w where strlen(raw) >= 3 and not regexp_full_match(raw, '\\p{{Lu}}[^\\p{{Lu}}]*') and not regexp_full_match(raw, '[0-9]+') and lower(raw) not in ({", ".join("'" + x.replace("'", "''") + "'" for x in D.STOPWORDS)}) group by 1, 2)
+select doc_id as doc, id from f join n using (name) qualify row_number() over (partition by doc_id order by pos) <= 20""")
 def link_lowercase_to_graph(t: Tables):
-    """Words of a text that are an entity's whole name."""
-    names = t.entities.groupBy(F.lower("name").alias("w")).agg(F.min("id").alias("id"))
-    words = t.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower(F.concat("text", F.lit(" small ring red widget"))), "\\s+"))).alias("w"))
-    return words.join(names, "w").select("doc_id", "id")
+    """The first twenty words of each text that are a whole name; the names are the words of ``benchmark``."""
+    names = t.benchmark.select(F.col("item_id").alias("id"), F.explode(D.stripped_tokens(F.col("text"))).alias("name"))
+    return D.linked_words(t.documents, "doc_id", "text", names)
 
 
 @query(V("signals") + "select count(*) as pairs, round(avg(s), 6) as mean from (select list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::double * z[2]::double)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::double * x::double)))) as s from signals a join signals b on b.id = a.id + 1)")

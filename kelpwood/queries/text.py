@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import text as X
+from ..operators.dictionary import matches
 from ..registry import query
 from ..sources.tables import Tables
 
@@ -43,9 +44,9 @@ def keyphrases(t: Tables):
     return k.select("id", "phrase", F.round("score", 6).alias("score"), "rank")
 
 
-@query("select conv_id, turn, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') as mails from conversations where regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')")
+@query("select doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') as mails from documents where regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')")
 def emails(t: Tables):
-    return t.conversations.filter(S.has_email(F.col("text"))).select("conv_id", "turn", F.regexp_extract_all("text", F.lit(S.EMAIL), F.lit(0)).alias("mails"))
+    return t.documents.filter(S.has_email(F.col("text"))).select("doc_id", F.regexp_extract_all("text", F.lit(S.EMAIL), F.lit(0)).alias("mails"))
 
 
 def _re(p):
@@ -89,11 +90,14 @@ def token_f1_em(t: Tables):
     return X.token_f1(pairs, "predicted", "gold").withColumn("f1", F.round("f1", 6))
 
 
-@query(f"""with n as (select distinct lower(p_name) as name from part), t as (select item_id * 1 as doc, {_TOK.format("text || ' red widget and a blue bolt'")} as t from benchmark)
+_WORDS = "list_filter(list_transform(regexp_split_to_array(lower({}), '\\s+'), lambda w: trim(w, ',.!?;:\"''()')), lambda w: w <> '')"
+
+
+@query(f"""with n as (select distinct lower(p_name) as name from part), t as (select item_id * 1 as doc, {_WORDS.format("text || ' red widget and a blue bolt'")} as t from benchmark)
 select doc, i - 1 as pos, name as id, 2 as words from (select doc, t, unnest(range(1, len(t))) as i from t) x join n on n.name = x.t[i] || ' ' || x.t[i + 1]""")
 def resolve_in_text(t: Tables):
     names = t.part.select(F.lower("p_name").alias("id"), F.lower("p_name").alias("name")).distinct()
-    return X.mentions(t.benchmark.withColumn("text", F.concat("text", F.lit(" red widget and a blue bolt"))), "item_id", "text", names).withColumnRenamed("at", "pos")
+    return matches(t.benchmark.withColumn("text", F.concat("text", F.lit(" red widget and a blue bolt"))), "item_id", "text", names).withColumnRenamed("at", "pos")
 
 
 @query(f"select a.item_id as a, b.item_id as b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) as j from (select item_id, list_distinct({_TOK.format('text')}) as x from benchmark) a, (select item_id, list_distinct({_TOK.format('text')}) as y from benchmark where item_id < 5) b where len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) >= 0.1 and a.item_id <> b.item_id")
