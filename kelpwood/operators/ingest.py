@@ -14,7 +14,11 @@ PREFIXES = (
 )
 INFIXES = ((" i'll ", "first_person_future_contracted_mid"), (" i will ", "first_person_future_mid"), (" i'm going to ", "first_person_going_to_mid"))
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
-STOPWORDS = ("the", "a", "an", "of", "to", "and", "in", "is", "it", "that", "was", "for", "on", "with", "as", "by", "at", "be", "this", "or")
+#: Words that say nothing by themselves, for the gate.
+STOPWORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can", "to", "of", "in", "for",
+    "on", "with", "at", "by", "from", "it", "its", "this", "that", "and", "or", "but", "not", "no", "if", "then", "so", "as", "i", "me", "my", "we", "you", "your", "he", "she", "they",
+)
 
 
 def first_match(rules, default: Column) -> Column:

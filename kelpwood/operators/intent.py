@@ -7,31 +7,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..registry import text_list
 
-#: Phrases that state an intent, their kind and what they are worth.
+#: Phrases that state an intent, a decision or a hypothesis, and what they are worth.
 PHRASES = (
-    ("i need to", "commitment", 0.8), ("i have to", "commitment", 0.75), ("i want to", "need", 0.7), ("i should", "commitment", 0.65), ("we should", "commitment", 0.6), ("remind me", "commitment", 0.85),
-    ("don't forget", "commitment", 0.8), ("i plan to", "commitment", 0.75), ("i'm worried about", "sentiment", 0.7), ("i'm happy with", "sentiment", 0.7), ("i just finished", "outcome", 0.8), ("i failed to", "outcome", 0.8),
+    ("i'm going to", "intent", 0.85), ("i am going to", "intent", 0.85), ("i'm gonna", "intent", 0.80), ("i intend to", "intent", 0.85), ("i'll try to", "intent", 0.65), ("i'll try", "intent", 0.55),
+    ("i'll", "intent", 0.65), ("i need to", "intent", 0.75), ("i have to", "intent", 0.70), ("i want to", "intent", 0.65), ("i should", "intent", 0.60), ("i must", "intent", 0.70),
+    ("remind me to", "intent", 0.85), ("note to self", "intent", 0.80), ("todo:", "intent", 0.85), ("the plan is", "intent", 0.80), ("we'll ship", "intent", 0.85), ("we're going to", "intent", 0.80),
+    ("we need to", "intent", 0.75), ("let's", "intent", 0.55), ("going with", "intent", 0.70),
+    ("he'll", "intent", 0.45), ("she'll", "intent", 0.45), ("they'll", "intent", 0.45), ("he is going to", "intent", 0.50), ("she is going to", "intent", 0.50), ("they are going to", "intent", 0.50),
+    ("he plans to", "intent", 0.55), ("she plans to", "intent", 0.55), ("they plan to", "intent", 0.55), ("he needs to", "intent", 0.50), ("she needs to", "intent", 0.50), ("they need to", "intent", 0.50),
+    ("plans to", "intent", 0.45), ("agreed to", "intent", 0.65), ("promised to", "intent", 0.75), ("committed to", "intent", 0.70),
+    ("decided to", "decision", 0.90), ("i decided", "decision", 0.90), ("i went with", "decision", 0.85), ("we went with", "decision", 0.85), ("ended up", "decision", 0.65), ("settled on", "decision", 0.85),
+    ("we're doing", "decision", 0.70), ("chose ", "decision", 0.70),
+    ("my guess is", "hypothesis", 0.80), ("i bet ", "hypothesis", 0.65), ("i think ", "hypothesis", 0.55), ("probably ", "hypothesis", 0.50), ("should be ", "hypothesis", 0.45),
 )
-PHRASES_SQL, KINDS_SQL = text_list(p for p, _, _ in PHRASES), text_list(k for _, k, _ in PHRASES)
-CONF_SQL = str([c for _, _, c in PHRASES])
 #: Fixed values of cards: least score, rest of a target in seconds, cards an hour.
 LEAST_SCORE, REST, PER_HOUR = 0.18, 1800, 8
 
 
 def mine(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, phrase, kind, start, length, sentence, confidence: each phrase's first place in each sentence; of overlapping ones the longest phrase stays.
+    """id, at, phrase, kind, start, statement, confidence: of each sentence the longest phrase that starts a word in it (ties: the higher worth, then the earlier).
 
-    Sentences end at ``. ! ?`` or a line's end; one of fewer than four words costs 0.05.
+    Sentences end at ``. ! ?`` or a line's end. ``start`` is the phrase's place in its sentence; the statement goes from there to the sentence's end, and
+    one of fewer than four words costs 0.05, down to 0.05. A phrase's first place in a sentence counts, so what a sentence states is known without a fold.
     """
-    parts = F.transform(F.split(F.col(text), "[.!?\n]"), lambda s: F.lower(F.trim(s)))
-    s = docs.select(F.col(key).alias("id"), F.posexplode(parts).alias("at", "sentence")).filter("sentence <> ''")
-    found = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(k).alias("kind"), F.lit(c).alias("base"), (F.instr("sentence", p) - 1).alias("start"), F.lit(len(p)).alias("length")) for p, k, c in PHRASES])
-    hit = s.select("id", "at", "sentence", F.explode(F.filter(found, lambda x: x["start"] >= 0)).alias("x")).select("id", "at", "sentence", "x.*")
-    kept = without_overlaps(hit.withColumn("doc", F.struct("id", "at")))
-    short = F.size(F.split("sentence", "\\s+")) < 4
-    return kept.withColumn("confidence", F.col("base") - F.when(short, 0.05).otherwise(0.0)).drop("base", "doc")
+    s = docs.select(F.col(key).alias("id"), F.posexplode(F.split(F.col(text), "[.!?\n]")).alias("at", "sentence"))
+    s = s.withColumn("low", F.lower("sentence")).filter(F.col("low").rlike("|".join(p for p, _, _ in PHRASES)))
+
+    def found(order: int, phrase: str, kind: str, worth: float) -> Column:
+        place = F.regexp_instr("low", F.lit(f"(?<![a-z0-9_'])(?:{phrase})"))
+        best = [F.lit(len(phrase)).alias("length"), F.lit(worth).alias("worth"), (-place).alias("back"), F.lit(-order).alias("order")]
+        return F.when(place > 0, F.struct(*best, F.lit(phrase).alias("phrase"), F.lit(kind).alias("kind")))
+
+    top = s.withColumn("x", F.array_max(F.filter(F.array(*[found(i, *p) for i, p in enumerate(PHRASES)]), lambda x: x.isNotNull()))).filter("x is not null")
+    start = -F.col("x.back") - 1
+    out = top.select("id", "at", "x.phrase", "x.kind", start.alias("start"), F.trim(F.substring("sentence", start + 1, F.length("sentence"))).alias("statement"), F.col("x.worth").alias("worth"))
+    short = F.size(F.split("statement", "\\s+")) < 4
+    return out.withColumn("confidence", F.when(short, F.greatest(F.col("worth") - 0.05, F.lit(0.05))).otherwise(F.col("worth"))).drop("worth")
 
 
 def without_overlaps(spans: DataFrame) -> DataFrame:

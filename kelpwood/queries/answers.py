@@ -53,13 +53,13 @@ def extractive_summary(t: Tables):
     return A.greedy(_chunks(t), _ASK, 0.1, "coverage")
 
 
-@query(with_views("entities", "triples") + """, g as (select 1 as part, doc_id::varchar as k, substr(text, 1, 60) as chunk from documents where doc_id < 4
+@query(with_views("entities", "triples") + """, g as (select 1 as part, doc_id::varchar as k, text as chunk from (select * from documents order by doc_id desc limit 4)
  union all select 2, t.subject_id || t.predicate || t.object_id, s.name || ' ' || t.predicate || ' ' || o.name || '.' from triples t join entities s on s.id = subject_id join entities o on o.id = object_id where subject_id = 'p7'
  union all select 3, id, name || ' (' || entity_type || ')' from entities where id in ('c1', 'c2', 'c3'))
 select row_number() over (order by part, k)::int as n, part, chunk from g order by part, k limit 12""")
 def grounding_from(t: Tables):
-    """Signals, then edges as sentences with both names, then entities; twelve chunks at most."""
-    signals = t.documents.filter("doc_id < 4").select(F.col("doc_id").cast("string").alias("k"), F.substring("text", 1, 60).alias("chunk"))
+    """The four newest signals, then edges as sentences with both names, then entities; twelve chunks at most."""
+    signals = t.documents.orderBy(F.desc("doc_id")).limit(4).select(F.col("doc_id").cast("string").alias("k"), F.col("text").alias("chunk"))
     return A.grounding_chunks(signals, t.triples.filter("subject_id = 'p7'"), t.entities, t.entities.filter(F.col("id").isin("c1", "c2", "c3")), 12)
 
 
@@ -90,13 +90,13 @@ def classify_question(t: Tables):
     return t.conversations.groupBy(A.question_kind(q).alias("kind")).agg(F.count("*").alias("n"))
 
 
-_DATED = "substr(text, 1, 20) || case turn % 4 when 0 then ' on May 5, 2023 we met' when 1 then ' it was 2023-05-07 then' when 2 then ' in June 2021 or so' else ' no day' end || case conv_id % 3 when 0 then ' for $1,250.50 each' when 1 then ' at 30 dollars' else '' end"
+_DATED = "text || case turn % 4 when 0 then ' on May 5, 2023 we met' when 1 then ' it was 2023-05-07 then' when 2 then ' in June 2021 or so' else ' no day' end || case conv_id % 3 when 0 then ' for $1,250.50 each' when 1 then ' at 30 dollars' else '' end"
 
 
 def _dated(t: Tables):
     day = F.when(F.col("turn") % 4 == 0, " on May 5, 2023 we met").when(F.col("turn") % 4 == 1, " it was 2023-05-07 then").when(F.col("turn") % 4 == 2, " in June 2021 or so").otherwise(" no day")
     paid = F.when(F.col("conv_id") % 3 == 0, " for $1,250.50 each").when(F.col("conv_id") % 3 == 1, " at 30 dollars").otherwise("")
-    return t.conversations.select("conv_id", "turn", F.concat(F.substring("text", 1, 20), day, paid).alias("text"))
+    return t.conversations.select("conv_id", "turn", F.concat("text", day, paid).alias("text"))
 
 
 @query(f"select conv_id, turn, nullif(regexp_extract(t, '{A.DATE}', 0), '') as day from (select conv_id, turn, {_DATED} as t from conversations)")
@@ -134,7 +134,8 @@ def best_f1(t: Tables):
 
     a = t.benchmark.select("item_id", F.col("text").alias("predicted"))
     b = t.benchmark.select(F.col("item_id").alias("ref"), F.col("text").alias("gold"))
-    j = a.join(b, (F.col("ref") == F.col("item_id") + 1) | (F.col("ref") == F.col("item_id") + 2)).select((F.col("item_id") * 1000 + F.col("ref")).alias("id"), "predicted", "gold")
+    asked = a.withColumn("ref", F.explode(F.array(F.col("item_id") + 1, F.col("item_id") + 2)))
+    j = asked.join(b, "ref").select((F.col("item_id") * 1000 + F.col("ref")).alias("id"), "predicted", "gold")
     return token_f1(j, "predicted", "gold").groupBy(F.floor(F.col("id") / 1000).alias("id")).agg(F.round(F.max("f1"), 6).alias("f1"))
 
 
@@ -145,10 +146,10 @@ def persistence_report(t: Tables):
     return r.select(F.coalesce("event_type", F.lit("all")).alias("category"), "n", "rate", "f1")
 
 
-@query("select doc_id, text is not null as ok, 'Extract triples from: ' || substr(text, 1, 40) as prompt from documents")
+@query("select doc_id, text is not null as ok, 'Extract triples from: ' || text as prompt from documents")
 def triple_prompt(t: Tables):
     """The prompt for a model that a user plugs in; the engine has none."""
-    return t.documents.select("doc_id", F.col("text").isNotNull().alias("ok"), I.triple_prompt(F.substring("text", 1, 40)).alias("prompt"))
+    return t.documents.select("doc_id", F.col("text").isNotNull().alias("ok"), I.triple_prompt(F.col("text")).alias("prompt"))
 
 
 @query("select conv_id * 1000 + turn as id, 'Ada' as subject, 'knows' as predicate, 'B' || turn as object from conversations")

@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import intent as N
 from ..operators import store as K
 from ..operators import temporal as T
-from ..registry import query
+from ..registry import query, text_list
 from ..sources.memory import VIEWS
 from ..sources.memory import memory_views as V
 from ..sources.tables import CTE, Tables, with_views
@@ -184,13 +184,22 @@ def insert_candidates(t: Tables):
     return t.view("candidates").select("status").unionByName(t.conversations.select(F.lit("pending").alias("status"))).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query(f"select conv_id * 1000 + turn as id, {N.PHRASES_SQL}[(conv_id + turn) % {len(N.PHRASES)} + 1] as phrase, {N.KINDS_SQL}[(conv_id + turn) % {len(N.PHRASES)} + 1] as kind, 0 as start, round(case when len(regexp_split_to_array(trim(regexp_split_to_array({N.PHRASES_SQL}[(conv_id + turn) % {len(N.PHRASES)} + 1] || ' ' || text, '[.!?\n]')[1]), '\\s+')) < 4 then -0.05 else 0 end + {N.CONF_SQL}[(conv_id + turn) % {len(N.PHRASES)} + 1], 6)::double as confidence from conversations")
+_SAY = text_list(p for p, _, _ in N.PHRASES)
+_TABLE = "(values " + ", ".join(f"({i}, '{p.replace(chr(39), chr(39) * 2)}', '{k}', {w}::double)" for i, (p, k, w) in enumerate(N.PHRASES)) + ") p(i, phrase, kind, worth)"
+
+
+@query(f"""with said as (select conv_id * 1000 + turn as id, {_SAY}[(conv_id + turn) % {len(N.PHRASES)} + 1] || ' ' || text || ' so ' || {_SAY}[(conv_id + 3 * turn) % {len(N.PHRASES)} + 1] || ' it' as text from conversations),
+s as (select id, i - 1 as pos, c[i] as sentence, lower(c[i]) as low from (select id, c, unnest(range(1, len(c) + 1)) as i from (select id, regexp_split_to_array(text, '[.!?\n]') as c from said))),
+h as (select *, length(regexp_extract(' ' || low, '(?s)^(.*?[^a-z0-9_''])' || phrase, 1)) - 1 as start from s, {_TABLE} where contains(low, phrase)),
+b as (select * from h where start >= 0 qualify row_number() over (partition by id, pos order by length(phrase) desc, worth desc, start, i) = 1),
+st as (select *, trim(substr(sentence, start + 1)) as statement from b)
+select id, pos as place, phrase, kind, start::int as start, statement, round(case when len(regexp_split_to_array(statement, '\\s+')) < 4 then greatest(worth - 0.05, 0.05) else worth end, 6) as confidence from st""")
 def mine(t: Tables):
-    """Every turn behind one of the phrases: what is mined is the sentence from the phrase on."""
-    n = ((F.col("conv_id") + F.col("turn")) % len(N.PHRASES) + 1).cast("int")
-    said = F.concat(F.element_at(F.array(*[F.lit(p) for p, _, _ in N.PHRASES]), n), F.lit(" "), "text")
-    docs = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), said.alias("text"))
-    return N.mine(docs, "id", "text").select("id", "phrase", "kind", "start", F.round("confidence", 6).alias("confidence"))
+    """Every turn between two of the phrases, whole: the strongest statement of each sentence."""
+    n = lambda k: ((F.col("conv_id") + k * F.col("turn")) % len(N.PHRASES) + 1).cast("int")
+    phrase = lambda k: F.element_at(F.array(*[F.lit(p) for p, _, _ in N.PHRASES]), n(k))
+    docs = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(phrase(1), F.lit(" "), "text", F.lit(" so "), phrase(3), F.lit(" it")).alias("text"))
+    return N.mine(docs, "id", "text").withColumnRenamed("at", "place").withColumn("confidence", F.round("confidence", 6))
 
 
 @query("""with recursive s as (select user_id, event_id % 40 as a, event_id % 40 + 1 + event_id % 7 as b, 1 + event_id % 7 as len, event_id as id from events),
@@ -217,12 +226,12 @@ def count_active_outcome_proposals(t: Tables):
     return t.view("outcome_proposals").filter((F.col("status") == "pending") & (F.col("expires_at") > AT)).agg(F.count("*").alias("n"))
 
 
-@query(V("outcome_proposals") + "select cell_key, min(id) as id from outcome_proposals where cell_key not in (select cell_key from outcome_proposals where status = 'pending') group by 1")
+@query(V("outcome_proposals") + f"select cell_key, min(id) as id from (select cell_key, id from outcome_proposals union all select event_type, event_id from events) where cell_key not in (select cell_key from outcome_proposals where status = 'pending' and expires_at > {AT}) group by 1")
 def insert_outcome_proposal(t: Tables):
-    """A proposal for a cell that has no pending one."""
+    """Proposals for old cells and for types of events: only cells that have no active one get theirs."""
     p = t.view("outcome_proposals")
-    new = p.groupBy("cell_key").agg(F.min("id").alias("id"))
-    return K.insert_or_ignore(K.point(p, "status", "pending"), new, ["cell_key"])
+    new = p.select("cell_key", "id").unionByName(t.events.select(F.col("event_type").alias("cell_key"), F.col("event_id").alias("id"))).groupBy("cell_key").agg(F.min("id").alias("id"))
+    return K.insert_or_ignore(K.point(p, "status", "pending").filter(F.col("expires_at") > AT), new, ["cell_key"])
 
 
 @query(V("outcome_proposals") + f"select case when status = 'pending' and expires_at <= {AT} + 3000000 then 'expired' else status end as status, count(*) as n from outcome_proposals group by 1")

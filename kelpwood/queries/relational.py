@@ -118,9 +118,10 @@ def effective_confidence(t: Tables):
 
 
 # ----------------------------------------------------------------- joins
-@query(ET + "select id from entities where id not in (select subject_id from triples union select object_id from triples)")
+@query(ET + "select id from entities where id not in (select subject_id from triples where predicate = 'bought' union select object_id from triples where predicate = 'bought')")
 def orphan_entities(t: Tables):
-    return R.orphans(t.entities, t.triples).select("id")
+    """Entities that no purchase touches."""
+    return R.orphans(t.entities, t.triples.filter("predicate = 'bought'")).select("id")
 
 
 @query(ET + "select t.subject_id, t.predicate, e.name, t.confidence from triples t join entities e on e.id = t.subject_id where t.object_id = 'n3' and t.subject_id <> 'n3' order by t.confidence desc, t.subject_id, t.predicate limit 20")

@@ -114,9 +114,12 @@ def test_cards_are_admitted(spark):
 
 
 def test_mined_phrases(spark):
-    docs = [(1, "I need to call Bo today. I should rest"), (2, "Nothing here."), (3, "remind me"), (4, None), (5, "I should not, I have to go now!")]
-    got = sorted((r["id"], r["phrase"], r["start"], r["confidence"]) for r in intent.mine(spark.createDataFrame(docs, "id long, text string"), "id", "text").collect())
-    assert got == [(1, "i need to", 0, 0.8), (1, "i should", 0, pytest.approx(0.6)), (3, "remind me", 0, pytest.approx(0.8)), (5, "i have to", 14, 0.75), (5, "i should", 0, 0.65)]
+    docs = [(1, "I need to call Bo today. So I should rest"), (2, "Nothing here."), (3, "remind me to"), (4, None), (5, "I'll try to go, I think Bo settled on it!\nfoo i'll"), (6, "wei must not. They plan to; he plans to")]
+    got = sorted((r.id, r.at, r.phrase, r.kind, r.start, r.statement, round(r.confidence, 6)) for r in intent.mine(spark.createDataFrame(docs, "id long, text string"), "id", "text").collect())
+    assert got == [
+        (1, 0, "i need to", "intent", 0, "I need to call Bo today", 0.75), (1, 1, "i should", "intent", 4, "I should rest", 0.55), (3, 0, "remind me to", "intent", 0, "remind me to", 0.8),
+        (5, 0, "i'll try to", "intent", 0, "I'll try to go, I think Bo settled on it", 0.65), (5, 1, "i'll", "intent", 4, "i'll", 0.6), (6, 1, "they plan to", "intent", 1, "They plan to; he plans to", 0.55),
+    ]
 
 
 def test_model_spans(spark):
