@@ -8,23 +8,51 @@ from pyspark.sql import functions as F
 from .graph import checkpointed
 
 
-def propagate(beliefs: DataFrame, justifications: DataFrame, rounds: int = 50) -> DataFrame:
-    """``beliefs``: id, status ('in' / 'out' / 'contradicted'). ``justifications``: jid, target, kind ('support' / 'defeat'), premise.
+def verdicts(targets: DataFrame, justifications: DataFrame, status: DataFrame) -> DataFrame:
+    """id, new: what the justifications of ``targets`` (target) say; ``status``: premise, status of all premises that are known.
 
-    A justification holds if all its premises are in. A belief with a defeat that holds is out; else with a support that holds it is in; else it stays.
-    Each round is two joins and two aggregates; lineage is cut each round.
+    A justification holds if all its premises are in; one without a premise (null) holds. A defeat that holds: out; else a support that holds: in; else
+    out. Beliefs without justifications have no verdict: what was asserted stays.
     """
-    state = checkpointed(beliefs.select("id", "status"))
-    for _ in range(rounds):
-        premises = justifications.join(state.select(F.col("id").alias("premise"), "status"), "premise", "left")
-        holds = premises.groupBy("jid", "target", "kind").agg(F.bool_and(F.coalesce(F.col("status") == "in", F.lit(False))).alias("holds"))
-        verdict = holds.groupBy(F.col("target").alias("id")).agg(F.bool_or((F.col("kind") == "defeat") & F.col("holds")).alias("defeated"), F.bool_or((F.col("kind") == "support") & F.col("holds")).alias("supported"))
-        new = F.when(F.col("defeated"), "out").when(F.col("supported"), "in").otherwise(F.col("status"))
-        nxt = checkpointed(state.join(verdict, "id", "left").select("id", "status", new.alias("new")))
-        settled = nxt.filter("status <> new").isEmpty()
-        state = nxt.select("id", F.col("new").alias("status"))
-        if settled:
-            return state
+    mine = justifications.join(targets, "target", "left_semi").join(status, "premise", "left")
+    met = F.col("premise").isNull() | F.coalesce(F.col("status") == "in", F.lit(False))
+    holds = mine.groupBy("jid", "target", "kind").agg(F.bool_and(met).alias("holds"))
+    out = holds.groupBy(F.col("target").alias("id")).agg(F.bool_or((F.col("kind") == "defeat") & F.col("holds")).alias("defeated"), F.bool_or((F.col("kind") == "support") & F.col("holds")).alias("supported"))
+    return out.select("id", F.when(~F.col("defeated") & F.col("supported"), "in").otherwise("out").alias("new"))
+
+
+def propagate(beliefs: DataFrame, justifications: DataFrame, roots: DataFrame | None = None, passes: int | None = None, rounds: int = 50) -> DataFrame:
+    """id, status once changes have spread. ``beliefs``: id, status ('in' / 'out' / 'contradicted'). ``justifications``: jid, target, kind ('support' / 'defeat'), premise.
+
+    Semi-naive: a round looks only at beliefs of which a premise changed in the round before (first: at those that lean on ``roots`` (id), or at all), by the
+    statuses before it; beliefs that don't exist aren't added. Only the changes are written, never the whole state. A belief passes changes on ``passes``
+    times at most (once with ``roots``, which count as having done so), so cycles end; without that bound an unsettled state is an error.
+    """
+    j = checkpointed(justifications.select("jid", "target", "kind", "premise").distinct())
+    base = beliefs.select("id", "status")
+    most = passes if passes is not None else (1 if roots is not None else None)
+    spark = beliefs.sparkSession
+    log = spark.createDataFrame([], f"id {base.schema['id'].dataType.simpleString()}, status string, round int")
+    passed = roots.select("id").distinct().select("id", F.lit(1).alias("n")) if roots is not None else None
+    moved = roots.select("id").distinct() if roots is not None else None
+
+    def now(ids: DataFrame) -> DataFrame:
+        last = log.groupBy("id").agg(F.max_by("status", "round").alias("latest"))
+        return ids.join(base, "id").join(last, "id", "left").select("id", F.coalesce("latest", "status").alias("status"))
+
+    for number in range(rounds):
+        targets = (j if moved is None else j.join(moved.withColumnRenamed("id", "premise"), "premise", "left_semi")).select("target").distinct()
+        asked = j.join(targets, "target", "left_semi").select(F.col("premise").alias("id")).filter("id is not null").distinct()
+        verdict = verdicts(targets, j, now(asked).withColumnRenamed("id", "premise"))
+        new = now(verdict.select("id")).join(verdict, "id").filter("status <> new").select("id", F.col("new").alias("status"), F.lit(number).alias("round"))
+        log = checkpointed(log.unionByName(new))
+        moved = log.filter(F.col("round") == number).select("id")
+        if most is not None:
+            before = passed if passed is not None else spark.createDataFrame([], f"id {base.schema['id'].dataType.simpleString()}, n int")
+            moved = checkpointed(moved.join(before.filter(F.col("n") >= most), "id", "left_anti"))
+            passed = checkpointed(before.unionByName(moved.select("id", F.lit(1).alias("n"))).groupBy("id").agg(F.sum("n").cast("int").alias("n")))
+        if moved.isEmpty():
+            return now(base.select("id"))
     raise RuntimeError("beliefs did not settle")
 
 

@@ -117,50 +117,93 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def communities(edges: DataFrame, sweeps: int = 20) -> DataFrame:
-    """One level of local moving: id, label. ``edges``: a, b, weight (clamped to 0.05 .. 1; loops don't count).
+def _moved(e: DataFrame, state: DataFrame, m: float, sweeps: int, least: float) -> tuple[DataFrame, float, bool]:
+    """Local moving of nodes (``state``: id, k, loop, label) over edges in both directions: state, modularity, and whether moves add no more than ``least`` to it.
 
-    In each sweep half of the nodes (by a hash of node and sweep) may move to the neighbouring community of the greatest gain in modularity, ties
-    to the lesser label. A sweep after which modularity is not higher is undone, so it never falls, and in the next only the node that gains most moves. It ends where
-    no move of a single node raises modularity, or after ``sweeps``.
+    In a sweep half of the nodes (by a hash of node and sweep) may move to the neighbouring community of the greatest gain, ties to the lesser label. A sweep
+    that doesn't raise modularity isn't taken; after one that adds no more, half as many may move, and at last only moves are made that are the best of both
+    communities that they touch. Those don't meddle with each other, so their gains add up and each round is taken.
     """
-    w = F.least(F.greatest(F.col("weight"), F.lit(0.05)), F.lit(1.0))
-    one = edges.filter("a <> b").select("a", "b", w.alias("weight"))
-    e = checkpointed(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight")))
-    strength = e.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("k"))
-    state = checkpointed(strength.select("id", "k", F.col("id").alias("label")))
-    m = float(state.agg(F.sum("k")).first()[0] or 0) / 2
-    if not m:
-        return state.select("id", "label")
 
     def quality(s: DataFrame) -> float:
         inside = e.join(s.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(s.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
-        inner = inside.filter("la = lb").agg(F.sum("weight")).first()[0] or 0.0
+        inner = (inside.filter("la = lb").agg(F.sum("weight")).first()[0] or 0.0) + (s.agg(F.sum("loop")).first()[0] or 0.0)
         return inner / (2 * m) - float(s.groupBy("label").agg(F.sum("k").alias("k")).agg(F.sum(F.pow(F.col("k") / (2 * m), F.lit(2)))).first()[0])
 
-    best, idle = quality(state), 0
+    best, share, apart = quality(state), 2, False
     for sweep in range(sweeps):
         total = state.groupBy("label").agg(F.sum("k").alias("total"))
         to = e.join(state.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id"), "label").agg(F.sum("weight").alias("into"))
         own = state.select("id", "k", F.col("label").alias("old"))
         options = to.join(own, "id").join(total, "label").withColumn("rest", F.col("total") - F.when(F.col("label") == F.col("old"), F.col("k")).otherwise(0.0))
         gain = F.round(F.col("into") / m - F.col("rest") * F.col("k") / (2 * m * m), 12)
-        pick = options.withColumn("gain", gain).groupBy("id").agg(F.max("gain").alias("top"), F.max(F.when(F.col("label") == F.col("old"), F.col("gain"))).alias("stay"))
-        chosen = options.withColumn("gain", gain).join(pick, "id").filter((F.col("gain") == F.col("top")) & (F.col("gain") > F.coalesce("stay", F.lit(0.0))))
-        chosen = chosen.groupBy("id").agg(F.min("label").alias("new"), F.max(F.col("top") - F.coalesce("stay", F.lit(0.0))).alias("more"))
-        if idle:
-            chosen = chosen.orderBy(F.desc("more"), "id").limit(1)
+        # a node without neighbours in its own community still has to leave the rest of it
+        alone = own.join(total.withColumnRenamed("label", "old"), "old").select("id", "k", "old", F.round(-(F.col("total") - F.col("k")) * F.col("k") / (2 * m * m), 12).alias("bare"))
+        pick = options.withColumn("gain", gain).groupBy("id").agg(F.max(F.struct("gain", F.lit(0))).alias("top"), F.max(F.when(F.col("label") == F.col("old"), F.col("gain"))).alias("stay"))
+        pick = pick.join(alone.select("id", "bare"), "id").select("id", F.col("top.gain").alias("top"), F.coalesce("stay", "bare").alias("stay"))
+        chosen = options.withColumn("gain", gain).join(pick, "id").filter((F.col("gain") == F.col("top")) & (F.col("gain") > F.col("stay") + 1e-11))
+        chosen = chosen.groupBy("id", "old").agg(F.min("label").alias("new"), F.max(F.col("top") - F.col("stay")).alias("more"))
+        if apart:
+            chosen = checkpointed(chosen)
+            rank = F.struct("more", F.xxhash64("id").alias("h"), "id")
+            first = chosen.select(F.col("old").alias("c"), rank.alias("r")).unionByName(chosen.select(F.col("new").alias("c"), rank.alias("r"))).groupBy("c").agg(F.max("r").alias("r"))
+            win = lambda c: first.select(F.col("c").alias(c), F.col("r.id").alias(f"{c}_best"))
+            chosen = chosen.join(win("old"), "old").join(win("new"), "new").filter("id = old_best and id = new_best")
         else:
-            chosen = chosen.filter(F.pmod(F.xxhash64("id", F.lit(sweep)), F.lit(2)) == 0)
-        nxt = checkpointed(state.join(chosen, "id", "left").select("id", "k", F.coalesce("new", "label").alias("label")))
+            chosen = chosen.filter(F.pmod(F.xxhash64("id", F.lit(sweep)), F.lit(share)) == 0)
+        nxt = checkpointed(state.join(chosen.select("id", "new"), "id", "left").select("id", "k", "loop", F.coalesce("new", "label").alias("label")))
         q = quality(nxt)
-        if q > best + 1e-12:
-            state, best, idle = nxt, q, 0
-        else:
-            idle += 1
-            if idle == 2:
-                break
-    return state.select("id", "label")
+        more = q - best
+        if more > 1e-12:
+            state, best = nxt, q
+        if more <= least and apart:
+            return state, best, True
+        if more <= least:
+            share *= 2
+            apart = share > 16
+    return state, best, False
+
+
+def community_levels(edges: DataFrame, sweeps: int = 100, levels: int = 20, least: float = 1e-3) -> DataFrame:
+    """id, level (from 1), label, quality: communities in levels, each level's being nodes of the next; the last level has no successor of higher modularity.
+
+    ``edges``: a, b, weight (clamped to 0.05 .. 1; loops don't count). A label is the least node of its community. Quality is the level's modularity, which
+    rises with the level. A level ends where a round of moves adds no more than ``least``; one that doesn't in ``sweeps`` is an error. Nodes without an edge aren't there; no edges: no rows.
+    """
+    w = F.least(F.greatest(F.col("weight"), F.lit(0.05)), F.lit(1.0))
+    one = edges.filter("a <> b").select("a", "b", w.alias("weight"))
+    e = checkpointed(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+    state = checkpointed(e.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("k")).select("id", "k", F.lit(0.0).alias("loop"), F.col("id").alias("label")))
+    m = float(state.agg(F.sum("k")).first()[0] or 0) / 2
+    whole, out, before = state.select("id", F.col("id").alias("node")), None, None
+    for level in range(1, levels + 1):
+        if not m:
+            break
+        state, q, settled = _moved(e, state, m, sweeps, least)
+        if not settled:
+            raise RuntimeError(f"level {level} did not settle in {sweeps} sweeps")
+        if before is not None and q <= before + 1e-12:
+            break
+        low = state.groupBy("label").agg(F.min("id").alias("least"))
+        to = checkpointed(state.join(low, "label").select("id", "k", "loop", F.col("least").alias("label")))
+        whole = checkpointed(whole.join(to.select(F.col("id").alias("node"), "label"), "node").select("id", F.col("label").alias("node")))
+        rows = whole.select("id", F.lit(level).alias("level"), F.col("node").alias("label"), F.lit(q).alias("quality"))
+        out, before = rows if out is None else out.unionByName(rows), q
+        joined = e.join(to.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(to.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
+        joined = checkpointed(joined.groupBy("la", "lb").agg(F.sum("weight").alias("weight")))
+        loop = joined.filter("la = lb").select(F.col("la").alias("id"), F.col("weight").alias("inner"))
+        e = joined.filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"), "weight")
+        sums = to.groupBy("label").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop")).withColumnRenamed("label", "id")
+        state = checkpointed(sums.join(loop, "id", "left").select("id", "k", (F.col("loop") + F.coalesce("inner", F.lit(0.0))).alias("loop"), F.col("id").alias("label")))
+    if out is None:
+        return state.select("id", F.lit(1).alias("level"), "label", F.lit(0.0).alias("quality")).limit(0)
+    return out
+
+
+def communities(edges: DataFrame, sweeps: int = 100, least: float = 1e-3) -> DataFrame:
+    """id, label of the last of ``community_levels``."""
+    found = checkpointed(community_levels(edges, sweeps, least=least))
+    return found.join(F.broadcast(found.agg(F.max("level").alias("level"))), "level").select("id", "label")
 
 
 def modularity(edges: DataFrame, label: DataFrame) -> DataFrame:

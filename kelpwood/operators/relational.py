@@ -51,14 +51,6 @@ def functional_contradictions(triples: DataFrame, functional=FUNCTIONAL) -> Data
     return t.join(t.withColumnRenamed("object_id", "other_id"), ["subject_id", "predicate"]).filter("object_id < other_id")
 
 
-def overlap_conflicts(facts: DataFrame, key: list[str], value: str, start: str, end: str) -> DataFrame:
-    """Pairs of rows of one key with different values whose half-open intervals overlap (null: unbounded)."""
-    a = facts.select(*key, F.col(value).alias("value_a"), F.col(start).alias("from_a"), F.col(end).alias("to_a"))
-    b = facts.select(*key, F.col(value).alias("value_b"), F.col(start).alias("from_b"), F.col(end).alias("to_b"))
-    before = lambda x, y: F.col(x).isNull() | F.col(y).isNull() | (F.col(x) < F.col(y))
-    return a.join(b, key).filter((F.col("value_a") < F.col("value_b")) & before("from_a", "to_b") & before("from_b", "to_a"))
-
-
 def backlinks(triples: DataFrame, entities: DataFrame, target: str, limit: int, related_to: bool = False) -> DataFrame:
     """Edges into ``target`` without self-loops and dangling ends, most confident first."""
     t = triples.filter((F.col("object_id") == target) & (F.col("subject_id") != target))

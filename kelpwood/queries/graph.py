@@ -174,8 +174,8 @@ def components(t: Tables):
 
 @query()
 def community(t: Tables):
-    """Local moving over all edges; without SQL, as it is iterative (held against brute force in the tests)."""
-    return G.communities(_edges(t), sweeps=4)
+    """Communities in levels over all edges, until no level adds modularity; without SQL, as it is iterative (held against brute force in the tests)."""
+    return G.community_levels(_edges(t), least=0.01)
 
 
 @query(ET + """, l as (select 'c' || c_custkey as id, 'n' || c_nationkey as label from customer union all select 's' || s_suppkey, 'n' || s_nationkey from supplier union all select id, 'n' || (k % 25) from entities where entity_type = 'concept' union all select id, id from entities where entity_type = 'place'),

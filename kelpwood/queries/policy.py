@@ -317,6 +317,24 @@ def dependents_of(t: Tables):
     return B.dependents(_justified(t), 7)
 
 
+@query()
+def propagate_beliefs(t: Tables):
+    """Every second line's belief is retracted, and what leans on them follows (held against plain Python in the tests).
+
+    A line is supported by the line before it, the first by the last (a cycle) and by the first of the next order; every fourth is defeated by the first two together.
+    """
+    line = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"))
+    last = line.groupBy("o").agg(F.max("n").alias("last"))
+    each = line.join(last, "o")
+    before = F.when(F.col("n") > 1, F.col("id") - 1).otherwise(F.col("o") * 10 + F.col("last"))
+    support = each.select((F.col("id") * 10).alias("jid"), F.col("id").alias("target"), F.lit("support").alias("kind"), before.alias("premise")).filter("target <> premise")
+    other = each.filter("n = 1").select((F.col("id") * 10 + 1).alias("jid"), F.col("id").alias("target"), F.lit("support").alias("kind"), ((F.col("o") + 1) * 10 + 1).alias("premise"))
+    defeat = each.filter("n = 4").select((F.col("id") * 10 + 2).alias("jid"), F.col("id").alias("target"), F.lit("defeat").alias("kind"), F.explode(F.array(F.col("o") * 10 + 1, F.col("o") * 10 + 2)).alias("premise"))
+    b = t.view("beliefs").select("id", "status")
+    gone = b.filter("id % 10 = 2")
+    return B.propagate(B.resolve(b, gone), support.unionByName(other).unionByName(defeat), gone.select("id"))
+
+
 @query("with p as (select distinct least(user_id, event_id % 50) as a, greatest(user_id, event_id % 50) as b from events where user_id <> event_id % 50) select distinct case when (a + b) % 3 = 0 then b else a end as id from p where (a + b) % 3 < 2")
 def resolve_by_triples(t: Tables):
     """Choices name a pair in either order."""

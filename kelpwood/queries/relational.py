@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import relational as R
+from ..operators.intervals import overlap_counts, overlapping
 from ..registry import query
 from ..sources.tables import Tables, with_views
 
@@ -152,17 +153,29 @@ c as (select a.entity_id, a.fact_id as value_a, b.fact_id as value_b from p a jo
   and (a.valid_from is null or b.superseded_at is null or a.valid_from < b.superseded_at) and (b.valid_from is null or a.superseded_at is null or b.valid_from < a.superseded_at)) """
 
 
+#: Of facts that hold at some time.
+_HELD_CONFLICT = _FACT_CONFLICT.replace("from facts),", "from facts where valid_from is null or superseded_at is null or valid_from < superseded_at),")
+
+
 @query(with_views("facts") + _FACT_CONFLICT + "select entity_id, value_a, value_b from c")
 def contradiction_overlap(t: Tables):
-    return R.overlap_conflicts(t.facts, ["entity_id"], "fact_id", "valid_from", "superseded_at").select("entity_id", "value_a", "value_b")
+    return overlapping(t.facts, ["entity_id"], "fact_id", "valid_from", "superseded_at").select("entity_id", "value_a", "value_b")
 
 
-@query(with_views("facts") + _FACT_CONFLICT + "select (select count(distinct entity_id) from c) as conflicted, (select count(distinct entity_id) from facts) as groups, round((select count(distinct entity_id) from c) / (select count(distinct entity_id) from facts), 6) as rate")
+@query(with_views("facts") + _HELD_CONFLICT + "select (select count(distinct entity_id) from c) as conflicted, (select count(distinct entity_id) from facts) as groups, round((select count(distinct entity_id) from c) / (select count(distinct entity_id) from facts), 6) as rate")
 def contradiction_rate(t: Tables):
-    bad = R.overlap_conflicts(t.facts, ["entity_id"], "fact_id", "valid_from", "superseded_at").agg(F.count_distinct("entity_id").alias("conflicted"))
+    """Of facts that hold at some time, by a sweep without pairs."""
+    counts = overlap_counts(t.facts, ["entity_id"], "fact_id", "valid_from", "superseded_at")
+    bad = counts.filter("overlaps > 0").agg(F.count_distinct("entity_id").alias("conflicted"))
     return bad.join(F.broadcast(t.facts.agg(F.count_distinct("entity_id").alias("groups")))).withColumn("rate", F.round(F.col("conflicted") / F.col("groups"), 6))
 
 
+@query(with_views("facts") + _HELD_CONFLICT + ", n as (select v, count(*) as n from (select value_a as v from c union all select value_b from c) group by 1) select entity_id, fact_id, coalesce(n, 0) as overlaps from p left join n on v = fact_id")
+def overlapping_facts(t: Tables):
+    """How many other facts of its entity each fact overlaps, of facts that hold at some time; by a sweep without pairs."""
+    return overlap_counts(t.facts, ["entity_id"], "fact_id", "valid_from", "superseded_at").select("entity_id", F.col("value").alias("fact_id"), "overlaps")
+
+
 @query(E + "select key, max_by(id, struct_pack(c := confidence, id := id)) as id, round(least(1.0, max(confidence) + 0.3 * (sum(confidence) - max(confidence))), 6) as confidence, count(*) as merged from (select *, trim(regexp_replace(regexp_replace(lower(name), '[_-]', ' ', 'g'), ' +', ' ', 'g')) as key from entities) group by key")
 def merge_duplicates(t: Tables):
     return R.merge_duplicates(t.entities, S.normalize_name(F.col("name"))).withColumn("confidence", F.round("confidence", 6))
