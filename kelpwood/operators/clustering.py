@@ -16,11 +16,20 @@ def persisted(df: DataFrame, label: DataFrame, key: str, vector: str) -> DataFra
 
 
 def nearest(df: DataFrame, centres: DataFrame, key: str, vector: str, most: int = 4096) -> DataFrame:
-    """id, label, score of the nearest centroid by cosine; vectors of another length score 0. Centroids are counted first: more than ``most`` aren't broadcast."""
-    n = centres.limit(most + 1).count()
-    small = F.broadcast(centres) if n <= most else centres
-    s = df.join(small).select(F.col(key).alias("id"), "label", cosine(F.col(vector), F.col("centroid")).alias("score"))
-    return s.groupBy("id").agg(F.max(F.struct("score", (-F.col("label")).alias("minus"))).alias("m")).select("id", (-F.col("m.minus")).alias("label"), F.col("m.score").alias("score"))
+    """id, label, score of the nearest centroid by cosine, ties to the lesser label; vectors of another length score 0.
+
+    Centroids are counted and broadcast in blocks of ``most``, so more of them mean more passes and never a larger broadcast.
+    """
+    blocks = max(1, -(-centres.count() // most))
+    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
+    numbered = centres.select("label", "centroid", F.pmod(F.xxhash64("label"), F.lit(blocks)).alias("block"))
+    best = None
+    for block in range(blocks):
+        few = F.broadcast(numbered.filter(F.col("block") == block).drop("block"))
+        s = rows.join(few).select("id", "label", cosine(F.col("vector"), F.col("centroid")).alias("score"))
+        top = s.groupBy("id").agg(F.max(F.struct("score", (-F.col("label")).alias("minus"))).alias("m"))
+        best = top if best is None else best.unionByName(top)
+    return best.groupBy("id").agg(F.max("m").alias("m")).select("id", (-F.col("m.minus")).alias("label"), F.col("m.score").alias("score"))
 
 
 def newest_noise(df: DataFrame, label: DataFrame, at: str, since, n: int) -> DataFrame:

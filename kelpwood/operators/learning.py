@@ -3,32 +3,39 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MOST_CELLS = 100_000  # combinations of features and class that a model is fitted on at most
 
-MOST_CELLS = 100_000  # combinations of features and class that come to the driver at most
+
+def _sample(cells: DataFrame, features: list[str], most: int) -> list:
+    """At most ``most`` cells, those of the least hashes of their features: all where there are no more, else an even sample that doesn't depend on the order."""
+    return cells.orderBy(F.xxhash64(*features), *features).limit(most).collect()
 
 
 class SoftmaxModel:
     """Full-batch gradient descent on one-hot features; uniform below six distinct rows of training data.
 
-    Rows are grouped by their features first, so what comes to the driver is one row per combination of features and class: bounded by the
-    feature space, not by the data.
+    Rows are grouped by their features first, so what comes to the driver is one row per combination of features and class. Of more than ``most`` of them an
+    even sample is fitted on; of more than ``levels`` values of a column the commonest are told apart, others count as unknown ones do.
     """
 
-    def __init__(self, rate: float = 0.1, l2: float = 1e-3, epochs: int = 400):
-        self.rate, self.l2, self.epochs = rate, l2, epochs
+    def __init__(self, rate: float = 0.1, l2: float = 1e-3, epochs: int = 400, most: int = 20_000, levels: int = 100):
+        self.rate, self.l2, self.epochs, self.most, self.levels = rate, l2, epochs, most, levels
         self.columns: list[str] = []
 
     def fit(self, df: DataFrame, columns: list[str], label: str) -> SoftmaxModel:
-        rows = df.groupBy(*columns, label).agg(F.count("*").alias("n")).limit(MOST_CELLS + 1).collect()
-        if len(rows) > MOST_CELLS:
-            raise ValueError(f"more than {MOST_CELLS} combinations of features: bin free text and numbers first")
+        rows = _sample(df.groupBy(*columns, label).agg(F.count("*").alias("n")), [*columns, label], self.most)
         self.columns, self.classes = columns, sorted({r[label] for r in rows})
-        self.values = {c: sorted({str(r[c]) for r in rows}) for c in columns}
+        seen = {c: Counter() for c in columns}
+        for r in rows:
+            for c in columns:
+                seen[c][str(r[c])] += r["n"]
+        self.values = {c: sorted(sorted(v, key=lambda x: (-v[x], x))[: self.levels]) for c, v in seen.items()}
         self.weights = np.zeros((1 + sum(map(len, self.values.values())), len(self.classes)))
         if sum(r["n"] for r in rows) < 6 or len(self.classes) < 2:
             return self
@@ -129,19 +136,17 @@ def split(df: DataFrame, share: float = 0.2, least: int = 6, n: int | None = Non
 class OutcomeModel:
     """Softmax regression, or one hidden layer of rectified units, by full-batch descent with patience on held-out rows.
 
-    Rows with equal features and class are one weighted row, so what comes to the driver is bounded by the feature space (``MOST_CELLS``), not by the data. Below six
+    Rows with equal features and class are one weighted row; of more than ``most`` such rows an even sample is fitted on. Below six
     rows or two classes it stays uniform.
     """
 
-    def __init__(self, hidden: int = 0, rate: float = 0.1, l2: float = 1e-3, epochs: int = 400, patience: int = 25, seed: int = 7):
-        self.hidden, self.rate, self.l2, self.epochs, self.patience, self.seed = hidden, rate, l2, epochs, patience, seed
+    def __init__(self, hidden: int = 0, rate: float = 0.1, l2: float = 1e-3, epochs: int = 400, patience: int = 25, seed: int = 7, most: int = MOST_CELLS):
+        self.hidden, self.rate, self.l2, self.epochs, self.patience, self.seed, self.most = hidden, rate, l2, epochs, patience, seed, most
         self.layers: list[np.ndarray] = []
         self.report: dict[str, float] = {}
 
     def fit(self, df: DataFrame, features: str = "x", label: str = "polarity", held: str = "held") -> OutcomeModel:
-        rows = df.groupBy(features, label, held).agg(F.count("*").alias("n")).limit(MOST_CELLS + 1).collect()
-        if len(rows) > MOST_CELLS:
-            raise ValueError(f"more than {MOST_CELLS} combinations of features")
+        rows = _sample(df.groupBy(features, label, held).agg(F.count("*").alias("n")), [features, label, held], self.most)
         rows.sort(key=lambda r: (r[features], r[label]))
         if sum(r["n"] for r in rows) < 6 or len({r[label] for r in rows}) < 2:
             return self

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
+from .clustering import nearest
 
 
 def cosine_topk(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -30,12 +31,9 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
 
 
 def assign(df: DataFrame, centres: DataFrame, key: str, vector: str, least: float = 0.55, most: int = 4096) -> DataFrame:
-    """Nearest centroid by cosine, -1 below ``least``. The centroids are counted: more than ``most`` are refused, as each row meets all of them."""
-    if centres.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} centroids: search them with an index instead")
-    s = df.join(F.broadcast(centres)).select(F.col(key).alias("id"), "grp", cosine(F.col(vector), F.col("centroid")).alias("score"))
-    best = s.groupBy("id").agg(F.max(F.struct("score", (-F.col("grp")).alias("minus"))).alias("m"))
-    return best.select("id", F.when(F.col("m.score") >= least, -F.col("m.minus")).otherwise(-1).alias("grp"), F.col("m.score").alias("score"))
+    """Nearest centroid by cosine, ties to the lesser group, -1 below ``least``; centroids are broadcast in blocks of ``most``."""
+    best = nearest(df, centres.withColumnRenamed("grp", "label"), key, vector, most)
+    return best.select("id", F.when(F.col("score") >= least, F.col("label")).otherwise(-1).alias("grp"), "score")
 
 
 def rrf(lists: DataFrame, k: int = 60) -> DataFrame:

@@ -286,3 +286,25 @@ def test_expiring_state(spark, tmp_path):
     schema, folder = _files(tmp_path, spark, [(1, 7, 0), (2, 7, 100), (3, 7, 1000), (4, 8, 50)], "id long, k int, t long", 1)
     out = streaming.run_available(streaming.expiring(spark.readStream.schema(schema).parquet(folder).select("id", "k", "ts"), "k", "ts", "300 seconds"), "ttl_test", "complete")
     assert sorted((r["k"], r["n"]) for r in out.collect()) == [(7, 1), (7, 2), (8, 1)]
+
+
+# ----------------------------------------------------------------- bounds that are no errors
+def test_models_beyond_their_sample(spark):
+    """More combinations of features than a model is fitted on: an even sample, not an error, and the same however rows are dealt."""
+    rows = [([float(i % 97), float(i)], 1 if i % 97 > 48 else -1, i % 5 == 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "x array<double>, polarity int, held boolean")
+    one, two = learning.OutcomeModel(most=400, epochs=20).fit(df), learning.OutcomeModel(most=400, epochs=20).fit(df.repartition(7))
+    assert one.layers and all(np.allclose(a, b) for a, b in zip(one.layers, two.layers, strict=True))
+    words = spark.createDataFrame([(f"w{i}", "ab"[i % 2], "yn"[i % 2]) for i in range(900)], "w string, k string, label string")
+    model = learning.SoftmaxModel(most=300, levels=50).fit(words, ["w", "k"], "label")
+    assert len(model.values["w"]) == 50
+    assert model.transform(words).filter("predicted = label").count() == 900
+
+
+def test_many_centroids(spark):
+    """Centroids in blocks give what one block gives."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 4)))], "id long, v array<double>")
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(25, 4)))], "grp int, centroid array<double>")
+    got = [sorted((r.id, r.grp, round(r.score, 9)) for r in vectors.assign(df, c, "id", "v", 0.9, most).collect()) for most in (4096, 4)]
+    assert got[0] == got[1] and {g for _, g, _ in got[0]} > {-1}
