@@ -238,9 +238,8 @@ def explain_top_k(t: Tables):
 
 
 # ----------------------------------------------------------------- clusters
-@query(V("signals") + f""", few as (select id, embedding from signals where cluster_id is null), p as (select a.id as a, b.id as b from few a join few b on a.id < b.id where {_COS.format('a.embedding', 'b.embedding')} >= 0.25),
-e as (select a, b from p union all select b, a from p), l0 as (select id, id as label from few)"""
-    + "".join(f", l{i + 1} as (select l.id, least(l.label, coalesce(min(m.label), l.label)) as label from l{i} l left join e on e.a = l.id left join l{i} m on m.id = e.b group by l.id, l.label)" for i in range(12))
+@query(V("signals").replace("with ", "with recursive ", 1) + f""", few as (select id, embedding from signals where cluster_id is null), p as (select a.id as a, b.id as b from few a join few b on a.id < b.id where {_COS.format('a.embedding', 'b.embedding')} >= 0.25),
+e as materialized (select a, b from p union all select b, a from p), reach(id, to_id) as (select id, id from few union select reach.id, e.b from reach join e on e.a = to_id), l12 as (select id, min(to_id) as label from reach group by 1)"""
     + " select label, count(*) as members from l12 group by 1")
 def cluster_by_similarity(t: Tables):
     """Single-link groups of the whole backlog."""
@@ -248,9 +247,8 @@ def cluster_by_similarity(t: Tables):
     return like_groups(backlog, "id", "embedding", 0.25).groupBy("label").agg(F.count("*").alias("members"))
 
 
-@query(V("signals") + f""", few as (select id, embedding, raw_text as text from signals where cluster_id is null and tier = 2), p as (select a.id as a, b.id as b from few a join few b on a.id < b.id where {_COS.format('a.embedding', 'b.embedding')} >= 0.25),
-e as (select a, b from p union all select b, a from p), l0 as (select id, id as label from few)"""
-    + "".join(f", l{i + 1} as (select l.id, least(l.label, coalesce(min(m.label), l.label)) as label from l{i} l left join e on e.a = l.id left join l{i} m on m.id = e.b group by l.id, l.label)" for i in range(12))
+@query(V("signals").replace("with ", "with recursive ", 1) + f""", few as (select id, embedding, raw_text as text from signals where cluster_id is null and tier = 2), p as (select a.id as a, b.id as b from few a join few b on a.id < b.id where {_COS.format('a.embedding', 'b.embedding')} >= 0.25),
+e as materialized (select a, b from p union all select b, a from p), reach(id, to_id) as (select id, id from few union select reach.id, e.b from reach join e on e.a = to_id), l12 as (select id, min(to_id) as label from reach group by 1)"""
     + " select label, count(*) as members, arg_max(id, struct_pack(n := len(regexp_split_to_array(trim(text), '\\s+')), m := -id)) as id from l12 join few using (id) group by 1")
 def consolidate_priority(t: Tables):
     """The second tier's backlog as groups, singles too, each by its longest text."""
