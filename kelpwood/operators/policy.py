@@ -15,13 +15,13 @@ from .ingest import first_match
 #: What each kind of feedback is worth, and where it goes.
 WEIGHTS = {"helpful": 0.3, "cited": 0.3, "not_related": -1.0, "bridge": -1.0, "miss": -0.5, "card_accept": 1.0, "card_dismiss": -1.0}
 #: Arms as (k, hops, episodic, late interaction).
-ARMS = ((5, 0, False, False), (10, 1, False, False), (20, 1, True, False), (10, 2, True, False), (20, 2, True, True), (40, 3, True, True))
+ARMS = ((5, 0, False, False), (10, 1, False, False), (15, 2, False, False), (20, 2, True, False), (10, 1, False, True), (12, 2, False, True))
 #: Weights of the spaces by verb.
 VERBS = {
     "recall": {"text": 0.534, "lexical": 0.311, "recency": 0.078, "confidence": 0.078},
-    "plan": {"text": 0.4, "lexical": 0.2, "recency": 0.3, "confidence": 0.1},
-    "contradict": {"text": 0.5, "lexical": 0.3, "recency": 0.1, "confidence": 0.1},
-    "reflect": {"text": 0.3, "lexical": 0.2, "recency": 0.3, "confidence": 0.2},
+    "plan": {"text": 0.3, "lexical": 0.2, "recency": 0.35, "confidence": 0.15},
+    "contradict": {"text": 0.35, "lexical": 0.3, "recency": 0.15, "confidence": 0.2},
+    "reflect": {"text": 0.25, "lexical": 0.15, "recency": 0.45, "confidence": 0.15},
 }
 
 
