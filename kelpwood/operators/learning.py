@@ -1,8 +1,7 @@
-"""Outcome models and policies: softmax regression, bandit state, judging of policy runs, the Pareto front of candidates."""
+"""Outcome models and policies: softmax regression, judging of policy runs, the Pareto front of candidates."""
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 
 import numpy as np
@@ -72,23 +71,6 @@ class SoftmaxModel:
         return out.withColumn("predicted", F.element_at(labels, F.array_position("probabilities", F.array_max("probabilities")).cast("int")))
 
 
-class LinearBandit:
-    """Diagonal upper-confidence arms: choose by w.x + bias + a * sqrt(sum x^2 / (v + 1)); rewards move the arm by a small step."""
-
-    def __init__(self, arms: int, dim: int, alpha: float = 1.0, step: float = 0.01):
-        self.w, self.v, self.bias, self.alpha, self.step = np.zeros((arms, dim)), np.zeros((arms, dim)), np.zeros(arms), alpha, step
-
-    def select(self, x: np.ndarray) -> int:
-        return int(np.argmax(self.w @ x + self.bias + self.alpha * np.sqrt((x**2 / (self.v + 1)).sum(axis=1))))
-
-    def reward(self, arm: int, x: np.ndarray, value: float) -> None:
-        error = value - float(self.w[arm] @ x + self.bias[arm])
-        self.w[arm] += self.step * error * x
-        self.v[arm] += x**2
-        self.bias += self.step * error * np.array([math.exp(-3 * abs(i - arm)) for i in range(len(self.bias))])
-        self.alpha = max(0.05, self.alpha * 0.995)
-
-
 def judge(before: DataFrame, after: DataFrame, most_loss: float = 0.5, most_latency: float = 1.5) -> DataFrame:
     """``before`` / ``after``: id, f1, latency. One row: change of F1, fixed, broke, and whether the new policy passes."""
     j = before.select("id", F.col("f1").alias("f0"), F.col("latency").alias("l0")).join(after, "id", "full")

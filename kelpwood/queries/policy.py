@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import bandit as A
 from ..operators import beliefs as B
 from ..operators import clustering as C
 from ..operators import learning as L
@@ -107,6 +108,36 @@ def explicit_feedback(t: Tables):
     return K.newest(t.view("traces"), 5, F.desc("id")).groupBy("entity_id").agg(F.count("*").alias("credits"))
 
 
+def _pulls(t: Tables):
+    """All trajectories as events: a context of the band of the day beside a constant."""
+    hour = F.floor(F.col("seen_at") / 3600) % 24
+    bands = [F.when(hour.between(lo, hi), 1.0).otherwise(0.0) for lo, hi in ((0, 5), (6, 11), (12, 17), (18, 23))]
+    return t.view("trajectories").select("id", "query_class", "arm", F.col("reward").cast("double").alias("reward"), F.array(F.lit(1.0), *bands).alias("x"))
+
+
+@query()
+def bandit_replay(t: Tables):
+    """The arm that each class of questions would have pulled at each trajectory, learned from the earlier ones."""
+    return A.replay(_pulls(t), "query_class", ["id"], 5)
+
+
+@query(V("trajectories") + "select query_class, arm::int as arm, count(reward) as pulls from trajectories group by 1, 2")
+def bandit_pulls(t: Tables):
+    """Pulls that the states hold after all trajectories."""
+    return A.states(_pulls(t), "query_class", ["id"], 5).filter("pulls > 0").select("query_class", F.col("arm").cast("int").alias("arm"), "pulls")
+
+
+@query()
+def bandit_states(t: Tables):
+    return A.states(_pulls(t), "query_class", ["id"], 5)
+
+
+@query()
+def bandit_value(t: Tables):
+    """What the chosen arms are worth by the log, for each class."""
+    return A.value_of(A.replay(_pulls(t), "query_class", ["id"], 5), ["query_class"])
+
+
 _SESS = "(select user_id as session_id, user_id % 6 as arm, count(*) as queries, count(case when value > 40 then 1 end) as positive, count(case when value < 2 then 1 end) as negative from events group by 1, 2)"
 
 

@@ -186,15 +186,6 @@ def test_policy_search():
     assert a.merge(b).floor == pytest.approx(0.25) and a.merge(b).multiplier == 6 and sum(a.merge(b).weights.values()) == pytest.approx(1)
 
 
-def test_bandit():
-    b = learning.LinearBandit(3, 2)
-    x = np.array([1.0, 0.0])
-    for _ in range(400):
-        b.reward(1, x, 1.0)
-        b.reward(0, x, -1.0)
-    assert b.alpha == 0.05 and b.select(x) == 1
-
-
 # ----------------------------------------------------------------- stores and beliefs
 def test_change_and_decide(spark):
     t = spark.createDataFrame([(1, "pending", 1), (2, "done", 2), (2, "done", 2), (None, "pending", 3)], "id long, status string, n int")
