@@ -8,20 +8,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the folder of spark.checkpoint.dir (a temporary one only where a local session names none)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir (a temporary one only where a local session names none)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='kelpwood-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/kelpwood/graph-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kelpwood/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -45,11 +45,13 @@ def token_bucket(stream: DataFrame, key: str, at: str, rate_per_minute: float, b
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is and return its rows (for bounded sources)."""
+    """Run a stream over what there is and return its rows, from a table in the shared folder."""
+    from .state import shared, start_into, table
+
     spark: SparkSession = stream.sparkSession
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    folder = shared(spark, name)
+    start_into(stream, folder, mode).awaitTermination()
+    return table(spark, folder, stream.schema, mode)
 
 
 def expiring(stream: DataFrame, key: str, at: str, ttl: str) -> DataFrame:
