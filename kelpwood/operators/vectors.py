@@ -86,7 +86,7 @@ def mmr(ranked: DataFrame, penalty: float = 0.3) -> DataFrame:
             chosen.append(left.pop(int(np.argmax(gain))))
         return pd.DataFrame({"query_id": pdf["query_id"], "id": pdf["id"].to_numpy()[chosen], "rank": np.arange(1, len(v) + 1)})
 
-    return ranked.groupBy("query_id").applyInPandas(one, "query_id long, id long, rank int")
+    return ranked.groupBy("query_id").applyInPandas(one, f"query_id long, id {ranked.schema['id'].dataType.simpleString()}, rank int")
 
 
 def maxsim(q, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -9,6 +11,7 @@ from ..operators import graph as G
 from ..operators import retrieval as Q
 from ..operators import store as K
 from ..operators import vectors as V
+from ..plans import engine as N
 from ..plans import planner as P
 from ..registry import query
 from ..sources.memory import VIEWS
@@ -35,10 +38,10 @@ def _asked(t: Tables):
 _BITS = "list_transform({}::double[][], lambda p: case when " + _DOT.format("p", "{}") + " >= 0 then 1 else 0 end)"
 
 
-def _pool_sql(k: int, rows: str, clustered: str) -> str:
+def _pool_sql(k: int, rows: str, clustered: str, asked: int = len(ASKED)) -> str:
     """qs (query_id, q, b), s (the rows with their bits), pool (query_id, id): both parts of the candidates."""
     planes = "(select v from planes)"
-    return f"""planes as (select {[[float(x) for x in p] for p in V.planes(64)]} as v), qs as (select vec_id as query_id, embedding as q, {_BITS.format(planes, 'embedding')} as b from embeddings where vec_id < {len(ASKED)}),
+    return f"""planes as (select {[[float(x) for x in p] for p in V.planes(64)]} as v), qs as (select vec_id as query_id, embedding as q, {_BITS.format(planes, 'embedding')} as b from embeddings where vec_id < {asked}),
 s as (select *, {_BITS.format(planes, 'embedding')} as b from {rows} where {clustered}),
 d as (select query_id, id, list_sum(list_transform(list_zip(qs.b, s.b), lambda z: abs(z[1] - z[2]))) as d from qs, s),
 pool as (select query_id, id from (select *, row_number() over (partition by query_id order by d, id) as n from d) where n <= {max(8 * k, 256)}
@@ -60,7 +63,7 @@ def signal_ann_candidates(t: Tables):
     return Q.candidates(open_, _asked(t).select("query_id", "q"), 10, 64).select("query_id", "id")
 
 
-_HITS = _SIG + ", " + _pool_sql(32, "signals", _OPEN) + f""", ask(query_id, query) as (values {', '.join(f"({i}, '{q}')" for i, q in ASKED.items())}),
+_HITS_OF = f"""
 c as (select query_id, id, raw_text, created_at, {_COS.format('s.embedding', 'qs.q')} as cosine from pool join s using (id) join qs using (query_id)),
 p as (select * from (select *, row_number() over (partition by query_id order by cosine desc, id) as n from c where cosine >= 0) where n <= 32),
 tk as (select query_id, id, {_LEX.format('raw_text')} as t from p), st as (select query_id, count(*) as n, avg(len(t)) as avgdl from tk group by 1),
@@ -73,6 +76,14 @@ f as (select query_id, id, (0.534 * least(greatest(cosine, 0.0), 1.0) + 0.311 *
 h as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from f where score >= 0.15)"""
 
 
+def _hits_sql(asked: dict[int, str]) -> str:
+    """h (query_id, id, score, rank): the hits of stated questions."""
+    return _SIG + ", " + _pool_sql(32, "signals", _OPEN, len(asked)) + f", ask(query_id, query) as (values {', '.join(f"({i}, '{q}')" for i, q in asked.items())})," + _HITS_OF
+
+
+_HITS = _hits_sql(ASKED)
+
+
 @query(_HITS + " select query_id, id, round(score, 6) as score, rank from h where rank <= 8")
 def search_signal_hits(t: Tables):
     """Hits by cosine, words (fitted on the pool), age and confidence."""
@@ -98,6 +109,61 @@ def query_temporal(t: Tables):
     return h.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(10)
 
 
+# ----------------------------------------------------------------- end to end
+QUESTIONS = {0: "the tion of", 1: "how is the one related to the other", 2: "what happened last week", 3: "ls", 4: "which of these did they order in the end"}
+_WHEN = datetime.fromtimestamp(NOW, UTC).replace(tzinfo=None)
+
+
+def _search_sql() -> str:
+    """The plans are worked out here as they are in ``plans.engine``; all lists, ranks and sums are SQL's."""
+    plans = N.planned(QUESTIONS, _WHEN)
+    spec = ", ".join(f"({p.query_id}, {p.k}, {p.hops}, {p.wider}, {p.signals})" for p in plans)
+    spans = ", ".join(f"({p.query_id}, {int(p.plan.window[0].replace(tzinfo=UTC).timestamp())}, {int(p.plan.window[1].replace(tzinfo=UTC).timestamp())})" for p in plans if p.plan.window)
+    return _hits_sql(QUESTIONS) + f""", spec(query_id, k, hops, wider, most) as (values {spec}), spans(query_id, lo, hi) as (values {spans}),
+{CTE['entities']}, {CTE['triples']}, access_log as ({VIEWS['access_log'].replace('{events}', 'events')}),
+near as (select query_id, 'c' || vec_id as id, k, wider, {_COS.format('e.embedding', 'qs.q')} as sim from embeddings e, qs join spec using (query_id)),
+few as (select *, place <= k as own from (select *, row_number() over (partition by query_id order by sim desc, id) as place from near where sim is not null) where place <= greatest(k, wider)),
+known as (select few.*, e.id is not null as ok from few left join (select id from entities where confidence >= 0.2) e using (id)),
+kn as (select query_id, max(case when own then sim end) as best, count(case when own and ok then 1 end) as n from known group by 1),
+hit as (select query_id, id, place, own from known join kn using (query_id) where ok and (own or (greatest(best, 0) < 0.3 and n < 3 and sim * 0.6 >= 0.15))),
+used as (select entity_id as id, count(*) as retrieved, count(case when event_type = 'purchase' then 1 end) as succeeded, max(seen_at) as last from access_log group by 1),
+ls as (select hit.*, coalesce(succeeded / (retrieved + 1), 0.5) as v, coalesce(1 / (retrieved + 1), 1.0) as r, coalesce(exp(-0.05 * (floor(({NOW} - last) / 60) / 60)), 0) as c from hit left join used using (id)),
+pl as (select *, row_number() over (partition by query_id order by own desc, place) as a, row_number() over (partition by query_id order by own desc, v desc, place) as b,
+  row_number() over (partition by query_id order by own desc, r desc, place) as d, row_number() over (partition by query_id order by own desc, c desc, place) as g from ls),
+fu as (select query_id, id, place, own, case when own then 1 / (60.0::double + a) + 1 / (60.0::double + b) + 1 / (60.0::double + d) + 1 / (60.0::double + g) end as fused from pl),
+ent as (select query_id, id, row_number() over (partition by query_id order by own desc, round(fused, 12) desc, place) as rank, fused from fu),
+ed as (select subject_id as a, object_id as b from triples where subject_id <> object_id union all select object_id, subject_id from triples where subject_id <> object_id),
+h1 as (select distinct query_id, b as id from ent join spec using (query_id) join ed on ed.a = ent.id where hops >= 1 and (query_id, b) not in (select query_id, id from ent)),
+h2 as (select distinct query_id, b as id from h1 join spec using (query_id) join ed on ed.a = h1.id where hops >= 2 and (query_id, b) not in (select query_id, id from ent) and (query_id, b) not in (select query_id, id from h1)),
+tm as (select query_id, id, k, 0.6 * {_COS.format('s.embedding', 'qs.q')} + 0.4 * pow(2.0, -(({NOW} - created_at) / 86400.0::double) / 7) as score from signals s join spans on created_at >= lo and created_at < hi join qs using (query_id) join spec using (query_id)),
+tr as (select *, row_number() over (partition by query_id order by score desc, id) as rank from tm)
+select query_id, 'entity' as kind, id, rank::int as rank, round(fused, 9) as score from ent
+union all select query_id, 'neighbour', id, 1, null from h1 union all select query_id, 'neighbour', id, 2, null from h2
+union all select query_id, 'signal', id::varchar, rank, round(score, 6) from h join spec using (query_id) where rank <= most
+union all select query_id, 'temporal', id::varchar, rank::int, round(score, 6) from tr where rank <= k"""
+
+
+def _search(t: Tables, diversity: float):
+    log = t.view("access_log")
+    usage = log.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("retrieved"), F.count_if(F.col("event_type") == "purchase").alias("succeeded"), F.max("seen_at").alias("last"))
+    vectors = t.embeddings.select(F.concat(F.lit("c"), "vec_id").alias("id"), "embedding")
+    asked = t.embeddings.filter(F.col("vec_id") < len(QUESTIONS)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    r = N.search(QUESTIONS, asked, vectors, t.entities.filter("confidence >= 0.2"), usage, t.triples, t.view("signals"), _WHEN, 64, diversity=diversity)
+    return r.withColumn("score", F.when(F.col("kind") == "entity", F.round("score", 9)).otherwise(F.round("score", 6)))
+
+
+@query(_search_sql())
+def search_end_to_end(t: Tables):
+    """Five questions: planned, gated, each with the lists its plan asks for, fused; in the fused order."""
+    return _search(t, 0.0)
+
+
+@query()
+def search_diverse(t: Tables):
+    """The same, reordered for diversity."""
+    return _search(t, 0.3)
+
+
 @query(_SIG + f""", qs as (select vec_id as query_id, embedding as q from embeddings where vec_id < {len(ASKED)}), v as (select query_id, id, {_COS.format('embedding', 'q')} as s, created_at from signals, qs where tier < 4),
 l as (select query_id, 'vector' as list, id, round(s, 6) as score from v union all select query_id, 'newest', id, created_at from v),
 r as (select *, row_number() over (partition by query_id, list order by score desc, id) as n from l),

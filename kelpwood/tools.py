@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Tools by what they do; a write's query returns the state after it.
 TOOLS: dict[str, str] = {
-    "memory_store": "ingest_fast", "memory_store_structured": "store_structured", "memory_commit": "insert_commitment", "memory_resolve": "resolve_commitment", "memory_query": "hybrid_query",
+    "memory_store": "ingest_fast", "memory_store_structured": "store_structured", "memory_commit": "insert_commitment", "memory_resolve": "resolve_commitment", "memory_query": "search_end_to_end",
     "memory_views_list": "list_views", "memory_views_create": "create_view", "memory_views_show": "list_members", "memory_views_add": "add_member", "memory_views_remove": "remove_member",
     "memory_views_delete": "delete_view", "get_trace": "recent_traces", "list_procedures": "load_procedures", "memory_reason": "path_chains", "memory_analogies": "analogies",
     "memory_consolidate": "consolidate", "memory_brief": "brief_sections", "memory_cards": "recent_cards", "memory_card_feedback": "card_feedback", "memory_insight_silence": "upsert_insight_silence",
