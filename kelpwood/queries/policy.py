@@ -11,6 +11,7 @@ from ..operators import beliefs as B
 from ..operators import clustering as C
 from ..operators import learning as L
 from ..operators import policy as P
+from ..operators import policy_search as PS
 from ..operators import store as K
 from ..operators.hierarchy import hierarchical_clusters
 from ..operators.neighbours import like_groups
@@ -88,6 +89,34 @@ def optimize_policy(t: Tables):
     return t.spark.createDataFrame([(i, r.policy.fingerprint(), r.mean, r.diagnosis, r.accepted) for i, r in enumerate(rounds)], "n int, policy string, mean double, diagnosis string, accepted boolean")
 
 
+def _searched(t: Tables):
+    """A short search over weights of three scores of all events against whether they are purchases; instances are users."""
+    e = t.events.select("user_id", (F.col("event_type") == "purchase").alias("good"), F.least(F.col("value") / 100, F.lit(1.0)).alias("text"), (F.col("event_id") % 10 / 10.0).alias("lexical"), S.half_life(F.col("event_id") % 30, 7.0).alias("recency"), F.lit(0.7).alias("confidence"))
+    return PS.policy_search(e, "user_id", {k: F.col(k) for k in ("text", "lexical", "recency", "confidence")}, F.col("good"), rounds=2)
+
+
+@query()
+def policy_rounds(t: Tables):
+    """Every proposal with its parent, mean and what became of it."""
+    rows = [(x.round, x.candidate, x.parent, x.policy.fingerprint(), x.mean, x.accepted, x.reason) for x in _searched(t)[0]]
+    return t.spark.createDataFrame(rows, "round int, candidate int, parent int, policy string, mean double, accepted boolean, reason string")
+
+
+_SEED = " + ".join(f"{P.VERBS['recall'][k]} * least(greatest({v}, 0), 1)" for k, v in (("text", "least(value / 100, 1.0)"), ("lexical", "(event_id % 10) / 10.0::double"), ("recency", "pow(2.0::double, -(event_id % 30) / 7.0::double)"), ("confidence", "0.7")))
+
+
+@query(f"select user_id, count(*) as n, round(avg(case when (s >= 0.5) = (event_type = 'purchase') then 1.0 else 0.0 end), 6)::double as score from (select user_id, event_type, ({_SEED}) / {sum(P.VERBS['recall'].values())} as s from events) group by 1")
+def policy_seed_scores(t: Tables):
+    """The seed's row of the matrix, as the search returns it."""
+    return _searched(t)[1].filter("candidate = 0").select(F.col("instance").alias("user_id"), "n", F.round("score", 6).alias("score"))
+
+
+@query()
+def policy_accepted_scores(t: Tables):
+    """Scores of the accepted policies by instance."""
+    return _searched(t)[1].withColumnRenamed("instance", "user_id")
+
+
 @query(V("trajectories") + f"select arm, round(similarity, 6) as similarity from (select t.*, {_COS.format('e.embedding', 'q')} as similarity from trajectories t join embeddings e on e.vec_id = t.id, (select embedding as q from embeddings where vec_id = 1)) where similarity > 0.1 and reward > 0.2 order by similarity desc, id limit 1")
 def nearest_successful_arm(t: Tables):
     q = F.broadcast(K.point(t.embeddings, "vec_id", 1).select(F.col("embedding").alias("q")))
