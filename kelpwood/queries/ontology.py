@@ -114,11 +114,11 @@ def reject_ontology_proposal(t: Tables):
     return K.decide(p, p.filter("id % 3 = 0").select("id", F.lit("rejected").alias("decided")), "id").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query(V("type_proposals", "object_types") + f", m as ({_MERGED}) select kind, name, support from m where name not in (select name from object_types) and name not in (select name from type_proposals where status = 'rejected' and kind = 'link' and id % 16 = 1)")
+@query(V("type_proposals", "object_types") + f", m as ({_MERGED}) select kind, name, support from m where name not in (select name from object_types) and name not in (select name from type_proposals where status = 'rejected' and kind = 'link')")
 def persist_proposals(t: Tables):
-    """Merged proposals that neither are types nor were turned down in a log of rejected links."""
+    """Merged proposals that neither are types nor were turned down as links."""
     p = t.view("type_proposals")
-    return O.unknown_proposals(O.merged_proposals(p), t.view("object_types"), K.point(p, "kind", "link").filter("id % 16 = 1")).select("kind", "name", "support")
+    return O.unknown_proposals(O.merged_proposals(p), t.view("object_types"), K.point(p, "kind", "link")).select("kind", "name", "support")
 
 
 _TOK = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
