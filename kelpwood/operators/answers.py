@@ -57,15 +57,16 @@ def grounding(best: Column, hits: Column) -> Column:
     return F.when(best >= 0.35, "found").when(hits > 0, "uncertain").otherwise("not_stored")
 
 
-def space_score(scores: dict[str, Column], weights: dict[str, float], pinned: Column | None = None) -> Column:
-    """Weighted mean over the spaces that have a score and a positive weight; pinned rows score 1."""
+def space_score(scores: dict[str, Column], weights: dict[str, float], pinned: Column | None = None, bounded: bool = True) -> Column:
+    """Weighted mean over the spaces that have a score and a positive weight, cut to 0 to 1 if ``bounded``; pinned rows score 1."""
     total, weight = F.lit(0.0), F.lit(0.0)
     for name, c in scores.items():
         w = weights.get(name, 0.0)
         if w > 0:
             total, weight = total + F.when(c.isNotNull(), w * c).otherwise(0.0), weight + F.when(c.isNotNull(), w).otherwise(0.0)
     out = F.when(weight > 0, total / weight).otherwise(0.0)
-    out = F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0))
+    if bounded:
+        out = F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0))
     return out if pinned is None else F.when(pinned, 1.0).otherwise(out)
 
 

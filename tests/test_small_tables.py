@@ -22,3 +22,15 @@ def test_every_rejected_link_counts(spark, tmp_path):
     )
     got = catalogue.queries()["persist_proposals"](spark, at).collect()
     assert sorted(map(tuple, got)) == [("link", "B3 z", 2), ("object", "B2 y", 2)]
+
+
+def test_captures_of_later_times_keep_their_order(spark):
+    """Scores of captures after ``now`` pass 1; the later one is first, whatever its id."""
+    day = 86400
+    rows = [(1, [1.0, 0.0], "a word", 0, 300 * day), (2, [1.0, 0.0], "a word", 0, 390 * day), (3, [1.0, 0.0], "a word", 0, 0)]
+    signals = spark.createDataFrame(rows, "id long, embedding array<double>, raw_text string, tier int, created_at long").withColumn("cluster_id", F.lit(None).cast("long"))
+    asked = spark.createDataFrame([(0, [1.0, 0.0], "word")], "query_id long, q array<double>, query string")
+    got = {r["id"]: (r["rank"], r["score"]) for r in retrieval.signal_hits(signals, asked, F.lit(0), 3, 2).collect()}
+    want = {i: (0.534 + 0.311 + 0.078 * 2.0 ** (at / day / 30) + 0.078 * 0.7) / (0.534 + 0.311 + 0.078 + 0.078) for i, _, _, _, at in rows}
+    assert [got[i][0] for i in (2, 1, 3)] == [1, 2, 3]
+    assert [got[i][1] for i in (1, 2, 3)] == pytest.approx([want[i] for i in (1, 2, 3)])
