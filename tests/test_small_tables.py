@@ -34,3 +34,9 @@ def test_captures_of_later_times_keep_their_order(spark):
     want = {i: (0.534 + 0.311 + 0.078 * 2.0 ** (at / day / 30) + 0.078 * 0.7) / (0.534 + 0.311 + 0.078 + 0.078) for i, _, _, _, at in rows}
     assert [got[i][0] for i in (2, 1, 3)] == [1, 2, 3]
     assert [got[i][1] for i in (1, 2, 3)] == pytest.approx([want[i] for i in (1, 2, 3)])
+
+
+def test_weights_of_logged_verbs(spark, tmp_path):
+    at = write(spark, tmp_path, events=([(0, "view"), (4, "error"), (1, "view")], "user_id long, event_type string"))
+    got = catalogue.queries()["default_verb_weights"](spark, at).collect()
+    assert sorted((r["verb"], r["text"], r["n"]) for r in got) == [("plan", 0.3, 1), ("recall", 0.534, 2)]
