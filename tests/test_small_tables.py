@@ -40,3 +40,10 @@ def test_weights_of_logged_verbs(spark, tmp_path):
     at = write(spark, tmp_path, events=([(0, "view"), (4, "error"), (1, "view")], "user_id long, event_type string"))
     got = catalogue.queries()["default_verb_weights"](spark, at).collect()
     assert sorted((r["verb"], r["text"], r["n"]) for r in got) == [("plan", 0.3, 1), ("recall", 0.534, 2)]
+
+
+def test_baseline_variables_are_kept(spark, tmp_path):
+    """A variable that events speak of keeps its values."""
+    at = write(spark, tmp_path, events=([(0, "view"), (4, "error"), (1, "error")], "user_id long, event_type string"))
+    got = catalogue.queries()["ensure_baseline_variables"](spark, at).collect()
+    assert sorted(map(tuple, got)) == [("context", 2), ("event_kind", 5), ("time_window", 4), ("view", 1)]
