@@ -47,3 +47,11 @@ def test_baseline_variables_are_kept(spark, tmp_path):
     at = write(spark, tmp_path, events=([(0, "view"), (4, "error"), (1, "error")], "user_id long, event_type string"))
     got = catalogue.queries()["ensure_baseline_variables"](spark, at).collect()
     assert sorted(map(tuple, got)) == [("context", 2), ("event_kind", 5), ("time_window", 4), ("view", 1)]
+
+
+def test_questions_about_customers(spark, tmp_path):
+    at = write(spark, tmp_path, customer=([(3, "Ada", 1), (4, "Bo", 1), (5, "Cy", 1)], "c_custkey long, c_name string, c_nationkey int"), nation=([(1, "Here")], "n_nationkey int, n_name string"))
+    kinds = {r["id"]: r["kinds"] for r in catalogue.queries()["expand_queries"](spark, at).collect()}
+    assert kinds == {3: "original,who:Ada,what:Ada,who:May", 4: "original", 5: "original,who:Cy's,what:Cy's,temporal-recent"}
+    said = {r["id"]: (r["question"], r["suggestion"]) for r in catalogue.queries()["generate_suggestions"](spark, at).collect()}
+    assert said == {3: ("what happened yesterday", "What changed since then?"), 4: ("how is Bo linked to Here", "What is related to Bo?"), 5: ("what happened yesterday", "What changed since then?")}
