@@ -6,6 +6,11 @@
 * Search: each query probes the lists with the largest inner products of their centroids. A list's rows and its queries are
   dealt in blocks of bounded size, so a list that holds a third of all rows, or of all queries, is many tasks. In a block, scores are summed
   from tables of the query's products with the codewords; the codes that score best are reranked by exact products in double precision.
+* Check: a list can hold more of a query's nearest only where the product with its centroid, plus the query's length times the list's radius, reaches the
+  last score found (nor can it where the lengths alone don't). Such lists are compared exactly, in the same blocks, so nothing is missed,
+  whatever the sample and the queries are like. Where vectors cluster that is few lists; without structure it is most of them, which is quadratic work.
+
+The model sees vectors times a power of two, so that single precision holds them.
 """
 
 from __future__ import annotations
@@ -116,7 +121,7 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, key: st
 
     ``queries``: rows of ``df`` that are the queries, by default those whose id is divisible by 20. A query's own row is no candidate.
     Nearest first, ties to the smaller id. So many lists are probed that held-out sample queries find ``target`` of their neighbours there, and always lists
-    with 20 * k rows; ``rerank`` distinct codes in each block are reranked exactly. Vectors that are null, zero, of another length than most or
+    with 20 * k rows; ``rerank`` distinct codes in each block are reranked exactly, and what lists may hold beyond that is checked exactly. Vectors that are null, zero, of another length than most or
     hold null or non-finite components take no part, nor do rows without an id. Rows with one id count once (their best); of several vectors of a query's id the
     greatest asks. Repeated and equal vectors share a code, and all of them are reranked. Empty table: empty result.
     """
@@ -131,20 +136,25 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, key: st
     some = sorted((r["h"], r["vec_id"], bytes(r["v"])) for r in some)[:sample]  # even over all ids
     if not some:
         some = [(0, r["vec_id"], np.array(r["v"]).tobytes()) for r in base.limit(sample).collect()]
-    x = np.array([np.frombuffer(v, np.float64) for *_, v in some])
+    most = base.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+    scale = 2.0 ** float(np.clip(-np.ceil(np.log2(most)), -1000, 1000))
+    x = np.array([np.frombuffer(v, np.float64) for *_, v in some]) * scale
     quant = Quantizer(x, max(1, min(most_lists, len(x) // 8, round(n**0.5))))
-    lists = len(quant.coarse)
+    lists, centres = len(quant.coarse), quant.coarse.astype(np.float64)
     probes = min(lists, probes_needed(quant, x, k, target))
 
     def index_rows(batches):
         for b in _pack_rows(batches):
             if b.num_rows:
-                at, code = quant.encode(_matrix(b.column("v"), np.float64).astype(np.float32))
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column("vec_id"), pa.array([c.tobytes() for c in code], pa.binary()), b.column("v")], ["list", "vec_id", "code", "v"])
+                x = _matrix(b.column("v"), np.float64) * scale
+                at, code = quant.encode(x.astype(np.float32))
+                far, size = np.linalg.norm(x - centres[at], axis=1), np.linalg.norm(x, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column("vec_id"), pa.array([c.tobytes() for c in code], pa.binary()), b.column("v"), pa.array(far), pa.array(size)], ["list", "vec_id", "code", "v", "far", "size"])
 
-    index = materialize(base.mapInArrow(index_rows, "list int, vec_id long, code binary, v binary"), "ann")
-    sizes = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}  # at most most_lists rows
-    held = np.array([sizes.get(i, 0) for i in range(lists)])
+    index = materialize(base.mapInArrow(index_rows, "list int, vec_id long, code binary, v binary, far double, size double"), "ann")
+    held, radius, longest = np.zeros(lists, np.int64), np.zeros(lists), np.zeros(lists)
+    for r in index.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("size").alias("size")).collect():  # at most most_lists rows
+        held[r["list"]], radius[r["list"]], longest[r["list"]] = r["n"], r["far"], r["size"]
     # lists share a cell up to BLOCK rows; a larger list has a cell of its own, dealt in blocks
     cell, rows_in = np.zeros(lists, np.int64), 0
     for i in range(1, lists):
@@ -153,46 +163,83 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, key: st
         rows_in = 0 if cell[i] > cell[i - 1] else rows_in
     in_cell = np.bincount(cell, weights=held).astype(int)
 
+    def probed_cells(b: pa.RecordBatch, who: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        """One row for each query (a place in ``b``) and cell, with the lists ``at`` there."""
+        full = held[at] > 0
+        who, at = who[full], at[full]
+        order = np.lexsort((at, cell[at], who))
+        who, at = who[order], at[order]
+        new = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (cell[at][1:] != cell[at][:-1])])) if len(who) else np.zeros(0, int)
+        lists_at = pa.ListArray.from_arrays(pa.array(np.append(new, len(who)).astype(np.int32)), pa.array(at.astype(np.int32)))
+        mine = pa.array(who[new])
+        return pa.RecordBatch.from_arrays([pa.array(cell[at[new]].astype(np.int32)), b.column("query_id").take(mine), b.column("v").take(mine), b.column("least").take(mine), lists_at], ["cell", "query_id", "v", "least", "lists"])
+
     def probe_rows(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            q = _matrix(b.column("v"), np.float64)
-            order = np.argsort(-(q @ quant.coarse.T.astype(np.float64)), axis=1, kind="stable")
+            q = _matrix(b.column("v"), np.float64) * scale
+            order = np.argsort(-(q @ centres.T), axis=1, kind="stable")
             seen = np.cumsum(held[order], axis=1)
             need = np.maximum(probes, 1 + (seen < 20 * k).sum(axis=1)).clip(max=lists)
-            who = np.repeat(np.arange(len(q)), need)
-            at = np.concatenate([o[:m] for o, m in zip(order, need, strict=True)])
-            full = held[at] > 0
-            who, at = who[full], at[full]
-            order = np.lexsort((at, cell[at], who))  # one row for each query and cell, with its lists there
-            who, at = who[order], at[order]
-            new = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (cell[at][1:] != cell[at][:-1])])) if len(who) else np.zeros(0, int)
-            lists_at = pa.ListArray.from_arrays(pa.array(np.append(new, len(who)).astype(np.int32)), pa.array(at.astype(np.int32)))
-            mine = pa.array(who[new])
-            yield pa.RecordBatch.from_arrays([pa.array(cell[at[new]].astype(np.int32)), b.column("query_id").take(mine), b.column("v").take(mine), lists_at], ["cell", "query_id", "v", "lists"])
+            yield probed_cells(b, np.repeat(np.arange(len(q)), need), np.concatenate([o[:m] for o, m in zip(order, need, strict=True)]))
+
+    def check_rows(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            q = _matrix(b.column("v"), np.float64) * scale
+            size = np.linalg.norm(q, axis=1)[:, None]
+            bound = np.minimum(q @ centres.T + size * radius, size * longest) + 1e-9 * size * (longest + radius)
+            who, at = np.nonzero(~(bound < b.column("least").to_numpy(zero_copy_only=False)[:, None] * scale * scale))
+            yield probed_cells(b, who, at)
 
-    asked = index.filter(F.col("vec_id") % 20 == 0) if queries is None else index.join(queries.select(F.col(f"`{key}`").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    asked = asked.groupBy(F.col("vec_id").alias("query_id")).agg(F.max("v").alias("v"))
-    probed = materialize(asked.mapInArrow(probe_rows, "cell int, query_id long, v binary, lists array<int>"), "ann")
-    asks = {r["cell"]: r["count"] for r in probed.groupBy("cell").count().collect()}
     spark = df.sparkSession
-    plan = spark.createDataFrame([(i, -(-int(in_cell[i]) // BLOCK), -(-asks[i] // BLOCK)) for i in asks], "cell int, blocks int, chunks int")
     of = spark.createDataFrame([(i, int(c)) for i, c in enumerate(cell)], "list int, cell int")
-    rows = index.join(F.broadcast(of), "list").join(F.broadcast(plan), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cell", "block", "chunk", "list", "vec_id", "code", "v")
-    ask = probed.join(F.broadcast(plan), "cell").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
-    ask = ask.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", "chunk", "query_id", "v", "lists")
+    keys = ("cell", "block", "chunk")
+
+    def compared(asked: DataFrame, probe, score) -> DataFrame:
+        """query_id, vec_id, score of the rows that ``score`` finds in the lists that ``probe`` names for each query."""
+        probed = materialize(asked.mapInArrow(probe, "cell int, query_id long, v binary, least double, lists array<int>"), "ann")
+        asks = {r["cell"]: r["count"] for r in probed.groupBy("cell").count().collect()}
+        plan = spark.createDataFrame([(i, -(-int(in_cell[i]) // BLOCK), -(-asks[i] // BLOCK)) for i in asks], "cell int, blocks int, chunks int")
+        rows = index.join(F.broadcast(of), "list").join(F.broadcast(plan), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*keys, "list", "vec_id", "code", "v")
+        ask = probed.join(F.broadcast(plan), "cell").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
+        ask = ask.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*keys, "query_id", "v", "least", "lists")
+        return rows.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
+
+    asked = index.filter(F.col("vec_id") % 20 == 0) if queries is None else index.join(queries.select(F.col(f"`{key}`").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    asked = asked.groupBy(F.col("vec_id").alias("query_id")).agg(F.max("v").alias("v"))
+    none = pa.table({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+
+    def best_rows(own: int, ids: np.ndarray, vecs: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` best of some rows by exact products: ids, scores."""
+        exact = (vecs * q).sum(axis=1)
+        exact[ids == own] = -np.inf
+        top = np.lexsort((ids, -exact))
+        first = np.sort(np.unique(ids[top], return_index=True)[1])  # repeated rows count once
+        top = top[first]
+        top = top[ids[top] != own][:k]
+        return ids[top], exact[top]
+
+    def table_of(found: list) -> pa.Table:
+        return pa.table({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])}) if found else none
+
+    def sides(left: pa.Table, right: pa.Table):
+        """List, id and vector of the rows in order of id; id and vector of the queries; whether a query probes a list."""
+        ids = left.column("vec_id").combine_chunks().to_numpy()
+        order = np.argsort(ids, kind="stable")
+        qid, probing = right.column("query_id").combine_chunks().to_numpy(), right.column("lists").combine_chunks()
+        probed = np.zeros((len(qid), lists), bool)
+        probed[np.repeat(np.arange(len(qid)), np.diff(probing.offsets.to_numpy())), probing.flatten().to_numpy()] = True
+        return order, left.column("list").combine_chunks().to_numpy()[order], ids[order], _matrix(left.column("v"), np.float64)[order], qid, _matrix(right.column("v"), np.float64), probed
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not left.num_rows or not right.num_rows:
             return none
-        of_row = left.column("list").combine_chunks().to_numpy()
-        ids, codes, vecs = left.column("vec_id").combine_chunks().to_numpy(), _matrix(left.column("code"), np.uint8), _matrix(left.column("v"), np.float64)
-        qid, q = right.column("query_id").combine_chunks().to_numpy(), _matrix(right.column("v"), np.float64)
-        order = np.argsort(ids, kind="stable")
-        of_row, ids, codes, vecs = of_row[order], ids[order], codes[order], vecs[order]
+        order, of_row, ids, vecs, qid, q, probed = sides(left, right)
+        codes = _matrix(left.column("code"), np.uint8)[order]
         # rows of one list and code share an approximate score, so repeated vectors are all reranked
         distinct, number = np.unique(np.column_stack([of_row.astype("<u4").view(np.uint8).reshape(-1, 4), codes]), axis=0, return_inverse=True)
         number = number.reshape(-1)
@@ -200,14 +247,11 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, key: st
         bounds = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(distinct)))])
         at = np.ascontiguousarray(distinct[:, :4]).view("<u4").reshape(-1).astype(np.int64)
         here, place = np.unique(at, return_inverse=True)
-        probing = right.column("lists").combine_chunks()
-        asker, wanted = np.repeat(np.arange(len(qid)), np.diff(probing.offsets.to_numpy())), probing.flatten().to_numpy()
-        probed = np.zeros((len(qid), lists), bool)
-        probed[asker, wanted] = True
-        out_q, out_v, out_s = [none["query_id"].to_numpy()], [none["vec_id"].to_numpy()], [none["score"].to_numpy()]
+        found = []
         for s in range(0, len(q), 256):
-            part = quant.tables(q[s : s + 256].astype(np.float32))
-            approx = (q[s : s + 256] @ quant.coarse[here].T.astype(np.float64))[:, place]
+            some = q[s : s + 256] * scale
+            part = quant.tables(some.astype(np.float32))
+            approx = (some @ centres[here].T)[:, place]
             for p in range(quant.parts):
                 approx += part[:, p, distinct[:, 4 + p]]
             approx[~probed[s : s + 256][:, here][:, place]] = -np.inf
@@ -215,18 +259,34 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, key: st
             for i in range(len(part)):
                 mine = best[i][approx[i, best[i]] > -np.inf]
                 rows_at = np.concatenate([by_code[bounds[c] : bounds[c + 1]] for c in mine]) if len(mine) else by_code[:0]
-                rows_at = rows_at[ids[rows_at] != qid[s + i]]
-                exact = (vecs[rows_at] * q[s + i]).sum(axis=1)
-                top = np.lexsort((ids[rows_at], -exact))
-                first = np.sort(np.unique(ids[rows_at][top], return_index=True)[1])  # repeated rows count once
-                top = top[first][:k]
-                out_q.append(np.full(len(top), qid[s + i]))
-                out_v.append(ids[rows_at][top])
-                out_s.append(exact[top])
-        return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
+                found.append((qid[s + i], *best_rows(qid[s + i], ids[rows_at], vecs[rows_at], q[s + i])))
+        return table_of(found)
 
-    keys = ("cell", "block", "chunk")
-    found = rows.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return none
+        _, of_row, ids, vecs, qid, q, probed = sides(left, right)
+        least = right.column("least").combine_chunks().to_numpy(zero_copy_only=False)
+        scaled = (vecs * scale).T
+        slack = 1e-9 * np.linalg.norm(scaled, axis=0).max()
+        found = []
+        for s in range(0, len(q), 256):
+            some = q[s : s + 256] * scale
+            near = some @ scaled
+            bar = least[s : s + 256] * scale * scale - slack * np.linalg.norm(some, axis=1)
+            near = ~(near < bar[:, None]) & probed[s : s + 256][:, of_row]
+            for i in np.flatnonzero(near.any(axis=1)):
+                rows_at = np.flatnonzero(near[i])
+                found.append((qid[s + i], *best_rows(qid[s + i], ids[rows_at], vecs[rows_at], q[s + i])))
+        return table_of(found)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    none_yet = F.lit(float("-inf"))
+    first = materialize(ranked(compared(asked.withColumn("least", none_yet), probe_rows, score)), "ann")
+    last = first.filter(F.col("rank") == k).select("query_id", F.col("score").alias("last"))
+    again = asked.join(last, "query_id", "left").select("query_id", "v", F.coalesce("last", none_yet).alias("least"))
+    return ranked(first.select("query_id", "vec_id", "score").unionByName(compared(again, check_rows, check)))

@@ -50,6 +50,27 @@ def test_recall_of_more_rows(spark, jitter):
     assert recall(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["apart", "huge"])
+def test_nearest_of_other_rows(spark, kind):
+    """Queries that point away from all other rows, which no sample of rows is like, and components beyond single precision: nothing is missed."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 24))
+    asks = np.arange(len(x)) % 20 == 0
+    if kind == "apart":
+        x[~asks, 1] += 5
+        x[asks] *= -0.01
+        x[asks, 1] -= 5
+    else:
+        x *= 1e30
+    got = collections.defaultdict(set)
+    for r in search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    for i in np.flatnonzero(asks):
+        s = x @ x[i]
+        s[i] = -np.inf
+        assert got[i] == set(np.argsort(-s)[:20])
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, [float("nan"), 1.0]), (80, [1.0, None]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [-1.0, 0.0]), (None, [1.0, 1.0]), (4, [1.0, 2.0, 3.0]), (2, [1.0, 0.0]), (5, [float("inf"), 0.0])]
     got = search(spark.createDataFrame([(*r, 1.0) for r in rows], "vec_id long, embedding array<double>, score double")).collect()
