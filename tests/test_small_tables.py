@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kelpwood import catalogue
-from kelpwood.operators import retrieval
+from kelpwood.operators import dictionary, graph, retrieval
 
 
 def write(spark, folder, **tables):
@@ -55,3 +55,25 @@ def test_questions_about_customers(spark, tmp_path):
     assert kinds == {3: "original,who:Ada,what:Ada,who:May", 4: "original", 5: "original,who:Cy's,what:Cy's,temporal-recent"}
     said = {r["id"]: (r["question"], r["suggestion"]) for r in catalogue.queries()["generate_suggestions"](spark, at).collect()}
     assert said == {3: ("what happened yesterday", "What changed since then?"), 4: ("how is Bo linked to Here", "What is related to Bo?"), 5: ("what happened yesterday", "What changed since then?")}
+
+
+def test_fingerprints_exchange_edges_twice(spark, monkeypatch):
+    """Two edges away, with the way back left out; no exchange tells edges apart first."""
+    monkeypatch.setattr(graph, "checkpointed", lambda df: df)
+    triples = spark.createDataFrame([("a", "knows", "b"), ("b", "knows", "c"), ("b", "has", "d"), ("a", "knows", "b")], "subject_id string, predicate string, object_id string")
+    entities = spark.createDataFrame([(x, "t" if x == "d" else "p") for x in "abcd"], "id string, entity_type string")
+    fp = graph.fingerprints(triples, entities)
+    assert {r["id"]: (r["hop1"], r["hop2"]) for r in fp.collect()} == {
+        "a": (["knows->p"], ["has->t", "knows->p"]), "b": (["has->t", "knows->p", "knows<-p"], []),
+        "c": (["knows<-p"], ["has->t", "knows<-p"]), "d": (["has<-p"], ["knows->p", "knows<-p"]),
+    }
+    plan = fp._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan and "Expand" not in plan and not [x for x in plan.splitlines() if "Aggregate [id#" in x and "other#" in x.split("], [")[0]]
+
+
+def test_places_that_start_no_name_go_first(spark):
+    """All places that a name may start at stay, and of a thousand others next to none do."""
+    node = spark.range(50).selectExpr("xxhash64(id) as g")
+    place = spark.range(1050).selectExpr("id as doc", "xxhash64(id) as g")
+    got = {r["doc"] for r in dictionary._may_start(place, node).collect()}
+    assert got >= set(range(50)) and len(got) < 60
