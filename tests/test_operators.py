@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -42,6 +43,25 @@ def test_components(spark):
     assert set(got.values()) == {0, 100} and len(got) == 43
 
 
+def test_components_write_edges_once(spark, monkeypatch):
+    """Groups of any shape, loops and ends that are null; of a dense graph the edges are written once, in one direction, and the rest follows the nodes."""
+    rnd = random.Random(5)
+    rows = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(170)] + [(400, 400), (None, 401), (402, None)] + [(500 + i, 599) for i in range(30)]
+    up = {v: v for r in rows if None not in r for v in r}
+    for _ in range(300):
+        for a, b in rows:
+            if None not in (a, b):
+                up[a] = up[b] = min(up[a], up[b])
+    e = spark.createDataFrame(rows, "a long, b long")
+    assert {r["id"]: r["label"] for r in graph.components(e).collect()} == up
+    assert graph.components(e.limit(0)).isEmpty()
+    written, kept = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: (out := kept(df), written.append(out.count()))[0])
+    dense = spark.createDataFrame([(f"x{i}", f"x{j}") for i in range(60) for j in range(i)], "a string, b string")
+    assert {(r["label"]) for r in graph.components(dense).collect()} == {"x0"}
+    assert sum(n >= 1770 for n in written) == 1 and sum(written) < 2 * 1770
+
+
 def test_change_log(spark):
     log = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "id string, version long, v string")
     new = writers.upsert(log, spark.createDataFrame([("a", "z"), ("c", "w")], "id string, v string"), ["id"], "version")
