@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import checkpointed, components
-from .neighbours import by_row, dealt, distances, nearest, packed, pairs, unpacked
+from .neighbours import by_block, dealt, distances, met, nearest, packed, unpacked
 
 NEIGHBOURS = 16
 SOLVED = 200_000  # edges that a task takes at once
@@ -31,24 +31,42 @@ EDGE = "a long, b long, w double, ca long, cb long"
 
 # ----------------------------------------------------------------- the spanning tree
 def _shortest_rows(batches):
-    """For each component of a pair of blocks its shortest edge of mutual reachability to another component there."""
-    for row in by_row(batches):
-        (ids, x, core, comp), (ids2, y, core2, comp2) = unpacked(row), unpacked(row, "2")
-        m = np.maximum(np.maximum(distances(x, y), core[:, None]), core2)
-        m[comp[:, None] == comp2] = np.inf
-        out = []
-        for axis, mine in ((1, comp), (0, comp2)):
-            low, at = m.min(axis=axis), m.argmin(axis=axis)
-            order = np.lexsort((low, mine))
-            first = order[np.concatenate([[True], np.diff(mine[order]) != 0])]
-            first = first[np.isfinite(low[first])]
-            i, j = (first, at[first]) if axis else (at[first], first)
+    """For each component of a block its shortest edge of mutual reachability to another component, in the blocks that it meets."""
+    for rows in by_block(batches):
+        low = None
+        for row in rows:
+            (ids, x), (ids2, y) = unpacked(row), unpacked(row, "2")
+            core, core2 = (np.frombuffer(row[c], np.float64) for c in ("core", "core2"))
+            comp, comp2 = (np.frombuffer(row[c], np.int64) for c in ("comp", "comp2"))
+            if low is None:
+                low, at, other = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            m = np.maximum(np.maximum(distances(x, y), core[:, None]), core2)
+            m[comp[:, None] == comp2] = np.inf
+            j = m.argmin(axis=1)
+            i = np.flatnonzero(np.isfinite(m[np.arange(len(ids)), j]))
+            j = j[i]
             w = np.maximum(np.maximum(np.sqrt(((x[i] - y[j]) ** 2).sum(1)), core[i]), core2[j])
-            out.append((ids[i], ids2[j], w, comp[i], comp2[j]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "w", "ca", "cb"])
+            less = (w < low[i]) | (w == low[i]) & (ids2[j] < at[i])
+            i, j = i[less], j[less]
+            low[i], at[i], other[i] = w[less], ids2[j], comp2[j]
+        order = np.lexsort((ids, low, comp))
+        first = order[np.concatenate([[True], np.diff(comp[order]) != 0])]
+        first = first[np.isfinite(low[first])]
+        yield pa.RecordBatch.from_arrays([pa.array(c[first]) for c in (ids, at, low, comp, other)], ["a", "b", "w", "ca", "cb"])
 
 
-def _searched(points: DataFrame, best: DataFrame, apart: np.ndarray, radius: np.ndarray) -> DataFrame | None:
+def _marked(points: DataFrame) -> DataFrame:
+    """block, core, comp of a block's points in the order of their ids."""
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        raw = [pa.array([t.column(c).to_numpy().astype(kind).tobytes()], pa.binary()) for c, kind in (("core", np.float64), ("comp", np.int64))]
+        return pa.table([t.column("block")[:1], *raw], ["block", "core", "comp"])
+
+    return points.select("block", "id", "core", "comp").groupBy("block").applyInArrow(one, "block long, core binary, comp binary")
+
+
+def _searched(points: DataFrame, blocks: DataFrame, best: DataFrame, apart: np.ndarray, radius: np.ndarray) -> DataFrame | None:
     """Edges among which each component's shortest is, where one beyond the nearest neighbours could be shorter than its ``best``; none if none could."""
     open_ = points.join(best.select(F.col("c").alias("comp"), F.col("e.w").alias("bw")), "comp", "left").withColumn("bw", F.coalesce("bw", F.lit(float("inf"))))
     seen = open_.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("core").alias("core"), F.max(F.when(F.col("least") < F.col("bw"), F.col("bw"))).alias("need")).collect()
@@ -69,8 +87,9 @@ def _searched(points: DataFrame, best: DataFrame, apart: np.ndarray, radius: np.
     enough = np.where(mixed, np.diag(foreign), foreign.min(axis=1))
     need = np.minimum(need, enough) * (1 + 1e-9)
     wanted = other & (np.maximum(apart - radius[:, None] - radius, 0) <= np.maximum(need[:, None], need))
-    blocks = checkpointed(packed(points.select("id", "x", "cell", "block", "core", "comp")))
-    found = pairs(blocks, wanted).mapInArrow(_shortest_rows, EDGE)
+    some = [int(c) for c in np.flatnonzero((wanted | wanted.T).any(axis=1))]
+    marked = checkpointed(blocks.filter(F.col("cell").isin(some)).join(_marked(points), "block").select(*blocks.columns, "core", "comp"))
+    found = met(marked, wanted).mapInArrow(_shortest_rows, EDGE)
     return checkpointed(_shortest(found).select("e.*").distinct())
 
 
@@ -101,14 +120,14 @@ def _shortest(edges: DataFrame) -> DataFrame:
     return ends.groupBy("c").agg(F.min("e").alias("e"))
 
 
-def spanning_tree(points: DataFrame, apart: np.ndarray, radius: np.ndarray, edges: DataFrame) -> DataFrame:
-    """a, b, w of a minimum spanning tree. ``points``: id, x, cell, block, core, least (an unlisted edge is at least so long); ``edges``: a < b, w."""
+def spanning_tree(points: DataFrame, blocks: DataFrame, apart: np.ndarray, radius: np.ndarray, edges: DataFrame) -> DataFrame:
+    """a, b, w of a minimum spanning tree. ``points``: id, cell, block, core, least (an unlisted edge is at least so long), and their ``packed`` blocks; ``edges``: a < b, w."""
     points = points.withColumn("comp", F.col("id"))
     edges = edges.select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb"))
     tree = None
     while True:
         best = checkpointed(_shortest(edges))
-        more = _searched(points, best, apart, radius)
+        more = _searched(points, blocks, best, apart, radius)
         if more is not None:
             edges = edges.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w", F.when(F.col("a") < F.col("b"), F.col("ca")).otherwise(F.col("cb")).alias("ca"), F.when(F.col("a") < F.col("b"), F.col("cb")).otherwise(F.col("ca")).alias("cb"))).distinct()
             best = checkpointed(_shortest(edges))
@@ -269,15 +288,16 @@ def hierarchical_clusters(df: DataFrame, key: str, vector: str, least_members: i
     if n.sum() < max(2, least_members):
         return noise
     k = int(min(max(samples - 1, NEIGHBOURS), n.sum() - 1))
-    near = nearest(points, k, apart, n, radius)
+    blocks = packed(points)
+    near = nearest(blocks, k, apart, n, radius)
     core = F.lit(0.0) if samples < 2 else F.get("d", F.lit(min(samples - 1, k) - 1))
     near = checkpointed(near.withColumn("core", core))
     e = near.select(F.col("id").alias("a"), "core", F.explode(F.arrays_zip("nbr", "d")).alias("z")).select("a", "core", F.col("z.nbr").alias("b"), F.col("z.d").alias("d"))
     e = e.join(near.select(F.col("id").alias("b"), F.col("core").alias("core_b")), "b")
     e = checkpointed(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.greatest("core", "core_b", "d").alias("w")).distinct())
     beyond = F.greatest("core", F.element_at("d", -1)) if k < n.sum() - 1 else F.lit(float("inf"))
-    points = checkpointed(points.join(near.select("id", "core", beyond.alias("least")), "id"))
-    clusters, left = condensed_tree(spanning_tree(points, apart, radius, e), least_members)
+    points = checkpointed(points.drop("x").join(near.select("id", "core", beyond.alias("least")), "id"))
+    clusters, left = condensed_tree(spanning_tree(points, blocks, apart, radius, e), least_members)
 
     density = lambda w: 1 / F.greatest(w, F.lit(LEAST_WEIGHT))
     born = clusters.select("c", F.coalesce(density(F.col("w")), F.lit(0.0)).alias("born"))

@@ -1,12 +1,14 @@
 """Joins of vectors with their neighbours, exact: the k nearest of each, and the groups that likeness links.
 
 Vectors are dealt into blocks by their nearest pivot, and blocks are compared in pairs. Pairs that the triangle inequality rules out are never formed; on
-vectors without structure it rules out little, and the work is quadratic. A task holds two blocks, whatever the size of a region.
+vectors without structure it rules out little, and the work is quadratic. Blocks that are searched are written once, and read again by each task that compares
+them with a part of ``HELD`` bytes: what is exchanged is one list of found rows for each block and part, not the blocks of each pair.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -18,8 +20,9 @@ from .graph import checkpointed, components
 
 ROWS = 1024  # of a block
 PIVOTS = 1024
-BLOCK = "block long, cell int, ids binary, x binary, core binary, comp binary"
-FOUND = "block long, slot int, ids binary, nbr binary, d binary"
+HELD = 64 << 20  # bytes of blocks that a task holds
+BLOCK = "block long, cell int, ids binary, x binary"
+FOUND = "block long, ids binary, nbr binary, d binary"
 
 
 # ----------------------------------------------------------------- blocks
@@ -31,10 +34,11 @@ def dealt(df: DataFrame, key: str, vector: str, unit: bool = False) -> tuple[Dat
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if common is None:
         return None
-    rows = checkpointed(rows.filter(F.size("v") == common.n).groupBy("id").agg(F.min("v").alias("v")))
+    rows = rows.filter(F.size("v") == common.n).groupBy("id").agg(F.min("v").alias("v"))
     if unit:
         size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))
-        rows = checkpointed(rows.withColumn("n", size).filter("n > 0").select("id", F.transform("v", lambda e: e / F.col("n")).alias("v")))
+        rows = rows.withColumn("n", size).filter("n > 0").select("id", F.transform("v", lambda e: e / F.col("n")).alias("v"))
+    rows = checkpointed(rows)
     count = rows.count()
     if not count:
         return None
@@ -58,18 +62,18 @@ def dealt(df: DataFrame, key: str, vector: str, unit: bool = False) -> tuple[Dat
     parts = F.lit([math.ceil(c / ROWS) or 1 for c in n.tolist()])
     block = F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64("id"), F.get(parts, "cell"))
     apart = np.sqrt(np.maximum((pivot * pivot).sum(1)[:, None] + (pivot * pivot).sum(1) - 2 * pivot @ pivot.T, 0))
-    return checkpointed(placed.select("id", "x", "cell", block.alias("block"))), apart, n, radius * (1 + 1e-9)
+    return placed.select("id", "x", "cell", block.alias("block")), apart, n, radius * (1 + 1e-9)
 
 
 def packed(points: DataFrame) -> DataFrame:
-    """One row for each block of points (id, x, cell, block, core, comp)."""
+    """One row for each block of points (id, x, cell, block), its ids ascending."""
 
     def one(t: pa.Table) -> pa.Table:
-        raw = lambda c, kind: pa.array([t.column(c).to_numpy().astype(kind).tobytes()], pa.binary())
-        x = pa.array([b"".join(t.column("x").to_pylist())], pa.binary())
-        return pa.table([t.column("block")[:1], t.column("cell")[:1], raw("id", np.int64), x, raw("core", np.float64), raw("comp", np.int64)], ["block", "cell", "ids", "x", "core", "comp"])
+        t = t.sort_by("id")
+        ids, x = pa.array([t.column("id").to_numpy().tobytes()], pa.binary()), pa.array([b"".join(t.column("x").to_pylist())], pa.binary())
+        return pa.table([t.column("block")[:1], t.column("cell")[:1], ids, x], ["block", "cell", "ids", "x"])
 
-    return points.groupBy("block", "cell").applyInArrow(one, BLOCK)
+    return checkpointed(points.select("id", "x", "cell", "block").groupBy("block", "cell").applyInArrow(one, BLOCK))
 
 
 def pairs(blocks: DataFrame, cells: np.ndarray) -> DataFrame:
@@ -81,9 +85,24 @@ def pairs(blocks: DataFrame, cells: np.ndarray) -> DataFrame:
     return blocks.join(wanted, "cell").join(other, "other").filter((F.col("cell") != F.col("other")) | (F.col("block") <= F.col("block2")))
 
 
-def unpacked(row: dict, mark: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def met(blocks: DataFrame, cells: np.ndarray) -> DataFrame:
+    """Each block with each that it is to be compared with (columns ending in 2), itself too, of the wanted pairs of cells (a boolean matrix, in both orders).
+
+    Those of one block follow each other in a task. The blocks (a written table) are read again for each part of them, not exchanged.
+    """
+    cells = cells | cells.T
+    some = np.flatnonzero(cells.any(axis=1))
+    wanted = pd.DataFrame({"cell": some.astype(np.int32), "near": [cells[c].tobytes() for c in some]})
+    mine = blocks.join(F.broadcast(blocks.sparkSession.createDataFrame(wanted, "cell int, near binary")), "cell")
+    other = mine.drop("near").select(*[F.col(c).alias(f"{c}2") for c in blocks.columns])
+    held = blocks.agg(F.sum(F.octet_length("x"))).first()[0] or 0
+    other = other.coalesce(math.ceil(held / HELD) or 1).hint("shuffle_replicate_nl")
+    return mine.join(other, F.substring("near", F.col("cell2") + 1, F.lit(1)) == F.lit(b"\x01")).drop("near")
+
+
+def unpacked(row: dict, mark: str = "") -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(row[f"ids{mark}"], np.int64)
-    return ids, np.frombuffer(row[f"x{mark}"], np.float64).reshape(len(ids), -1), np.frombuffer(row[f"core{mark}"], np.float64), np.frombuffer(row[f"comp{mark}"], np.int64)
+    return ids, np.frombuffer(row[f"x{mark}"], np.float64).reshape(len(ids), -1)
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -96,23 +115,60 @@ def by_row(batches):
             yield {c: v[0] for c, v in batch.slice(i, 1).to_pydict().items()}
 
 
+def by_block(batches):
+    """The rows of ``met``, those of each block together."""
+    return (rows for _, rows in groupby(by_row(batches), lambda r: r["block"]))
+
+
 # ----------------------------------------------------------------- the k-nearest join
-def _nearest_rows(k: int, slots: int):
+class _Best:
+    """The ``k`` nearest of a block's points among those of the blocks seen."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        self.ids, self.x, self.k, self.size = ids, x, k, (x * x).sum(1)
+        self.d, self.nbr = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def see(self, its: np.ndarray, y: np.ndarray, same: bool) -> None:
+        n, size = len(self.ids), (y * y).sum(1)
+        m = self.size[:, None] + size - 2 * self.x @ y.T
+        if same:
+            np.fill_diagonal(m, np.inf)
+        worst = self.d[:, -1]
+        near = m <= (worst * worst * (1 + 1e-9) + 1e-11 * (self.size + size.max()))[:, None]  # these distances are rounded
+        some = self.k + 8
+        if np.count_nonzero(near) <= n * some:
+            i, j = np.nonzero(near)
+        else:
+            some = min(some, len(its))
+            i = np.repeat(np.arange(n), some)
+            j = np.argpartition(m, some - 1, axis=1)[:, :some].ravel() if some < len(its) else np.tile(np.arange(len(its)), n)
+        d = np.sqrt(((self.x[i] - y[j]) ** 2).sum(1))
+        keep = (d <= worst[i]) & (self.ids[i] != its[j])
+        self.new.append((i[keep], its[j[keep]], d[keep]))
+        self.waiting += len(self.new[-1][0])
+        if self.waiting >= n * self.k:
+            self.fold()
+
+    def fold(self) -> None:
+        n, k = self.d.shape
+        i, nbr, d = (np.concatenate(c) for c in zip((np.repeat(np.arange(n), k), self.nbr.ravel(), self.d.ravel()), *self.new, strict=True))
+        order = np.lexsort((nbr, d, i))
+        count = np.bincount(i, minlength=n)
+        order = order[np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count) < k]
+        self.nbr, self.d, self.new, self.waiting = nbr[order].reshape(n, k), d[order].reshape(n, k), [], 0
+
+
+def _nearest_rows(k: int):
     def run(batches):
-        for row in by_row(batches):
-            (ids, x, _, _), (ids2, y, _, _) = unpacked(row), unpacked(row, "2")
-            same, d = row["block"] == row["block2"], distances(x, y)
-            if same:
-                np.fill_diagonal(d, np.inf)
-            for mine, its, u, v, m, block, slot in [(ids, ids2, x, y, d, "block", "block2"), (ids2, ids, y, x, d.T, "block2", "block")][: 1 if same else 2]:
-                some = min(k + 8, len(its) - same)  # a few more, as these distances are rounded
-                if some <= 0:
-                    continue
-                at = np.argpartition(m, some - 1, axis=1)[:, :some] if some < len(its) else np.tile(np.arange(len(its)), (len(mine), 1))
-                exact = np.sqrt(((u[:, None, :] - v[at]) ** 2).sum(2))
-                order = np.lexsort((its[at], exact), axis=1)[:, :k]
-                out = [np.take_along_axis(z, order, 1) for z in (its[at], exact)]
-                yield pa.RecordBatch.from_arrays([pa.array([row[block]]), pa.array([int(row[slot]) % slots], pa.int32()), *[pa.array([z.tobytes()], pa.binary()) for z in (mine, *out)]], ["block", "slot", "ids", "nbr", "d"])
+        for rows in by_block(batches):
+            best = None
+            for row in rows:
+                best = best or _Best(*unpacked(row), k)
+                best.see(*unpacked(row, "2"), row["block"] == row["block2"])
+            best.fold()
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), *[pa.array([z.tobytes()], pa.binary()) for z in (best.ids, best.nbr, best.d)]], ["block", "ids", "nbr", "d"])
 
     return run
 
@@ -125,7 +181,7 @@ def _merged(k: int):
         d = np.concatenate([np.frombuffer(r["d"], np.float64).reshape(len(ids), -1) for r in rows], axis=1)
         order = np.lexsort((nbr, d), axis=1)[:, :k]
         out = [np.take_along_axis(z, order, 1) for z in (nbr, d)]
-        return pa.table([t.column("block")[:1], t.column("slot")[:1], pa.array([rows[0]["ids"]], pa.binary()), *[pa.array([z.tobytes()], pa.binary()) for z in out]], ["block", "slot", "ids", "nbr", "d"])
+        return pa.table([t.column("block")[:1], pa.array([rows[0]["ids"]], pa.binary()), *[pa.array([z.tobytes()], pa.binary()) for z in out]], ["block", "ids", "nbr", "d"])
 
     return one
 
@@ -138,8 +194,8 @@ def _lists(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(ends, pa.array(nbr)), pa.ListArray.from_arrays(ends, pa.array(d))], ["id", "nbr", "d"])
 
 
-def nearest(points: DataFrame, k: int, apart: np.ndarray, n: np.ndarray, radius: np.ndarray) -> DataFrame:
-    """id, nbr, d: the k nearest others of each point, nearest first, exactly."""
+def nearest(blocks: DataFrame, k: int, apart: np.ndarray, n: np.ndarray, radius: np.ndarray) -> DataFrame:
+    """id, nbr, d: the k nearest others of each point of the ``packed`` blocks, nearest first, exactly."""
     there = n > 0
     reach = np.where(there, apart + radius, np.inf)
     order = np.argsort(reach, axis=1)
@@ -147,10 +203,7 @@ def nearest(points: DataFrame, k: int, apart: np.ndarray, n: np.ndarray, radius:
     most = radius + np.take_along_axis(reach, np.take_along_axis(order, enough[:, None], 1), 1)[:, 0]  # all of a cell have k others within it
     least = apart - radius[:, None] - radius
     wanted = there[:, None] & there & (least <= np.maximum(most[:, None], most) * (1 + 1e-9))
-    blocks = checkpointed(packed(points.withColumn("core", F.lit(0.0)).withColumn("comp", F.lit(0).cast("long"))))
-    slots = math.ceil(math.sqrt(blocks.count()))
-    found = pairs(blocks, wanted).mapInArrow(_nearest_rows(k, slots), FOUND)
-    merged = found.groupBy("block", "slot").applyInArrow(_merged(k), FOUND).groupBy("block").applyInArrow(_merged(k), FOUND)
+    merged = met(blocks, wanted).mapInArrow(_nearest_rows(k), FOUND).groupBy("block").applyInArrow(_merged(k), FOUND)
     return checkpointed(merged.mapInArrow(_lists, "id long, nbr array<long>, d array<double>"))
 
 
@@ -163,7 +216,7 @@ def k_nearest(df: DataFrame, key: str, vector: str, k: int, unit: bool = True) -
     if found is None or found[2].sum() < 2:
         return df.sparkSession.createDataFrame([], "id long, nbr array<long>, d array<double>")
     points, apart, n, radius = found
-    return nearest(points, int(min(k, n.sum() - 1)), apart, n, radius)
+    return nearest(packed(points), int(min(k, n.sum() - 1)), apart, n, radius)
 
 
 def _linking_rows(far: float):
@@ -171,7 +224,7 @@ def _linking_rows(far: float):
 
     def run(batches):
         for row in by_row(batches):
-            (ids, x, _, _), (ids2, y, _, _) = unpacked(row), unpacked(row, "2")
+            (ids, x), (ids2, y) = unpacked(row), unpacked(row, "2")
             near = distances(x, y) <= far
             label = np.arange(len(ids))
             while True:
@@ -196,6 +249,6 @@ def like_groups(df: DataFrame, key: str, vector: str, least: float) -> DataFrame
     points, apart, n, radius = found
     far = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-12
     wanted = (n > 0)[:, None] & (n > 0) & (apart - radius[:, None] - radius <= far)
-    blocks = checkpointed(packed(points.withColumn("core", F.lit(0.0)).withColumn("comp", F.lit(0).cast("long"))))
+    blocks = packed(points)
     label = components(checkpointed(pairs(blocks, wanted).mapInArrow(_linking_rows(far), "a long, b long").distinct()))
     return ids.join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
