@@ -241,6 +241,45 @@ def test_image_copies_behind_a_shared_part(spark):
     assert min(got[10 + i]["n_links"] for i in range(8)) >= 7
 
 
+def test_image_links_within_large_groups(spark, monkeypatch):
+    """Every pair that shares five keys is compared, however many images have them and whichever is the least: links are those of plain counting."""
+    monkeypatch.setattr(media, "BLOCK", 512)
+    monkeypatch.setattr(media, "HELD", 16 << 10)
+    rng = np.random.default_rng(15)
+    x = media.draw(rng.normal(size=64))
+    images = {50 + i: _noisy(x, i, 1) for i in range(24)}
+    for i in range(14):  # a strip that many unlike images have
+        images[i - 7] = np.concatenate([x[:24], media.draw(rng.normal(size=64))[24:]])
+    images = {i: media.read_pgm(media.write_pgm(a)) for i, a in images.items()}
+    made = {i: media.describe(a[None].astype(np.float32))[0] for i, a in images.items()}
+    keys = {i: {(k % 4, w) for k, w in enumerate(np.ascontiguousarray(word).view(np.uint32).ravel().tolist())} for i, (_, word) in made.items()}
+    want = {(i, j) for i, j in plain_links(images) if len(keys[i] & keys[j]) >= media.LEAST_VOTES}
+    holders = collections.Counter(k for i in keys for k in keys[i])
+    led = {i: {k for k in keys[i] if holders[k] <= media.SMALL} for i in keys}
+    assert sum(len(led[i] & led[j]) < 2 for i, j in want) > 200  # few of them share rare keys
+    got = {r["media_id"]: r for r in media.copies(spark.createDataFrame([(i, media.write_pgm(a)) for i, a in images.items()], "media_id long, content binary")).collect()}
+    degree = collections.Counter(i for p in want for i in p)
+    assert len(want) > 276 and all(got[i]["n_links"] >= degree[i] for i in images)
+    assert sum(r["n_links"] for r in got.values()) <= 2 * len(plain_links(images))
+
+
+def test_pairs_compared_at_once(monkeypatch):
+    """Many pairs at once, of images of any number of corners, agree as each does alone."""
+    monkeypatch.setattr(media, "PADDED", 75)  # some are compared one by one
+    rng = np.random.default_rng(16)
+    pictures = []
+    for i in range(12):
+        a = media.draw(rng.normal(size=64))
+        pictures += [a, a[10:74, 6:70], _noisy(a, i), np.rot90(a)]
+    made = [media.describe(media.read_pgm(media.write_pgm(a))[None].astype(np.float32))[0] for a in pictures]
+    raw = {"corners": np.array([len(p) for p, _ in made]).tobytes(), "spots": b"".join(media._spots(p) for p, _ in made), "words": b"".join(w.tobytes() for _, w in made)}
+    block = media._Images(raw | {"ids": np.arange(len(made)).tobytes(), "keys": b"", "owner": b"", "few": b""})
+    i, j = np.triu_indices(len(made), 1)
+    want = [k for k in range(len(i)) if media._linked(block.image(i[k]), block.image(j[k]), 24)]
+    assert len(want) >= 40 and media._linked_pairs(block, block, i, j, 24).tolist() == want
+    assert 0 < sum(len(p) > 75 for p, _ in made) < len(made)
+
+
 def test_image_copies_of_a_large_picture(spark):
     """A crop of its faint part, and a copy reduced to a third."""
     rng = np.random.default_rng(8)
