@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -280,6 +281,29 @@ def test_pairs_compared_at_once(monkeypatch):
     assert 0 < sum(len(p) > 75 for p, _ in made) < len(made)
 
 
+def test_pairs_at_once_take_little_time(monkeypatch):
+    """A pair among many takes an eighth of the time that it takes alone, or less; parts of any size give the same."""
+    rng = np.random.default_rng(17)
+    pictures = [media.draw(rng.normal(size=64)) for _ in range(50)]
+    pictures += [np.rot90(a, k % 4) for k, a in enumerate(pictures[:30])] + [_noisy(a, k) for k, a in enumerate(pictures[:20])]
+    made = [media.describe(a[None].astype(np.float32))[0] for a in pictures]
+    raw = {"corners": np.array([len(p) for p, _ in made]).tobytes(), "spots": b"".join(media._spots(p) for p, _ in made), "words": b"".join(w.tobytes() for _, w in made)}
+    block = media._Images(raw | {"ids": np.arange(len(made)).tobytes(), "keys": b"", "owner": b"", "few": b""})
+    i, j = np.triu_indices(len(made), 1)
+    start = time.process_time()
+    want = [k for k in range(len(i)) if media._linked(block.image(i[k]), block.image(j[k]), 24)]
+    alone = time.process_time() - start
+    took = []
+    for _ in range(3):
+        start = time.process_time()
+        assert media._linked_pairs(block, block, i, j, 24).tolist() == want
+        took.append(time.process_time() - start)
+    assert len(want) >= 50 and 8 * min(took) < alone
+    for name, n in (("PAIRS", 7), ("XORED", 1), ("MATCHES", 40)):
+        monkeypatch.setattr(media, name, n)
+    assert media._linked_pairs(block, block, i, j, 24).tolist() == want
+
+
 def test_image_copies_of_a_large_picture(spark):
     """A crop of its faint part, and a copy reduced to a third."""
     rng = np.random.default_rng(8)
