@@ -53,6 +53,32 @@ def test_levels_of_communities(spark):
             assert quality(edges, {n: other if v == one else v for n, v in last.items()}) <= stated[max(levels)] + 1e-9
 
 
+@pytest.mark.parametrize(("solved", "nodes", "pairs"), [(20, 120, 700), (1 << 19, 120, 700)])
+def test_levels_go_on_until_none_adds(spark, monkeypatch, solved, nodes, pairs):
+    """A random graph, whose communities are weak: whether blocks of nodes or one task move them, quality is that of plain Python, and no community of the last level has one to join."""
+    monkeypatch.setattr(graph, "SOLVED", solved, raising=False)
+    rnd = random.Random(5)
+    edges = {tuple(sorted(rnd.sample(range(nodes), 2))): rnd.uniform(0.05, 1) for _ in range(pairs)}
+    edges = [(f"{a:03}", f"{b:03}", w) for (a, b), w in edges.items()]
+    context, group = spark.sparkContext, f"levels {solved}"
+    context.setJobGroup(group, group)
+    found = graph.community_levels(spark.createDataFrame(edges, "a string, b string, weight double"), least=0.01).collect()
+    jobs = len(context.statusTracker().getJobIdsForGroup(group))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert solved < len(edges) or jobs < 60, f"{jobs} jobs for what one task finds"
+    levels = {n: {r.id: r.label for r in found if r.level == n} for n in {r.level for r in found}}
+    stated = [{r.level: r.quality for r in found}[n] for n in sorted(levels)]
+    assert sorted(levels) == list(range(1, len(levels) + 1)) and stated == sorted(stated)
+    assert stated == pytest.approx([quality(edges, levels[n]) for n in sorted(levels)])
+    last = levels[max(levels)]
+    assert len(last) == len({x for e in edges for x in e[:2]}) and all(v == min(n for n in last if last[n] == v) for v in last.values())
+    for one in set(last.values()):
+        for other in set(last.values()):
+            assert quality(edges, {n: other if v == one else v for n, v in last.items()}) <= stated[-1] + 1e-9
+    for v in levels[1]:  # what belongs together below does so above
+        assert len({last[n] for n in last if levels[1][n] == levels[1][v]}) == 1
+
+
 def spread(status, justs, roots):
     """Rounds of plain Python: what leans on what changed is judged by the statuses before; each belief passes changes on once."""
     status, passed, moved = dict(status), Counter(roots), set(roots)
