@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from kelpwood.operators import hierarchy, neighbours
+from kelpwood.operators import graph, hierarchy, neighbours
 from kelpwood.operators.hierarchy import LEAST_WEIGHT, condensed_tree, hierarchical_clusters
 
 SCHEMA = "k long, v array<double>"
@@ -170,3 +170,25 @@ def test_parts_of_a_tree_give_the_whole(spark, monkeypatch):
 
         seen.append((sorted((r.id, names[r.c], r.w) for r in points.collect()), sorted((names.get(c, -1), ends(c) or (0, 0)) for c in of)))
     assert seen[0] == seen[1] and len(seen[0][0]) == 401
+
+
+def test_components_of_a_long_path(spark):
+    """A path whose ids are in no order, as a spanning tree's lower half has: more steps from a node to the least one than rounds may be."""
+    ids = random.Random(8).sample(range(10**6), 600)
+    pairs = [*zip(ids, ids[1:]), (-5, -6)]
+    got = {r["id"]: r["label"] for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == dict.fromkeys(ids, min(ids)) | {-5: -6, -6: -6}
+
+
+def test_tree_in_parts_along_a_line(spark, monkeypatch):
+    """Points of a line, whose tree is a path, in parts of few edges and without the driver's joins: the clusters of the whole."""
+    rnd = random.Random(9)
+    at = np.cumsum([rnd.choice([1.0, 1.1, 1.2, 5.0]) for _ in range(300)])
+    keys = rnd.sample(range(1000), 300)
+    df = spark.createDataFrame([(k, [float(x), 0.0]) for k, x in zip(keys, at, strict=True)], SCHEMA)
+    run = lambda: sorted(tuple(r) for r in hierarchical_clusters(df, "k", "v", 5, 3).collect())
+    want = run()
+    monkeypatch.setattr(hierarchy, "SOLVED", 100)
+    monkeypatch.setattr(hierarchy, "FEW", 0)
+    got = run()
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2:] for r in got], [r[2:] for r in want])
