@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 #: Marks stripped from both ends of a token.
 STRIP = ",.!?;:\"'()"
 #: Words that are never linked on their own.
@@ -25,33 +27,36 @@ def _part(words: Column, at, n) -> Column:
     return F.array_join(F.slice(words, at, n), " ")
 
 
-def _may_start(place: DataFrame, node: DataFrame, bits: int = 22) -> DataFrame:
-    """Rows of ``place`` whose ``g`` may be in ``node``: none that is goes, and few others stay. The 2**bits bits are broadcast in words of 64, however many names there are."""
-    bit = lambda: F.pmod(F.col("g"), F.lit(1 << bits))
-    words = node.select(bit().alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("held"))
-    j = place.withColumn("p", bit()).withColumn("word", F.shiftright("p", 6)).join(F.broadcast(words), "word")
+def _may_be(rows: DataFrame, held: DataFrame, column: str, lengths: bool = False, bits: int = 22) -> DataFrame:
+    """Rows whose hash ``column`` may be in ``held``: none that is goes, and few others stay. The 2**bits bits are broadcast in words of 64, however many names there are; ``lengths``: with those of each word's names."""
+    bit = lambda: F.pmod(F.col(column), F.lit(1 << bits))
+    sums = [F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("held"), *[F.collect_set("words").alias("lengths")] * lengths]
+    words = held.withColumn("p", bit()).groupBy(F.shiftright("p", 6).alias("word")).agg(*sums)
+    j = rows.withColumn("p", bit()).withColumn("word", F.shiftright("p", 6)).join(F.broadcast(words), "word")
     return j.filter("shiftright(held, cast(p & 63 as int)) & 1 = 1").drop("p", "word", "held")
 
 
 def matches(docs: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     """doc, at, words, id: whole names in every text, without regard to case; at a place the longest wins, and what another match covers whole goes.
 
-    ``names``: id, name, of any number of tokens; of several ids of one name the least counts. A hashed trie of two levels has the lengths of the names
-    that start with a token, or with two. Places of a text are looked up there; only at those that a name can start at, and only for its lengths, whole names are
-    compared. So what moves is a number for each place that may start a name, then the tokens of texts with such places, once. Texts without tokens, null ones too, have no
+    ``names``: id, name, of any number of tokens; of several ids of one name the least counts. Where a text is read, a hashed trie of two levels tells whether a name may start
+    at a place and how long it may be, and a hash of what stands there whether it may be one; only such parts of texts are compared with whole names. So texts aren't
+    exchanged, only these parts (none but the matches, if the names are few enough to be broadcast). Texts without tokens, null ones too, have no
     matches; rows of one key are texts of one document, each matched by itself.
     """
     t = names.select("id", stripped_tokens(F.lower("name")).alias("t")).filter(F.size("t") > 0)
     whole = t.select(F.array_join("t", " ").alias("key"), F.size("t").alias("words"), F.xxhash64(_part(F.col("t"), 1, 2)).alias("g"), "id").groupBy("key", "words", "g").agg(F.min("id").alias("id"))
-    node = whole.groupBy("g").agg(F.collect_set("words").alias("lengths"))
+    whole = checkpointed(whole.withColumn("h", F.xxhash64("key")))
     d = docs.select(F.col(f"`{key}`").alias("doc"), stripped_tokens(F.lower(F.col(f"`{text}`"))).alias("t")).filter(F.size("t") > 0)
     d = d.withColumn("f", F.xxhash64(F.array_join("t", " ")))
-    place = d.select("doc", "f", "t", F.posexplode("t").alias("at", "w")).select("doc", "f", "at", F.explode(F.array(F.xxhash64("w"), F.xxhash64(_part(F.col("t"), F.col("at") + 1, 2)))).alias("g"))
-    spot = _may_start(place, node).distinct().join(node, "g").groupBy("doc", "f").agg(F.collect_list(F.struct("at", "lengths")).alias("spots"))
-    met = d.join(spot.select(F.col("doc").alias("d"), F.col("f").alias("e"), "spots"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("f") == F.col("e"))).select("doc", "f", "t", F.explode("spots").alias("s"))
-    each = met.select("doc", "f", "t", F.col("s.at").alias("at"), F.explode("s.lengths").alias("words")).filter(F.col("at") + F.col("words") <= F.size("t"))
-    hit = each.select("doc", "f", "at", _part(F.col("t"), F.col("at") + 1, F.col("words")).alias("key")).join(whole.select("key", "words", "id"), "key")
-    best = hit.groupBy("doc", "f", "at").agg(F.max_by(F.struct("words", "id"), "words").alias("m")).select("doc", "f", "at", "m.words", "m.id")
+    place = d.select("doc", "f", "t", F.posexplode("t").alias("at", "w"))
+    place = place.select("doc", "f", "t", "at", F.explode(F.array(F.xxhash64("w"), F.xxhash64(_part(F.col("t"), F.col("at") + 1, 2)))).alias("g"))
+    each = _may_be(place, whole, "g", lengths=True).select("doc", "f", "t", "at", F.explode("lengths").alias("words")).filter(F.col("at") + F.col("words") <= F.size("t"))
+    each = each.select("doc", "f", "at", _part(F.col("t"), F.col("at") + 1, F.col("words")).alias("key"))
+    hit = _may_be(each.withColumn("h", F.xxhash64("key")), whole, "h").join(whole.select("key", "words", "id"), "key")
+    # one exchange serves both steps
+    one = hit.select("doc", "f", "at", F.struct("words", "id").alias("m")).repartition("doc", "f")
+    best = one.groupBy("doc", "f", "at").agg(F.max("m").alias("m")).select("doc", "f", "at", "m.words", "m.id")
     before = Window.partitionBy("doc", "f").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max(F.col("at") + F.col("words")).over(before)
     return best.withColumn("reach", reach).filter(F.col("reach").isNull() | (F.col("at") + F.col("words") > F.col("reach"))).select("doc", "at", "words", "id")

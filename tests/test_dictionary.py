@@ -61,3 +61,21 @@ def test_names_within_names(spark):
     got = {(r.a, r.b) for r in D.containing_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
     low = sorted({n.strip(" ").lower() for n in names if n})
     assert got == {(a, b) for a in low for b in low if a < b and min(len(a), len(b)) >= 4 and (a in b or b in a)}
+
+
+def test_texts_are_not_exchanged(spark):
+    """Where names are too many to be broadcast, what moves is parts of texts that may be names: no exchange has a text's tokens."""
+    rnd = random.Random(2)
+    vocab = ["red", "ring", "steel", "old", "a"]
+    names = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 6)))) for i in range(40)]
+    docs = [(i // 2, " ".join(rnd.choice([*vocab, "x", "y"]) for _ in range(rnd.randint(0, 60)))) for i in range(80)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = D.matches(spark.createDataFrame(docs, DOCS), "k", "text", spark.createDataFrame(names, NAMES))
+        plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+        moved = re.findall(r"\(\d+\) Exchange\nInput[^:]*: \[(.*)\]", plan)
+        assert len(moved) >= 2 and not any(re.search(r"\bt#", columns) for columns in moved)
+        assert sorted((r.doc, r.at, r.words, r.id) for r in got.collect()) == plain(docs, names)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
